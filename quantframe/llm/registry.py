@@ -12,6 +12,7 @@ def _add(name: str, fn, sql: str | None = None) -> None:
         ORACLES[name] = sql
 
 
-from quantframe.llm import exact_dedup  # noqa: E402
+from quantframe.llm import exact_dedup, sharding  # noqa: E402
 
+_add("op1_sharding", sharding.query)
 _add("op9_exact_dedup", exact_dedup.query, exact_dedup.ORACLE)
