@@ -12,8 +12,9 @@ def _add(name: str, fn, sql: str | None = None) -> None:
         ORACLES[name] = sql
 
 
-from quantframe.llm import exact_dedup, mixing, sharding  # noqa: E402
+from quantframe.llm import exact_dedup, mixing, quality_cascade, sharding  # noqa: E402
 
 _add("op1_sharding", sharding.query)
 _add("op9_exact_dedup", exact_dedup.query, exact_dedup.ORACLE)
 _add("op10_mixing", mixing.query)
+_add("op4_quality_cascade", quality_cascade.query, quality_cascade.ORACLE)
