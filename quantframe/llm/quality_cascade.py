@@ -187,7 +187,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
 t3 AS (SELECT doc_id, pos, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 twice AS (SELECT doc_id, pos FROM t3 WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
@@ -196,8 +196,8 @@ top AS (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, word, count(*) AS n F
 c AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
-    len(ls) AS n_lines, len(list_filter(ws, x -> regexp_matches(x, '\pL'))) AS lettered, length(regexp_replace(t, '[^|]', '', 'g')) AS bars,
-    len(list_filter(ws, x -> upper(x) = x AND lower(x) <> x)) AS capitals, coalesce(most, 0) AS most
+    len(ls) AS n_lines, len(list_filter(ws, lambda x: regexp_matches(x, '\pL'))) AS lettered, length(regexp_replace(t, '[^|]', '', 'g')) AS bars,
+    len(list_filter(ws, lambda x: upper(x) = x AND lower(x) <> x)) AS capitals, coalesce(most, 0) AS most
   FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN top USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 100 * n_symbols > 30 * n_words
