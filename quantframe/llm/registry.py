@@ -12,7 +12,7 @@ def _add(name: str, fn, sql: str | None = None) -> None:
         ORACLES[name] = sql
 
 
-from quantframe.llm import exact_dedup, mixing, packing, quality_cascade, sharding, toxicity, warc  # noqa: E402
+from quantframe.llm import exact_dedup, mixing, near_dedup, packing, quality_cascade, sharding, toxicity, warc  # noqa: E402
 
 _add("op1_sharding", sharding.query)
 _add("op9_exact_dedup", exact_dedup.query, exact_dedup.ORACLE)
@@ -21,3 +21,4 @@ _add("op4_quality_cascade", quality_cascade.query, quality_cascade.ORACLE)
 _add("op7_packing", packing.query)
 _add("op3_warc", warc.query, warc.ORACLE)
 _add("op6_toxicity", toxicity.query)
+_add("op2_near_dedup", near_dedup.query)
