@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quantframe.llm.bloom import ODD, build_filter, in_filter, mix
 from quantframe.llm.common import SPACE, materialise, or_empty
 from quantframe.llm.graph import components
 
@@ -45,18 +46,10 @@ FIRST_RANK = 0.25
 CHUNK_WORDS = 200_000
 CACHED_WORDS = 500_000
 HOT = 1000
-ODD = np.uint64(0x9E3779B97F4A7C15)
 
 _hashes: dict[str, int] = {}
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (splitmix)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def uniform(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
@@ -175,7 +168,7 @@ def multisets(bits: np.ndarray, size: int):
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = batch.column(1).to_numpy().view(np.uint64)
-            pick = np.flatnonzero(np.all([in_filter(bits, h, j) for j in range(FILTER_HASHES)], axis=0))
+            pick = np.flatnonzero(in_filter(bits, h))
             picked = batch.take(pa.array(pick))
             texts, out = picked.column(2).to_pylist(), []
             for part in chunks(texts):
@@ -190,37 +183,6 @@ def multisets(bits: np.ndarray, size: int):
     return expand
 
 
-FILTER_HASHES, FILTER_LONGS = 4, 1 << 20
-
-
-def filter_places(h: np.ndarray, j: int, longs: int) -> tuple[np.ndarray, np.ndarray]:
-    x = mix(h + np.uint64(j + 1) * ODD)
-    return (x >> np.uint64(6)) % np.uint64(longs), x & np.uint64(63)
-
-
-def in_filter(bits: np.ndarray, h: np.ndarray, j: int) -> np.ndarray:
-    place, bit = filter_places(h, j, len(bits))
-    return (bits[place.astype(np.int64)] >> bit) & np.uint64(1) == 1
-
-
-def build_filter(hashes: DataFrame, longs: int = FILTER_LONGS) -> np.ndarray:
-    """Bloom filter of a column of 64-bit hashes; at most 8 MB whatever their number (a fuller one only lets more rows pass)."""
-    longs = min(longs, max(64, 1 << (hashes.count() // 4).bit_length()))
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(0).to_numpy().view(np.uint64)
-            found = [filter_places(h, j, longs) for j in range(FILTER_HASHES)]
-            place = np.concatenate([f[0] for f in found]).astype(np.int64)
-            bit = np.uint64(1) << np.concatenate([f[1] for f in found])
-            yield pa.RecordBatch.from_pydict({"place": place, "bit": bit.view(np.int64)})
-
-    told = hashes.mapInArrow(places, "place long, bit long").groupBy("place").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most ``longs`` rows
-    bits = np.zeros(longs, np.uint64)
-    bits[told["place"].to_numpy()] = told["bits"].to_numpy().view(np.uint64)
-    return bits
-
-
 class Join:
     """Tests pairs of nodes, and keeps the links found. nodes: (node, digest, h); docs: (digest, h, text)."""
 
