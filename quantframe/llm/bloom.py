@@ -21,7 +21,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def places(h: np.ndarray, j: int, longs: int) -> tuple[np.ndarray, np.ndarray]:
-    x = mix(h + np.uint64(j + 1) * ODD)
+    x = mix(h + np.uint64((j + 1) * int(ODD) & 0xFFFFFFFFFFFFFFFF))
     return ((x >> np.uint64(6)) % np.uint64(longs)).astype(np.int64), x & np.uint64(63)
 
 

@@ -12,7 +12,7 @@ def _add(name: str, fn, sql: str | None = None) -> None:
         ORACLES[name] = sql
 
 
-from quantframe.llm import exact_dedup, mixing, near_dedup, packing, pii, quality_cascade, sharding, toxicity, warc  # noqa: E402
+from quantframe.llm import exact_dedup, mixing, near_dedup, packing, pii, quality_cascade, sharding, suffix_dedup, toxicity, warc  # noqa: E402
 
 _add("op1_sharding", sharding.query)
 _add("op9_exact_dedup", exact_dedup.query, exact_dedup.ORACLE)
@@ -23,3 +23,4 @@ _add("op3_warc", warc.query, warc.ORACLE)
 _add("op6_toxicity", toxicity.query)
 _add("op2_near_dedup", near_dedup.query)
 _add("op5_pii", pii.query)
+_add("op8_suffix_dedup", suffix_dedup.query)
