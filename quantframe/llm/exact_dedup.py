@@ -45,9 +45,9 @@ def winners(rows: DataFrame, salts: int) -> DataFrame:
     return merged.groupBy("digest", "content").agg(F.min("low").alias("keep"), F.sum("n").alias("size"))
 
 
-def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """docs with keep_id, group_size, kept and text_sha256; see the module for the method and the defined cases."""
-    carried = [c for c in docs.columns if c.lower() not in RESULTS]
+def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32, digest: Callable[[Column], Column] = sha256, carry: list[str] | None = None) -> DataFrame:
+    """docs (or the columns of ``carry``) with keep_id, group_size, kept and text_sha256; see the module for the method and the defined cases."""
+    carried = [c for c in (docs.columns if carry is None else carry) if c.lower() not in RESULTS]
     rows = docs.select(F.struct(*carried).alias("row"), F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("content")).withColumn("digest", digest(F.col("content")))
     best = winners(rows.select("digest", "content", "id"), salts)
     groups = materialise(best.groupBy("digest").agg(F.count(F.lit(1)).alias("contents"), F.min("keep").alias("keep"), F.sum("size").alias("size")), "exact-groups")
@@ -81,7 +81,7 @@ def drop_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return mark_duplicates(docs).select("doc_id", *RESULTS)
+    return mark_duplicates(docs, carry=["doc_id"])
 
 
 ORACLE = r"""

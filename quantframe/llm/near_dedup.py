@@ -238,7 +238,7 @@ def ordered(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, salts: int = 32) -> tuple[DataFrame, DataFrame]:
-    """(id, digest) -> two tables: digest, class_id, n for hot digests, and the same for all others."""
+    """Two tables, for hot digests and for all others: digest, low (its smallest id), class_id, leads (it holds the class's smallest id), n."""
     normal = F.lower(F.trim(F.regexp_replace(or_empty(F.col(text_col)), SPACE, " ")))
     texts = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(normal.cast("binary"))).alias("digest"), F.col(text_col).alias("text"))
     described = materialise(texts.mapInArrow(signed(bands, rows, size), T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])), "signatures")
@@ -248,29 +248,36 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = texts.select("digest", F.xxhash64("digest", "id").alias("h"), "text")
     labels = near_links(nodes.filter("bands IS NOT NULL"), own, size, threshold, small)
     placed = nodes.select("node", "digest", "low", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = placed.groupBy("component").agg(F.min("low").alias("class_id"))
-    table = materialise(placed.join(named, "component").select("digest", "class_id", "n"), "classes")
+    first = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "digest"))  # a text with an id before those without
+    named = placed.groupBy("component").agg(first.alias("first"))
+    table = materialise(placed.join(named, "component").select("digest", "low", F.col("first.low").alias("class_id"), (F.col("digest") == F.col("first.digest")).alias("leads"), "n"), "classes")
     most = described.count() / HOT
     return table.filter(F.col("n") > most), table.filter(F.col("n") <= most)
 
 
-def mark_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, **options) -> DataFrame:
-    """docs (or the columns of ``carry``) with class_id: the smallest id among its near duplicates."""
+def with_class(docs: DataFrame, id_col: str, text_col: str, carried: list[str], **options) -> DataFrame:
+    """row, id, low, class_id and leads of each document."""
     hot, cold = near_classes(docs, id_col, text_col, **options)
-    carried = [c for c in (docs.columns if carry is None else carry) if c.lower() != "class_id"]
     normal = F.lower(F.trim(F.regexp_replace(or_empty(F.col(text_col)), SPACE, " ")))
     rows = docs.select(F.struct(*carried).alias("row"), F.col(id_col).alias("id"), F.unhex(F.md5(normal.cast("binary"))).alias("digest"))
     # under HOT digests have over 1/HOT of the rows, so that table is small; the rest meet in a shuffle join
-    rows = rows.join(F.broadcast(hot.select("digest", F.col("class_id").alias("hot_id"), F.lit(True).alias("hot"))), "digest", "left")
+    found = F.struct("low", "class_id", "leads")
+    rows = rows.join(F.broadcast(hot.select("digest", found.alias("hot"))), "digest", "left")
     rows = rows.withColumn("at", F.when(F.col("hot").isNull(), F.concat(F.lit("d"), F.hex("digest"))).otherwise(F.concat(F.lit("h"), F.xxhash64("id").cast("string"))))
-    found = rows.join(cold.select(F.concat(F.lit("d"), F.hex("digest")).alias("at"), "class_id"), "at", "left")
-    return found.select("row.*", F.coalesce("hot_id", "class_id").alias("class_id"))
+    cold = cold.select(F.concat(F.lit("d"), F.hex("digest")).alias("at"), found.alias("cold"))
+    return rows.join(cold, "at", "left").withColumn("of", F.coalesce("hot", "cold")).select("row", "id", "of.low", "of.class_id", "of.leads")
+
+
+def mark_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, **options) -> DataFrame:
+    """docs (or the columns of ``carry``) with class_id: the smallest id among its near duplicates."""
+    carried = [c for c in (docs.columns if carry is None else carry) if c.lower() != "class_id"]
+    return with_class(docs, id_col, text_col, carried, **options).select("row.*", "class_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each class, that with the smallest id, with the columns of docs; docs without two rows of one id."""
-    whole = docs.select(F.struct(*docs.columns).alias("whole"), F.col(id_col).alias("id"), F.col(options.pop("text_col", "text")).alias("text"))
-    return mark_classes(whole, "id", "text", carry=["whole", "id"], **options).filter(F.col("id").eqNullSafe(F.col("class_id"))).select("whole.*")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each class, that with the smallest id, with the columns of docs. Rows that repeat both id and words all stay: drop exact duplicates first."""
+    found = with_class(docs, id_col, text_col, docs.columns, **options)
+    return found.filter(F.col("leads") & F.col("id").eqNullSafe(F.col("low"))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,12 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     return out.select("row.*", held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def keep_clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that aren't predicted to be toxic, with the columns of docs."""
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return score_documents(whole, model, "id", carry=["whole"]).filter("predicted = 0").select("whole.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score_documents(docs.select("doc_id", "text"), train(docs, labels), carry=["doc_id"])
