@@ -1,16 +1,50 @@
-"""Corpus pipeline over ``documents``; its stages follow as the text operators land."""
+"""Corpus pipeline: documents without toxic ones and copies, mixed to source targets and packed into training sequences.
+
+Each stage takes the documents that its predecessor kept and, but for the last, returns rows with the columns of
+``documents``; it is written as Parquet and read again as the next stage's input. SQL can't express the stages, so the
+tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: (name, function of (spark, docs, sf_dir)); each result is written as Parquet and read again as the next stage's docs.
-STAGES: list = []
+from quantframe.llm import common, exact_dedup, mixing, near_dedup, packing, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't call toxic."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.keep_clean(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each group of equal texts."""
+    return exact_dedup.drop_duplicates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each class of near duplicates."""
+    return near_dedup.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.repeat_copies(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document: its tokens' place in its document and in a sequence."""
+    return packing.pack_documents(docs)
+
+
+#: (name, function of (spark, docs, sf_dir))
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
