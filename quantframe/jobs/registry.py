@@ -19,4 +19,7 @@ def query(sql: str | None = None):
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return QUERIES["indicators_features"](spark, sf_dir)
+
+
+from quantframe.jobs import queries  # noqa: E402, F401  registers its functions

@@ -19,7 +19,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, day, open, high, low, close, volume: bars of each supplier's shipping days, with calendar gaps."""
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    order = F.struct("l_orderkey", "l_linenumber")
+    order = F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
     return (
         read(spark, sf_dir, "lineitem")
         .select(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("day"), price.alias("price"), order.alias("o"), "l_quantity")
