@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantframe.functions import indicators, options
+from quantframe.functions import indicators, options, smoothing
 from quantframe.functions.windows import ordered, returns
 from quantframe.jobs.registry import query
-from quantframe.operators import align, bars, clean, performance, regimes, risk, sentiment, validation
+from quantframe.operators import align, bars, clean, performance, regimes, risk, sentiment, signals, validation
 from quantframe.sources import tables
 
 
@@ -464,3 +464,67 @@ def sentiment_by_source(spark, sf_dir):
 @query(f"WITH {DAILY} SELECT symbol, strftime(day, {AT}) AS day, CASE WHEN volume <= 25 THEN 'extreme fear' WHEN volume <= 45 THEN 'fear' WHEN volume <= 55 THEN 'neutral' WHEN volume <= 75 THEN 'greed' ELSE 'extreme greed' END AS class FROM d")
 def sentiment_classes(spark, sf_dir):
     return shown(tables.daily(spark, sf_dir).select("symbol", "day", sentiment.fear_class(F.col("volume")).alias("class")))
+
+
+# --- recursive indicators, signals, costs, folds ---
+NUMBERED = f"k AS (SELECT symbol, day, close, row_number() OVER {W} AS n FROM d)"
+
+
+@query(f"WITH RECURSIVE {DAILY}, {NUMBERED}, e AS (SELECT symbol, n, day, close AS f, close AS s, 0.0::DOUBLE AS g FROM k WHERE n = 1 UNION ALL SELECT k.symbol, k.n, k.day, e.f + (k.close - e.f) * (2 / 13.0), e.s + (k.close - e.s) * (2 / 27.0), e.g + ((e.f + (k.close - e.f) * (2 / 13.0)) - (e.s + (k.close - e.s) * (2 / 27.0)) - e.g) * (2 / 10.0) FROM e JOIN k ON k.symbol = e.symbol AND k.n = e.n + 1) SELECT symbol, strftime(day, {AT}) AS day, round(f - s, 6) + 0.0 AS macd, round(g, 6) + 0.0 AS macd_signal, round(f - s - g, 6) + 0.0 AS macd_histogram FROM e")
+def indicators_macd(spark, sf_dir):
+    return shown(smoothing.macd(tables.daily(spark, sf_dir).select("symbol", "day", "close"), ["symbol"], ["day"]).drop("close"))
+
+
+@query(f"WITH RECURSIVE {DAILY}, {NUMBERED}, c AS (SELECT symbol, day, n, greatest(close - lag(close) OVER {W}, 0) AS u, greatest(lag(close) OVER {W} - close, 0) AS v FROM k), e AS (SELECT symbol, n, u, v FROM c WHERE n = 2 UNION ALL SELECT c.symbol, c.n, e.u + (c.u - e.u) / 14, e.v + (c.v - e.v) / 14 FROM e JOIN c ON c.symbol = e.symbol AND c.n = e.n + 1) SELECT c.symbol, strftime(c.day, {AT}) AS day, round(CASE WHEN c.n <= 14 THEN NULL WHEN e.v = 0 THEN 100 ELSE 100 - 100 / (1 + e.u / e.v) END, 6) + 0.0 AS rsi FROM c LEFT JOIN e ON c.symbol = e.symbol AND c.n = e.n")
+def indicators_wilder_rsi(spark, sf_dir):
+    return shown(smoothing.wilder_rsi(tables.daily(spark, sf_dir).select("symbol", "day", "close"), ["symbol"], ["day"]).drop("close"))
+
+
+@query(f"WITH {DAILY}, {RET}, v AS (SELECT symbol, day, ({dev('ret', 10)}) * sqrt(252) AS a, ({dev('ret', 20)}) * sqrt(252) AS b, ({dev('ret', 60)}) * sqrt(252) AS c FROM r), q AS (SELECT symbol, quantile_cont(b, 0.7) AS x, quantile_cont(b, 0.6) AS y FROM v GROUP BY symbol) SELECT symbol, strftime(day, {AT}) AS day, CASE WHEN b > x THEN -1 ELSE 0 END::INT AS condor, CASE WHEN b > y THEN -1 ELSE 0 END::INT AS strangle, CASE WHEN c - a > 0.05 THEN 1 ELSE 0 END::INT AS calendar FROM v JOIN q USING (symbol)")
+def signals_premium(spark, sf_dir):
+    return shown(signals.premium_signals(tables.daily(spark, sf_dir), ["symbol"], ["day"]).select("symbol", "day", "condor", "strangle", "calendar"))
+
+
+@query(f"WITH {DAILY}, f AS (SELECT symbol, day, close, last_value(CASE WHEN volume > 40 THEN 1 WHEN volume < 15 THEN 0 END IGNORE NULLS) OVER {W} AS h FROM d), h AS (SELECT symbol, day, close, coalesce(h, 0) AS held FROM f), o AS (SELECT *, CASE WHEN held = 1 AND coalesce(lag(held) OVER {W}, 0) = 0 THEN 1 ELSE 0 END AS o FROM h), t AS (SELECT *, sum(o) OVER {W} AS trade FROM o) SELECT symbol, trade::BIGINT AS trade, count(*) AS n, round(arg_max(close, day) / arg_min(close, day) - 1, 6) + 0.0 AS gain FROM t WHERE held = 1 GROUP BY symbol, trade")
+def backtest_entry_exit_trades(spark, sf_dir):
+    d = tables.daily(spark, sf_dir)
+    held = signals.position_state(d, ["symbol"], ["day"], F.col("volume") > 40, F.col("volume") < 15).filter("held = 1")
+    return shown(held.groupBy("symbol", "trade").agg(F.count(F.lit(1)).alias("n"), (F.max_by("close", "day") / F.min_by("close", "day") - 1).alias("gain")))
+
+
+@query(f"WITH {CHAIN}, x AS (SELECT *, CASE WHEN quantity % 2 = 0 THEN spot * 0.99 ELSE 0 END AS bid, spot * 1.01 AS ask, quantity * 10 AS volume FROM ch), y AS (SELECT *, CASE WHEN bid > 0 AND ask > 0 THEN ask - bid ELSE greatest(0.05, least(2, spot * 0.1 * greatest(0.5, 1 - ln(volume + 1) / 10))) END AS spread FROM x) SELECT contract, round(spread, 6) + 0.0 AS spread, round(spread / 2 * (1 + 0.5 * sqrt(quantity / volume)), 6) + 0.0 AS slippage, round(quantity * 0.65, 6) + 0.0 AS commission, round(greatest(0.01, spot + spread / 2 * (1 + 0.5 * sqrt(quantity / volume))), 6) + 0.0 AS fill FROM y")
+def options_execution_costs(spark, sf_dir):
+    c = tables.chain(spark, sf_dir)
+    q = c.select("contract", "quantity", F.col("spot").alias("mid"), F.when(F.col("quantity") % 2 == 0, F.col("spot") * 0.99).otherwise(0.0).alias("bid"), (F.col("spot") * 1.01).alias("ask"), (F.col("quantity") * 10).alias("volume"), F.lit(1).alias("side"))
+    return shown(options.execution_costs(q).select("contract", "spread", "slippage", "commission", "fill"))
+
+
+@query(f"WITH {CHAIN} SELECT contract, round(CASE WHEN abs(ln(spot / strike)) < 0.2 AND days > 60 THEN iv END, 3) + 0.0 AS implied FROM ch WHERE abs(ln(spot / strike)) < 0.2 AND days > 60")
+def options_implied_volatility(spark, sf_dir):
+    """The volatility that Newton steps find from the model's price is the one that made it (near the money, where vega tells)."""
+    near = greeks(spark, sf_dir).filter("abs(ln(spot / strike)) < 0.2 AND days > 60")
+    return shown(options.implied_volatility(near).select("contract", "implied"), 3)
+
+
+@query(f"WITH {DAILY}, c AS (SELECT symbol, count(*) AS n FROM d GROUP BY symbol), f AS (SELECT symbol, n, unnest(range(0, 5)) AS fold FROM c), g AS (SELECT *, fold * n // 5 AS a, (fold + 1) * n // 5 - 1 AS b FROM f) SELECT symbol, fold::INT AS fold, a AS test_low, b AS test_high, 0 AS before_low, a - 6 AS before_high, b + 11 AS after_low, n - 1 AS after_high FROM g")
+def validation_purged_folds(spark, sf_dir):
+    return validation.purged_folds(tables.daily(spark, sf_dir), ["symbol"], 5, 5, 10)
+
+
+@query(f"WITH {DAILY}, g AS (SELECT symbol, ((row_number() OVER {W} - 1) * 6 // count(*) OVER (PARTITION BY symbol))::INT AS grp FROM d), c AS (SELECT a.x AS p, b.x AS q, row_number() OVER (ORDER BY a.x, b.x) - 1 AS fold FROM range(6) a(x) JOIN range(6) b(x) ON a.x < b.x) SELECT symbol, fold::INT AS fold, count(*) FILTER (grp IN (p, q)) AS tested, count(*) FILTER (abs(grp - p) > 1 AND abs(grp - q) > 1) AS trained FROM g, c GROUP BY symbol, fold")
+def validation_combinatorial_folds(spark, sf_dir):
+    rows = validation.combinatorial_folds(tables.daily(spark, sf_dir), ["symbol"], ["day"], 6, 2, 1)
+    return rows.groupBy("symbol", "fold").agg(F.count(F.when(F.col("role") == "test", 1)).alias("tested"), F.count(F.when(F.col("role") == "train", 1)).alias("trained"))
+
+
+@query(f"WITH {DAILY} SELECT symbol, strftime(day, {AT}) AS day, round(close, 6) + 0.0 AS close FROM d WHERE isodow(day) = 1")
+def signals_weekly_rebalance(spark, sf_dir):
+    return shown(signals.rebalance_days(tables.daily(spark, sf_dir), ["symbol"], "day", "weekly").select("symbol", "day", "close"))
+
+
+@query("SELECT s_suppkey AS symbol, n_name AS nation, r_name AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE') AND s_acctbal >= 1000")
+def registry_by_region_and_liquidity(spark, sf_dir):
+    """Symbols of two regions with enough liquidity: the dimension tables have 25 and 5 rows."""
+    s, n, rg = (tables.read(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    joined = s.join(F.broadcast(n), s["s_nationkey"] == n["n_nationkey"]).join(F.broadcast(rg), n["n_regionkey"] == rg["r_regionkey"])
+    return joined.filter("r_name IN ('ASIA', 'EUROPE') AND s_acctbal >= 1000").select(F.col("s_suppkey").alias("symbol"), F.col("n_name").alias("nation"), F.col("r_name").alias("region"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantframe.functions.windows import ordered
@@ -70,6 +70,26 @@ def sharpe_grid(df: DataFrame, keys: list[str], by: list, price: str, windows: l
     long = held.withColumn("gains", F.array(*gains)).select(*keys, F.inline("gains")).filter("gain IS NOT NULL")
     table = long.groupBy(*keys, "window").agg(F.avg("gain").alias("m"), F.stddev_samp("gain").alias("s"))
     scored = table.select(*keys, "window", F.when(F.col("s") > 1e-12, F.col("m") / F.col("s") * math.sqrt(252)).alias("sharpe"))
-    from pyspark.sql import Window
-
     return scored.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last(F.round("sharpe", 9)), "window")))
+
+
+def purged_folds(df: DataFrame, keys: list[str], folds: int, purge: int, embargo: int) -> DataFrame:
+    """keys, fold, test_low, test_high, and the two stretches of training rows around them, less purge before and embargo after."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    spread = counts.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
+    low, high = F.floor(F.col("fold") * F.col("n") / folds), F.floor((F.col("fold") + 1) * F.col("n") / folds) - 1
+    return spread.select(*keys, "fold", low.alias("test_low"), high.alias("test_high"), F.lit(0).alias("before_low"), (low - 1 - purge).alias("before_high"), (high + 1 + embargo).alias("after_low"), (F.col("n") - 1).alias("after_high"))
+
+
+def combinatorial_folds(df: DataFrame, keys: list[str], by: list, groups: int, tested: int, embargo: int = 0) -> DataFrame:
+    """Rows with each combination of ``tested`` of the key's ``groups`` equal stretches as test, and as training those at least ``embargo`` groups away."""
+    from itertools import combinations
+
+    combos = [list(c) for c in combinations(range(groups), tested)]
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    grouped = df.withColumn("group", F.floor((F.row_number().over(ordered(keys, *by)) - 1) * groups / n).cast("int"))
+    picks = F.array(*[F.struct(F.lit(i).alias("fold"), F.array(*map(F.lit, c)).alias("test")) for i, c in enumerate(combos)])
+    spread = grouped.select("*", F.inline(picks))
+    inside = F.array_contains("test", F.col("group"))
+    near = F.exists("test", lambda t: F.abs(t - F.col("group")) <= embargo)
+    return spread.filter(inside | ~near).withColumn("role", F.when(inside, "test").otherwise("train")).drop("test", "group")

@@ -112,3 +112,31 @@ def test_rebalancing_and_sentiment(spark):
     assert [(r["strategy"], round(r["change"], 2)) for r in got] == [("a", 0.1)]
     r = frame(spark, [(15.0, 0.7), (35.0, 1.3), (25.0, 1.0)], "v double, p double").select(sentiment.market_sentiment(F.col("v"), F.col("p")).alias("s")).collect()
     assert [x["s"] for x in r] == [1, -1, 0]
+
+
+def test_implied_volatility_finds_the_model(spark):
+    df = frame(spark, [(100.0, 95.0, 0.5, v, k) for v in (0.1, 0.3, 0.9) for k in ("call", "put")], "spot double, strike double, years double, iv double, option_type string")
+    for r in options.implied_volatility(options.with_greeks(df)).collect():
+        assert r["implied"] == pytest.approx(r["iv"], abs=1e-4)
+
+
+def test_exponential_means_carry_over_batches(spark):
+    import pandas as pd
+
+    from quantframe.functions.smoothing import exponential
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    x = np.random.default_rng(1).normal(size=43)
+    df = frame(spark, [(k, i, float(v)) for k in (1, 2) for i, v in enumerate(x)], "k int, i int, x double")
+    got = [r["m"] for r in exponential(df, ["k"], ["i"], {"m": ("x", 0.2)}).filter("k = 2").orderBy("i").collect()]
+    assert got == pytest.approx(pd.Series(x).ewm(alpha=0.2, adjust=False).mean().tolist())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_monte_carlo_and_legs(spark):
+    from quantframe.operators import signals
+
+    r = signals.monte_carlo(spark, 0.0, 0.01, 2000, 20).first()
+    assert abs(r["mean"]) < 0.01 and 0.03 < r["sd"] < 0.06 and r["low"] < r["var"] < 0 < r["high"]
+    legs = options.strategy_legs(frame(spark, [(100.0,)], "spot double"), options.CONDOR_LEGS).collect()
+    assert [(x["option_type"], x["strike"], x["sign"]) for x in legs] == [("put", 90, 1), ("put", 95, -1), ("call", 105, -1), ("call", pytest.approx(110), 1)]
