@@ -148,3 +148,20 @@ def strategy_legs(df: DataFrame, legs: list[tuple[str, float, int]], spot: str =
     """One row per leg: option_type, strike, sign."""
     made = [F.struct(F.lit(t).alias("option_type"), (F.col(spot) * m).alias("strike"), F.lit(s).alias("sign")) for t, m, s in legs]
     return df.select("*", F.inline(F.array(*made)))
+
+
+def covered_calls(chain: DataFrame, keys: list[str], low: float = 1.02, high: float = 1.08) -> DataFrame:
+    """Per key and day the call with the lowest strike within low and high times the spot price."""
+    calls = chain.filter((F.col("option_type") == "call") & (F.col("strike") > low * F.col("spot")) & (F.col("strike") < high * F.col("spot")))
+    return calls.groupBy(*keys, "day").agg(F.min(F.struct("strike", "spot", "iv", "contract")).alias("first")).select(*keys, "day", "first.*")
+
+
+def pnl_attribution(df: DataFrame, keys: list[str], by: list) -> DataFrame:
+    """From row to row: delta, gamma, theta and vega parts of a position's change, and their sum."""
+    from quantframe.functions.windows import ordered
+
+    w = ordered(keys, *by)
+    ds, dv, dt = F.col("spot") - F.lag("spot").over(w), F.col("iv") - F.lag("iv").over(w), F.datediff("day", F.lag("day").over(w))
+    g = {n: F.lag(n).over(w) for n in ("delta", "gamma", "theta", "vega")}
+    out = df.withColumn("delta_pnl", g["delta"] * ds * MULTIPLIER).withColumn("gamma_pnl", g["gamma"] * ds * ds * (MULTIPLIER / 2)).withColumn("theta_pnl", g["theta"] * dt * MULTIPLIER).withColumn("vega_pnl", g["vega"] * dv * MULTIPLIER)
+    return out.withColumn("total_pnl", F.col("delta_pnl") + F.col("gamma_pnl") + F.col("theta_pnl") + F.col("vega_pnl"))

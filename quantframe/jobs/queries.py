@@ -528,3 +528,51 @@ def registry_by_region_and_liquidity(spark, sf_dir):
     s, n, rg = (tables.read(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     joined = s.join(F.broadcast(n), s["s_nationkey"] == n["n_nationkey"]).join(F.broadcast(rg), n["n_regionkey"] == rg["r_regionkey"])
     return joined.filter("r_name IN ('ASIA', 'EUROPE') AND s_acctbal >= 1000").select(F.col("s_suppkey").alias("symbol"), F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
+
+
+# --- matching, attribution, sweeps, grades ---
+@query(f"WITH {CHAIN}, m AS (SELECT portfolio, day, min(row(strike, spot, iv, contract)) AS f FROM ch WHERE option_type = 'call' AND strike > 0.8 * spot AND strike < 1.2 * spot GROUP BY ALL) SELECT portfolio, strftime(day, {AT}) AS day, round(f[1], 6) + 0.0 AS strike, round(f[2], 6) + 0.0 AS spot, round(f[3], 6) + 0.0 AS iv, f[4] AS contract FROM m")
+def options_covered_call_match(spark, sf_dir):
+    return shown(options.covered_calls(tables.chain(spark, sf_dir), ["portfolio"], 0.8, 1.2))
+
+
+@query(f"WITH {CHAIN}, {GREEKS}, o AS (SELECT symbol, day, min(row(contract, spot, iv, delta, gamma, theta, vega)) AS x FROM g GROUP BY ALL), p AS (SELECT symbol, day, x[2] AS spot, x[3] AS iv, x[4] AS delta, x[5] AS gamma, x[6] AS theta, x[7] AS vega FROM o), q AS (SELECT symbol, day, lag(delta) OVER {W} * (spot - lag(spot) OVER {W}) * 100 AS delta_pnl, lag(gamma) OVER {W} * (spot - lag(spot) OVER {W}) ** 2 * 50 AS gamma_pnl, lag(theta) OVER {W} * (day - lag(day) OVER {W}) * 100 AS theta_pnl, lag(vega) OVER {W} * (iv - lag(iv) OVER {W}) * 100 AS vega_pnl FROM p) SELECT symbol, strftime(day, {AT}) AS day, {r('delta_pnl', 'gamma_pnl', 'theta_pnl', 'vega_pnl', digits=3)}, round(delta_pnl + gamma_pnl + theta_pnl + vega_pnl, 3) + 0.0 AS total_pnl FROM q")
+def options_pnl_attribution(spark, sf_dir):
+    names = ["spot", "iv", "delta", "gamma", "theta", "vega"]
+    one = greeks(spark, sf_dir).groupBy("symbol", "day").agg(F.min(F.struct("contract", *names)).alias("x")).select("symbol", "day", *[f"x.{n}" for n in names])
+    return shown(options.pnl_attribution(one, ["symbol"], ["day"]).select("symbol", "day", "delta_pnl", "gamma_pnl", "theta_pnl", "vega_pnl", "total_pnl"), 3)
+
+
+SWEEP = [5, 10, 20]
+GAINS = " UNION ALL ".join(f"SELECT symbol, {n} AS win, ret * lag(h) OVER {W} AS gain FROM (SELECT symbol, day, ret, CASE WHEN close > ({mean('close', n)}) THEN 1.0 ELSE 0.0 END AS h FROM r)" for n in SWEEP)
+
+
+@query(f"WITH {DAILY}, {RET}, g AS ({GAINS}), s AS (SELECT symbol, win, CASE WHEN stddev_samp(gain) > 1e-12 THEN avg(gain) / stddev_samp(gain) * sqrt(252) END AS sharpe FROM g WHERE gain IS NOT NULL GROUP BY ALL) SELECT symbol, win::INT AS \"window\", round(sharpe, 6) + 0.0 AS sharpe, row_number() OVER (PARTITION BY symbol ORDER BY round(sharpe, 9) DESC NULLS LAST, win)::INT AS place FROM s")
+def sweep_moving_average(spark, sf_dir):
+    return shown(validation.sharpe_grid(tables.daily(spark, sf_dir), ["symbol"], ["day"], "close", SWEEP))
+
+
+@query(f"WITH {PANEL}, x AS (SELECT strategy, ret, -sign(avg(ret) OVER (PARTITION BY strategy ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) * ret AS a, sign(avg(ret) OVER (PARTITION BY strategy ORDER BY day ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) * ret AS b FROM s) SELECT strategy, round(avg(ret), 8) + 0.0 AS hold, round(avg(a), 8) + 0.0 AS reversion, round(avg(b), 8) + 0.0 AS momentum FROM x GROUP BY strategy")
+def validation_naive_rules(spark, sf_dir):
+    rules = validation.naive_rules(tables.panel(spark, sf_dir), ["strategy"], ["day"])
+    return shown(rules.groupBy("strategy").agg(*[F.avg(c).alias(c) for c in ("hold", "reversion", "momentum")]), 8)
+
+
+@query(f"WITH {PANEL}, a AS (SELECT strategy, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS h, sum(ret) FILTER (ret > 0) / sum(-ret) FILTER (ret < 0) AS pf, avg(ret) FILTER (ret > 0) / avg(-ret) FILTER (ret < 0) AS o, quantile_cont(ret, 0.05) AS v FROM s GROUP BY strategy) SELECT strategy, round(h, 6) + 0.0 AS hit_ratio, round(pf, 6) + 0.0 AS profit_factor, round(greatest(0, least(1, h - (1 - h) / o)), 6) + 0.0 AS kelly, round(v, 6) + 0.0 AS var_95, CASE WHEN h >= 0.9 THEN 'A' WHEN h >= 0.8 THEN 'B' WHEN h >= 0.7 THEN 'C' WHEN h >= 0.6 THEN 'D' ELSE 'F' END AS grade FROM a")
+def validation_strategy_grades(spark, sf_dir):
+    table = risk.validator_metrics(tables.panel(spark, sf_dir), ["strategy"])
+    return shown(table.withColumn("grade", validation.grade(F.col("hit_ratio"))))
+
+
+@query(f"WITH {DAILY}, {RET}, v AS (SELECT symbol, stddev_samp(ret) * sqrt(252) AS volatility FROM r GROUP BY symbol) SELECT symbol, round(volatility, 6) + 0.0 AS volatility, round(coalesce(greatest(0.5, least(2, 8 / nullif(volatility, 0))), 1) * 2000, 4) + 0.0 AS position FROM v")
+def sizing_fixed_fraction(spark, sf_dir):
+    d = tables.daily(spark, sf_dir).withColumn("ret", returns("close", ordered(["symbol"], "day")))
+    vol = d.groupBy("symbol").agg((F.stddev_samp("ret") * 252**0.5).alias("volatility"))
+    sized = risk.fixed_fraction(vol, 100_000.0, 0.02, 8.0)
+    return shown(sized.withColumn("position", F.round("position", 4)))
+
+
+@query(f"WITH {CHAIN} SELECT contract, round(spot / strike, 6) + 0.0 AS moneyness, greatest(0, (day + days::INT) - DATE '1998-01-01')::BIGINT AS left_days FROM ch WHERE option_type = 'put' AND day + days::INT > DATE '1998-01-01'")
+def options_moneyness_and_expiry(spark, sf_dir):
+    c = tables.chain(spark, sf_dir).withColumn("left_days", F.datediff(F.date_add("day", F.col("days").cast("int")), F.lit("1998-01-01").cast("date")).cast("long"))
+    return shown(c.filter("option_type = 'put' AND left_days > 0").select("contract", (F.col("spot") / F.col("strike")).alias("moneyness"), "left_days"))

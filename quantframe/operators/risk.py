@@ -80,3 +80,17 @@ def average_cost(trades: DataFrame, keys: list[str], by: list, quantity: str = "
     booked = booked.withColumn("book", flat)
     amount = F.sum(F.col(quantity) * F.col(price)).over(since)
     return booked.withColumn("mean_price", F.when(F.col("net") != 0, amount / F.col("net")))
+
+
+def fixed_fraction(df: DataFrame, capital: float, fraction: float, target_volatility: float, volatility: str = "volatility") -> DataFrame:
+    """A fixed share of capital, scaled by target over own volatility within a half and two."""
+    factor = F.greatest(F.lit(0.5), F.least(F.lit(2.0), safe(F.lit(target_volatility), F.col(volatility))))
+    return df.withColumn("position", F.coalesce(factor, F.lit(1.0)) * (capital * fraction))
+
+
+def validator_metrics(df: DataFrame, keys: list[str], ret: str = "ret") -> DataFrame:
+    """Hit ratio, profit factor, Kelly share within 0 and 1, and value at risk at 95 %."""
+    r = F.col(ret)
+    table = df.groupBy(*keys).agg(F.avg((r > 0).cast("double")).alias("hit_ratio"), F.sum(F.when(r > 0, r)).alias("won"), F.sum(F.when(r < 0, -r)).alias("lost"), F.avg(F.when(r > 0, r)).alias("win"), F.avg(F.when(r < 0, -r)).alias("loss"), F.percentile(ret, F.lit(0.05)).alias("var_95"))
+    kelly = F.col("hit_ratio") - safe(1 - F.col("hit_ratio"), safe(F.col("win"), F.col("loss")))
+    return table.select(*keys, "hit_ratio", safe(F.col("won"), F.col("lost")).alias("profit_factor"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), kelly)).alias("kelly"), "var_95")

@@ -93,3 +93,15 @@ def combinatorial_folds(df: DataFrame, keys: list[str], by: list, groups: int, t
     inside = F.array_contains("test", F.col("group"))
     near = F.exists("test", lambda t: F.abs(t - F.col("group")) <= embargo)
     return spread.filter(inside | ~near).withColumn("role", F.when(inside, "test").otherwise("train")).drop("test", "group")
+
+
+def naive_rules(df: DataFrame, keys: list[str], by: list, ret: str = "ret") -> DataFrame:
+    """Returns of three plain rules: hold; against the mean of the last five returns; with that of the last ten."""
+    w = ordered(keys, *by)
+    mean = lambda n: F.avg(ret).over(w.rowsBetween(-n, -1))
+    return df.withColumn("hold", F.col(ret)).withColumn("reversion", -F.signum(mean(5)) * F.col(ret)).withColumn("momentum", F.signum(mean(10)) * F.col(ret))
+
+
+def grade(score):
+    """A to F by score."""
+    return F.when(score >= 0.9, "A").when(score >= 0.8, "B").when(score >= 0.7, "C").when(score >= 0.6, "D").otherwise("F")
