@@ -2,14 +2,15 @@
 
 A byte goes if it is covered by a string of ``depth`` bytes that starts at two places or more, in any documents.
 
-1. Every string of ``depth`` bytes (a window) has an anchor: the least hash among its GRAM-byte strings. Equal windows have
-   equal anchors, so consecutive windows with one anchor form a segment, and all places of a window meet under it.
-2. Anchors are counted over all documents. A window whose anchor stands at one place is unique; the other segments are
-   kept (a Bloom filter of at most 8 MB holds their anchors; what it lets through by chance changes no result).
+1. Every string of ``depth`` bytes (a window) has two anchors: the least and the greatest hash among its GRAM-byte strings.
+   Equal windows have equal anchors.
+2. Anchors are counted over all documents. A window with an anchor that stands at one place is unique. The others are
+   kept (a Bloom filter of at most 8 MB holds their anchors; what it lets through by chance changes no result), and
+   consecutive ones with one least anchor form a segment: all places of a window meet under it.
 3. Equal segments are merged with their count before the exchange. Windows of a merged segment are repeated.
 4. The different segments of an anchor go to one shard, which is sorted by ``suffix_sort``, with its queues on disk beyond
-   their share of memory. An anchor with over ``crowded`` different segments (a passage in very many contexts) is split
-   further: its windows are dealt by the hash of their whole content, so that no shard grows with a hot passage.
+   their share of memory. An anchor with over 1 / ``crowded`` of all different segments (a passage in very many contexts) is
+   split further: its windows are dealt by the hash of their whole content, so that no shard grows with a hot passage.
 5. The windows' bytes are merged per text and cut out of each document.
 
 What goes from a text hangs on its content alone, so rows with equal texts share one result.
@@ -36,18 +37,18 @@ from quantframe.llm.common import materialise, utf8
 from quantframe.llm.suffix_sort import BREAK, END, FIRST, repeated
 
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
-DEPTH, GRAM, CROWDED = 200, 32, 256
+DEPTH, GRAM, CROWDED = 200, 32, 50
 CHUNK_BYTES, SHARD_BYTES = 2 << 20, 4 << 20
 HOT = 1000
 
 
 def grams(data: np.ndarray) -> np.ndarray:
-    """64-bit hash of the GRAM bytes from each place, by doubling."""
+    """64-bit hash of the GRAM bytes from each place, by doubling. Chance collisions only add candidates."""
     h, span = data.astype(np.uint64) + np.uint64(1), 1
     while span < GRAM:
-        h = mix(h[:-span] * ODD + h[span:])
+        h = h[:-span] * np.uint64(0x9E3779B97F4A7C15 + 2 * span) + h[span:]
         span *= 2
-    return h
+    return mix(h)
 
 
 def anchors(h: np.ndarray, depth: int) -> np.ndarray:
@@ -59,14 +60,8 @@ def anchors(h: np.ndarray, depth: int) -> np.ndarray:
     return np.minimum(after[: n - w + 1], before[w - 1 : n])
 
 
-NO_RUNS = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-
-
-def runs(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, number of windows, whether the anchor stands at two places) of each segment of one text."""
-    if len(data) < depth:
-        return NO_RUNS
-    h = grams(data)
+def runs(h: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, number of windows, whether the anchor stands at two places) of each run of one anchor."""
     a, w = anchors(h, depth), depth - GRAM + 1
     first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
     n, anchor = np.diff(np.append(first, len(a))), a[first]
@@ -79,6 +74,13 @@ def runs(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return anchor, first, n, twice
 
 
+def both_runs(data: np.ndarray, depth: int):
+    """The runs of the least gram hash, and those of the greatest (told apart by another mix)."""
+    h = grams(data)
+    greatest = runs(~h, depth)
+    return runs(h, depth), (mix(greatest[0] + ODD), *greatest[1:])
+
+
 def anchored(depth: int):
     """The function for mapInArrow: bytes -> anchor, places (2 stands for more than one), for each batch."""
 
@@ -87,9 +89,9 @@ def anchored(depth: int):
             found, many = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for value in batch.column(0):
                 data = np.frombuffer(value.as_buffer(), np.uint8)
-                a, _, _, twice = runs(data, depth)
-                found.append(a)
-                many.append(np.where(twice, 2, 1))
+                for a, _, _, twice in both_runs(data, depth) if len(data) >= depth else ():
+                    found.append(a)
+                    many.append(np.where(twice, 2, 1))
             a, at = np.unique(np.concatenate(found), return_inverse=True)
             places = np.minimum(2, np.bincount(at, np.concatenate(many), len(a))).astype(np.int64)
             yield pa.RecordBatch.from_pydict({"anchor": a.view(np.int64), "places": places})
@@ -98,25 +100,37 @@ def anchored(depth: int):
 
 
 def segmented(bits: np.ndarray, depth: int):
-    """The function for mapInArrow: (digest, bytes) -> anchor, digest, start, own (the anchor stands there twice), segment, for anchors that the filter may hold."""
+    """The function for mapInArrow: (digest, bytes) -> anchor, digest, start, own (the anchor stands there twice), segment.
+
+    A segment is a stretch of windows with one least anchor, whose least and greatest anchors the filter may hold.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"anchor": [], "digest": [], "start": [], "own": [], "segment": []}
             size = 0
             for digest, value in zip(batch.column(0), batch.column(1)):
-                data = value.as_buffer()
-                a, first, n, twice = runs(np.frombuffer(data, np.uint8), depth)
-                hit = np.flatnonzero(in_filter(bits, a))
-                for k in hit.tolist():
-                    s = int(first[k])
-                    segment = data[s : s + int(n[k]) + depth - 1].to_pybytes()
-                    out["segment"].append(segment)
-                    size += len(segment)
-                out["anchor"] += a[hit].view(np.int64).tolist()
-                out["digest"] += [digest.as_py()] * len(hit)
-                out["start"] += first[hit].tolist()
-                out["own"] += twice[hit].tolist()
+                data = value.as_py()
+                if len(data) < depth:
+                    continue
+                (a, _, n, twice), (b, _, m, _) = both_runs(np.frombuffer(data, np.uint8), depth)
+                low, high = in_filter(bits, a), in_filter(bits, b)
+                if not low.any() or not high.any():
+                    continue
+                window = np.flatnonzero(np.repeat(low, n) & np.repeat(high, m))
+                if not len(window):
+                    continue
+                run = np.repeat(np.arange(len(a)), n)[window]
+                cuts = np.flatnonzero((np.diff(window) > 1) | (np.diff(run) > 0)) + 1
+                first, last = window[np.append(0, cuts)], window[np.append(cuts, len(window)) - 1]
+                run = run[np.append(0, cuts)]
+                segments = [data[s:e] for s, e in zip(first.tolist(), (last + depth).tolist())]
+                out["segment"] += segments
+                size += sum(map(len, segments))
+                out["anchor"] += a[run].view(np.int64).tolist()
+                out["digest"] += [digest.as_py()] * len(run)
+                out["start"] += first.tolist()
+                out["own"] += twice[run].tolist()
                 if size > CHUNK_BYTES:
                     yield pa.RecordBatch.from_pydict(out, SEGMENT_TYPE)
                     out, size = {k: [] for k in out}, 0
@@ -203,11 +217,12 @@ def repeated_spans(texts: DataFrame, depth: int = DEPTH, crowded: int = CROWDED,
     per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.length("segment").cast("long")).alias("bytes"), F.max("own").alias("own"))
     per_anchor = materialise(per_anchor.filter("kinds > 1 OR own"), "anchors-kinds")
     todo = distinct.join(per_anchor.select("anchor", "kinds"), "anchor")
-    total = per_anchor.filter(F.col("kinds") <= crowded).agg(F.sum("bytes")).first()[0] or 0
+    most = (per_anchor.agg(F.sum("kinds")).first()[0] or 0) / crowded
+    total = per_anchor.filter(F.col("kinds") <= most).agg(F.sum("bytes")).first()[0] or 0
     copies = distinct.filter("n > 1").select("segment_id", F.array(F.struct(F.lit(0).cast("long").alias("low"), F.length("segment").cast("long").alias("high"))).alias("spans"))
-    dealt = todo.filter(F.col("kinds") <= crowded).select("segment_id", "segment", "anchor").repartition(max(1, int(total // shard_bytes) + 1), "anchor").drop("anchor")
+    dealt = todo.filter(F.col("kinds") <= most).select("segment_id", "segment", "anchor").repartition(max(1, int(total // shard_bytes) + 1), "anchor").drop("anchor")
     found = copies.unionByName(dealt.mapInArrow(shard_sorted(depth, memory), f"segment_id binary, spans {SPANS}"))
-    hot = todo.filter(F.col("kinds") > crowded).select("segment_id", "segment")
+    hot = todo.filter(F.col("kinds") > most).select("segment_id", "segment")
     if hot.limit(1).count():
         single = materialise(hot.mapInArrow(windows_of(depth), "segment_id binary, at long, window binary"), "windows")
         twice = single.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")

@@ -50,7 +50,7 @@ def rows_of(df):
     return {r["k"]: tuple(r[c] for c in suffix_dedup.RESULTS) for r in df.collect()}
 
 
-@pytest.mark.parametrize("options", [{}, {"crowded": 3}, {"shard_bytes": 5000, "memory": 2000}])
+@pytest.mark.parametrize("options", [{}, {"crowded": 1}, {"crowded": 500}, {"shard_bytes": 5000, "memory": 2000}])
 def test_matches_brute_force(spark, options):
     texts = planted()
     df = spark.createDataFrame([(k, t, 1, 2) for k, t in enumerate(texts)], "k long, text string, n_bytes int, digest int")
