@@ -12,10 +12,10 @@ similarity.
 
 Joining: texts with the same words become one node first. Nodes that agree in a whole band share a bucket. In buckets of
 up to SMALL nodes all pairs are tested; in larger ones the node that shares most buckets is tested against the others.
-Tests compute the exact similarity from the two shingle multisets; linked nodes form classes. Then, while a larger bucket
-still spans several classes, nodes outside its main class are tested against all of its nodes of other classes, 1, 2,
-4... at a time, until none is left. So each link whose two texts share a bucket is found or joins two nodes of one class,
-and no bucket is capped. With 32 bands of 5, texts at 0.8 share no bucket with a probability of 3 in a million.
+Tests compute the exact similarity from the two shingle multisets; linked nodes form classes. Then the nodes
+of a larger bucket that still spans several classes are cut into blocks, and a task compares each pair of blocks in memory, so
+no pairs are written out but the links that join classes. So each link whose two texts share a bucket is found or joins
+two nodes of one class, and no bucket is capped. With 32 bands of 5, texts at 0.8 share no bucket with a probability of 3 in a million.
 
 Defined cases: null text counts as empty; all texts without words are one class; rows that repeat are one class; a null
 doc_id is in its text's class and is its id only if the class has no other; an empty table gives an empty result; other
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,10 +41,10 @@ from quantframe.llm.graph import components
 
 WORD = re.compile(r"[^ \t\n\v\f\r]+")
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 32, 5, 0.8
-SMALL = 16
+SMALL, BLOCK = 16, 1024
 FIRST_RANK = 0.25
-CHUNK_WORDS = 200_000
-CACHED_WORDS = 500_000
+CHUNK_WORDS = 60_000
+CACHED_WORDS = 200_000
 HOT = 1000
 
 _hashes: dict[str, int] = {}
@@ -104,8 +104,11 @@ def throw(key: np.ndarray, level: int, step: int, table: np.ndarray) -> tuple[np
 
 def signatures(texts: list[str | None], k: int, size: int = SHINGLE) -> np.ndarray:
     """A row of k dart hashes per document; all zero for a text without words."""
-    doc, key, count = shingles(texts, size)
-    out, best = np.zeros((len(texts), k), np.uint64), np.full(len(texts) * k, np.inf)
+    return signatures_of(*shingles(texts, size), len(texts), k)
+
+
+def signatures_of(doc: np.ndarray, key: np.ndarray, count: np.ndarray, docs: int, k: int) -> np.ndarray:
+    out, best = np.zeros((docs, k), np.uint64), np.full(docs * k, np.inf)
     low, high, step = 0.0, FIRST_RANK, 0
     while len(doc):
         level = 0
@@ -145,19 +148,22 @@ def chunks(texts: list[str | None]) -> Iterator[slice]:
 
 
 def signed(bands: int, rows: int, size: int):
-    """The function for mapInArrow that replaces the last column, a text, by the hashes of its bands."""
+    """The function for mapInArrow that replaces the last column, a text, by its number of shingles and the hashes of its bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, out = batch.column(batch.num_columns - 1).to_pylist(), []
+            texts, out, sizes = batch.column(batch.num_columns - 1).to_pylist(), [], []
             for part in chunks(texts):
-                sig = signatures(texts[part], bands * rows, size).reshape(-1, bands, rows)
+                doc, key, count = shingles(texts[part], size)
+                n = len(texts[part])
+                sizes += np.bincount(doc, count, n).astype(np.int64).tolist()
+                sig = signatures_of(doc, key, count, n, bands * rows).reshape(-1, bands, rows)
                 h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), sig.shape[:2]).copy()
                 for r in range(rows):
                     h = mix(h * ODD + sig[:, :, r])
                 wordless = ~sig.any((1, 2))
                 out += [None if wordless[i] else x for i, x in enumerate(h.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "shingles", "bands"])
 
     return sign
 
@@ -183,54 +189,103 @@ def multisets(bits: np.ndarray, size: int):
     return expand
 
 
-class Join:
-    """Tests pairs of nodes, and keeps the links found. nodes: (node, digest, h); docs: (digest, h, text)."""
+def multisets_of(wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """wanted: (node, digest, h); docs: (digest, h, text). Gives (node, elements), a table, in one pass over the documents."""
+    found = docs.mapInArrow(multisets(build_filter(wanted.select("h")), size), "digest binary, elements array<long>")
+    # the filter lets a few others pass: the join has the last word; a node's rows that repeat are dropped
+    return materialise(wanted.join(found, "digest").dropDuplicates(["node"]).select("node", "elements"), "multisets")
 
-    def __init__(self, nodes: DataFrame, docs: DataFrame, size: int, threshold: float):
-        self.nodes, self.docs, self.size, self.threshold, self.links = nodes, docs, size, threshold, None
 
-    def test(self, pairs: DataFrame) -> None:
-        """pairs (a, b) with a < b, once each."""
-        pairs = materialise(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct().join(self.nodes, "node")
-        wanted = materialise(wanted, "wanted")
-        bits = build_filter(wanted.select("h"))
-        found = self.docs.mapInArrow(multisets(bits, self.size), "digest binary, elements array<long>")
-        # a filter lets a few others pass: the join has the last word; a node's rows that repeat are dropped
-        sets = materialise(wanted.join(found, "digest").dropDuplicates(["node"]).select("node", "elements"), "multisets")
-        near = pairs.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b").join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a")
-        shared = F.size(F.array_intersect("ea", "eb"))
-        new = near.filter(shared >= F.lit(self.threshold) * (F.size("ea") + F.size("eb") - shared)).select("a", "b")
-        self.links = materialise(new if self.links is None else self.links.unionByName(new), "near-links")
+def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose multisets are similar, a table."""
+    pairs = materialise(pairs, "pairs")
+    near = pairs.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b").join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a")
+    shared = F.size(F.array_intersect("ea", "eb"))
+    return materialise(near.filter(shared >= F.lit(threshold) * (F.size("ea") + F.size("eb") - shared)).select("a", "b"), "near-links")
 
 
 def near_links(nodes: DataFrame, docs: DataFrame, size: int, threshold: float, small: int) -> DataFrame:
-    """nodes: (node, digest, h, bands). Gives (node, component) of linked nodes."""
-    spread = nodes.select(F.explode("bands").alias("key"), "node")
+    """nodes: (node, digest, h, shingles, bands). Gives (node, component) of linked nodes."""
+    spread = nodes.select(F.explode("bands").alias("key"), "node", "shingles")
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialise(spread.join(shared, "key"), "buckets")
     rank = members.groupBy("node").agg(F.sum("n").alias("degree"))
     members = materialise(members.join(rank, "node"), "buckets-ranked")
+    sets = multisets_of(materialise(nodes.select("node", "digest", "h").join(members.select("node").distinct(), "node"), "wanted"), docs, size)
     few, many = members.filter(F.col("n") <= small), members.filter(F.col("n") > small)
-    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    centre = many.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("centre"))
-    pairs = pairs.unionByName(ordered(many.join(centre, "key").filter("node <> centre"), "centre", "node"))
-    join = Join(nodes.select("node", "digest", "h"), docs, size, threshold)
-    join.test(pairs.distinct())
-    tested, at_once = centre.select("key", F.col("centre").alias("node")), 1
-    while True:
-        labels = components(join.links)
-        if many.limit(1).count() == 0:
-            return labels
-        now = materialise(many.join(labels, "node", "left").select("key", "node", "degree", F.coalesce("component", "node").alias("component")), "buckets-now")
-        main = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-        outside = now.join(main, "key").filter("component <> main").join(tested, ["key", "node"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "node"))
-        chosen = materialise(outside.withColumn("turn", turn).filter(F.col("turn") <= at_once).select("key", F.col("node").alias("c"), F.col("component").alias("of")), "chosen")
-        if chosen.limit(1).count() == 0:
-            return labels
-        join.test(ordered(chosen.join(now, "key").filter("component <> of"), "c", "node").distinct())
-        tested, at_once = tested.unionByName(chosen.select("key", F.col("c").alias("node"))), 2 * at_once
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & comparable(F.col("x.shingles"), F.col("y.shingles"), threshold)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    centre = many.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), "shingles")).alias("top"))
+    centre = materialise(centre.select("key", (-F.col("top.minus")).alias("centre"), F.col("top.shingles").alias("size")), "centres")
+    star = many.join(centre, "key").filter((F.col("node") != F.col("centre")) & comparable(F.col("size"), F.col("shingles"), threshold))
+    links = linked(pairs.unionByName(ordered(star, "centre", "node")).distinct(), sets, threshold)
+    labels = components(links)
+    if many.limit(1).count() == 0:
+        return labels
+    return components(links.unionByName(block_links(many, labels, sets, threshold)))
+
+
+def block_links(many: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between classes inside the large buckets (key, node) that span several.
+
+    A bucket's nodes are numbered by class and cut into blocks; each pair of blocks, unless both are of one class, is a
+    group of at most 2 * BLOCK nodes with their multisets, and a task compares one side with the other.
+    """
+    now = materialise(many.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "buckets-now")
+    spans = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    number = F.row_number().over(Window.partitionBy("key").orderBy("component", "node")) - 1
+    dealt = materialise(now.join(spans, "key").withColumn("block", F.floor(number / F.lit(BLOCK)).cast("int")), "blocks")
+    blocks = dealt.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    x, y = (blocks.select("key", F.col("block").alias(n), F.col("low").alias(f"low_{n}"), F.col("high").alias(f"high_{n}")) for n in "ij")
+    pairs = x.join(y, "key").filter("i <= j AND NOT (low_i = high_i AND low_j = high_j AND low_i = low_j)").select("key", "i", "j")
+    pairs = materialise(pairs, "block-pairs")
+    ends = pairs.select("key", "i", "j", F.col("i").alias("block")).unionByName(pairs.filter("i < j").select("key", "i", "j", F.col("j").alias("block")))
+    held = dealt.join(ends, ["key", "block"]).join(sets, "node").select("key", "i", "j", "block", "node", "component", "elements")
+    return materialise(held.groupBy("key", "i", "j").applyInArrow(compared(threshold), "a long, b long"), "block-links")
+
+
+def compared(threshold: float):
+    """The function for applyInArrow over the nodes of two blocks: links that join two classes of them, as few as do."""
+
+    def compare(group: pa.Table) -> pa.Table:
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        block, node, of = (group[c].to_numpy() for c in ("block", "node", "component"))
+        lists = group["elements"].combine_chunks()
+        ends = np.asarray(lists.offsets)
+        flat, size = lists.values.to_numpy(), np.diff(ends)
+        right = np.flatnonzero(block == j)
+        value = np.concatenate([flat[ends[k] : ends[k + 1]] for k in right] or [flat[:0]])
+        owner = np.repeat(np.arange(len(right)), size[right])
+        order = np.argsort(value, kind="stable")
+        value, owner = value[order], owner[order]
+        up: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while up.get(c, c) != c:
+                up[c] = c = up.get(up[c], up[c])
+            return c
+
+        a, b = [], []
+        for k in np.flatnonzero(block == i):
+            mine = flat[ends[k] : ends[k + 1]]
+            low = np.searchsorted(value, mine, "left")
+            n = np.searchsorted(value, mine, "right") - low
+            hits = owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            shared = np.bincount(hits, minlength=len(right))
+            near = right[(shared >= threshold * (size[k] + size[right] - shared)) & (of[right] != of[k])]
+            for m in near.tolist():
+                p, q = top(int(of[k])), top(int(of[m]))
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+                    a.append(min(node[k], node[m]))
+                    b.append(max(node[k], node[m]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return compare
+
+
+def comparable(x: Column, y: Column, threshold: float) -> Column:
+    """Whether multisets of these sizes can be similar at all."""
+    return F.least(x, y) >= F.lit(threshold) * F.greatest(x, y)
 
 
 def ordered(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -241,10 +296,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Two tables, for hot digests and for all others: digest, low (its smallest id), class_id, leads (it holds the class's smallest id), n."""
     normal = F.lower(F.trim(F.regexp_replace(or_empty(F.col(text_col)), SPACE, " ")))
     texts = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(normal.cast("binary"))).alias("digest"), F.col(text_col).alias("text"))
-    described = materialise(texts.mapInArrow(signed(bands, rows, size), T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])), "signatures")
-    salted = described.groupBy("digest", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
-    grouped = salted.groupBy("digest").agg(F.min("low").alias("low"), F.sum("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = materialise(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", F.xxhash64("digest", "low").alias("h"), "low", "n", "bands"), "nodes")
+    described = materialise(texts.mapInArrow(signed(bands, rows, size), T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("digest", T.BinaryType()), T.StructField("shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])), "signatures")
+    salted = described.groupBy("digest", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"))
+    grouped = salted.groupBy("digest").agg(F.min("low").alias("low"), F.sum("n").alias("n"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"))
+    nodes = materialise(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", F.xxhash64("digest", "low").alias("h"), "low", "n", "shingles", "bands"), "nodes")
     own = texts.select("digest", F.xxhash64("digest", "id").alias("h"), "text")
     labels = near_links(nodes.filter("bands IS NOT NULL"), own, size, threshold, small)
     placed = nodes.select("node", "digest", "low", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -179,6 +179,16 @@ def shard_sorted(depth: int, memory: int):
     return sort
 
 
+def wanted_anchors(bits: np.ndarray):
+    """The function for mapInArrow that keeps the rows whose anchor, the third column, the filter may hold."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(bits, batch.column(2).to_numpy().view(np.uint64))))
+
+    return keep
+
+
 def windows_of(depth: int):
     """The function for mapInArrow over (segment_id, segment): segment_id, at, window (a 128-bit hash of its bytes)."""
 
@@ -216,20 +226,23 @@ def repeated_spans(texts: DataFrame, depth: int = DEPTH, crowded: int = CROWDED,
     distinct = materialise(distinct, "segments-distinct")
     per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.length("segment").cast("long")).alias("bytes"), F.max("own").alias("own"))
     per_anchor = materialise(per_anchor.filter("kinds > 1 OR own"), "anchors-kinds")
-    todo = distinct.join(per_anchor.select("anchor", "kinds"), "anchor")
     most = (per_anchor.agg(F.sum("kinds")).first()[0] or 0) / crowded
     total = per_anchor.filter(F.col("kinds") <= most).agg(F.sum("bytes")).first()[0] or 0
     copies = distinct.filter("n > 1").select("segment_id", F.array(F.struct(F.lit(0).cast("long").alias("low"), F.length("segment").cast("long").alias("high"))).alias("spans"))
-    dealt = todo.filter(F.col("kinds") <= most).select("segment_id", "segment", "anchor").repartition(max(1, int(total // shard_bytes) + 1), "anchor").drop("anchor")
+    # at most ``crowded`` anchors have so many segments; the filter lets a few lone segments through, which changes no result
+    hot = [r["anchor"] for r in per_anchor.filter(F.col("kinds") > most).select("anchor").collect()]
+    wanted = build_filter(per_anchor.select("anchor"))
+    todo = distinct.select("segment_id", "segment", "anchor").mapInArrow(wanted_anchors(wanted), "segment_id binary, segment binary, anchor long")
+    dealt = todo.filter(~F.col("anchor").isin(hot)).repartition(max(1, int(total // shard_bytes) + 1), "anchor").drop("anchor")
     found = copies.unionByName(dealt.mapInArrow(shard_sorted(depth, memory), f"segment_id binary, spans {SPANS}"))
-    hot = todo.filter(F.col("kinds") > most).select("segment_id", "segment")
-    if hot.limit(1).count():
-        single = materialise(hot.mapInArrow(windows_of(depth), "segment_id binary, at long, window binary"), "windows")
+    if hot:
+        crowd = todo.filter(F.col("anchor").isin(hot)).drop("anchor")
+        single = materialise(crowd.mapInArrow(windows_of(depth), "segment_id binary, at long, window binary"), "windows")
         twice = single.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
         hits = single.join(twice, "window", "left_semi").select("segment_id", F.array(F.struct(F.col("at").alias("low"), (F.col("at") + depth).alias("high"))).alias("spans"))
         found = found.unionByName(hits)
     found = materialise(found.filter(F.size("spans") > 0), "segment-spans")
-    placed = segments.select("digest", "start", "segment_id").distinct().join(found, "segment_id")
+    placed = segments.select("digest", "start", "segment_id").distinct().join(found.hint("merge"), "segment_id")
     moved = F.transform("spans", lambda s: F.struct((s["low"] + F.col("start")).alias("low"), (s["high"] + F.col("start")).alias("high")))
     gathered = placed.select("digest", moved.alias("spans")).groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # of one text
     return materialise(gathered.mapInArrow(merged, f"digest binary, spans {SPANS}"), "removed-spans")
@@ -262,7 +275,7 @@ def with_spans(docs: DataFrame, text_col: str, carried: list[str], **options) ->
     found = rows.join(F.broadcast(hot), "digest", "left")
     found = found.withColumn("at", F.when(F.col("hot").isNull(), F.concat(F.lit("d"), F.hex("digest"))).otherwise(F.concat(F.lit("h"), F.xxhash64("row").cast("string"))))
     cold = removed.select(F.concat(F.lit("d"), F.hex("digest")).alias("at"), "spans")
-    return found.join(cold, "at", "left").select("row", "data", F.coalesce("hot_spans", "spans").alias("spans"))
+    return found.join(cold.hint("merge"), "at", "left").select("row", "data", F.coalesce("hot_spans", "spans").alias("spans"))
 
 
 def cut_udf():
