@@ -30,8 +30,14 @@ def forward_fill(col: str, spec: WindowSpec, limit: int | None = None) -> Column
     return F.last(col, ignorenulls=True).over(spec.rowsBetween(Window.unboundedPreceding if limit is None else -limit, 0))
 
 
-def back_fill(col: str, spec: WindowSpec, limit: int | None = None) -> Column:
-    return F.first(col, ignorenulls=True).over(spec.rowsBetween(0, Window.unboundedFollowing if limit is None else limit))
+def backward(keys: list[str], *by: str) -> WindowSpec:
+    """The order reversed: what follows a row becomes what precedes it, and a running frame takes linear time (one with an unbounded end doesn't)."""
+    return Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in by])
+
+
+def back_fill(col: str, keys: list[str], by: list[str], limit: int | None = None) -> Column:
+    """The next value at or after the row, at most ``limit`` rows on."""
+    return forward_fill(col, backward(keys, *by), limit)
 
 
 def compounded(ret: str, spec: WindowSpec) -> Column:

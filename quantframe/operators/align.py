@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantframe.functions.windows import back_fill, forward_fill, ordered
+from quantframe.functions.windows import back_fill, backward, forward_fill, ordered
 
 
 def business_calendar(df: DataFrame, keys: list[str], day: str = "day") -> DataFrame:
@@ -60,7 +60,7 @@ def fill(df: DataFrame, keys: list[str], by: list, column: str, how: str, limit:
     if how == "ffill":
         return forward_fill(column, w, limit)
     if how == "bfill":
-        return back_fill(column, w, limit)
+        return back_fill(column, keys, by, limit)
     if how == "mean":
         return F.coalesce(F.col(column), F.avg(column).over(Window.partitionBy(*keys)))
     return F.coalesce(F.col(column), F.lit(0.0))
@@ -71,7 +71,7 @@ def interpolate(df: DataFrame, keys: list[str], by: list, column: str, limit: in
     w = ordered(keys, *by)
     known = F.when(F.col(column).isNotNull(), F.struct("position", F.col(column).alias("value")))
     placed = df.withColumn("position", F.row_number().over(w)).withColumn("known", known)
-    placed = placed.withColumn("p", F.last("known", ignorenulls=True).over(w)).withColumn("q", F.first("known", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    placed = placed.withColumn("p", F.last("known", ignorenulls=True).over(w)).withColumn("q", F.last("known", ignorenulls=True).over(backward(keys, *by)))
     gap = F.col("position") - F.col("p.position")
     line = F.col("p.value") + (F.col("q.value") - F.col("p.value")) * gap / (F.col("q.position") - F.col("p.position"))
     value = F.when(F.col(column).isNotNull(), F.col(column)).when(F.col("q").isNull(), F.col("p.value")).otherwise(line)
