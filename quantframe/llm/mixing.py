@@ -47,7 +47,9 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     table = sources.select("source", "documents", "source_size", weight.alias("weight")).withColumn("cap", F.col("source_size") * F.lit(most))
     by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
     everyone = Window.partitionBy(F.lit(1))
-    level = (F.sum("source_size").over(everyone) - F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
+    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
+    left, weighs = (F.sum(c).over(everyone) - F.coalesce(F.sum(x).over(before), F.lit(0.0)) for c, x in (("source_size", "cap"), ("weight", "weight")))
+    level = left / weighs
     table = table.withColumn("level", level)
     # the first source, by cap / weight, that its share does not fill sets the level
     level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(everyone)["level"]
