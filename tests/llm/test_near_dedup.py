@@ -67,7 +67,7 @@ def test_signatures_agree_as_weighted_jaccard():
     assert (nd.signatures(["x y z", "q r s t u v"], 64)[1] == nd.signatures(["q r s t u v"], 64)[0]).all()
 
 
-def test_classes_match_brute_force(spark):
+def test_classes_match_brute_force(spark, monkeypatch):
     rng = random.Random(7)
     texts = [" ".join(prose(rng, 60)) for _ in range(40)]
     for _ in range(12):  # groups of near copies around the threshold, chains among them
@@ -79,7 +79,8 @@ def test_classes_match_brute_force(spark):
     order = rng.sample(range(len(texts)), len(texts))
     df = spark.createDataFrame([(i, texts[k], 1, 2) for i, k in enumerate(order)], "doc_id long, text string, class_id int, at int")
     want = brute([texts[k] for k in order])
-    for small in (16, 3):
+    for small, block in ((16, 1024), (3, 1024), (3, 4)):
+        monkeypatch.setattr(nd, "BLOCK", block)
         got = nd.mark_classes(df, small=small)
         assert got.columns == ["doc_id", "text", "at", "class_id"]
         assert {r["doc_id"]: r["class_id"] for r in got.collect()} == dict(enumerate(want))
