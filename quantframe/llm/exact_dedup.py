@@ -69,7 +69,7 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         apart = rows.join(shared, "digest", "left_semi").join(best, ["digest", "content"])
         apart = apart.select("row", "id", F.sha2(F.col("content").cast("binary"), 256).alias("sha"), F.col("content").alias("key"), "keep", "size")
         found = found.filter(F.col("size").isNotNull()).unionByName(apart)
-    first = F.row_number().over(Window.partitionBy("key", "id").orderBy("sha")) == 1
+    first = F.row_number().over(Window.partitionBy("key", "id", "sha").orderBy("size")) == 1  # a hot key is shared by texts: sha parts them
     return found.select("row.*", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), (F.col("id").eqNullSafe(F.col("keep")) & first).alias("kept"), F.col("sha").alias("text_sha256"))
 
 

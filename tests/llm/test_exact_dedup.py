@@ -41,6 +41,19 @@ def test_hot_group_empty_table_and_clashing_columns(spark):
     assert run(df.limit(0)) == []
 
 
+def test_each_text_is_kept_once_where_ids_are_null_or_repeat(spark):
+    pairs = [(None, "a"), (None, "b"), (None, "b"), (7, "c"), (7, "d"), (7, "d")]
+    small = spark.createDataFrame(pairs, "doc_id long, text string")  # under 1000 rows: every text is hot
+    large = spark.createDataFrame(pairs * 10, "doc_id long, text string").union(spark.range(100, 2100).selectExpr("id", "concat('t', id)"))  # 10 and 20 rows of 2060: hot
+    cold = spark.createDataFrame(pairs, "doc_id long, text string").union(spark.range(100, 4100).selectExpr("id", "concat('t', id)"))
+    for df, n in ((small, 0), (large, 2000), (cold, 4000)):
+        marked = exact_dedup.mark_duplicates(df)
+        kept = sorted((str(r[0]), r[1]) for r in exact_dedup.drop_duplicates(df).filter("doc_id IS NULL OR doc_id = 7").collect())
+        assert kept == [("7", "c"), ("7", "d"), ("None", "a"), ("None", "b")]
+        assert marked.filter("kept").count() == n + 4
+        assert marked.groupBy("text_sha256").agg(F.count(F.when(F.col("kept"), 1)).alias("n")).filter("n <> 1").count() == 0
+
+
 def test_plan_has_no_python(spark, sf_dir):
     plan = exact_dedup.query(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
