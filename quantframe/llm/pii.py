@@ -1,15 +1,17 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms that give it away.
 
 1. Patterns find e-mail addresses, IP addresses, card and phone numbers in every whole text; each value is an entity.
-2. Terms near an entity (letters only, at least MIN_LETTERS, within WINDOW words) are candidates. Over all documents,
+2. Terms (letters only, at least MIN_LETTERS) anywhere in a document of an entity are candidates. Over all documents,
    n(e), n(t, e) and n(t) give how strongly a term reveals an entity: its pointwise mutual information with the entity as
    a share of the entity's information, log(N n(t,e) / n(t) n(e)) / log(N / n(e)). 1 says that who sees the term can
    tell the entity.
 3. Candidates with at least ``support`` documents in common and a share over ``generalise`` are generalised to their shape
-   where they stand near that entity; over ``remove`` they are removed.
+   at each of their places in every document of that entity; over ``remove`` they are removed. With ``everywhere``, this
+   holds for every place in any document, also where the entity is not written.
 
-n(t) is counted over all documents, for candidate terms: a Bloom filter of at most 8 MB lets the counting pass drop other
-words early, and a join then drops those that it let through by chance.
+n(t, e) is counted in each task first, for entities in at least ``support`` documents (no other can have that many in
+common). n(t) is counted over all documents, for candidate terms. A Bloom filter of at most 8 MB lets each pass drop
+other entities, words or pairs early; what it lets through by chance is dropped by the count or the join that follows.
 
 Defined cases: null text counts as empty; terms inside a pattern's span are no candidates; equal spans count once, the
 stronger action wins; rows that repeat each count as documents; an entity in all documents reveals nothing; an empty table
@@ -39,8 +41,10 @@ KINDS = ("email", "ip", "card", "phone")
 ACTIONS = ("generalise", "remove")
 COUNTS = tuple(f"n_{k}" for k in KINDS)
 RESULTS = (*COUNTS, "base_sha256", "spans")
-WINDOW, MIN_LETTERS = 8, 4
-CACHED_WORDS = 300_000
+MIN_LETTERS = 4
+CACHED_WORDS = CACHED_PAIRS = 300_000
+#: A pair with over 1/HOT of all places' rows is hot; fewer than HOT can be.
+HOT = 1000
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -94,46 +98,44 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else ''.join(DIGIT.findall(value))}"
 
 
-def contexts(text: str, spans: list[Span]) -> list[dict]:
-    """Candidate terms in the WINDOW words on either side of each entity."""
-    words = [m.span() for m in WORD.finditer(text)]
-    starts, taken = [w[0] for w in words], sorted((s, e) for _, s, e in spans)
+def terms_of(text: str, spans: list[tuple[int, int]]) -> dict[str, list[tuple[int, int]]]:
+    """Places of each term outside the spans (start, end)."""
+    taken = sorted(spans)
     reach = list(accumulate((e for _, e in taken), max))  # the furthest end of the spans so far
-    found = []
-    for kind, start, end in spans:
-        first, last = bisect.bisect_right(starts, start) - 1, bisect.bisect_left(starts, end)
-        name = entity(kind, text[start:end])
-        for low, high in words[max(0, first - WINDOW) : last + WINDOW]:
-            for m in TERM.finditer(text, low, high):
-                k = bisect.bisect_left(taken, (m.end(),)) - 1
-                if k < 0 or reach[k] <= m.start():
-                    found.append({"entity": name, "term": m[0].lower(), "start": m.start(), "end": m.end()})
+    found: dict[str, list[tuple[int, int]]] = {}
+    for m in TERM.finditer(text):
+        k = bisect.bisect_left(taken, (m.end(),)) - 1
+        if k < 0 or reach[k] <= m.start():
+            found.setdefault(m[0].lower(), []).append(m.span())
     return found
 
 
 PLACE = [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), *PLACE]))
-CONTEXTS = T.ArrayType(T.StructType([T.StructField("entity", T.StringType()), T.StructField("term", T.StringType()), *PLACE]))
 ENTITIES = T.ArrayType(T.StringType())
 
 
-def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    context_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
-        spans, near, names = [], [], []
-        for text in batch.column(batch.num_columns - 1).to_pylist():
-            found = base_spans(text or "")
-            spans.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
-            near.append(contexts(text, found) if found else [])
-            names.append(sorted({entity(k, text[s:e]) for k, s, e in found}))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, span_type), pa.array(near, context_type), pa.array(names, pa.list_(pa.string()))], names=[*batch.schema.names[:-1], "base", "near", "entities"])
+def searched(whole: bool):
+    """The function for mapInArrow: .., text -> .., base, entities, text: null without entities unless ``whole``."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            spans, names, texts = [], [], []
+            for text in batch.column(batch.num_columns - 1).to_pylist():
+                found = base_spans(text or "")
+                spans.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
+                names.append(sorted({entity(k, text[s:e]) for k, s, e in found}))
+                texts.append(text if found or whole else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, span_type), pa.array(names, pa.list_(pa.string())), pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "base", "entities", "text"])
 
+    return search
 
-def find_base(docs: DataFrame, text_col: str, carried: list[str]) -> DataFrame:
-    """row, uid, base, near, entities: a table with a row per document."""
+
+def find_base(docs: DataFrame, text_col: str, carried: list[str], whole: bool = False) -> DataFrame:
+    """row, uid, base, entities, text (of documents with entities, or of all): a table with a row per document."""
     rows = docs.select(F.struct(*carried).alias("row"), F.col(text_col).alias("searched_text"))
-    out = rows.mapInArrow(searched, T.StructType([rows.schema["row"], T.StructField("base", SPANS), T.StructField("near", CONTEXTS), T.StructField("entities", ENTITIES)]))
+    out = rows.mapInArrow(searched(whole), T.StructType([rows.schema["row"], T.StructField("base", SPANS), T.StructField("entities", ENTITIES), T.StructField("text", T.StringType())]))
     return materialise(out.withColumn("uid", F.monotonically_increasing_id()), "pii-base")
 
 
@@ -149,7 +151,7 @@ def counted(bits: np.ndarray):
         for batch in batches:
             seen: Counter = Counter()
             for text in batch.column(0).to_pylist():
-                terms = set(TERM.findall((text or "").lower()))
+                terms = {t.lower() for t in TERM.findall(text or "")}
                 fresh = [t for t in terms if t not in known]
                 if fresh:
                     if len(known) > CACHED_WORDS:
@@ -169,29 +171,99 @@ def term_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"h": pa.array(np.fromiter(map(hashed, terms), np.uint64, len(terms)).view(np.int64))})
 
 
+def may_have(bits: np.ndarray, keys: list[str]) -> list[str]:
+    """The keys that the filter may hold."""
+    hit = in_filter(bits, np.fromiter(map(hashed, keys), np.uint64, len(keys)))
+    return [k for k, h in zip(keys, hit.tolist()) if h]
+
+
+def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, list[str], list[tuple[int, int]]]]:
+    for batch in batches:
+        for r in zip(*(c.to_pylist() for c in batch.columns)):
+            yield r[0], r[1], r[2], [(s["start"], s["end"]) for s in r[3]]
+
+
+def paired(bits: np.ndarray):
+    """The function for mapInArrow: uid, text, entities, base -> entity, term, n: the documents of each part that have both."""
+
+    def rows(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"entity": pa.array([e for e, _ in seen], pa.string()), "term": pa.array([t for _, t in seen], pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for _, text, names, spans in texts_of(batches):
+            names = may_have(bits, names)
+            terms = terms_of(text, spans) if names else ()
+            for name in names:
+                seen.update((name, t) for t in terms)
+                if len(seen) > CACHED_PAIRS:
+                    yield rows(seen)
+                    seen.clear()
+        yield rows(seen)
+
+    return count
+
+
+def placed(bits: np.ndarray, everywhere: bool):
+    """The function for mapInArrow: uid, text, entities, base -> uid, key, places of the keys (pairs or terms) that the filter may hold."""
+    place_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def rows(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"uid": pa.array([o[0] for o in out], pa.int64()), "key": pa.array([o[1] for o in out], pa.string()), "places": pa.array([[{"start": s, "end": e} for s, e in o[2]] for o in out], place_type)})
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list = []
+        for uid, text, names, spans in texts_of(batches):
+            terms = terms_of(text, spans)
+            for name in [""] if everywhere else names:
+                out += [(uid, k, terms[k[len(name) + 1 :]]) for k in may_have(bits, [f"{name}\0{t}" for t in terms])]
+                if len(out) > 10_000:
+                    yield rows(out)
+                    out = []
+        yield rows(out)
+
+    return place
+
+
 def disclosures(docs: DataFrame, found: DataFrame, text_col: str, support: int, generalise: float, remove: float) -> DataFrame:
-    """entity, term, action of the pairs that exceed a threshold."""
+    """entity, term, share, action of the pairs that exceed a threshold, with n_te and n_t."""
     total = found.count()
-    pairs = found.select("uid", F.explode("near").alias("c")).select("uid", "c.entity", "c.term").distinct()
-    pairs = materialise(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= support), "pii-pairs")
+    n_e = materialise(found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support), "pii-entities")
+    bits = build_filter(n_e.select("entity").mapInArrow(term_hashes, "h long"))
+    pairs = found.filter(F.size("entities") > 0).select("uid", "text", "entities", "base").mapInArrow(paired(bits), "entity string, term string, n long")
+    pairs = materialise(pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_te")).filter(F.col("n_te") >= support), "pii-pairs")
     terms = pairs.select("term").distinct()
     bits = build_filter(terms.mapInArrow(term_hashes, "h long"))
     n_t = docs.select(text_col).mapInArrow(counted(bits), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    n_e = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     known = pairs.join(n_e, "entity").join(n_t.join(terms, "term", "left_semi"), "term")
     mutual = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
     share = F.when(F.col("n_e") < total, mutual / F.log(F.lit(float(total)) / F.col("n_e"))).otherwise(0.0)
     action = F.when(share >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
-    return materialise(known.withColumn("share", share).filter(F.col("share") >= generalise).select("entity", "term", "share", action.alias("action")), "pii-disclosures")
-
-
-def find_personal_data(docs: DataFrame, text_col: str = "text", support: int = 3, generalise: float = 0.8, remove: float = 0.95, carry: list[str] | None = None) -> DataFrame:
+    return materialise(known.withColumn("share", share).filter(F.col("share") >= generalise).select("entity", "term", "share", action.alias("action"), "n_te", "n_t"), "pii-disclosures")
+
+
+def find_places(found: DataFrame, told: DataFrame, everywhere: bool) -> DataFrame:
+    """uid, start, end, kind (the action) of all places of the disclosing terms."""
+    name = F.lit("") if everywhere else F.col("entity")
+    keys = told.groupBy(F.concat(name, F.lit("\0"), F.col("term")).alias("key")).agg(F.max("action").alias("action"), F.max("n_t" if everywhere else "n_te").alias("n"))
+    keys = materialise(keys, "pii-keys")
+    bits = build_filter(keys.select("key").mapInArrow(term_hashes, "h long"))
+    least = (keys.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot, cold = keys.filter(F.col("n") > least), keys.filter(F.col("n") <= least)
+    places = found.filter(F.col("text").isNotNull() if everywhere else F.size("entities") > 0).select("uid", "text", "entities", "base").mapInArrow(placed(bits, everywhere), T.StructType([T.StructField("uid", T.LongType()), T.StructField("key", T.StringType()), T.StructField("places", T.ArrayType(T.StructType(PLACE)))]))
+    places = places.join(F.broadcast(hot.select("key", F.col("action").alias("hot_action"))), "key", "left")
+    # a hot row has its answer: a key of its own, without the zero that all others have, keeps it from meeting its like in one task
+    places = places.withColumn("key", F.when(F.col("hot_action").isNull(), F.col("key")).otherwise(F.col("uid").cast("string"))).join(cold.select("key", "action"), "key", "left")
+    places = places.withColumn("action", F.coalesce("hot_action", "action")).filter(F.col("action").isNotNull())
+    return places.select("uid", "action", F.inline("places")).groupBy("uid", "start", "end").agg(F.max("action").alias("kind"))
+
+
+def find_personal_data(docs: DataFrame, text_col: str = "text", support: int = 3, generalise: float = 0.8, remove: float = 0.95, carry: list[str] | None = None, everywhere: bool = False) -> DataFrame:
     """docs (or the columns of ``carry``) with base (pattern spans) and terms (spans of revealing terms: kind is the action)."""
     carried = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ("base", "terms")]
-    found = find_base(docs, text_col, carried)
+    found = find_base(docs, text_col, carried, everywhere)
     told = disclosures(docs, found, text_col, support, generalise, remove)
-    near = found.select("uid", F.explode("near").alias("c")).select("uid", "c.*")
-    hits = near.join(told.select("entity", "term", "action"), ["entity", "term"]).groupBy("uid", "start", "end").agg(F.max("action").alias("kind"))
+    hits = find_places(found, told, everywhere)
     terms = hits.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("terms"))  # of one document
     return found.select("uid", "row", "base").join(terms, "uid", "left").select("row.*", "base", F.coalesce("terms", F.array().cast(SPANS)).alias("terms"))
 

@@ -71,6 +71,30 @@ def test_terms_that_reveal_an_entity(spark):
     assert out[64] == texts[64] and out[10] == texts[10]
 
 
+def test_terms_far_from_the_entity_and_in_other_documents(spark):
+    mail, far = "jane.doe@mail.example.com", " ".join(f"filler{'abcdefghij'[k % 10]} is" for k in range(40))
+    texts = [f"{mail} {far} Quillfeather said, number {i}, quillfeather too; Öljyvär {far} Öljyvär" for i in range(4)] + [f"there is other text {i} {far}" for i in range(60)] + ["Quillfeather alone", "an öljyvär", "öljyvär", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    words = [set(w.lower() for w in re.findall(r"[^\W\d_]{4,}", (t or "").replace(mail, ""))) for t in texts]
+    want = {}
+    for term in set.union(*words):  # brute force over whole documents
+        n_t, n_te = sum(term in w for w in words), sum(term in w and mail in t for w, t in zip(words, texts) if t)
+        share = math.log(len(texts) * n_te / (n_t * 4)) / math.log(len(texts) / 4) if n_te >= 3 else 0
+        if share >= 0.8:
+            want[term] = "remove" if share >= 0.95 else "generalise"
+    assert {"quillfeather", "öljyvär"} <= set(want) and "there" not in want and not any(t.startswith("filler") for t in want)
+    for everywhere in (False, True):
+        for r in pii.find_personal_data(df, everywhere=everywhere).collect():
+            t = r["text"] or ""
+            places = [(want[m[0].lower()], *m.span()) for m in re.finditer(r"[^\W\d_]{4,}", t) if m[0].lower() in want and m.start() >= len(mail) * (mail in t)]
+            assert [tuple(s) for s in r["terms"]] == (sorted(places) if everywhere or mail in t else [])
+    assert [r["text"] for r in pii.sanitise(df, everywhere=True).filter("doc_id >= 64").sort("doc_id").collect()] == [masked_alone(want["quillfeather"], "Quillfeather", " alone"), "an " + masked_alone(want["öljyvär"], "öljyvär", ""), masked_alone(want["öljyvär"], "öljyvär", ""), None]
+
+
+def masked_alone(action, word, rest):
+    return ("" if action == "remove" else "".join("X" if c.isupper() else "x" for c in word)) + rest
+
+
 def test_shapes(spark):
     df = spark.createDataFrame([(1, None, 1), (1, None, 1), (2, "", 1), (None, "a@b.co", 1), (3, "word " * 40000 + "a@b.co", 1)], "doc_id long, text string, spans int")
     got = pii.report(pii.find_personal_data(df))
