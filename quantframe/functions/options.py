@@ -102,7 +102,7 @@ def numpy_cdf(x: np.ndarray) -> np.ndarray:
 
 
 def newton_volatility(market: np.ndarray, s: np.ndarray, k: np.ndarray, t: np.ndarray, call: np.ndarray, rate: float, steps: int = 100, tolerance: float = 1e-6) -> np.ndarray:
-    """Volatility that gives the market price, all rows at once from 0.2; at least 0.001; a row without vega stays where it is."""
+    """Volatility that gives the market price, all rows at once from 0.2; at least 0.001; a row without vega stays where it is; 0 at expiry."""
     v, live = np.full(len(market), 0.2), t > 0
     root = np.sqrt(np.where(live, t, 1.0))
     for _ in range(steps):
@@ -110,11 +110,11 @@ def newton_volatility(market: np.ndarray, s: np.ndarray, k: np.ndarray, t: np.nd
         price = s * numpy_cdf(d1) - k * np.exp(-rate * t) * numpy_cdf(d1 - v * root)
         price = np.where(call, price, price - s + k * np.exp(-rate * t))
         vega = s * np.exp(-d1 * d1 / 2) / math.sqrt(2 * math.pi) * root
-        moves = live & (np.abs(price - market) > tolerance) & (vega > 1e-10)
+        moves = live & (np.abs(price - market) >= tolerance) & (vega > 0)
         if not moves.any():
             break
-        v = np.where(moves, np.clip(v - (price - market) / np.where(moves, vega, 1.0), 0.001, 10.0), v)
-    return np.where(live, v, np.nan)
+        v = np.where(moves, np.maximum(v - (price - market) / np.where(moves, vega, 1.0), 0.001), v)
+    return np.where(live, v, 0.0)
 
 
 def implied_volatility(df: DataFrame, price: str = "price", spot: str = "spot", strike: str = "strike", years: str = "years", kind: str = "option_type", rate: float = 0.02) -> DataFrame:

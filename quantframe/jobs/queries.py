@@ -506,6 +506,12 @@ def options_implied_volatility(spark, sf_dir):
     return shown(options.implied_volatility(near).select("contract", "implied"), 3)
 
 
+@query()
+def options_implied_volatility_chain(spark, sf_dir):
+    """The whole chain, where steps may also stop for want of vega or end at the least volatility: SQL can't express them."""
+    return shown(options.implied_volatility(greeks(spark, sf_dir)).select("contract", "implied"))
+
+
 @query(f"WITH {DAILY}, c AS (SELECT symbol, count(*) AS n FROM d GROUP BY symbol), f AS (SELECT symbol, n, unnest(range(0, 5)) AS fold FROM c), g AS (SELECT *, fold * n // 5 AS a, (fold + 1) * n // 5 - 1 AS b FROM f) SELECT symbol, fold::INT AS fold, a AS test_low, b AS test_high, 0 AS before_low, a - 6 AS before_high, b + 11 AS after_low, n - 1 AS after_high FROM g")
 def validation_purged_folds(spark, sf_dir):
     return validation.purged_folds(tables.daily(spark, sf_dir), ["symbol"], 5, 5, 10)

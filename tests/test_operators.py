@@ -120,6 +120,37 @@ def test_implied_volatility_finds_the_model(spark):
         assert r["implied"] == pytest.approx(r["iv"], abs=1e-4)
 
 
+def newton(market, s, k, t, kind, rate=0.02):
+    """Brute force: one contract, step by step."""
+    def cdf(x):
+        u = 1 / (1 + options.TAIL_RATE * abs(x))
+        tail = math.exp(-x * x / 2) / math.sqrt(2 * math.pi) * sum(c * u ** (n + 1) for n, c in enumerate(options.TAIL))
+        return 1 - tail if x >= 0 else tail
+
+    v = 0.2
+    for _ in range(100 if t > 0 else 0):
+        d1 = (math.log(s / k) + (rate + v * v / 2) * t) / (v * math.sqrt(t))
+        price = s * cdf(d1) - k * math.exp(-rate * t) * cdf(d1 - v * math.sqrt(t))
+        price -= 0 if kind == "call" else s - k * math.exp(-rate * t)
+        vega = s * math.exp(-d1 * d1 / 2) / math.sqrt(2 * math.pi) * math.sqrt(t)
+        if abs(price - market) < 1e-6 or vega == 0:
+            break
+        v = max(0.001, v - (price - market) / vega)
+    return v if t > 0 else 0.0
+
+
+def test_implied_volatility_of_the_whole_chain(spark, sf_dir):
+    from quantframe.jobs import registry
+
+    rows = [(p, s, 100.0, t, kind) for s in (20.0, 60.0, 95.0, 100.0, 130.0, 400.0) for t in (0.0, -0.1, 0.02, 0.5) for kind in ("call", "put") for p in (0.0, 0.5, 7.0, 95.0, 310.0)]
+    got = options.implied_volatility(spark.createDataFrame(rows, "price double, spot double, strike double, years double, option_type string")).collect()
+    ends = [newton(*r) for r in rows]
+    assert [r["implied"] for r in got] == pytest.approx([newton(r["price"], r["spot"], r["strike"], r["years"], r["option_type"]) for r in got], rel=1e-6)
+    assert 0.0 in ends and 0.001 in ends and max(ends) > 10
+    chain = registry.QUERIES["options_implied_volatility_chain"](spark, sf_dir)
+    assert chain.count() == registry.QUERIES["options_greeks"](spark, sf_dir).count() and chain.filter("implied IS NULL OR isnan(implied)").count() == 0
+
+
 def test_exponential_means_carry_over_batches(spark):
     import pandas as pd
 
