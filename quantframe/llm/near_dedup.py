@@ -311,7 +311,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def with_class(docs: DataFrame, id_col: str, text_col: str, carried: list[str], **options) -> DataFrame:
-    """row, id, low, class_id and leads of each document."""
+    """row, id, digest, low, class_id and leads of each document."""
     hot, cold = near_classes(docs, id_col, text_col, **options)
     normal = F.lower(F.trim(F.regexp_replace(or_empty(F.col(text_col)), SPACE, " ")))
     rows = docs.select(F.struct(*carried).alias("row"), F.col(id_col).alias("id"), F.unhex(F.md5(normal.cast("binary"))).alias("digest"))
@@ -320,7 +320,7 @@ def with_class(docs: DataFrame, id_col: str, text_col: str, carried: list[str],
     rows = rows.join(F.broadcast(hot.select("digest", found.alias("hot"))), "digest", "left")
     rows = rows.withColumn("at", F.when(F.col("hot").isNull(), F.concat(F.lit("d"), F.hex("digest"))).otherwise(F.concat(F.lit("h"), F.xxhash64("id").cast("string"))))
     cold = cold.select(F.concat(F.lit("d"), F.hex("digest")).alias("at"), found.alias("cold"))
-    return rows.join(cold, "at", "left").withColumn("of", F.coalesce("hot", "cold")).select("row", "id", "of.low", "of.class_id", "of.leads")
+    return rows.join(cold, "at", "left").withColumn("of", F.coalesce("hot", "cold")).select("row", "id", "digest", "of.low", "of.class_id", "of.leads")
 
 
 def mark_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, **options) -> DataFrame:
@@ -330,9 +330,12 @@ def mark_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each class, that with the smallest id, with the columns of docs. Rows that repeat both id and words all stay: drop exact duplicates first."""
+    """One document of each class, that with the smallest id, with the columns of docs. Of rows that repeat both id and words, that with the least hash of its text, or any of equal ones."""
     found = with_class(docs, id_col, text_col, docs.columns, **options)
-    return found.filter(F.col("leads") & F.col("id").eqNullSafe(F.col("low"))).select("row.*")
+    led = found.filter(F.col("leads") & F.col("id").eqNullSafe(F.col("low")))
+    # each task drops all but one row of a digest before the exchange
+    led = led.withColumn("place", F.row_number().over(Window.partitionBy("digest").orderBy(F.xxhash64(F.col("row")[text_col]))))
+    return led.filter("place = 1").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

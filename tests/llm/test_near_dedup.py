@@ -102,6 +102,14 @@ def test_repeats_null_ids_and_empty(spark):
     assert nd.mark_classes(df.limit(0)).collect() == []
 
 
+def test_keep_one_of_rows_that_share_id_and_words(spark):
+    rows = [(None, "Red green blue"), (None, " red GREEN blue\n"), (None, "red green blue"), (None, "other words here"), (4, "One two three"), (4, "one two three"), (4, "one two three"), (5, "ONE two three"), (4, "seven eight nine")]
+    kept = nd.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted((str(r["doc_id"]), r["text"].strip().lower()) for r in kept.collect()) == [("4", "one two three"), ("4", "seven eight nine"), ("None", "other words here"), ("None", "red green blue")]
+    assert "WindowGroupLimit" in plan
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(300, 301), (302, 301)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect())
