@@ -2,15 +2,17 @@
 
 A byte goes if it is covered by a string of ``depth`` bytes that starts at two places or more, in any documents.
 
-1. Every string of ``depth`` bytes (a window) has two anchors: the least and the greatest hash among its GRAM-byte strings.
-   Equal windows have equal anchors.
-2. Anchors are counted over all documents. A window with an anchor that stands at one place is unique. The others are
-   kept (a Bloom filter of at most 8 MB holds their anchors; what it lets through by chance changes no result), and
-   consecutive ones with one least anchor form a segment: all places of a window meet under it.
+1. Every string of ``depth`` bytes (a window) has an anchor: the least hash among its GRAM-byte strings. Equal windows have
+   equal anchors, and the windows of one anchor stand in a row: a run.
+2. The places of each anchor are counted over all documents. A window whose anchor stands at one place is unique. The runs
+   of the others are cut out as segments (a Bloom filter of at most 8 MB holds their anchors; what it lets through by chance
+   changes no result): all places of a window meet under its anchor.
 3. Equal segments are merged with their count before the exchange. Windows of a merged segment are repeated.
 4. The different segments of an anchor go to one shard, which is sorted by ``suffix_sort``, with its queues on disk beyond
-   their share of memory. An anchor with over 1 / ``crowded`` of all different segments (a passage in very many contexts) is
-   split further: its windows are dealt by the hash of their whole content, so that no shard grows with a hot passage.
+   their share of memory. An anchor whose different segments have more bytes than a shard may (a passage in very many
+   contexts) is split: windows whose first and last GRAM bytes stand together at one place only are unique; of the others,
+   each task sends one of each kind to the shard that their ends deal them to, which is sorted in the same way. So no shard
+   grows with a hot passage.
 5. The windows' bytes are merged per text and cut out of each document.
 
 What goes from a text hangs on its content alone, so rows with equal texts share one result.
@@ -22,7 +24,6 @@ is replaced by it. Texts may hold any bytes.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,8 @@ from quantframe.llm.common import materialise, utf8
 from quantframe.llm.suffix_sort import BREAK, END, FIRST, repeated
 
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
-DEPTH, GRAM, CROWDED = 200, 32, 50
-CHUNK_BYTES, SHARD_BYTES = 2 << 20, 4 << 20
+DEPTH, GRAM = 200, 64
+CHUNK_BYTES, SHARD_BYTES, PART_BYTES = 2 << 20, 4 << 20, 1 << 16
 HOT = 1000
 
 
@@ -48,37 +49,57 @@ def grams(data: np.ndarray) -> np.ndarray:
     while span < GRAM:
         h = h[:-span] * np.uint64(0x9E3779B97F4A7C15 + 2 * span) + h[span:]
         span *= 2
-    return mix(h)
-
-
-def anchors(h: np.ndarray, depth: int) -> np.ndarray:
-    """The least gram hash in each window: block minima from either side, joined."""
-    w, n = depth - GRAM + 1, len(h)
-    padded = np.append(h, np.full(-n % w, ~np.uint64(0))).reshape(-1, w)
-    before = np.minimum.accumulate(padded, 1).ravel()
-    after = np.minimum.accumulate(padded[:, ::-1], 1)[:, ::-1].ravel()
-    return np.minimum(after[: n - w + 1], before[w - 1 : n])
-
-
-def runs(h: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, number of windows, whether the anchor stands at two places) of each run of one anchor."""
-    a, w = anchors(h, depth), depth - GRAM + 1
-    first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-    n, anchor = np.diff(np.append(first, len(a))), a[first]
-    views, twice = np.lib.stride_tricks.sliding_window_view(h, w), np.empty(len(first), bool)
-    for k in range(0, len(first), 4096):
-        part = slice(k, k + 4096)
-        leftmost = (views[first[part]] == anchor[part, None]).argmax(1)
-        rightmost = w - 1 - (views[first[part] + n[part] - 1] == anchor[part, None])[:, ::-1].argmax(1)
-        twice[part] = leftmost != rightmost + n[part] - 1
-    return anchor, first, n, twice
+    return mix(h).view(np.int64)
+
+
+def sliding(h: np.ndarray, w: int, least) -> np.ndarray:
+    """least (np.minimum or np.maximum) of each w consecutive values, by doubling."""
+    m, span = h, 1
+    while 2 * span <= w:
+        m, span = least(m[:-span], m[span:]), 2 * span
+    n = len(h) - w + 1
+    return least(m[:n], m[w - span : w - span + n])
+
+
+def parts(values: list[memoryview]) -> Iterator[tuple[int, list[memoryview]]]:
+    """Consecutive texts of PART_BYTES together, or one longer text, with the number of the first."""
+    first, size = 0, 0
+    for k, v in enumerate(values):
+        if k > first and size + len(v) > PART_BYTES:
+            yield first, values[first:k]
+            first, size = k, 0
+        size += len(v)
+    if first < len(values):
+        yield first, values[first:]
+
+
+class Runs:
+    """The runs of windows with one anchor, the least gram hash in the window, in texts laid end to end."""
+
+    def __init__(self, values: list[memoryview], depth: int):
+        self.data, size = np.frombuffer(b"".join(values), np.uint8), np.fromiter(map(len, values), np.int64, len(values))
+        self.ends = np.cumsum(size)
+        windows, w = np.maximum(size - depth + 1, 0), depth - GRAM + 1
+        if not windows.any():
+            self.anchor = self.places = np.zeros(0, np.int64)
+            return
+        inside = np.repeat(np.tile([True, False], len(size)), np.column_stack([windows, size - windows]).ravel())[: len(self.data) - depth + 1]
+        h = grams(self.data)
+        a = sliding(h, w, np.minimum)
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (inside[1:] != inside[:-1])))
+        n, held = np.diff(np.append(first, len(a))), inside[first]
+        self.first, self.n, self.anchor = first[held], n[held], a[first[held]]
+        # a gram is an anchor if it is the greatest among the anchors of the windows over it
+        lowest = np.full(w - 1, np.iinfo(np.int64).min)
+        at = np.flatnonzero(sliding(np.concatenate([lowest, np.where(inside, a, lowest[0]), lowest]), w, np.maximum) == h)
+        self.places = h[at]
+        order = np.argsort(self.places, kind="stable")
+        again = (self.places[order][1:] == self.places[order][:-1]) & (np.diff(at[order]) <= w)
+        self.own = np.isin(self.anchor, self.places[order][1:][again]) if again.any() else np.zeros(len(self.anchor), bool)
 
 
-def both_runs(data: np.ndarray, depth: int):
-    """The runs of the least gram hash, and those of the greatest (told apart by another mix)."""
-    h = grams(data)
-    greatest = runs(~h, depth)
-    return runs(h, depth), (mix(greatest[0] + ODD), *greatest[1:])
+def views(column: pa.Array) -> list[memoryview]:
+    return [memoryview(v.as_buffer()) for v in column]
 
 
 def anchored(depth: int):
@@ -86,15 +107,9 @@ def anchored(depth: int):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, many = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for value in batch.column(0):
-                data = np.frombuffer(value.as_buffer(), np.uint8)
-                for a, _, _, twice in both_runs(data, depth) if len(data) >= depth else ():
-                    found.append(a)
-                    many.append(np.where(twice, 2, 1))
-            a, at = np.unique(np.concatenate(found), return_inverse=True)
-            places = np.minimum(2, np.bincount(at, np.concatenate(many), len(a))).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"anchor": a.view(np.int64), "places": places})
+            found = [Runs(values, depth).places for _, values in parts(views(batch.column(0)))]
+            a, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"anchor": a, "places": np.minimum(2, n)})
 
     return count
 
@@ -102,46 +117,44 @@ def anchored(depth: int):
 def segmented(bits: np.ndarray, depth: int):
     """The function for mapInArrow: (digest, bytes) -> anchor, digest, start, own (the anchor stands there twice), segment.
 
-    A segment is a stretch of windows with one least anchor, whose least and greatest anchors the filter may hold.
+    A segment is a run of windows whose anchor the filter may hold.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"anchor": [], "digest": [], "start": [], "own": [], "segment": []}
             size = 0
-            for digest, value in zip(batch.column(0), batch.column(1)):
-                data = value.as_py()
-                if len(data) < depth:
-                    continue
-                (a, _, n, twice), (b, _, m, _) = both_runs(np.frombuffer(data, np.uint8), depth)
-                low, high = in_filter(bits, a), in_filter(bits, b)
-                if not low.any() or not high.any():
+            for k, values in parts(views(batch.column(1))):
+                runs = Runs(values, depth)
+                hit = np.flatnonzero(in_filter(bits, runs.anchor.view(np.uint64)))
+                if not len(hit):
                     continue
-                window = np.flatnonzero(np.repeat(low, n) & np.repeat(high, m))
-                if not len(window):
-                    continue
-                run = np.repeat(np.arange(len(a)), n)[window]
-                cuts = np.flatnonzero((np.diff(window) > 1) | (np.diff(run) > 0)) + 1
-                first, last = window[np.append(0, cuts)], window[np.append(cuts, len(window)) - 1]
-                run = run[np.append(0, cuts)]
-                segments = [data[s:e] for s, e in zip(first.tolist(), (last + depth).tolist())]
-                out["segment"] += segments
+                data, start = runs.data.tobytes(), runs.first[hit]
+                text = np.searchsorted(runs.ends, start, side="right")
+                segments = [data[s:e] for s, e in zip(start.tolist(), (start + runs.n[hit] + depth - 1).tolist())]
                 size += sum(map(len, segments))
-                out["anchor"] += a[run].view(np.int64).tolist()
-                out["digest"] += [digest.as_py()] * len(run)
-                out["start"] += first.tolist()
-                out["own"] += twice[run].tolist()
+                out["segment"] += segments
+                out["anchor"].append(runs.anchor[hit])
+                out["digest"].append(k + text)
+                out["start"].append(start - np.append(0, runs.ends)[text])
+                out["own"].append(runs.own[hit])
                 if size > CHUNK_BYTES:
-                    yield pa.RecordBatch.from_pydict(out, SEGMENT_TYPE)
-                    out, size = {k: [] for k in out}, 0
-            yield pa.RecordBatch.from_pydict(out, SEGMENT_TYPE)
+                    yield segment_rows(batch, out)
+                    out, size = {c: [] for c in out}, 0
+            yield segment_rows(batch, out)
 
     return cut
 
 
+def segment_rows(batch: pa.RecordBatch, out: dict[str, list]) -> pa.RecordBatch:
+    column = {c: np.concatenate([np.zeros(0, np.int64), *out[c]]).astype(np.int64) for c in ("anchor", "digest", "start", "own")}
+    return pa.RecordBatch.from_arrays([pa.array(column["anchor"]), batch.column(0).take(pa.array(column["digest"])), pa.array(column["start"]), pa.array(column["own"] > 0), pa.array(out["segment"], pa.binary())], schema=SEGMENT_TYPE)
+
+
 SEGMENT_TYPE = pa.schema([("anchor", pa.int64()), ("digest", pa.binary()), ("start", pa.int64()), ("own", pa.bool_()), ("segment", pa.binary())])
 SPAN_TYPE = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 SPANS = "array<struct<low: long, high: long>>"
+SEGMENT = "segment_id binary, segment binary, anchor long"
 
 
 def spans(starts: np.ndarray, depth: int) -> list[dict]:
@@ -154,53 +167,111 @@ def spans(starts: np.ndarray, depth: int) -> list[dict]:
 
 
 def shard_sorted(depth: int, memory: int):
-    """The function for mapInArrow over one shard (segment_id, segment): each segment's repeated byte ranges."""
+    """The function for mapInArrow over one shard (segment_id, at, segment): each segment's repeated byte ranges, ``at`` added."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, parts = [], [], []
+        ids, ats, sizes, symbols = [], [], [], []
         for batch in batches:
             ids += batch.column(0).to_pylist()
-            for value in batch.column(1):
+            ats += batch.column(1).to_pylist()
+            for value in batch.column(2):
                 data = np.frombuffer(value.as_buffer(), np.uint8)
-                parts += [data.astype(np.int16) + FIRST, np.array([BREAK], np.int16)]
+                symbols += [data.astype(np.int16) + FIRST, np.array([BREAK], np.int16)]
                 sizes.append(len(data))
         if not ids:
             return
-        text = np.concatenate([*parts, np.array([END], np.int16)])
-        parts.clear()
-        marks, at = repeated(text, depth, memory), 0
+        text = np.concatenate([*symbols, np.array([END], np.int16)])
+        symbols.clear()
+        marks, place = repeated(text, depth, memory), 0
         out: dict[str, list] = {"segment_id": ids, "spans": []}
-        for size in sizes:
+        for at, size in zip(ats, sizes):
             # a window never reaches the break after its segment
-            out["spans"].append(spans(np.flatnonzero(marks[at : at + size - depth + 1]), depth))
-            at += size + 1
+            out["spans"].append(spans(at + np.flatnonzero(marks[place : place + size - depth + 1]), depth))
+            place += size + 1
         yield pa.RecordBatch.from_pydict(out, pa.schema([("segment_id", pa.binary()), ("spans", SPAN_TYPE)]))
 
     return sort
 
 
-def wanted_anchors(bits: np.ndarray):
-    """The function for mapInArrow that keeps the rows whose anchor, the third column, the filter may hold."""
+def sorted_shards(segments: DataFrame, key: str, total: int, depth: int, shard_bytes: int, memory: int) -> DataFrame:
+    """segments (segment_id, at, segment, key), of total bytes, dealt by key to shards of about shard_bytes and sorted."""
+    dealt = segments.repartition(max(1, int(total // shard_bytes) + 1), key).select("segment_id", "at", "segment")
+    return dealt.mapInArrow(shard_sorted(depth, memory), f"segment_id binary, spans {SPANS}")
+
+
+def with_anchor(bits: np.ndarray, wanted: bool = True):
+    """The function for mapInArrow that keeps the rows whose anchor, the third column, the filter may hold (or can't)."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(in_filter(bits, batch.column(2).to_numpy().view(np.uint64))))
+            yield batch.filter(pa.array(in_filter(bits, batch.column(2).to_numpy().view(np.uint64)) == wanted))
 
     return keep
 
 
-def windows_of(depth: int):
-    """The function for mapInArrow over (segment_id, segment): segment_id, at, window (a 128-bit hash of its bytes)."""
+def end_keys(data: np.ndarray, depth: int) -> np.ndarray:
+    """A hash of the first and last GRAM bytes of each window."""
+    h = grams(data).view(np.uint64)
+    n = len(data) - depth + 1
+    return mix(h[:n] * ODD + h[depth - GRAM : depth - GRAM + n])
+
+
+def keyed(depth: int):
+    """The function for mapInArrow: segment -> key, places of its windows' ends."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [end_keys(np.frombuffer(v.as_buffer(), np.uint8), depth) for v in batch.column(0)]
+            key, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "places": np.minimum(2, n)})
+
+    return count
+
+
+def windows_of(bits: np.ndarray, depth: int):
+    """The function for mapInArrow over (segment_id, segment): the windows whose ends the filter may hold.
+
+    A window that the task has seen is repeated: its place goes out as known. The first one of its kind goes to a shard.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, tuple] = {}
         for batch in batches:
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = len(value) - depth + 1
-                yield pa.RecordBatch.from_pydict({"segment_id": pa.array([key] * n, pa.binary()), "at": pa.array(range(n), pa.int64()), "window": pa.array([hashlib.md5(value[k : k + depth]).digest() for k in range(n)], pa.binary())})
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys = end_keys(np.frombuffer(value, np.uint8), depth)
+                out, again = [], []
+                for k in np.flatnonzero(in_filter(bits, keys)).tolist():
+                    window = value[k : k + depth]
+                    first = seen.get(window)
+                    if first is None:
+                        seen[window] = (name, k)
+                        out.append((name, None, k, int(keys[k].view(np.int64)), window))
+                    else:
+                        again.append(k)
+                        if first:
+                            out.append((first[0], spans(np.array(first[1:]), depth), None, None, None))
+                            seen[window] = ()
+                out.append((name, spans(np.array(again, np.int64), depth), None, None, None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), WINDOW_TYPE.types)], schema=WINDOW_TYPE)
+                if len(seen) > SEEN:
+                    seen.clear()
 
     return split
 
 
+SEEN = 20_000
+WINDOW_TYPE = pa.schema([("segment_id", pa.binary()), ("spans", SPAN_TYPE), ("at", pa.int64()), ("key", pa.int64()), ("segment", pa.binary())])
+
+
+def crowd_spans(crowd: DataFrame, depth: int, shard_bytes: int, memory: int) -> DataFrame:
+    """crowd (segment_id, segment), of anchors with too many bytes for a shard: their windows are dealt by both their ends."""
+    keys = crowd.select("segment").mapInArrow(keyed(depth), "key long, places long").groupBy("key").agg(F.sum("places").alias("places"))
+    bits = build_filter(materialise(keys.filter("places > 1").select("key"), "window-ends"))
+    windows = materialise(crowd.select("segment_id", "segment").mapInArrow(windows_of(bits, depth), f"segment_id binary, spans {SPANS}, at long, key long, segment binary"), "windows")
+    sent = windows.filter("segment IS NOT NULL")
+    return windows.filter("spans IS NOT NULL").select("segment_id", "spans").unionByName(sorted_shards(sent, "key", sent.count() * depth, depth, shard_bytes, memory))
+
+
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(digest, list of lists of byte ranges) -> digest and its ranges, joined and in order."""
     for batch in batches:
@@ -216,7 +287,7 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, SPAN_TYPE)], names=["digest", "spans"])
 
 
-def repeated_spans(texts: DataFrame, depth: int = DEPTH, crowded: int = CROWDED, shard_bytes: int = SHARD_BYTES, memory: int = 128 << 20) -> DataFrame:
+def repeated_spans(texts: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES, memory: int = 128 << 20) -> DataFrame:
     """texts (digest, data) -> digest, spans: the byte ranges that go from each text, for texts that lose any."""
     counted = texts.select("data").mapInArrow(anchored(depth), "anchor long, places long")
     shared = materialise(counted.groupBy("anchor").agg(F.sum("places").alias("places")).filter("places > 1").select("anchor"), "anchors")
@@ -226,26 +297,35 @@ def repeated_spans(texts: DataFrame, depth: int = DEPTH, crowded: int = CROWDED,
     distinct = materialise(distinct, "segments-distinct")
     per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.length("segment").cast("long")).alias("bytes"), F.max("own").alias("own"))
     per_anchor = materialise(per_anchor.filter("kinds > 1 OR own"), "anchors-kinds")
-    most = (per_anchor.agg(F.sum("kinds")).first()[0] or 0) / crowded
-    total = per_anchor.filter(F.col("kinds") <= most).agg(F.sum("bytes")).first()[0] or 0
+    fits = F.col("bytes") <= shard_bytes
+    crowded, total = per_anchor.agg(F.sum((~fits).cast("long")), F.sum(F.when(fits, F.col("bytes")))).first()
     copies = distinct.filter("n > 1").select("segment_id", F.array(F.struct(F.lit(0).cast("long").alias("low"), F.length("segment").cast("long").alias("high"))).alias("spans"))
-    # at most ``crowded`` anchors have so many segments; the filter lets a few lone segments through, which changes no result
-    hot = [r["anchor"] for r in per_anchor.filter(F.col("kinds") > most).select("anchor").collect()]
-    wanted = build_filter(per_anchor.select("anchor"))
-    todo = distinct.select("segment_id", "segment", "anchor").mapInArrow(wanted_anchors(wanted), "segment_id binary, segment binary, anchor long")
-    dealt = todo.filter(~F.col("anchor").isin(hot)).repartition(max(1, int(total // shard_bytes) + 1), "anchor").drop("anchor")
-    found = copies.unionByName(dealt.mapInArrow(shard_sorted(depth, memory), f"segment_id binary, spans {SPANS}"))
-    if hot:
-        crowd = todo.filter(F.col("anchor").isin(hot)).drop("anchor")
-        single = materialise(crowd.mapInArrow(windows_of(depth), "segment_id binary, at long, window binary"), "windows")
-        twice = single.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
-        hits = single.join(twice, "window", "left_semi").select("segment_id", F.array(F.struct(F.col("at").alias("low"), (F.col("at") + depth).alias("high"))).alias("spans"))
-        found = found.unionByName(hits)
+    # a filter lets a few lone segments through, or a few more anchors into the crowd: all segments of an anchor go one way
+    todo = distinct.select("segment_id", "segment", "anchor").mapInArrow(with_anchor(build_filter(per_anchor.select("anchor"))), SEGMENT)
+    alone = todo
+    if crowded:
+        bits = build_filter(per_anchor.filter(~fits).select("anchor"))
+        alone = todo.mapInArrow(with_anchor(bits, False), SEGMENT)
+        copies = copies.unionByName(crowd_spans(todo.mapInArrow(with_anchor(bits), SEGMENT), depth, shard_bytes, memory))
+    found = copies.unionByName(sorted_shards(alone.withColumn("at", F.lit(0).cast("long")), "anchor", total or 0, depth, shard_bytes, memory))
     found = materialise(found.filter(F.size("spans") > 0), "segment-spans")
-    placed = segments.select("digest", "start", "segment_id").distinct().join(found.hint("merge"), "segment_id")
+    return materialise(placed_spans(segments, distinct, found).mapInArrow(merged, f"digest binary, spans {SPANS}"), "removed-spans")
+
+
+def placed_spans(segments: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """digest, spans: of each text, all found ranges of its segments.
+
+    The ranges of segments with over 1/HOT of all places, fewer than HOT, are broadcast; the rest meet in a shuffle join.
+    """
+    most = (distinct.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = found.join(F.broadcast(distinct.filter(F.col("n") > most).select("segment_id")), "segment_id", "left_semi")
+    hot = hot.groupBy("segment_id").agg(F.flatten(F.collect_list("spans")).alias("hot_spans"))
+    rows = segments.select("digest", "start", "segment_id").distinct().join(F.broadcast(hot), "segment_id", "left")
+    # a hot place has its answer: a key of its own, longer than any segment_id, keeps it from meeting its like in one task
+    rows = rows.withColumn("segment_id", F.when(F.col("hot_spans").isNull(), F.col("segment_id")).otherwise(F.encode(F.concat(F.hex("digest"), F.col("start").cast("string")), "UTF-8")))
+    rows = rows.join(found.hint("merge"), "segment_id", "left").withColumn("spans", F.coalesce("hot_spans", "spans")).filter("spans IS NOT NULL")
     moved = F.transform("spans", lambda s: F.struct((s["low"] + F.col("start")).alias("low"), (s["high"] + F.col("start")).alias("high")))
-    gathered = placed.select("digest", moved.alias("spans")).groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # of one text
-    return materialise(gathered.mapInArrow(merged, f"digest binary, spans {SPANS}"), "removed-spans")
+    return rows.select("digest", moved.alias("spans")).groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # of one text
 
 
 def kept_bytes(data: bytes, ranges) -> bytes:
@@ -273,7 +353,7 @@ def with_spans(docs: DataFrame, text_col: str, carried: list[str], **options) ->
     most = docs.count() / HOT
     hot = counts.filter(F.col("n") > most).select("digest").join(removed, "digest", "left").select("digest", F.col("spans").alias("hot_spans"), F.lit(True).alias("hot"))
     found = rows.join(F.broadcast(hot), "digest", "left")
-    found = found.withColumn("at", F.when(F.col("hot").isNull(), F.concat(F.lit("d"), F.hex("digest"))).otherwise(F.concat(F.lit("h"), F.xxhash64("row").cast("string"))))
+    found = found.withColumn("at", F.when(F.col("hot").isNull(), F.concat(F.lit("d"), F.hex("digest"))).otherwise(F.concat(F.lit("h"), F.monotonically_increasing_id().cast("string"))))
     cold = removed.select(F.concat(F.lit("d"), F.hex("digest")).alias("at"), "spans")
     return found.join(cold.hint("merge"), "at", "left").select("row", "data", F.coalesce("hot_spans", "spans").alias("spans"))
 

@@ -24,6 +24,8 @@ import numpy as np
 END, BREAK, FIRST = 0, 1, 2  # the last symbol, the one between segments, and that of byte 0
 SYMBOLS = 258
 PIECE = 1 << 18
+SPAN = 7  # symbols in a packed number
+PLACES = 1 << np.arange(9, 9 * SPAN, 9, dtype=np.int64)
 
 
 class Queues:
@@ -155,23 +157,39 @@ def run_lengths(text: np.ndarray, depth: int) -> np.ndarray:
     return np.minimum(np.minimum.accumulate(ends[::-1])[::-1] - np.arange(n) + 1, depth).astype(np.int16)
 
 
-def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Length of the common prefix of suffixes a[k] and b[k], depth at most."""
-    out, live = np.zeros(len(a), np.int16), np.arange(len(a))
-    padded = np.append(text, np.zeros(8, text.dtype))
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    for k in range(0, depth, 8):
-        x, y = a[live] + k, b[live] + k
-        live, x, y = (v[(x < len(text)) & (y < len(text))] for v in (live, x, y))
-        same = words[x] == words[y]
-        whole = same.all(1)
-        out[live] = k + np.where(whole, 8, same.argmin(1))
+def packed(text: np.ndarray) -> np.ndarray:
+    """The SPAN symbols from each place, in order, in one number (9 bits each; zeros beyond the end)."""
+    two = np.append(text, np.zeros(SPAN, text.dtype)).astype(np.int64)
+    two = two[:-1] << 9 | two[1:]
+    four = two[:-2] << 18 | two[2:]
+    return (four[: len(text)] << 27) | (four[3 : 3 + len(text)] & ((1 << 27) - 1))
+
+
+def common_prefixes(words: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Length of the common prefix of suffixes a[k] and b[k], depth at most; ``known`` symbols of it are known to agree."""
+    out = np.zeros(len(a), np.int64) if known is None else known
+    live = np.flatnonzero(out < depth)
+    while len(live):
+        differ = words[a[live] + out[live]] ^ words[b[live] + out[live]]
+        whole = differ == 0
+        out[live] += np.where(whole, SPAN, SPAN - 1 - np.searchsorted(PLACES, differ, side="right"))
         live = live[whole]
-        if not len(live):
-            break
+        live = live[out[live] < depth]
     return np.minimum(out, depth).astype(np.int16)
 
 
+def alike(words: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the first size[k] symbols of a[k] and b[k] agree."""
+    out, live, at = np.ones(len(a), bool), np.arange(len(a)), 0
+    while len(live):
+        shift = 9 * (SPAN - np.minimum(SPAN, size[live] - at))
+        same = words[a[live] + at] >> shift == words[b[live] + at] >> shift
+        out[live] = same
+        at += SPAN
+        live = live[same & (size[live] > at)]
+    return out
+
+
 def induce(text, is_s, runs, lms, lcp, depth, memory, carry):
     """lms: LMS suffixes in order (or grouped by first symbol); gives (lms in order, marks of repeated positions)."""
     found, marks = [], np.zeros(len(text), bool) if carry else None
@@ -226,23 +244,50 @@ def induce(text, is_s, runs, lms, lcp, depth, memory, carry):
     return (np.concatenate(found)[::-1] if found else None), marks
 
 
-def ranked(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray, depth: int) -> np.ndarray:
-    """The LMS suffixes in order, from their substrings in order."""
-    length = np.zeros(len(text), np.int64)
-    length[lms] = np.append(np.diff(lms) + 1, 1)
-    size = np.minimum(length[ordered], depth)
-    same = (common_prefixes(text, ordered[1:], ordered[:-1], depth) >= size[1:]) & (size[1:] == size[:-1])
-    name = np.zeros(len(text), np.int64)
-    name[ordered] = np.append(0, np.cumsum(~same))
-    rank, span = name[lms], 1
-    while span <= depth // 2 + 1 and int(rank.max()) + 1 < len(lms):
-        ahead = np.append(rank[span:] + 1, np.zeros(min(span, len(rank)), np.int64))[: len(rank)]
-        key = rank * (len(lms) + 1) + ahead
-        order = np.argsort(key, kind="stable")
-        fresh = np.empty(len(lms), np.int64)
-        fresh[order] = np.append(0, np.cumsum(key[order][1:] != key[order][:-1]))
-        rank, span = fresh, 2 * span
-    return lms[np.argsort(rank, kind="stable")]
+def ranked(words: np.ndarray, lms: np.ndarray, ordered: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The LMS suffixes in order, from their substrings in order, and each one's common prefix with the one before it.
+
+    The reduced string of names is sorted by rank doubling. The ranks of all rounds stay: the common prefix of two suffixes
+    is found by jumping from the longest spans of equal names down to single ones, and then within one LMS substring.
+    """
+    count = len(lms)
+    number = np.zeros(int(lms[-1]) + 1, np.int32)
+    number[lms] = np.arange(count, dtype=np.int32)
+    order = number[ordered]
+    size = np.minimum(np.append(np.diff(lms) + 1, 1), depth)[order]
+    same = size[1:] == size[:-1]
+    same[same] = alike(words, ordered[1:][same], ordered[:-1][same], size[1:][same])
+    rank = np.empty(count, np.int32)
+    rank[order] = np.append(0, np.cumsum(~same))
+    levels, span, bits = [rank], 1, count.bit_length()
+    ends = np.append(lms, np.full(depth, lms[-1] + depth))
+    while True:
+        tied = order[1:][same]
+        if not len(tied) or (ends[np.minimum(tied + span, len(ends) - 1)] - lms[tied]).min() >= depth:
+            break
+        ahead = np.append(rank[span:] + 1, np.zeros(min(span, count), np.int32))[:count].astype(np.int64)
+        key = rank.astype(np.int64) << bits | ahead
+        if 3 * bits <= 63:
+            key = np.sort(key << bits | np.arange(count))
+            order, key = key & ((1 << bits) - 1), key >> bits
+        else:
+            order = np.argsort(key)
+            key = key[order]
+        same, span = key[1:] == key[:-1], 2 * span
+        rank = np.empty(count, np.int32)
+        rank[order] = np.append(0, np.cumsum(~same))
+        levels.append(rank)
+    x, y = order[1:].astype(np.int64), order[:-1].astype(np.int64)
+    common = np.zeros(count - 1, np.int64)
+    for level in reversed(range(len(levels))):
+        equal = (levels[level][x] == levels[level][y]) & (common < depth)
+        step = np.where(equal, 1 << level, 0)
+        ahead = np.minimum(x + step, count - 1)
+        common += lms[ahead] - lms[x]
+        x, y = ahead, np.minimum(y + step, count - 1)
+    common = np.minimum(common, depth)
+    place = lms[order]
+    return place, np.append(np.int16(0), common_prefixes(words, place[1:], place[:-1], depth, common)).astype(np.int16)
 
 
 def repeated(text: np.ndarray, depth: int, memory: int = 256 << 20) -> np.ndarray:
@@ -256,6 +301,5 @@ def repeated(text: np.ndarray, depth: int, memory: int = 256 << 20) -> np.ndarra
     order, _ = induce(text, is_s, runs, grouped, none, depth, memory, False)
     end = np.array([len(text) - 1])
     order = end if order is None else np.append(end, order[order != len(text) - 1])
-    order = ranked(text, lms, order, depth)
-    lcp = np.append(np.int16(0), common_prefixes(text, order[:-1], order[1:], depth)).astype(np.int16)
+    order, lcp = ranked(packed(text), lms, order, depth)
     return induce(text, is_s, runs, order, lcp, depth, memory, True)[1]

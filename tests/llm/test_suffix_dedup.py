@@ -50,7 +50,7 @@ def rows_of(df):
     return {r["k"]: tuple(r[c] for c in suffix_dedup.RESULTS) for r in df.collect()}
 
 
-@pytest.mark.parametrize("options", [{}, {"crowded": 1}, {"crowded": 500}, {"shard_bytes": 5000, "memory": 2000}])
+@pytest.mark.parametrize("options", [{}, {"shard_bytes": 20000}, {"shard_bytes": 5000, "memory": 2000}])
 def test_matches_brute_force(spark, options):
     texts = planted()
     df = spark.createDataFrame([(k, t, 1, 2) for k, t in enumerate(texts)], "k long, text string, n_bytes int, digest int")
@@ -70,3 +70,13 @@ def test_cut_texts_and_empty(spark):
     cut = suffix_dedup.remove_repeats(df)
     assert cut.columns == df.columns and {r["doc_id"]: r["text"] for r in cut.collect()} == {1: "", 2: "b", 3: ""}
     assert suffix_dedup.measure(df.limit(0)).collect() == []
+
+
+def test_crowded_passage_in_many_contexts(spark, monkeypatch):
+    """A passage in every text, with few kinds of neighbours: split by window ends, in tasks that forget what they saw."""
+    monkeypatch.setattr(suffix_dedup, "SEEN", 5)
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcde fgh") for _ in range(450))
+    texts = ["".join(rng.choice("xy") for _ in range(rng.randrange(1, 40))) + passage + "".join(rng.choice("zw") for _ in range(rng.randrange(1, 40))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").repartition(5)
+    assert rows_of(suffix_dedup.measure(df, shard_bytes=4000, memory=3000)) == dict(enumerate(brute(texts, 200)))
