@@ -24,13 +24,12 @@ columns pass through, and a column named class_id is replaced.
 
 from __future__ import annotations
 
+import functools
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,53 +38,65 @@ from quantframe.llm.bloom import ODD, build_filter, in_filter, mix
 from quantframe.llm.common import SPACE, materialise, or_empty
 from quantframe.llm.graph import components
 
-WORD = re.compile(r"[^ \t\n\v\f\r]+")
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 32, 5, 0.8
-SMALL, BLOCK = 16, 1024
+SMALL, BLOCK, ELEMENTS = 16, 1024, 1 << 21
 FIRST_RANK = 0.25
 CHUNK_WORDS = 60_000
-CACHED_WORDS = 200_000
 HOT = 1000
 
-_hashes: dict[str, int] = {}
-
-
 def uniform(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    words = WORD.findall((text or "").lower())
-    if len(_hashes) > CACHED_WORDS:
-        _hashes.clear()
-    for w in words:
-        if w not in _hashes:
-            _hashes[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+def laid_out(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of each word of the lower-cased texts, in order.
+
+    A word's hash is a polynomial of its bytes, from running sums of bytes times powers of an odd base.
+    """
+    lowered = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b" ".join([b"", *lowered, b""]), np.uint8)  # a space before each text and after the last
+    space = IS_SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    low, high = edge[0::2], edge[1::2]
+    n = len(data)
+    if len(_powers[0]) < n:
+        size = 2 * n
+        _powers[:] = [np.cumprod(np.append(np.uint64(1), np.full(size, base, np.uint64)), dtype=np.uint64) for base in (BASE, INVERSE)]
+    total = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[0][:n], dtype=np.uint64))
+    ends = np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1)
+    return np.searchsorted(ends, low, side="left"), mix((total[high] - total[low]) * _powers[1][low])
+
+
+IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def shingles(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, shingle, count), sorted by document and shingle."""
-    docs, keys = [], []
-    for k, text in enumerate(texts):
-        w = word_hashes(text)
-        if not len(w):
-            continue
-        n = max(1, len(w) - size + 1)
-        h = np.zeros(n, np.uint64)
-        for j in range(min(size, len(w))):
-            h = h * ODD + w[j : j + n]
-        keys.append(mix(h))
-        docs.append(np.full(n, k))
-    if not docs:
+    doc, w = laid_out(texts)
+    if not len(doc):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    doc, key = np.concatenate(docs), np.concatenate(keys)
-    order = np.lexsort((key, doc))
-    doc, key = doc[order], key[order]
-    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
-    return doc[first], key[first], np.diff(np.append(first, len(doc)))
-
-
+    words = np.bincount(doc, minlength=len(texts))
+    starts = np.cumsum(words) - words
+    number = np.maximum(words - size + 1, np.minimum(words, 1))
+    at = np.repeat(starts - (np.cumsum(number) - number), number) + np.arange(number.sum())
+    owner = np.repeat(np.arange(len(texts)), number)
+    h = np.zeros(len(at), np.uint64)
+    padded = np.append(w, np.zeros(size, np.uint64))
+    for j in range(size):
+        step = h * ODD + padded[at + j]
+        h = step if j == 0 else np.where(j < words[owner], step, h)
+    key = mix(h)
+    ends = np.cumsum(number)
+    for low, high in zip((ends - number).tolist(), ends.tolist()):
+        key[low:high].sort()
+    first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])))
+    return owner[first], key[first], np.diff(np.append(first, len(key)))
+
+
+@functools.cache
 def poisson_table(mean: float) -> np.ndarray:
     most = int(mean + 12 * math.sqrt(mean) + 30)
     k = np.arange(most)
@@ -96,8 +107,10 @@ def poisson_table(mean: float) -> np.ndarray:
 def throw(key: np.ndarray, level: int, step: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Darts in cell (level, step) of each shingle: the shingle's position in key, and the dart's hash."""
     cell = mix(key + np.uint64((level * 64 + step + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
-    n = np.searchsorted(table, uniform(cell), side="right")
-    at = np.repeat(np.arange(len(key)), n)
+    chance = uniform(cell)
+    some = np.flatnonzero(chance >= table[0])
+    n = np.searchsorted(table, chance[some], side="right")
+    at = np.repeat(some, n)
     number = (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
     return at, mix(cell[at] + (number + np.uint64(1)) * ODD)
 
@@ -112,24 +125,23 @@ def signatures_of(doc: np.ndarray, key: np.ndarray, count: np.ndarray, docs: int
     low, high, step = 0.0, FIRST_RANK, 0
     while len(doc):
         level = 0
-        slots, ranks, darts = [], [], []
         at = np.arange(len(doc))
+        fresh: list[tuple[np.ndarray, ...]] = []
         while len(at := at[count[at] > 2**level - 1]):
             hit, dart = throw(key[at], level, step, poisson_table(2**level * (high - low)))
             hit = at[hit]
-            weight = 2**level - 1 + 2**level * uniform(mix(dart + np.uint64(1)))
-            mine = weight < count[hit]
-            hit, dart = hit[mine], dart[mine]
-            slots.append(doc[hit] * k + (mix(dart + np.uint64(2)) % np.uint64(k)).astype(np.int64))
-            ranks.append(low + (high - low) * uniform(mix(dart + np.uint64(3))))
-            darts.append(dart)
+            if level:
+                mine = 2**level - 1 + 2**level * uniform(mix(dart + np.uint64(1))) < count[hit]
+                hit, dart = hit[mine], dart[mine]
+            slot = doc[hit] * k + (mix(dart + np.uint64(2)) % np.uint64(k)).astype(np.int64)
+            mine = np.isinf(best[slot])  # an earlier cell's dart is earlier
+            dart = dart[mine]
+            fresh.append((slot[mine], low + (high - low) * uniform(mix(dart + np.uint64(3))), dart))
             level += 1
-        slot, rank, dart = np.concatenate(slots), np.concatenate(ranks), np.concatenate(darts)
-        order = np.lexsort((dart, rank, slot))
-        slot, rank, dart = slot[order], rank[order], dart[order]
-        first = np.append(True, slot[1:] != slot[:-1])[: len(slot)] & np.isinf(best[slot])  # an earlier cell's dart is earlier
-        best[slot[first]] = rank[first]
-        out.ravel()[slot[first]] = dart[first]
+        slot, rank, dart = (np.concatenate(x) for x in zip(*fresh))
+        order = np.argsort(-rank)  # the last of a coordinate's darts to be set is the earliest
+        best[slot[order]] = rank[order]
+        out.ravel()[slot[order]] = dart[order]
         open_ = np.isinf(best.reshape(-1, k)).any(1)[doc]
         doc, key, count = doc[open_], key[open_], count[open_]
         low, high, step = high, 2 * high, step + 1
@@ -227,19 +239,25 @@ def near_links(nodes: DataFrame, docs: DataFrame, size: int, threshold: float, s
 def block_links(many: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links between classes inside the large buckets (key, node) that span several.
 
-    A bucket's nodes are numbered by class and cut into blocks; each pair of blocks, unless both are of one class, is a
-    group of at most 2 * BLOCK nodes with their multisets, and a task compares one side with the other.
+    A bucket's nodes are dealt to blocks of about BLOCK nodes and at most ELEMENTS shingles on average: those of a class that
+    fills a block or more to blocks of its own, by their hash, whole smaller classes together. Each pair of blocks, unless
+    both are of one class, is a group, and a task compares one side with the other.
     """
-    now = materialise(many.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "buckets-now")
-    spans = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    number = F.row_number().over(Window.partitionBy("key").orderBy("component", "node")) - 1
-    dealt = materialise(now.join(spans, "key").withColumn("block", F.floor(number / F.lit(BLOCK)).cast("int")), "blocks")
+    now = materialise(many.join(labels, "node", "left").select("key", "node", "shingles", F.coalesce("component", "node").alias("component")), "buckets-now")
+    load = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("shingles") / ELEMENTS)
+    classes = now.groupBy("key", "component").agg(load.alias("load"))
+    spans = classes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.when(F.col("load") < 1, F.col("load"))).alias("small")).filter("kinds > 1")
+    classes = materialise(classes.join(spans, "key").select("key", "component", "load", "small"), "bucket-classes")
+    own = F.col("load") >= 1
+    block = F.when(own, F.struct(F.col("component").alias("of"), F.pmod(F.xxhash64("node"), F.ceil("load")).alias("part")))
+    block = block.otherwise(F.struct(F.lit(-1).cast("long").alias("of"), F.pmod(F.xxhash64("component"), F.ceil("small")).alias("part")))
+    dealt = materialise(now.join(classes, ["key", "component"]).select("key", "node", "component", block.alias("block")), "blocks")
     blocks = dealt.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     x, y = (blocks.select("key", F.col("block").alias(n), F.col("low").alias(f"low_{n}"), F.col("high").alias(f"high_{n}")) for n in "ij")
     pairs = x.join(y, "key").filter("i <= j AND NOT (low_i = high_i AND low_j = high_j AND low_i = low_j)").select("key", "i", "j")
     pairs = materialise(pairs, "block-pairs")
     ends = pairs.select("key", "i", "j", F.col("i").alias("block")).unionByName(pairs.filter("i < j").select("key", "i", "j", F.col("j").alias("block")))
-    held = dealt.join(ends, ["key", "block"]).join(sets, "node").select("key", "i", "j", "block", "node", "component", "elements")
+    held = dealt.join(ends, ["key", "block"]).join(sets, "node").select("key", "i", "j", (F.col("block") == F.col("i")).alias("left"), (F.col("block") == F.col("j")).alias("right"), "node", "component", "elements")
     return materialise(held.groupBy("key", "i", "j").applyInArrow(compared(threshold), "a long, b long"), "block-links")
 
 
@@ -247,12 +265,11 @@ def compared(threshold: float):
     """The function for applyInArrow over the nodes of two blocks: links that join two classes of them, as few as do."""
 
     def compare(group: pa.Table) -> pa.Table:
-        i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        block, node, of = (group[c].to_numpy() for c in ("block", "node", "component"))
+        left, right, node, of = (group[c].to_numpy() for c in ("left", "right", "node", "component"))
         lists = group["elements"].combine_chunks()
         ends = np.asarray(lists.offsets)
         flat, size = lists.values.to_numpy(), np.diff(ends)
-        right = np.flatnonzero(block == j)
+        right = np.flatnonzero(right)
         value = np.concatenate([flat[ends[k] : ends[k + 1]] for k in right] or [flat[:0]])
         owner = np.repeat(np.arange(len(right)), size[right])
         order = np.argsort(value, kind="stable")
@@ -265,7 +282,7 @@ def compared(threshold: float):
             return c
 
         a, b = [], []
-        for k in np.flatnonzero(block == i):
+        for k in np.flatnonzero(left):
             mine = flat[ends[k] : ends[k + 1]]
             low = np.searchsorted(value, mine, "left")
             n = np.searchsorted(value, mine, "right") - low
