@@ -39,7 +39,7 @@ from quantframe.llm.suffix_sort import BREAK, END, FIRST, repeated
 
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 DEPTH, GRAM = 200, 64
-CHUNK_BYTES, SHARD_BYTES, PART_BYTES = 2 << 20, 4 << 20, 1 << 16
+CHUNK_BYTES, SHARD_BYTES, PART_BYTES = 2 << 20, 3 << 19, 1 << 16
 HOT = 1000
 
 

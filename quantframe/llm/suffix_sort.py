@@ -145,24 +145,27 @@ def edges(symbol: np.ndarray) -> tuple[list[int], list[int]]:
 
 def types(text: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one; the last is."""
-    n = len(text)
-    step = np.sign(text[1:].astype(np.int32) - text[:-1])
-    following = np.minimum.accumulate(np.where(step != 0, np.arange(n - 1), n - 1)[::-1])[::-1]
-    return np.append(np.append(step, 1)[following] > 0, True)
+    step = np.append(np.sign(np.diff(text)), text.dtype.type(1))
+    place = np.arange(len(text), dtype=np.int32)
+    place[step == 0] = len(text) - 1
+    return step[np.minimum.accumulate(place[::-1])[::-1]] > 0
 
 
 def run_lengths(text: np.ndarray, depth: int) -> np.ndarray:
-    n = len(text)
-    ends = np.where(np.append(text[1:] != text[:-1], True), np.arange(n), n)
-    return np.minimum(np.minimum.accumulate(ends[::-1])[::-1] - np.arange(n) + 1, depth).astype(np.int16)
+    place = np.arange(len(text), dtype=np.int32)
+    ends = place.copy()
+    ends[:-1][text[1:] == text[:-1]] = len(text)
+    ends = np.minimum.accumulate(ends[::-1])[::-1]
+    return np.minimum(ends - place + 1, depth).astype(np.int16)
 
 
 def packed(text: np.ndarray) -> np.ndarray:
     """The SPAN symbols from each place, in order, in one number (9 bits each; zeros beyond the end)."""
-    two = np.append(text, np.zeros(SPAN, text.dtype)).astype(np.int64)
-    two = two[:-1] << 9 | two[1:]
-    four = two[:-2] << 18 | two[2:]
-    return (four[: len(text)] << 27) | (four[3 : 3 + len(text)] & ((1 << 27) - 1))
+    words = np.zeros(len(text), np.int64)
+    for k in range(SPAN):
+        words <<= 9
+        words[: len(text) - k] |= text[k:]
+    return words
 
 
 def common_prefixes(words: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int, known: np.ndarray | None = None) -> np.ndarray:
