@@ -164,7 +164,7 @@ def packed(text: np.ndarray) -> np.ndarray:
     words = np.zeros(len(text), np.int64)
     for k in range(SPAN):
         words <<= 9
-        words[: len(text) - k] |= text[k:]
+        words[: max(0, len(text) - k)] |= text[k:]
     return words
 
 
