@@ -1,11 +1,13 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms that give it away.
 
-1. Patterns find e-mail addresses, IP addresses, card and phone numbers in every whole text; each value is an entity.
+1. Patterns find e-mail addresses, IP addresses, card and phone numbers in every whole text, and long tokens of high entropy
+   are secrets. Protected entities are each value, its group (mail domain, address block, number prefix) and its kind.
 2. Terms (letters only, at least MIN_LETTERS) anywhere in a document of an entity are candidates. Over all documents,
    n(e), n(t, e) and n(t) give how strongly a term reveals an entity: its pointwise mutual information with the entity as
    a share of the entity's information, log(N n(t,e) / n(t) n(e)) / log(N / n(e)). 1 says that who sees the term can
    tell the entity.
-3. Candidates with at least ``support`` documents in common and a share over ``generalise`` are generalised to their shape
+3. Candidates with at least ``support`` documents in common (``group_support`` with a group or kind, so that chance
+   doesn't count) and a share over ``generalise`` are generalised to their shape
    at each of their places in every document of that entity; over ``remove`` they are removed. With ``everywhere``, this
    holds for every place in any document, also where the entity is not written.
 
@@ -21,6 +23,7 @@ gives an empty result; other columns pass through, and a column named like a res
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -39,8 +42,9 @@ from quantframe.llm.common import materialise
 
 KINDS = ("email", "ip", "card", "phone")
 ACTIONS = ("generalise", "remove")
+SECRET = "secret"
 COUNTS = tuple(f"n_{k}" for k in KINDS)
-RESULTS = (*COUNTS, "base_sha256", "spans")
+RESULTS = (*COUNTS, "base_sha256", "spans", "n_spans")
 MIN_LETTERS = 4
 CACHED_WORDS = CACHED_PAIRS = 300_000
 #: A pair with over 1/HOT of all places' rows is hot; fewer than HOT can be.
@@ -54,6 +58,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TOKEN = re.compile(r"[A-Za-z0-9_-]{20,}+")
 TERM = re.compile(rf"[^\W\d_]{{{MIN_LETTERS},}}")
 
 Span = tuple[str, int, int]
@@ -94,8 +99,28 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
-def entity(kind: str, value: str) -> str:
-    return f"{kind}:{value.lower() if kind in ('email', 'ip') else ''.join(DIGIT.findall(value))}"
+def entropy(token: str) -> float:
+    """Bits per character, by the token's own character counts."""
+    return sum(n / len(token) * math.log2(len(token) / n) for n in Counter(token).values())
+
+
+def secret_spans(text: str) -> list[Span]:
+    """Long tokens that look drawn at random: four digits and four letters at least, and over 3 bits per character."""
+    if not DIGIT.search(text):
+        return []
+    return [(SECRET, *m.span()) for m in TOKEN.finditer(text) if sum(map(str.isdigit, m[0])) >= 4 and sum(map(str.isalpha, m[0])) >= 4 and entropy(m[0]) > 3]
+
+
+def entities_of(kind: str, value: str) -> tuple[str, ...]:
+    """What is protected: the value (kind:value), the group that it belongs to (kind/group) and its kind (kind/)."""
+    if kind == "email":
+        return f"email:{value.lower()}", f"email/{value.lower().rpartition('@')[2]}", "email/"
+    if kind == "ip":
+        return f"ip:{value}", f"ip/{value.rpartition('.')[0]}", "ip/"
+    if kind == SECRET:
+        return f"secret:{value}", "secret/"
+    digits = "".join(DIGIT.findall(value))
+    return f"{kind}:{digits}", f"{kind}/{digits[: 6 if kind == 'card' else 4]}", f"{kind}/"
 
 
 def terms_of(text: str, spans: list[tuple[int, int]]) -> dict[str, list[tuple[int, int]]]:
@@ -116,26 +141,28 @@ ENTITIES = T.ArrayType(T.StringType())
 
 
 def searched(whole: bool):
-    """The function for mapInArrow: .., text -> .., base, entities, text: null without entities unless ``whole``."""
+    """The function for mapInArrow: .., text -> .., base, secrets, entities, text: null without entities unless ``whole``."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            spans, names, texts = [], [], []
+            spans: tuple[list, list] = ([], [])
+            names, texts = [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
-                found = base_spans(text or "")
-                spans.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
-                names.append(sorted({entity(k, text[s:e]) for k, s, e in found}))
-                texts.append(text if found or whole else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, span_type), pa.array(names, pa.list_(pa.string())), pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "base", "entities", "text"])
+                both = base_spans(text or ""), secret_spans(text or "")
+                for out, found in zip(spans, both):
+                    out.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
+                names.append(sorted({x for found in both for k, s, e in found for x in entities_of(k, text[s:e])}))
+                texts.append(text if names[-1] or whole else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, span_type) for x in spans), pa.array(names, pa.list_(pa.string())), pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "base", "secrets", "entities", "text"])
 
     return search
 
 
 def find_base(docs: DataFrame, text_col: str, carried: list[str], whole: bool = False) -> DataFrame:
-    """row, uid, base, entities, text (of documents with entities, or of all): a table with a row per document."""
+    """row, uid, base, secrets, entities, text (of documents with entities, or of all): a table with a row per document."""
     rows = docs.select(F.struct(*carried).alias("row"), F.col(text_col).alias("searched_text"))
-    out = rows.mapInArrow(searched(whole), T.StructType([rows.schema["row"], T.StructField("base", SPANS), T.StructField("entities", ENTITIES), T.StructField("text", T.StringType())]))
+    out = rows.mapInArrow(searched(whole), T.StructType([rows.schema["row"], T.StructField("base", SPANS), T.StructField("secrets", SPANS), T.StructField("entities", ENTITIES), T.StructField("text", T.StringType())]))
     return materialise(out.withColumn("uid", F.monotonically_increasing_id()), "pii-base")
 
 
@@ -184,7 +211,7 @@ def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, list
 
 
 def paired(bits: np.ndarray):
-    """The function for mapInArrow: uid, text, entities, base -> entity, term, n: the documents of each part that have both."""
+    """The function for mapInArrow: uid, text, entities, spans -> entity, term, n: the documents of each part that have both."""
 
     def rows(seen: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"entity": pa.array([e for e, _ in seen], pa.string()), "term": pa.array([t for _, t in seen], pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
@@ -205,7 +232,7 @@ def paired(bits: np.ndarray):
 
 
 def placed(bits: np.ndarray, everywhere: bool):
-    """The function for mapInArrow: uid, text, entities, base -> uid, key, places of the keys (pairs or terms) that the filter may hold."""
+    """The function for mapInArrow: uid, text, entities, spans -> uid, key, places of the keys (pairs or terms) that the filter may hold."""
     place_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def rows(out: list) -> pa.RecordBatch:
@@ -225,13 +252,14 @@ def placed(bits: np.ndarray, everywhere: bool):
     return place
 
 
-def disclosures(docs: DataFrame, found: DataFrame, text_col: str, support: int, generalise: float, remove: float) -> DataFrame:
+def disclosures(docs: DataFrame, found: DataFrame, text_col: str, support: int, generalise: float, remove: float, group_support: int = 20) -> DataFrame:
     """entity, term, share, action of the pairs that exceed a threshold, with n_te and n_t."""
     total = found.count()
-    n_e = materialise(found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support), "pii-entities")
+    least = F.when(F.col("entity").rlike("^[a-z]+/"), group_support).otherwise(support)
+    n_e = materialise(found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= least), "pii-entities")
     bits = build_filter(n_e.select("entity").mapInArrow(term_hashes, "h long"))
-    pairs = found.filter(F.size("entities") > 0).select("uid", "text", "entities", "base").mapInArrow(paired(bits), "entity string, term string, n long")
-    pairs = materialise(pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_te")).filter(F.col("n_te") >= support), "pii-pairs")
+    pairs = found.filter(F.size("entities") > 0).select("uid", "text", "entities", F.concat("base", "secrets").alias("spans")).mapInArrow(paired(bits), "entity string, term string, n long")
+    pairs = materialise(pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_te")).filter(F.col("n_te") >= least), "pii-pairs")
     terms = pairs.select("term").distinct()
     bits = build_filter(terms.mapInArrow(term_hashes, "h long"))
     n_t = docs.select(text_col).mapInArrow(counted(bits), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
@@ -250,7 +278,7 @@ def find_places(found: DataFrame, told: DataFrame, everywhere: bool) -> DataFram
     bits = build_filter(keys.select("key").mapInArrow(term_hashes, "h long"))
     least = (keys.agg(F.sum("n")).first()[0] or 0) / HOT
     hot, cold = keys.filter(F.col("n") > least), keys.filter(F.col("n") <= least)
-    places = found.filter(F.col("text").isNotNull() if everywhere else F.size("entities") > 0).select("uid", "text", "entities", "base").mapInArrow(placed(bits, everywhere), T.StructType([T.StructField("uid", T.LongType()), T.StructField("key", T.StringType()), T.StructField("places", T.ArrayType(T.StructType(PLACE)))]))
+    places = found.filter(F.col("text").isNotNull() if everywhere else F.size("entities") > 0).select("uid", "text", "entities", F.concat("base", "secrets").alias("spans")).mapInArrow(placed(bits, everywhere), T.StructType([T.StructField("uid", T.LongType()), T.StructField("key", T.StringType()), T.StructField("places", T.ArrayType(T.StructType(PLACE)))]))
     places = places.join(F.broadcast(hot.select("key", F.col("action").alias("hot_action"))), "key", "left")
     # a hot row has its answer: a key of its own, without the zero that all others have, keeps it from meeting its like in one task
     places = places.withColumn("key", F.when(F.col("hot_action").isNull(), F.col("key")).otherwise(F.col("uid").cast("string"))).join(cold.select("key", "action"), "key", "left")
@@ -258,14 +286,20 @@ def find_places(found: DataFrame, told: DataFrame, everywhere: bool) -> DataFram
     return places.select("uid", "action", F.inline("places")).groupBy("uid", "start", "end").agg(F.max("action").alias("kind"))
 
 
-def find_personal_data(docs: DataFrame, text_col: str = "text", support: int = 3, generalise: float = 0.8, remove: float = 0.95, carry: list[str] | None = None, everywhere: bool = False) -> DataFrame:
-    """docs (or the columns of ``carry``) with base (pattern spans) and terms (spans of revealing terms: kind is the action)."""
-    carried = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ("base", "terms")]
+def marked(docs: DataFrame, text_col: str, carried: list[str], support: int = 3, generalise: float = 0.8, remove: float = 0.95, everywhere: bool = False, group_support: int = 20) -> DataFrame:
+    """row (of the carried columns), base and terms of each document."""
     found = find_base(docs, text_col, carried, everywhere)
-    told = disclosures(docs, found, text_col, support, generalise, remove)
+    told = disclosures(docs, found, text_col, support, generalise, remove, group_support)
     hits = find_places(found, told, everywhere)
-    terms = hits.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("terms"))  # of one document
-    return found.select("uid", "row", "base").join(terms, "uid", "left").select("row.*", "base", F.coalesce("terms", F.array().cast(SPANS)).alias("terms"))
+    terms = hits.groupBy("uid").agg(F.collect_list(F.struct("kind", "start", "end")).alias("terms"))  # of one document
+    added = F.array_sort(F.concat(F.coalesce("terms", F.array().cast(SPANS)), "secrets"))
+    return found.select("uid", "row", "base", "secrets").join(terms, "uid", "left").select("row", "base", added.alias("terms"))
+
+
+def find_personal_data(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, **options) -> DataFrame:
+    """docs (or the columns of ``carry``) with base (pattern spans) and terms (spans of secrets, and of revealing terms: kind is the action)."""
+    carried = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ("base", "terms")]
+    return marked(docs, text_col, carried, **options).select("row.*", "base", "terms")
 
 
 def written_out(spans: Column) -> Column:
@@ -276,11 +310,21 @@ def of_kind(kind: str):
     return lambda span: span["kind"] == kind
 
 
-def report(found: DataFrame) -> DataFrame:
-    """Counts per kind, the digest of the pattern spans, and all spans as text."""
-    rest = [c for c in found.columns if c.lower() not in (*RESULTS, "base", "terms")]
+def measures() -> list[Column]:
     counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select(*rest, *counts, F.sha2(written_out(F.col("base")).cast("binary"), 256).alias("base_sha256"), written_out(F.concat("base", "terms")).alias("spans"))
+    spans = F.concat("base", "terms")
+    return [*counts, F.sha2(written_out(F.col("base")).cast("binary"), 256).alias("base_sha256"), written_out(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans")]
+
+
+def report(found: DataFrame) -> DataFrame:
+    """Counts per kind, the digest of the pattern spans, all spans as text and their number, from find_personal_data."""
+    return found.select(*[c for c in found.columns if c.lower() not in (*RESULTS, "base", "terms")], *measures())
+
+
+def report_documents(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, **options) -> DataFrame:
+    """docs (or the columns of ``carry``), columns named base or terms too, with what ``report`` gives."""
+    carried = [c for c in (docs.columns if carry is None else carry) if c.lower() not in RESULTS]
+    return marked(docs, text_col, carried, **options).select(F.col("row"), *measures()).select("row.*", *RESULTS)
 
 
 def shape(word: str) -> str:
@@ -310,4 +354,4 @@ def sanitise(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return report(find_personal_data(docs, carry=["doc_id"]))
+    return report_documents(docs, carry=["doc_id"])

@@ -1,10 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule looks at one document and may reject it; a document is kept if no rule rejects it, so the order of the rules
-changes the cost and not the verdict. A sample of documents estimates what each rule costs and how many it rejects, each
-on the documents that the rules before it let through; rules then run by rejections per second, best first, and a document
-leaves at its first rejection. The sample is spread by hash over the whole table, about ``sample_rows`` documents, and it
-only orders the rules: every document is judged on its whole text.
+changes the cost and not the verdict. A sample of rows estimates what each rule costs and how many it rejects, each on the
+documents that the rules before it let through; work that rules share (splitting words) counts for the first of them only.
+Rules then run by rejections per second, best first, and a document leaves at its first rejection. The sample is drawn by row,
+about ``sample_rows`` and at most twice as many, and it only orders the rules: every document is judged on its whole text.
 
 Rules (their thresholds are parameters): too few words, repeated three-word windows, mean word length, symbols per word,
 repeated lines, words without a letter, bars between words, shouting (words in capitals only), one word over and over.
@@ -114,40 +114,80 @@ def default_rules(min_words: int = 50, repeat_percent: int = 50, shortest: int =
 BASE = ("few_words", "repeated_windows")
 
 
+class Timed(Text):
+    """A text that notes the seconds of each measure without those of the measures that it uses."""
+
+    def __init__(self, text: str | None):
+        super().__init__(text)
+        self.spent: dict[str, float] = {}
+        self.within = [0.0]  # of each measure that is being worked out: the seconds of the measures that it uses
+
+
+def timed(name: str) -> cached_property:
+    work_out = getattr(Text, name).func
+
+    def get(doc: Timed):
+        began = time.perf_counter()
+        doc.within.append(0.0)
+        value = work_out(doc)
+        took = time.perf_counter() - began
+        doc.spent[name] = took - doc.within.pop()
+        doc.within[-1] += took
+        return value
+
+    return cached_property(get)
+
+
+MEASURES = tuple(name for name, x in vars(Text).items() if isinstance(x, cached_property))
+for _name in MEASURES:
+    setattr(Timed, _name, timed(_name))
+    getattr(vars(Timed)[_name], "__set_name__")(Timed, _name)
+
+
 def measured(rules: dict[str, Rule]):
-    """For each rule of each sampled document: seconds on its own, and which rules reject it."""
+    """For each set of rules that reject a sampled document: documents (of ""), and seconds of each rule alone and of each measure that it uses."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seconds, rejected = dict.fromkeys(rules, 0.0), {}
+            out: dict[tuple[int, str, str], float] = {}
             for text in batch.column(0).to_pylist():
-                hit = []
+                mask, spent = 0, {}
                 for k, (name, rule) in enumerate(rules.items()):
-                    doc = Text(text)
+                    doc = Timed(text)
                     began = time.perf_counter()
-                    if rule(doc):
-                        hit.append(k)
-                    seconds[name] += time.perf_counter() - began
-                mask = sum(1 << k for k in hit)
-                rejected[mask] = rejected.get(mask, 0) + 1
-            yield pa.RecordBatch.from_pydict({"mask": [*rejected, *[-1 - k for k in range(len(rules))]], "n": [*map(float, rejected.values()), *seconds.values()]})
+                    mask |= bool(rule(doc)) << k
+                    spent[name, ""] = time.perf_counter() - began - doc.within[0]
+                    spent |= {(name, m): x for m, x in doc.spent.items()}
+                for (name, m), x in [*spent.items(), (("", ""), 1.0)]:
+                    out[mask, name, m] = out.get((mask, name, m), 0.0) + x
+            yield pa.RecordBatch.from_pydict({"mask": pa.array([k[0] for k in out], pa.int64()), "rule": pa.array([k[1] for k in out], pa.string()), "measure": pa.array([k[2] for k in out], pa.string()), "n": pa.array(list(out.values()), pa.float64())})
 
     return measure
 
 
-def order_rules(docs: DataFrame, rules: dict[str, Rule], text_col: str = "text", sample_rows: int = 2000) -> list[str]:
-    """Rule names by rejections per second, each on what the rules before it let through."""
+def order_rules(docs: DataFrame, rules: dict[str, Rule], text_col: str = "text", sample_rows: int = 2000, seed: int = 3) -> list[str]:
+    """Rule names by rejections per second, each on what the rules before it let through; a measure that an earlier rule worked out costs nothing."""
     total = docs.count()
-    sample = docs.select(text_col).filter(F.pmod(F.xxhash64(text_col), F.lit(10_000)) < max(1, -(-sample_rows * 10_000 // max(1, total))))
-    found = sample.mapInArrow(measured(rules), "mask long, n double").groupBy("mask").agg(F.sum("n").alias("n")).collect()  # a row per rule and per set of rules
-    names, seen = list(rules), {r["mask"]: r["n"] for r in found if r["mask"] >= 0}
-    cost = {name: max(1e-9, next((r["n"] for r in found if r["mask"] == -1 - k), 0.0)) for k, name in enumerate(names)}
+    sample = docs.select(text_col).sample(min(1.0, sample_rows / max(1, total)), seed).limit(2 * sample_rows)
+    found = sample.mapInArrow(measured(rules), "mask long, rule string, measure string, n double").groupBy("mask", "rule", "measure").agg(F.sum("n").alias("n")).collect()  # at most a set of rules per sampled row
+    bit = {name: 1 << k for k, name in enumerate(rules)}
     order: list[str] = []
-    while len(order) < len(names):
-        past = sum(1 << names.index(x) for x in order)
-        left = {m: n for m, n in seen.items() if not m & past}
-        rate = {x: sum(n for m, n in left.items() if m >> names.index(x) & 1) / cost[x] for x in names if x not in order}
-        order.append(min(rate, key=lambda x: (-rate[x], cost[x] if not rate[x] else 0, x)))
+    known: set[str] = set()
+    past = 0
+    while len(order) < len(rules):
+        cost, hits = dict.fromkeys(rules, 0.0), dict.fromkeys(rules, 0.0)
+        for r in found:
+            if r["mask"] & past:
+                continue
+            if not r["rule"]:
+                for x in rules:
+                    hits[x] += r["n"] * bool(r["mask"] & bit[x])
+            elif r["measure"] not in known:
+                cost[r["rule"]] += r["n"]
+        best = min((x for x in rules if x not in order), key=lambda x: (-hits[x] / max(cost[x], 1e-9), cost[x] if not hits[x] else 0, x))
+        known |= {r["measure"] for r in found if r["rule"] == best and r["measure"]}
+        past |= bit[best]
+        order.append(best)
     return order
 
 
@@ -157,10 +197,10 @@ def judged(rules: dict[str, Rule], order: list[str], counts: bool):
             out: dict[str, list] = {x: [] for x in ((*COUNTS, "rejected_by") if counts else ("rejected_by",))}
             for text in batch.column(batch.schema.get_field_index("judged_text")).to_pylist():
                 doc = Text(text)
-                if counts:
+                out["rejected_by"].append(next((name for name in order if rules[name](doc)), None))
+                if counts:  # measures that the rules worked out are there already
                     for x in COUNTS:
                         out[x].append(getattr(doc, x))
-                out["rejected_by"].append(next((name for name in order if rules[name](doc)), None))
             keep = batch.drop_columns(["judged_text"])
             types = {"rejected_by": pa.string()}
             yield pa.RecordBatch.from_arrays([*keep.columns, *(pa.array(v, types.get(k, pa.int64())) for k, v in out.items())], names=[*keep.schema.names, *out])
@@ -168,10 +208,13 @@ def judged(rules: dict[str, Rule], order: list[str], counts: bool):
     return judge
 
 
-def judge_documents(docs: DataFrame, text_col: str = "text", counts: bool = True, sample_rows: int = 2000, carry: list[str] | None = None, **thresholds) -> DataFrame:
-    """docs (or the columns of ``carry``) with the counts, base_failed, kept and rejected_by, the first rule that rejected the document."""
+def judge_documents(docs: DataFrame, text_col: str = "text", counts: bool = True, sample_rows: int = 2000, carry: list[str] | None = None, order: list[str] | None = None, **thresholds) -> DataFrame:
+    """docs (or the columns of ``carry``) with the counts, base_failed, kept and rejected_by, the first rule that rejected the document.
+
+    Measured seconds differ between runs, so the order and ``rejected_by`` may: a rerun that must agree passes the ``order`` of the first.
+    """
     rules = default_rules(**thresholds)
-    order = order_rules(docs, rules, text_col, sample_rows)
+    order = order or order_rules(docs, rules, text_col, sample_rows)
     carried = [c for c in (docs.columns if carry is None else carry) if c.lower() not in RESULTS]
     rows = docs.select(F.struct(*carried).alias("row"), F.col(text_col).alias("judged_text"))
     added = [*(T.StructField(x, T.LongType()) for x in COUNTS if counts), T.StructField("rejected_by", T.StringType())]

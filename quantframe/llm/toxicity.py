@@ -1,13 +1,14 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier is trained from confirmed toxic documents (P) and unlabelled text (U): labelled rows whose label isn't
-looked at. With class prior pi, the risk is pi R_P(+) + max(0, R_U(-) - pi R_P(-)); where the second part turns negative,
-the step goes against it, which keeps the classifier from fitting U. The prior is the share of confirmed rows.
+A linear classifier is trained from confirmed toxic documents (P) and unlabelled text (U): documents without a label. With
+class prior pi, the risk is pi R_P(+) + max(0, R_U(-) - pi R_P(-)); where the second part turns negative, the step goes
+against it, which keeps the classifier from fitting U. The prior is a parameter; left out, it is the share of confirmed rows
+among the labelled ones. Known negatives are used for nothing else.
 
 Features are words and word beginnings of 4 to 7 letters, by their share of the document's words; from all those in the
-sample, the ``features`` that tell P from U best (likelihood ratio) are kept. P and U are bounded samples of labelled
-rows, ``sample_rows`` each at most, drawn by hash. The score is shifted so that 0.7 is the threshold that is best by F1
-over labelled rows of the sample. Every document is scored on its whole text.
+sample, the ``features`` that tell P from U best (likelihood ratio) are kept. P and U are bounded samples, ``sample_rows``
+each at most, drawn by hash. The score is shifted so that 0.7 is the middle of the widest gap between outputs on U that
+leaves between half and twice the prior above it. Every document is scored on its whole text.
 
 Only rows whose crc32(doc_id as text) mod 3 isn't 1 are learnt from. Defined cases: a null doc_id counts as the text '';
 null and empty texts get the score of no feature; a null label is unlabelled; rows that repeat score alike; without any
@@ -103,43 +104,61 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def risk(theta: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk with the logistic loss: pi R_P(+), and R_U(-) - pi R_P(-), which the minimum keeps from going below zero."""
+    zp, zu = xp @ theta[:-1] + theta[-1], xu @ theta[:-1] + theta[-1]
+    return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+
+def direction(theta: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> np.ndarray:
+    """Gradient of both parts where the second is positive; elsewhere minus that of the second, which takes the step back."""
+    sp, su = sigmoid(xp @ theta[:-1] + theta[-1]), sigmoid(xu @ theta[:-1] + theta[-1])
+    unlabelled, shared = su / len(su), -prior * sp / len(sp)  # gradients of R_U(-) and -pi R_P(-) by the output
+    if risk(theta, xp, xu, prior)[1] >= 0:
+        gp, gu = prior * (sp - 1) / len(sp) + shared, unlabelled
+    else:
+        gp, gu = -shared, -unlabelled
+    return np.append(xp.T @ gp + xu.T @ gu, gp.sum() + gu.sum())
+
+
 def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk with the logistic loss, by Adam steps on all rows."""
+    """Weights and bias that minimise the non-negative risk, by Adam steps on all rows."""
     theta = np.zeros(xp.shape[1] + 1)
     theta[-1] = np.log(prior / (1 - prior))
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        sp, su = sigmoid(xp @ theta[:-1] + theta[-1]), sigmoid(xu @ theta[:-1] + theta[-1])
-        unlabelled, shared = su / len(su), -prior * sp / len(sp)  # gradients of R_U(-) and -pi R_P(-) by the output
-        if -np.log(1 - su + 1e-12).mean() + prior * np.log(1 - sp + 1e-12).mean() >= 0:
-            gp, gu = prior * (sp - 1) / len(sp) + shared, unlabelled
-        else:
-            gp, gu = -shared, -unlabelled
-        grad = np.append(xp.T @ gp + xu.T @ gu + ridge * theta[:-1], gp.sum() + gu.sum())
+        grad = direction(theta, xp, xu, prior) + ridge * np.append(theta[:-1], 0.0)
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         theta -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     return theta[:-1], float(theta[-1])
 
 
-def best_threshold(z: np.ndarray, toxic: np.ndarray) -> float:
-    """The middle of the first stretch between outputs with the best F1."""
-    order = np.argsort(-z, kind="stable")
-    z, hits = z[order], np.cumsum(toxic[order])
-    f1 = 2 * hits / (np.arange(1, len(z) + 1) + max(1, toxic.sum()))
-    f1[:-1][z[:-1] == z[1:]] = -1  # a threshold can't part equal outputs
-    k = int(f1.argmax())
-    return float(z[k] + z[min(k + 1, len(z) - 1)]) / 2 if k + 1 < len(z) else float(z[k]) - 1.0
+def prior_threshold(z: np.ndarray, prior: float) -> float:
+    """The middle of the widest gap between neighbouring outputs of U that leaves between half and twice the prior above it."""
+    z = np.sort(z)[::-1]
+    low, high = int(prior * len(z) / 2), int(min(len(z) - 2, np.ceil(2 * prior * len(z))))
+    if high < low:
+        return float(z[-1]) - 1.0
+    k = low + int((z[low : high + 1] - z[low + 1 : high + 2]).argmax())
+    return float(z[k] + z[k + 1]) / 2
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000, features: int = 1024, seed: int = 5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000, features: int = 1024, seed: int = 5, prior: float | None = None) -> Model:
     known = labels.groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("id")) & F.col("id").isNotNull())
-    drawn = known.withColumn("h", F.xxhash64(F.lit(seed), "id"))
-    confirmed = drawn.filter("toxic = 1").orderBy("h", "id").limit(sample_rows).select("id", "toxic", F.lit(True).alias("p"), F.lit(False).alias("u"))
-    plain = drawn.orderBy("h", "id").limit(sample_rows).select("id", "toxic", F.lit(False).alias("p"), F.lit(True).alias("u"))
-    chosen = confirmed.unionByName(plain).groupBy("id").agg(F.max("toxic").alias("toxic"), F.max("p").alias("p"), F.max("u").alias("u"))
+    ids = docs.select(F.col(id_col).alias("id")).filter(F.col("id").isNotNull() & ~held_out(F.col("id")))
+    labelled = labels.filter(F.col("toxic").isNotNull()).select(F.col(id_col).alias("id"))
+    drawn = F.xxhash64(F.lit(seed), "id")
+    confirmed = known.filter("toxic = 1").orderBy(drawn, "id").limit(sample_rows).select("id", F.lit(True).alias("p"))
+    plain = ids.join(labelled, "id", "left_anti").distinct().orderBy(drawn, "id").limit(sample_rows)
+    plain = materialise(plain.select("id", F.lit(False).alias("p")), "pu-unlabelled")
+    if not plain.limit(1).count():  # every document has a label: U is drawn from all, their labels not looked at
+        plain = ids.distinct().orderBy(drawn, "id").limit(sample_rows).select("id", F.lit(False).alias("p"))
+    chosen = confirmed.unionByName(plain).groupBy("id").agg(F.max("p").alias("p"), F.max(~F.col("p")).alias("u"))
     # at most 2 * sample_rows ids, so the broadcast is bounded
     sample = materialise(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id"), "pu-sample")
-    prior, all_p, all_u = known.agg(F.avg((F.coalesce("toxic", F.lit(0)) == 1).cast("double"))).first()[0], *sample.agg(F.sum(F.col("p").cast("long")), F.sum(F.col("u").cast("long"))).first()
+    if prior is None:
+        prior = known.agg(F.avg((F.coalesce("toxic", F.lit(0)) == 1).cast("double"))).first()[0]
+    all_p, all_u = sample.agg(F.sum(F.col("p").cast("long")), F.sum(F.col("u").cast("long"))).first()
     if not all_p or not all_u or prior >= 1:
         return Model({}, np.zeros(0), -1e9)
     told = sample.select("text", "p", "u").mapInArrow(counted, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
@@ -151,19 +170,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         cache: dict[str, list[int]] = {}
         for batch in batches:
             found = [values(words(t), index, cache) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.float32()))], names=["p", "u", "toxic", "at", "value"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.float32()))], names=["p", "u", "at", "value"])
 
     # at most 2 * sample_rows rows, each with the few features that it has
-    rows = sample.select("text", "p", "u", F.col("toxic").cast("int").alias("toxic")).mapInArrow(sparse, "p boolean, u boolean, toxic int, at array<int>, value array<float>").toArrow()
+    rows = sample.select("text", "p", "u").mapInArrow(sparse, "p boolean, u boolean, at array<int>, value array<float>").toArrow()
     x = np.zeros((rows.num_rows, len(index)), np.float32)
     for k, (at, value) in enumerate(zip(rows["at"].to_pylist(), rows["value"].to_pylist())):
         x[k, at] = value
     p, u = (rows[c].to_numpy().astype(bool) for c in ("p", "u"))
-    toxic = np.array([t == 1 for t in rows["toxic"].to_pylist()])
-    order = np.lexsort((x @ np.linspace(1, 2, x.shape[1], dtype=np.float32), toxic))  # sums don't depend on the order of arrival
-    x, p, u, toxic = x[order], p[order], u[order], toxic[order]
-    weights, bias = fit_nnpu(x[p], x[u], min(0.99, max(1e-4, prior)))
-    at = best_threshold((x @ weights + bias)[u], toxic[u]) if toxic[u].any() else 0.0
+    order = np.argsort(x @ np.linspace(1, 2, x.shape[1], dtype=np.float32), kind="stable")  # sums don't depend on the order of arrival
+    x, p, u = x[order], p[order], u[order]
+    prior = min(0.99, max(1e-4, prior))
+    weights, bias = fit_nnpu(x[p], x[u], prior)
+    at = prior_threshold((x @ weights + bias)[u], prior)
     return Model(index, weights, bias - at + float(np.log(THRESHOLD / (1 - THRESHOLD))))
 
 

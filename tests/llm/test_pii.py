@@ -51,7 +51,44 @@ def test_query_base_and_terms(spark, sf_dir):
         b = brute(docs[r["doc_id"]])
         n = Counter(k for k, _, _ in b)
         assert tuple(r[f"n_{k}"] for k in pii.KINDS) == tuple(n[k] for k in pii.KINDS) and r["base_sha256"] == digest(b)
-        assert r["spans"].startswith(",".join(f"{k}:{s}:{e}" for k, s, e in b)) and (b or not r["spans"])
+        text = docs[r["doc_id"]] or ""
+        secrets = [("secret", *m.span()) for m in re.finditer(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}", text) if len(re.findall("[0-9]", m[0])) > 3 and len(re.findall("[A-Za-z]", m[0])) > 3 and -sum(n / len(m[0]) * math.log2(n / len(m[0])) for n in Counter(m[0]).values()) > 3]
+        spans = [tuple(x.split(":")) for x in r["spans"].split(",") if x]
+        assert r["spans"].startswith(",".join(f"{k}:{s}:{e}" for k, s, e in b)) and (b or secrets or not r["spans"]) and r["n_spans"] == len(spans)
+        assert [(k, int(s), int(e)) for k, s, e in spans if k == "secret"] == secrets
+
+
+def measured(texts, support, group_support):
+    """Brute force: (entity, term) -> share, over whole documents."""
+    words, names = [], []
+    for t in texts:
+        spans = pii.base_spans(t or "") + pii.secret_spans(t or "")
+        names.append({x for k, s, e in spans for x in pii.entities_of(k, t[s:e])})
+        words.append({m[0].lower() for m in re.finditer(r"[^\W\d_]{4,}", t or "") if not any(m.start() < e and s < m.end() for _, s, e in spans)})
+    anywhere = [{w.lower() for w in re.findall(r"[^\W\d_]{4,}", t or "")} for t in texts]
+    n_t, n_e, n_te = Counter(w for x in anywhere for w in x), Counter(e for x in names for e in x), Counter((e, w) for x, y in zip(names, words) for e in x for w in y)
+    n = len(texts)
+    shares = {p: math.log(n * k / (n_t[p[1]] * n_e[p[0]])) / math.log(n / n_e[p[0]]) for p, k in n_te.items() if n_e[p[0]] < n and k >= (group_support if re.match("[a-z]+/", p[0]) else support)}
+    return {p: x for p, x in shares.items() if x >= 0.8}, names, words
+
+
+def test_terms_of_groups_and_kinds_act_on_the_tables(spark, sf_dir):
+    """On the given tables no value stands in three documents, but kinds do: the whole result against brute force."""
+    rows = sorted(spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text").collect())
+    df = spark.createDataFrame([(r["doc_id"], r["text"], 1, 2) for r in rows], "doc_id long, text string, base int, terms int")
+    told, names, words = measured([r["text"] for r in rows], 3, 5)
+    assert ("secret/", "token") in told
+    got = pii.report_documents(df, group_support=5)
+    assert got.columns == ["doc_id", "text", "base", "terms", *pii.RESULTS]
+    masks = 0
+    for r, x, y in zip(got.sort("doc_id").collect(), names, words):
+        terms = {w for e, w in told if e in x and w in y}
+        places = {(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{4,}", r["text"] or "") if m[0].lower() in terms}
+        spans = [tuple(s.split(":")) for s in r["spans"].split(",") if s]
+        found = {(int(s), int(e)) for k, s, e in spans if k in pii.ACTIONS}
+        assert found <= places and {(r["text"] or "")[s:e].lower() for s, e in found} == terms
+        masks += len(found)
+    assert masks > 10
 
 
 def test_terms_that_reveal_an_entity(spark):

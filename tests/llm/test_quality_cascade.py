@@ -59,3 +59,25 @@ def test_clean_stays_junk_goes_and_shapes(spark, sf_dir):
     got = q.judge_documents(df)
     assert got.columns == ["doc_id", "text", "row", *q.RESULTS] and got.count() == 2 * len(HARD)
     assert q.judge_documents(df.limit(0)).collect() == []
+
+
+def test_shared_work_counts_once_and_order_can_be_given(spark):
+    import time
+
+    def split(d):
+        time.sleep(0.003)
+        return d.words
+
+    rules = {"a_lines": lambda d: len(d.lines) == 1, "b_lines": lambda d: len(d.lines) == 2, "c_sleep": lambda d: bool(split(d)) and len(d.words) == 5}
+    df = spark.createDataFrame([(i, ["one", "two\nlines", "three\nl\nx", "a b c d e\n\n"][i % 4]) for i in range(80)], "doc_id long, text string")
+    assert q.order_rules(df, rules)[-1] == "c_sleep"
+    got = q.judge_documents(df, order=["symbols", "few_words"]).collect()
+    assert {r["rejected_by"] for r in got} == {"few_words"}
+    hot = spark.createDataFrame([(i, "same text") for i in range(3000)], "doc_id long, text string")
+    assert set(q.order_rules(hot, rules, sample_rows=50)) == set(rules)
+
+
+def test_measures_time_themselves_without_what_they_use():
+    doc = q.Timed("a b c a b c")
+    assert doc.n_repeat_words == 6 and set(doc.spent) == {"n_repeat_words", "ids", "words", "n_words"} and all(x >= 0 for x in doc.spent.values())
+    assert abs(sum(doc.spent.values()) - doc.within[0]) < 1e-6

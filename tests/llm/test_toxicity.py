@@ -39,3 +39,23 @@ def test_shapes(spark):
     none = toxicity.train(docs, labels.limit(0))
     assert {r["score"] for r in toxicity.score_documents(docs, none).collect()} == {0.0}
     assert toxicity.score_documents(docs.limit(0), none).collect() == []
+
+
+def test_risk_and_direction_match_brute_force():
+    rng = np.random.default_rng(4)
+    xp, xu = rng.random((7, 3)), rng.random((11, 3))
+    signs = set()
+    for prior in (0.05, 0.4, 0.9):
+        for scale in (0.1, 1.0, 4.0):
+            theta = rng.normal(size=4) * scale
+            loss = lambda z, y: np.log1p(np.exp(-y * z))
+            z = [[float(np.dot(r, theta[:3]) + theta[3]) for r in x] for x in (xp, xu)]
+            first = prior * np.mean([loss(v, 1) for v in z[0]])
+            second = np.mean([loss(v, -1) for v in z[1]]) - prior * np.mean([loss(v, -1) for v in z[0]])
+            assert np.allclose(toxicity.risk(theta, xp, xu, prior), (first, second))
+            signs.add(second >= 0)
+            part = lambda t: sum(toxicity.risk(t, xp, xu, prior)) if second >= 0 else -toxicity.risk(t, xp, xu, prior)[1]  # noqa: E731, B023
+            numeric = [(part(theta + e) - part(theta - e)) / 2e-5 for e in np.eye(4) * 1e-5]
+            assert np.allclose(toxicity.direction(theta, xp, xu, prior), numeric, atol=1e-5)
+    assert signs == {True, False}
+    assert toxicity.prior_threshold(np.array([9.0, 8.5, 1, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3]), 0.2) == 4.75
