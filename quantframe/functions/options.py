@@ -165,3 +165,78 @@ def pnl_attribution(df: DataFrame, keys: list[str], by: list) -> DataFrame:
     g = {n: F.lag(n).over(w) for n in ("delta", "gamma", "theta", "vega")}
     out = df.withColumn("delta_pnl", g["delta"] * ds * MULTIPLIER).withColumn("gamma_pnl", g["gamma"] * ds * ds * (MULTIPLIER / 2)).withColumn("theta_pnl", g["theta"] * dt * MULTIPLIER).withColumn("vega_pnl", g["vega"] * dv * MULTIPLIER)
     return out.withColumn("total_pnl", F.col("delta_pnl") + F.col("gamma_pnl") + F.col("theta_pnl") + F.col("vega_pnl"))
+
+
+def hedge_quantities(portfolios: DataFrame, least: tuple[float, float, float] = (0.01, 0.001, 0.01)) -> DataFrame:
+    """Instruments that bring delta, gamma or vega to zero; null where the instrument's own is too small. Columns delta.., hedge_delta.. ."""
+    found = [F.when(F.abs(f"hedge_{g}") > m, -F.col(g) / F.col(f"hedge_{g}")).alias(f"{g}_hedge") for g, m in zip(("delta", "gamma", "vega"), least)]
+    return portfolios.select("*", *found)
+
+
+def surface_pivot(chain: DataFrame, expirations: list, strike: str = "strike", expiration: str = "days", iv: str = "iv") -> DataFrame:
+    """Mean volatility by strike, a column per expiration."""
+    return chain.groupBy(strike).pivot(expiration, expirations).agg(F.avg(iv))
+
+
+def moneyness(spot: str = "spot", strike: str = "strike") -> Column:
+    return F.when(F.col(strike) != 0, F.col(spot) / F.col(strike))
+
+
+def days_to_expiry(expiration: Column, reference: Column) -> Column:
+    return F.datediff(expiration, reference)
+
+
+def mark_to_market(positions: DataFrame, keys: list[str], cash: float) -> DataFrame:
+    """Value of each portfolio's positions (intrinsic and a tenth of it, 0.05 at least, as time value), unrealised result, total and leverage."""
+    call = F.col("option_type") == "call"
+    inner = F.greatest(F.lit(0.0), F.when(call, F.col("spot") - F.col("strike")).otherwise(F.col("strike") - F.col("spot")))
+    value = (inner + F.greatest(F.lit(0.05), inner * 0.1)) * F.col("quantity")
+    table = positions.groupBy(*keys).agg(F.sum(value).alias("value"), F.sum(value - F.col("quantity") * F.col("mean_price")).alias("unrealised"), F.sum(F.abs(value)).alias("gross"))
+    total = F.col("value") + cash
+    return table.select(*keys, "value", "unrealised", total.alias("total"), F.when(total > 0, F.col("gross") / total).otherwise(0.0).alias("leverage"))
+
+
+def margins(legs: DataFrame, key: str, least: float = 100.0, share: float = 0.2, equity_share: float = 0.5, risk: float = 1.0) -> DataFrame:
+    """Margin of each position by its strategy: condor, strangle, straddle, vertical, covered_call, cash_secured_put; others, and legs that don't fit, by leg.
+
+    legs: key, strategy, spot, option_type, strike, quantity (< 0 short), premium (of a whole contract). A short leg alone
+    needs a share of the underlying and its premium less what it is out of the money. Premiums paid are positive.
+    """
+    call, short, q = F.col("option_type") == "call", F.col("quantity") < 0, F.abs("quantity")
+    away = F.greatest(F.lit(0.0), F.when(call, F.col("strike") - F.col("spot")).otherwise(F.col("spot") - F.col("strike")))
+    naked = F.greatest(share * F.col("spot") * MULTIPLIER * q + F.col("premium") * q - away * MULTIPLIER * q, F.lit(least))
+    of = lambda test, value: F.max(F.when(test, value))
+    low = lambda test, value: F.min(F.when(test, value))
+    t = legs.groupBy(key, "strategy").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(call).alias("calls"), F.count_if(~call).alias("puts"), F.count_if(short).alias("shorts"), F.count_if(short & call).alias("short_calls"), F.count_if(short & ~call).alias("short_puts"),
+        F.first("spot").alias("spot"), F.sum(F.col("premium") * F.col("quantity")).alias("premium"), F.sum(F.when(short, naked).otherwise(F.col("premium") * F.col("quantity"))).alias("by_leg"),
+        of(call, F.col("strike")).alias("high_call"), low(call, F.col("strike")).alias("low_call"), of(~call, F.col("strike")).alias("high_put"), low(~call, F.col("strike")).alias("low_put"),
+        of(call, naked).alias("call_margin"), of(~call, naked).alias("put_margin"), F.sum(F.when(short & call, F.col("premium") * q)).alias("call_premium"), F.min(F.when(short & ~call, F.struct("strike", (F.col("premium") * q).alias("taken")))).alias("put"),
+        (F.max("strike") - F.min("strike")).alias("width"),
+    )
+    s, premium = F.col("strategy"), F.col("premium")
+    wide = F.greatest(F.col("high_call") - F.col("low_call"), F.col("high_put") - F.col("low_put")) * MULTIPLIER
+    kind = (
+        F.when((s == "condor") & (F.col("calls") == 2) & (F.col("puts") == 2), "condor")
+        .when(s.isin("strangle", "straddle") & (F.col("calls") == 1) & (F.col("puts") == 1), F.when(F.col("shorts") == 0, "long_pair").otherwise("short_pair"))
+        .when((s == "vertical") & (F.col("n") == 2) & ((F.col("calls") == 2) | (F.col("puts") == 2)), F.when(premium < 0, "credit").otherwise("debit"))
+        .when((s == "covered_call") & (F.col("short_calls") > 0), "covered_call")
+        .when((s == "cash_secured_put") & (F.col("short_puts") > 0), "cash_secured_put")
+        .otherwise("by_leg")
+    )
+    t = t.withColumn("kind", kind)
+    k = F.col("kind")
+    stock = F.col("spot") * MULTIPLIER
+    at_least = lambda x: F.greatest(x, F.lit(least)) * risk
+    pair = F.greatest("call_margin", "put_margin") + F.abs(premium)
+    secured = F.col("put.strike") * MULTIPLIER - F.col("put.taken")
+    initial = F.when(k == "condor", at_least(wide + premium)).when(k == "long_pair", premium).when(k == "short_pair", pair * risk).when(k == "credit", at_least(F.col("width") * MULTIPLIER + premium)).when(k == "debit", at_least(premium)).when(k == "covered_call", at_least(stock * equity_share - F.col("call_premium"))).when(k == "cash_secured_put", secured).otherwise(at_least(F.col("by_leg")))
+    maintenance = F.when(k == "long_pair", 0.0).when(k == "short_pair", pair * 0.75).when(k == "cash_secured_put", secured).otherwise(initial * 0.75)
+    endless = F.lit(float("inf"))
+    loss = F.when(k == "condor", wide + premium).when(k.isin("long_pair", "debit"), premium).when(k == "short_pair", endless).when(k == "credit", F.col("width") * MULTIPLIER + premium).when(k == "covered_call", stock + F.col("call_premium")).when(k == "cash_secured_put", secured)
+    profit = F.when(k == "long_pair", endless).when(k.isin("condor", "short_pair", "credit"), -premium).when(k == "debit", F.col("width") * MULTIPLIER - premium).when(k == "covered_call", F.col("high_call") * MULTIPLIER - stock + F.col("call_premium")).when(k == "cash_secured_put", F.col("put.taken"))
+    return t.select(key, "strategy", "kind", "premium", initial.alias("initial"), maintenance.alias("maintenance"), loss.alias("most_loss"), profit.alias("most_profit"))
+
+
+def portfolio_margin(table: DataFrame, keys: list[str]) -> DataFrame:
+    return table.groupBy(*keys).agg(F.sum("initial").alias("initial"), F.sum("maintenance").alias("maintenance"), F.sum("premium").alias("premium"), F.count(F.lit(1)).alias("positions"))

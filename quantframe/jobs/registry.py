@@ -22,4 +22,4 @@ def flagship(spark, sf_dir):
     return QUERIES["indicators_features"](spark, sf_dir)
 
 
-from quantframe.jobs import queries  # noqa: E402, F401  registers its functions
+from quantframe.jobs import portfolio_queries, queries  # noqa: E402, F401  they register their functions

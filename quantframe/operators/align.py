@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantframe.functions.windows import back_fill, backward, forward_fill, ordered
+from quantframe.operators import bars, clean
 
 
 def business_calendar(df: DataFrame, keys: list[str], day: str = "day") -> DataFrame:
@@ -80,8 +82,8 @@ def interpolate(df: DataFrame, keys: list[str], by: list, column: str, limit: in
     return placed.withColumn(column, value).drop("position", "known", "p", "q")
 
 
-#: Longest usual gap in seconds of each frequency class, as the reference's mapping has it, and the corrected names.
-FREQUENCIES = [(60, "tick", "minute"), (3600, "minute", "hourly"), (86400, "hourly", "daily"), (604800, "daily", "weekly"), (2678400, "weekly", "monthly"), (8035200, "monthly", "quarterly")]
+#: The longest usual gap in seconds of each frequency class, and the corrected names.
+FREQUENCIES = [(60, "tick", "minute"), (3600, "minute", "hourly"), (86400, "hourly", "daily"), (604800, "daily", "weekly"), (2678400, "weekly", "monthly"), (8208000, "monthly", "quarterly"), (31968000, "quarterly", "annual")]
 
 
 def profile(df: DataFrame, keys: list[str], ts: str, corrected: bool = False) -> DataFrame:
@@ -95,4 +97,72 @@ def profile(df: DataFrame, keys: list[str], ts: str, corrected: bool = False) ->
     name = F.lit("annual")
     for most, kept, right in reversed(FREQUENCIES):
         name = F.when(F.col("mode_gap") <= most, right if corrected else kept).otherwise(name)
+    name = F.when(F.col("mode_gap").isNull(), "irregular").otherwise(name)
     return whole.join(regular, keys, "left").withColumn("frequency", name)
+
+
+def common_range(sources: dict[str, DataFrame], ts: str, how: str = "inner") -> dict[str, DataFrame]:
+    """All sources within one range: inner (the latest start to the earliest end), outer, or that of the first source. Collects two values a source."""
+    spans = [df.agg(F.min(ts), F.max(ts)).first() for df in sources.values()]
+    lows, highs = [s[0] for s in spans if s[0] is not None], [s[1] for s in spans if s[1] is not None]
+    if not lows:
+        return sources
+    pick = {"inner": (max, min), "outer": (min, max)}.get(how, (lambda x: x[0], lambda x: x[0]))
+    low, high = pick[0](lows), pick[1](highs)
+    return {name: df.filter(F.col(ts).between(F.lit(low), F.lit(high))) for name, df in sources.items()}
+
+
+def members(df: DataFrame, index: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose keys stand in the index."""
+    return df.join(index.select(*on), on, "left_semi")
+
+
+PRICES = ("price", "close", "open", "high", "low")
+
+
+def column_rules(df: DataFrame, but: list[str]) -> dict[str, str]:
+    """How each column goes to a lower frequency: prices and text by their last value, volumes by their sum, other numbers by their mean."""
+    rules = {}
+    for f in df.schema.fields:
+        if f.name not in but:
+            name, number = f.name.lower(), isinstance(f.dataType, T.NumericType)
+            rules[f.name] = "last" if not number or any(p in name for p in PRICES) else "sum" if "volume" in name else "mean"
+    return rules
+
+
+def to_frequency(df: DataFrame, keys: list[str], freq: str, ts: str, tie: str | None = None) -> DataFrame:
+    """df at a lower frequency, each column by its rule."""
+    return bars.resample(df, keys, freq, column_rules(df, [*keys, ts, tie or ts]), ts, tie or ts)
+
+
+def many_to_frequency(sources: dict[str, DataFrame], keys: list[str], freq: str, ts: str) -> DataFrame:
+    """Last values of all sources at one frequency, side by side."""
+    rules = {name: {c: "last" for c in df.columns if c not in (*keys, ts)} for name, df in sources.items()}
+    return merge({name: bars.resample(df, keys, freq, rules[name], ts, ts) for name, df in sources.items()}, keys, "bar")
+
+
+def align(df: DataFrame, keys: list[str], ts: str, tie: str, columns: list[str], limit: int = 5) -> tuple[DataFrame, DataFrame]:
+    """One row per key and business day, filled forward over at most ``limit`` rows; and per key its rows before and after, filled cells and coverage."""
+    once = last_per_timestamp(df, keys, ts, tie)
+    grid = reindex(once.select(*keys, ts, *columns), business_calendar(once, keys, ts), keys, ts)
+    w = ordered(keys, ts)
+    out = grid.select(*keys, ts, *[F.col(c).alias(f"raw_{c}") for c in columns], *[forward_fill(c, w, limit).alias(c) for c in columns])
+    filled = sum(((F.col(c).isNotNull() & F.col(f"raw_{c}").isNull()).cast("long") for c in columns), F.lit(0))
+    held = sum((F.col(c).isNotNull().cast("long") for c in columns), F.lit(0))
+    after = out.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_after"), F.sum(filled).alias("cells_filled"), (F.sum(held) / (F.count(F.lit(1)) * len(columns))).alias("coverage"))
+    report = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_before")).join(after, keys)
+    return out.select(*keys, ts, *columns), report
+
+
+def combine(sources: dict[str, DataFrame], keys: list[str], ts: str, limit: int = 5, sparse: float = 0.5, cap: float = 2.0) -> DataFrame:
+    """Sources within their common range, on business days, filled forward, side by side; columns with too many nulls go, outliers are capped, values scaled."""
+    ranged = common_range(sources, ts)
+    calendar = reduce(lambda x, y: x.union(y), [df.select(*keys, ts) for df in ranged.values()])
+    grid = business_calendar(calendar, keys, ts)
+    filled = {name: as_of(grid, df, keys, ts, [c for c in df.columns if c not in (*keys, ts)], limit=limit) for name, df in ranged.items()}
+    wide = merge(filled, keys, ts, "inner")
+    values = [c for c in wide.columns if c not in (*keys, ts)]
+    wide = clean.drop_sparse_columns(wide, values, sparse)
+    for c in [c for c in wide.columns if c not in (*keys, ts)]:
+        wide = clean.scale(clean.cap_outliers(wide, keys, c, cap), keys, c).drop(c).withColumnRenamed("scaled", c)
+    return wide

@@ -137,3 +137,21 @@ def bucket_statistics(original: DataFrame, bars: DataFrame, keys: list[str]) ->
     """Rows before and after, and rows per bar, for each key."""
     a, b = original.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")), bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("bars"))
     return a.join(b, keys, "left").withColumn("compression", F.col("rows") / F.col("bars"))
+
+
+def fill_empty_bins(bars: DataFrame, keys: list[str], step: str, bar: str = "bar", sums: tuple[str, ...] = ("volume", "n")) -> DataFrame:
+    """bars with a row for each empty bin between a key's first and last: sums are zero there, other columns null. step: an interval ('1 hour')."""
+    span = bars.groupBy(*keys).agg(F.min(bar).alias("low"), F.max(bar).alias("high"))
+    grid = span.select(*keys, F.explode(F.sequence("low", "high", F.expr(f"INTERVAL {step}"))).alias(bar))
+    out = grid.join(bars, [*keys, bar], "left")
+    return out.select(*[F.coalesce(c, F.lit(0)).alias(c) if c in sums else F.col(c) for c in bars.columns])
+
+
+def aggregate_bars(df: DataFrame, keys: list[str], freq: str, *aggregates: Column, ts: str = "ts") -> DataFrame:
+    """Bars of the caller's own aggregates: any columns over a bin's rows, built-in or a grouped pandas function."""
+    return df.groupBy(*keys, bin_start(ts, freq).alias("bar")).agg(*aggregates)
+
+
+def hour_profile(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "price") -> DataFrame:
+    """Mean, deviation, least and greatest value by hour of the day."""
+    return df.groupBy(*keys, F.hour(ts).alias("hour")).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.count(value).alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,3 +89,69 @@ def integrity(df: DataFrame, keys: list[str], order: list[str], price: str, volu
     w = Window.partitionBy(*keys).orderBy(*order)
     moved = df.withColumn("move", F.abs(F.col(price) / F.when(F.lag(price).over(w) != 0, F.lag(price).over(w)) - 1)).withColumn("again", (F.lag(order[0]).over(w) == F.col(order[0])).cast("int"))
     return moved.groupBy(*keys).agg(F.avg((F.col(volume) > 0).cast("double")).alias("positive_volume"), F.coalesce(F.avg((F.col("move") > 0.5).cast("double")), F.lit(0.0)).alias("large_moves"), F.coalesce(F.sum("again"), F.lit(0)).alias("repeated_times"))
+
+
+def null_shares(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """One pass; one row comes to the driver."""
+    row = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns]).first() if columns else {}
+    return {c: row[c] if row[c] is not None else 0.0 for c in columns}
+
+
+def drop_sparse_columns(df: DataFrame, columns: list[str], most: float = 0.5) -> DataFrame:
+    """Without those of the columns that are null in over ``most`` of the rows."""
+    return df.drop(*[c for c, share in null_shares(df, columns).items() if share > most])
+
+
+def drop_null_rows(df: DataFrame, columns: list[str], how: str = "any") -> DataFrame:
+    return df.dropna(how, subset=columns)
+
+
+def load_parts(parts: list[DataFrame], keys: list[str], by: list[str], columns: list[str], times: float = 2.0) -> DataFrame:
+    """Parts that overlap, as one table: equal rows once, values filled forward and capped over the whole key."""
+    rows = reduce(lambda x, y: x.unionByName(y), parts).dropDuplicates()
+    w = Window.partitionBy(*keys).orderBy(*by)
+    for c in columns:
+        rows = rows.withColumn(c, F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        rows = cap_outliers(rows, keys, c, times)
+    return rows
+
+
+def variances(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    row = df.agg(*[F.var_samp(c).alias(c) for c in columns]).first()
+    return {c: row[c] or 0.0 for c in columns}
+
+
+def varying(df: DataFrame, columns: list[str], least: float = 0.01) -> list[str]:
+    return [c for c, v in variances(df, columns).items() if v > least]
+
+
+def top_by_variance(df: DataFrame, columns: list[str], n: int) -> list[str]:
+    found = variances(df, columns)
+    return sorted(found, key=lambda c: (-found[c], c))[:n]
+
+
+def select_features(df: DataFrame, columns: list[str], target: str, n: int, least: float = 0.01, most: float = 0.95) -> DataFrame:
+    """feature, score: enough variance first, then no pair too alike, then the n best scores."""
+    left = uncorrelated(df, varying(df, columns, least), most)
+    return f_scores(df, left, target).orderBy(F.desc("score"), "feature").limit(n)
+
+
+def quality_gate(df: DataFrame, keys: list[str], columns: list[str], least_rows: int, most_null: float) -> DataFrame:
+    """Per key: rows, share of null cells, completeness, and whether it passes."""
+    nulls = sum((F.col(c).isNull().cast("long") for c in columns), F.lit(0))
+    table = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.sum(nulls) / (F.count(F.lit(1)) * len(columns))).alias("null_share"))
+    return table.withColumn("completeness", 1 - F.col("null_share")).withColumn("passes", (F.col("n") >= least_rows) & (F.col("null_share") <= most_null))
+
+
+def narrow_types(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Whole-number columns cast to the narrowest type that holds their range; doubles to float where the caller asks by listing them."""
+    ranges = df.agg(*[F.min(c).alias(f"low_{c}") for c in columns], *[F.max(c).alias(f"high_{c}") for c in columns]).first()
+    out = df
+    for c in columns:
+        if df.schema[c].dataType.typeName() in ("double", "float"):
+            out = out.withColumn(c, F.col(c).cast("float"))
+        elif ranges[f"low_{c}"] is not None:
+            widest = max(-ranges[f"low_{c}"] - 1, ranges[f"high_{c}"])
+            kind = "byte" if widest < 2**7 else "short" if widest < 2**15 else "int" if widest < 2**31 else "long"
+            out = out.withColumn(c, F.col(c).cast(kind))
+    return out

@@ -40,3 +40,22 @@ def transitions(df: DataFrame, keys: list[str], by: list) -> DataFrame:
     pairs = df.withColumn("next", F.lead("regime").over(ordered(keys, *by))).filter("next IS NOT NULL")
     counts = pairs.groupBy("regime", "next").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("regime")))
+
+
+def regime_counts(df: DataFrame, keys: list[str], regime: str = "regime") -> DataFrame:
+    """Rows of each regime and their share of the key's rows."""
+    table = df.groupBy(*keys, regime).agg(F.count(F.lit(1)).alias("n"))
+    return table.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
+
+
+def accuracy_by_regime(df: DataFrame, keys: list[str], actual: str, predicted: str, regime: str = "regime") -> DataFrame:
+    """Errors of predictions within each regime: root mean square, mean absolute, share with the right sign, correlation."""
+    e = F.col(actual) - F.col(predicted)
+    return df.groupBy(*keys, regime).agg(F.count(e).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg((F.signum(actual) == F.signum(predicted)).cast("double")).alias("right_sign"), F.corr(actual, predicted).alias("corr"))
+
+
+def rules_by_regime(df: DataFrame, keys: list[str], by: list, regime: str = "regime", ret: str = "ret", least: int = 50) -> DataFrame:
+    """A rule for each regime with over ``least`` rows, fitted as the side of its mean return, and what it earns: keys, regime, side, n, mean, total of side times return."""
+    fitted = df.groupBy(*keys, regime).agg(F.count(ret).alias("n"), F.signum(F.avg(ret)).alias("side")).filter(F.col("n") > least)
+    held = df.join(fitted, [*keys, regime]).withColumn("gain", F.col("side") * F.col(ret))
+    return held.groupBy(*keys, regime, "side", "n").agg(F.avg("gain").alias("mean"), F.sum("gain").alias("total"), F.stddev_samp("gain").alias("sd"))

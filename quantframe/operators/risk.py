@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantframe.operators.clean import per_key
-from quantframe.operators.performance import safe
+from quantframe.operators.performance import compounded_whole, drawdown_summary, safe
 
 #: Standard normal quantiles at 95 and 99 %.
 Z = {0.95: 1.6448536269514722, 0.99: 2.3263478740408408}
@@ -61,7 +61,7 @@ def kelly_sizes(stats: DataFrame, capital: float, fraction_cap: float = 0.25, ri
 
 def attribution(panel: DataFrame, weights: DataFrame, ret: str = "ret") -> DataFrame:
     """Per strategy: weight, total return, contribution, volatility, Sharpe."""
-    table = panel.groupBy("strategy").agg((F.exp(F.sum(F.ln(1 + F.col(ret)))) - 1).alias("total"), F.stddev_samp(ret).alias("sd"), F.avg(ret).alias("m"))
+    table = panel.groupBy("strategy").agg((compounded_whole(ret) - 1).alias("total"), F.stddev_samp(ret).alias("sd"), F.avg(ret).alias("m"))
     return table.join(weights, "strategy").select("strategy", "weight", "total", (F.col("weight") * F.col("total")).alias("contribution"), (F.col("sd") * math.sqrt(252)).alias("volatility"), (safe(F.col("m"), F.col("sd")) * math.sqrt(252)).alias("sharpe"))
 
 
@@ -94,3 +94,76 @@ def validator_metrics(df: DataFrame, keys: list[str], ret: str = "ret") -> DataF
     table = df.groupBy(*keys).agg(F.avg((r > 0).cast("double")).alias("hit_ratio"), F.sum(F.when(r > 0, r)).alias("won"), F.sum(F.when(r < 0, -r)).alias("lost"), F.avg(F.when(r > 0, r)).alias("win"), F.avg(F.when(r < 0, -r)).alias("loss"), F.percentile(ret, F.lit(0.05)).alias("var_95"))
     kelly = F.col("hit_ratio") - safe(1 - F.col("hit_ratio"), safe(F.col("win"), F.col("loss")))
     return table.select(*keys, "hit_ratio", safe(F.col("won"), F.col("lost")).alias("profit_factor"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), kelly)).alias("kelly"), "var_95")
+
+
+def component_var(panel: DataFrame, weights: DataFrame, ts: str = "day", level: float = 0.95) -> DataFrame:
+    """Per strategy: marginal (correlation with the portfolio, times its deviation by the portfolio's, times the portfolio's value at risk) and component (weight times marginal) value at risk, and the diversification ratio."""
+    whole = portfolio_returns(panel, weights, ts).withColumnRenamed("ret", "all")
+    at_risk = whole.agg((-F.percentile("all", F.lit(1 - level))).alias("var"), F.stddev_samp("all").alias("sp"))
+    table = panel.join(whole, ts).groupBy("strategy").agg(F.corr("ret", "all").alias("corr"), F.stddev_samp("ret").alias("s")).join(weights, "strategy")
+    # one row beside the few strategies
+    table = table.crossJoin(F.broadcast(at_risk)).withColumn("marginal", safe(F.col("corr") * F.col("s"), F.col("sp")) * F.col("var"))
+    ratio = table.agg((F.sum(F.col("weight") * F.col("s")) / F.sum("weight") / F.max("sp")).alias("diversification"))
+    return table.crossJoin(F.broadcast(ratio)).select("strategy", "weight", "marginal", (F.col("weight") * F.col("marginal")).alias("component"), "diversification")
+
+
+def portfolio_metrics(allocations: DataFrame, returns: DataFrame, capital: float, ts: str = "day") -> DataFrame:
+    """One row: invested capital, cash and its share, active strategies, total return, volatility, Sharpe and deepest drawdown of the portfolio's returns."""
+    held = allocations.agg((F.sum("current") * capital).alias("invested"), F.count_if(F.col("status") == "active").alias("active"))
+    one = returns.withColumn("portfolio", F.lit(1))
+    run = one.groupBy("portfolio").agg((compounded_whole("ret") - 1).alias("total"), (F.stddev_samp("ret") * math.sqrt(252)).alias("volatility"), F.avg("ret").alias("m"))
+    falls = drawdown_summary(one, ["portfolio"], [ts]).select("portfolio", "deepest")
+    return held.crossJoin(F.broadcast(run.join(falls, "portfolio"))).select("invested", (F.lit(capital) - F.col("invested")).alias("cash"), ((F.lit(capital) - F.col("invested")) / capital).alias("cash_share"), "active", "total", "volatility", safe(F.col("m") * 252, F.col("volatility")).alias("sharpe"), "deepest")
+
+
+def portfolio_checks(metrics: DataFrame, correlations: DataFrame, least_cash: float, most_fall: float, most_corr: float) -> DataFrame:
+    """check, value, bound of each exceeded limit: cash reserve, drawdown, largest correlation of two strategies."""
+    top = correlations.agg(F.max("corr").alias("corr"))
+    tests = F.array(*[F.struct(F.lit(n).alias("check"), v.alias("value"), F.lit(float(b)).alias("bound"), bad.alias("bad")) for n, v, b, bad in (("cash", F.col("cash_share"), least_cash, F.col("cash_share") < least_cash), ("drawdown", -F.col("deepest"), most_fall, -F.col("deepest") > most_fall), ("correlation", F.col("corr"), most_corr, F.col("corr") > most_corr))])
+    return metrics.crossJoin(F.broadcast(top)).select(F.inline(F.filter(tests, lambda t: t["bad"]))).drop("bad")
+
+
+def position_limits(positions: DataFrame, keys: list[str], capital: float, most_size: float, most_delta: float, least_days: int) -> DataFrame:
+    """A row per position and exceeded limit: its size and its delta by capital, and days to expiry below the least. positions: value, delta, days."""
+    size, delta = F.abs("value") / capital, F.abs(F.col("delta") * F.col("value")) / capital
+    tests = F.array(F.struct(F.lit("size").alias("kind"), size.alias("value"), F.lit(most_size).alias("bound")), F.struct(F.lit("delta").alias("kind"), delta.alias("value"), F.lit(most_delta).alias("bound")), F.struct(F.lit("expiry").alias("kind"), F.col("days").cast("double").alias("value"), F.lit(float(least_days)).alias("bound")))
+    return positions.select(*keys, F.inline(F.filter(tests, lambda t: F.when(t["kind"] == "expiry", t["value"] < t["bound"]).otherwise(t["value"] > t["bound"]))))
+
+
+def volatility_adjusted(df: DataFrame, keys: list[str], by: str, capital: float, risk: float = 0.02, floor: float = 0.05, ret: str = "ret") -> DataFrame:
+    """Risk capital by realised volatility (over 20 rows or more; not below the floor), and confidence: one less the deviation of the deviations over 21 rows, within 0.2 and 0.9."""
+    w = Window.partitionBy(*keys).orderBy(by).rowsBetween(-20, 0)
+    rolled = df.withColumn("v", F.when(F.count(ret).over(w) >= 21, F.stddev_samp(ret).over(w)))
+    table = rolled.groupBy(*keys).agg(F.count(ret).alias("n"), (F.stddev_samp(ret) * math.sqrt(252)).alias("realised"), F.stddev_samp("v").alias("spread"))
+    used = F.greatest(F.when(F.col("n") >= 20, F.col("realised")), F.lit(floor))
+    return table.select(*keys, used.alias("volatility"), (F.lit(risk * capital) / used).alias("position"), F.least(F.lit(0.9), F.greatest(F.lit(0.2), 1 - F.coalesce("spread", F.lit(0.5)))).alias("confidence"))
+
+
+def scale_down(sizes: DataFrame, correlations: DataFrame, capital: float, most: float) -> DataFrame:
+    """Positions scaled so that sqrt(w'Cw) is at most ``most``. sizes: strategy, position; correlations: a, b, corr of pairs a < b."""
+    w = sizes.select("strategy", "position", (F.col("position") / capital).alias("w"))
+    pairs = correlations.join(w.select(F.col("strategy").alias("a"), F.col("w").alias("wa")), "a").join(w.select(F.col("strategy").alias("b"), F.col("w").alias("wb")), "b")
+    terms = w.select((F.col("w") * F.col("w")).alias("x")).unionByName(pairs.select((2 * F.col("wa") * F.col("wb") * F.col("corr")).alias("x")))
+    risk = terms.agg(F.sqrt(F.sum("x")).alias("risk"))
+    return sizes.crossJoin(F.broadcast(risk)).withColumn("scaled", F.col("position") * F.when(F.col("risk") > most, most / F.col("risk")).otherwise(1.0))
+
+
+def compare_methods(methods: dict[str, DataFrame], key: str) -> DataFrame:
+    """Per key: the methods with the smallest, the largest and the most confident position. Each table: key, position, confidence."""
+    rows = [df.select(key, F.lit(name).alias("method"), "position", "confidence") for name, df in methods.items()]
+    table = rows[0]
+    for r in rows[1:]:
+        table = table.unionByName(r)
+    return table.groupBy(key).agg(F.min_by("method", F.struct("position", "method")).alias("smallest"), F.min("position").alias("least"), F.max_by("method", F.struct("position", "method")).alias("largest"), F.max("position").alias("most"), F.max_by("method", F.struct("confidence", "method")).alias("surest"))
+
+
+def breach_state(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Breaches now, with whether they go on or are fresh, and those that ended. old, new: keys, kind, severity."""
+    both = old.select(*keys, "kind", F.col("severity").alias("was")).join(new.select(*keys, "kind", F.col("severity").alias("now")), [*keys, "kind"], "full")
+    return both.withColumn("state", F.when(F.col("now").isNull(), "ended").when(F.col("was").isNull(), "fresh").otherwise("going on"))
+
+
+def halts(breaches: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: breaches by severity, and whether trading halts (any emergency, or two critical ones)."""
+    n = {s: F.count_if(F.col("now") == s).alias(s) for s in ("warning", "critical", "emergency")}
+    return breaches.filter("now IS NOT NULL").groupBy(*keys).agg(*n.values()).withColumn("halt", (F.col("emergency") > 0) | (F.col("critical") >= 2))

@@ -28,3 +28,16 @@ def market_sentiment(vix: Column, put_call: Column) -> Column:
 
 def fear_class(value: Column) -> Column:
     return F.when(value <= 25, "extreme fear").when(value <= 45, "fear").when(value <= 55, "neutral").when(value <= 75, "greed").otherwise("extreme greed")
+
+
+#: The words that count as positive and as negative.
+POSITIVE = ["good", "great", "excellent", "positive", "up", "rise", "gain", "profit", "bullish", "optimistic", "strong", "growth", "increase", "rally", "surge"]
+NEGATIVE = ["bad", "terrible", "negative", "down", "fall", "loss", "decline", "bearish", "pessimistic", "weak", "decrease", "crash", "plunge", "drop"]
+
+
+def sentiment_summary(scores: DataFrame, source: str, day: str, score: str, days: int) -> DataFrame:
+    """Mean and latest score of each source over the last days before the newest row; of one day's rows, the mean is the latest."""
+    newest = scores.agg(F.max(day)).first()[0]
+    recent = scores.filter(F.datediff(F.lit(newest), F.col(day)) < days) if newest is not None else scores
+    daily = recent.groupBy(source, day).agg(F.avg(score).alias("mean_day"), F.sum(score).alias("sum"), F.count(score).alias("n"))
+    return daily.groupBy(source).agg((F.sum("sum") / F.sum("n")).alias("mean"), F.max_by("mean_day", day).alias("latest"), F.sum("n").alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantframe.functions.windows import full, ordered, returns, rolling
@@ -54,3 +54,36 @@ def monte_carlo(spark: SparkSession, mean: float, deviation: float, simulations:
     side = (1 - confidence) / 2
     q = F.percentile("total", F.array(F.lit(side), F.lit(1 - side), F.lit(1 - confidence)))
     return totals.agg(F.avg("total").alias("mean"), F.stddev_samp("total").alias("sd"), q.alias("q"), F.avg((F.col("total") < 0).cast("double")).alias("loss"), F.avg((F.col("total") < -0.2).cast("double")).alias("large_loss")).select("mean", "sd", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), F.col("q")[2].alias("var"), "loss", "large_loss")
+
+
+def scalp_signals(df: DataFrame, keys: list[str], by: list, price: str = "close", band: float = 0.005) -> DataFrame:
+    """1 where the price moved by more than the band, else 0."""
+    return df.withColumn("signal", F.coalesce((F.abs(returns(price, ordered(keys, *by))) > band).cast("int"), F.lit(0)))
+
+
+def strategy_parameters(df: DataFrame, keys: list[str], by: list, ret: str = "ret", n: int = 20, bound: float = 0.25) -> DataFrame:
+    """Annual volatility of each key, its mean rolling one, and the parameter set that this picks."""
+    w = ordered(keys, *by).rowsBetween(1 - n, 0)
+    rolled = df.withColumn("v", F.when(F.count(ret).over(w) >= n, F.stddev_samp(ret).over(w) * 252**0.5))
+    table = rolled.groupBy(*keys).agg((F.stddev_samp(ret) * 252**0.5).alias("volatility"), F.avg("v").alias("mean_volatility"))
+    return table.withColumn("parameters", F.when(F.col("mean_volatility") > bound, "wide").otherwise("narrow"))
+
+
+def rank_strategies(results: DataFrame, strategy: str, score: str) -> DataFrame:
+    """Per strategy over all its series: mean, median, deviation, share above zero, best, worst, and its place by mean."""
+    s = F.col(score)
+    table = results.groupBy(strategy).agg(F.avg(s).alias("mean"), F.percentile(s, F.lit(0.5)).alias("median"), F.stddev_samp(s).alias("sd"), F.avg((s > 0).cast("double")).alias("success"), F.max(s).alias("best"), F.min(s).alias("worst"), F.count(s).alias("n"))
+    # strategies are few: their places are numbered in one task
+    return table.withColumn("place", F.rank().over(Window.orderBy(F.desc("mean"))))
+
+
+def class_matrix(results: DataFrame, dimension: DataFrame, key: str, group: str, strategy: str, score: str, strategies: list[str]) -> DataFrame:
+    """Mean score by class of series, a column per strategy."""
+    return results.join(dimension.select(key, group), key).groupBy(group).pivot(strategy, strategies).agg(F.avg(score))
+
+
+def compare_runs(metrics: DataFrame, run: str, names: list[str], best: str) -> DataFrame:
+    """A row per run with a column per metric, and whether it is the best run by ``best``. metrics: run, metric, value."""
+    wide = metrics.groupBy(run).pivot("metric", names).agg(F.max("value"))
+    top = wide.agg(F.max_by(run, F.struct(F.col(best), F.col(run))).alias("top"))
+    return wide.join(F.broadcast(top), wide[run] == F.col("top"), "left").withColumn("is_best", F.col("top").isNotNull()).drop("top")

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quantframe.jobs import registry
@@ -11,7 +12,7 @@ TABLES = "customer events lineitem nation orders part region supplier documents"
 
 
 def plain(value):
-    if value is None or value != value:
+    if pd.isna(value):
         return ""
     if isinstance(value, (float, int)) and not isinstance(value, bool):
         return f"{float(value) + 0.0:.6g}".replace("-0", "0") if value == 0 else f"{float(value):.6g}"
