@@ -9,7 +9,7 @@ from quantframe.functions import options
 from quantframe.functions.windows import ordered, returns
 from quantframe.jobs.queries import AT, CHAIN, DAILY, EQUITY, PANEL, POSITIONS, RET, TICKS, TRADES, TS, W, WEIGHTS, positions, r, shown, weights
 from quantframe.jobs.registry import query
-from quantframe.operators import align, bars, clean, performance, regimes, risk, sentiment, signals
+from quantframe.operators import align, bars, clean, performance, regimes, risk, sentiment, signals, validation
 from quantframe.sources import parsers, tables
 
 
@@ -373,3 +373,23 @@ def sentiment_summary(spark, sf_dir):
     score = sentiment.lexicon_score(F.col("text"), ["rise", "gain", "strong", "growth", "up", "the"], ["fall", "loss", "weak", "down", "of"])
     news = docs.select("source", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 60).cast("int")).alias("day"), score.alias("score"))
     return shown(sentiment.sentiment_summary(news, "source", "day", "score", 30))
+
+
+# --- validation ---
+@query(f"WITH {DAILY}, c AS (SELECT symbol, count(*) AS n FROM d GROUP BY symbol HAVING count(*) >= 130), f AS (SELECT symbol, n, unnest(range(0, 6)) AS fold FROM c) SELECT symbol, fold::INT AS fold, lo AS train_low, lo + 99 AS train_high, lo + 105 AS test_low, lo + 129 AS test_high FROM (SELECT symbol, fold, ((fold + 1) * 1103515245 + 12345) % 2147483648 % (n - 129) AS lo FROM f)")
+def validation_drawn_folds(spark, sf_dir):
+    return validation.drawn_folds(tables.daily(spark, sf_dir), ["symbol"], 6, 100, 25, 5)
+
+
+@query(f"WITH {DAILY}, {RET}, x AS (SELECT symbol, row_number() OVER {W} - 1 AS i, ret AS y, lag(ret) OVER {W} AS x FROM r), fo AS (SELECT symbol, unnest(range(0, (count(*) - 315) // 63 + 1)) AS fold FROM x GROUP BY symbol HAVING count(*) >= 315), j AS (SELECT x.*, fold, i >= fold * 63 + 252 AS tested FROM x JOIN fo ON x.symbol = fo.symbol AND i BETWEEN 0 AND fold * 63 + 314 WHERE x IS NOT NULL AND y IS NOT NULL), l AS (SELECT symbol, fold, covar_samp(x, y) / nullif(var_samp(x), 0) AS b, avg(x) AS mx, avg(y) AS my FROM j WHERE NOT tested GROUP BY ALL), e AS (SELECT symbol, fold, avg((y - my - b * (x - mx)) ** 2) FILTER (NOT tested) AS a, avg((y - my - b * (x - mx)) ** 2) FILTER (tested) AS t FROM j JOIN l USING (symbol, fold) GROUP BY ALL) SELECT symbol, round(avg(a), 5) + 0.0 AS train, round(avg(t), 5) + 0.0 AS test, round(avg(t / a), 5) + 0.0 AS ratio, round(stddev_samp(t / a), 5) + 0.0 AS spread, round(CASE WHEN count(*) > 1 THEN regr_slope(t / a, fold) END, 5) + 0.0 AS trend, round(CASE WHEN count(*) > 1 THEN regr_r2(t / a, fold) END, 5) + 0.0 AS trend_r2 FROM e GROUP BY symbol")
+def validation_overfit(spark, sf_dir):
+    w = ordered(["symbol"], "day")
+    d = returned(spark, sf_dir).select("symbol", "day", F.col("ret").alias("y"), F.lag("ret").over(w).alias("x"))
+    rows = validation.fold_rows(d, validation.walk_forward(d, ["symbol"], 252, 63, 63), ["symbol"], ["day"]).filter("x IS NOT NULL AND y IS NOT NULL")
+    return shown(validation.overfit(rows, ["symbol"], "x", "y"), 5)
+
+
+@query(f"WITH {TRADES}, a AS (SELECT portfolio, avg(pnl) AS mean, -stddev_samp(pnl) AS calm FROM tr GROUP BY portfolio) SELECT portfolio, round(mean, 3) + 0.0 AS mean, round(calm, 3) + 0.0 AS calm FROM a x WHERE calm IS NOT NULL AND NOT EXISTS (SELECT 1 FROM a y WHERE y.mean >= x.mean AND y.calm >= x.calm AND (y.mean > x.mean OR y.calm > x.calm))")
+def sweep_pareto(spark, sf_dir):
+    t = options.trade_pnl(tables.trades(spark, sf_dir)).groupBy("portfolio").agg(F.avg("pnl").alias("mean"), (-F.stddev_samp("pnl")).alias("calm"))
+    return shown(validation.pareto(t.filter("calm IS NOT NULL"), "portfolio", "mean", "calm"), 3)

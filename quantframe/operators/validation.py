@@ -105,3 +105,33 @@ def naive_rules(df: DataFrame, keys: list[str], by: list, ret: str = "ret") -> D
 def grade(score):
     """A to F by score."""
     return F.when(score >= 0.9, "A").when(score >= 0.8, "B").when(score >= 0.7, "C").when(score >= 0.6, "D").otherwise("F")
+
+
+def drawn_folds(df: DataFrame, keys: list[str], folds: int, train: int, test: int, gap: int = 0, seed: int = 1) -> DataFrame:
+    """Monte-Carlo folds: ``folds`` training blocks of each key at starts drawn by a linear congruential step from the seed, and their test blocks after a gap; row numbers from 0."""
+    room = F.col("n") - train - gap - test + 1
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(room > 0)
+    drawn = counts.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
+    low = (((F.col("fold") + F.lit(seed).cast("long")) * 1103515245 + 12345) % 2147483648 % room).alias("train_low")
+    start = F.col("train_low")
+    return drawn.select(*keys, "fold", low).select(*keys, "fold", "train_low", (start + train - 1).alias("train_high"), (start + train + gap).alias("test_low"), (start + train + gap + test - 1).alias("test_high"))
+
+
+def overfit(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Per key: mean training and test error (mse) of a line over its folds, their ratio, the ratio's deviation, and its slope and r2 over the folds."""
+    trained = F.col("role") == "train"
+    cx, cy = F.when(trained, F.col(x)), F.when(trained, F.col(y))
+    line = rows.groupBy(*keys, "fold").agg((F.covar_samp(cx, cy) / F.when(F.var_samp(cx) != 0, F.var_samp(cx))).alias("slope"), F.avg(cx).alias("mx"), F.avg(cy).alias("my"))
+    error = F.col(y) - F.col("my") - F.col("slope") * (F.col(x) - F.col("mx"))
+    folds = rows.join(line, [*keys, "fold"]).withColumn("e", error * error).groupBy(*keys, "fold").agg(F.avg(F.when(trained, F.col("e"))).alias("train"), F.avg(F.when(~trained, F.col("e"))).alias("test"))
+    ratio = F.when(F.col("train") != 0, F.col("test") / F.col("train"))
+    return folds.withColumn("ratio", ratio).groupBy(*keys).agg(F.avg("train").alias("train"), F.avg("test").alias("test"), F.avg("ratio").alias("ratio"), F.stddev_samp("ratio").alias("spread"), F.regr_slope("ratio", "fold").alias("trend"), F.regr_r2("ratio", "fold").alias("trend_r2"))
+
+
+def pareto(trials: DataFrame, trial: str, first: str, second: str) -> DataFrame:
+    """Trials that no other one equals or beats in both goals while it beats it in one (higher is better), by one sort: of each first goal the best second, if above those of all greater first goals."""
+    # trials are few: a running maximum over all of them in order of the first goal
+    w = Window.orderBy(F.desc(first))
+    strict = trials.groupBy(first).agg(F.max(second).alias("best_second")).withColumn("before", F.max("best_second").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    kept = trials.join(strict, first).filter((F.col(second) == F.col("best_second")) & (F.col("before").isNull() | (F.col(second) > F.col("before"))))
+    return kept.select(trial, first, second)
