@@ -106,26 +106,26 @@ CALENDAR = "c AS (SELECT symbol, unnest(generate_series(min(day)::TIMESTAMP, max
 @query(f"WITH {DAILY}, {CALENDAR} SELECT cal.symbol, strftime(cal.day, {AT}) AS day, {r('close', 'volume')} FROM cal LEFT JOIN d USING (symbol, day)")
 def align_reindex_business_days(spark, sf_dir):
     d = tables.daily(spark, sf_dir)
-    return shown(align.reindex(d, align.business_calendar(d, ["symbol"]), ["symbol"]).select("symbol", "day", "close", "volume"))
+    return shown(align.on_business_days(d, ["symbol"], ["close", "volume"]))
 
 
 @query(f"WITH {DAILY}, {CALENDAR} SELECT cal.symbol, strftime(cal.day, {AT}) AS day, {r('close', 'volume')} FROM cal ASOF LEFT JOIN d ON cal.symbol = d.symbol AND cal.day >= d.day")
 def align_as_of_business_days(spark, sf_dir):
     d = tables.daily(spark, sf_dir)
-    return shown(align.as_of(align.business_calendar(d, ["symbol"]), d, ["symbol"], "day", ["close", "volume"]))
+    return shown(align.on_business_days(d, ["symbol"], ["close", "volume"], carry=True))
 
 
 @query(f"WITH {DAILY}, {CALENDAR}, j AS (SELECT cal.symbol, cal.day, close FROM cal LEFT JOIN d USING (symbol, day)), f AS (SELECT symbol, day, last_value(close IGNORE NULLS) OVER (w ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS forward, first_value(close IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS backward FROM j WINDOW w AS {W}) SELECT symbol, strftime(day, {AT}) AS day, {r('forward', 'backward')} FROM f")
 def align_limited_fills(spark, sf_dir):
     d = tables.daily(spark, sf_dir)
-    j = align.reindex(d.select("symbol", "day", "close"), align.business_calendar(d, ["symbol"]), ["symbol"])
+    j = align.on_business_days(d, ["symbol"], ["close"])
     return shown(j.select("symbol", "day", align.fill(j, ["symbol"], ["day"], "close", "ffill", 5).alias("forward"), align.fill(j, ["symbol"], ["day"], "close", "bfill", 5).alias("backward")))
 
 
 @query(f"WITH {DAILY}, {CALENDAR}, j AS (SELECT cal.symbol, cal.day, close, row_number() OVER (PARTITION BY cal.symbol ORDER BY cal.day) AS n FROM cal LEFT JOIN d USING (symbol, day)), k AS (SELECT *, last_value(CASE WHEN close IS NOT NULL THEN row(n, close) END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY day ROWS UNBOUNDED PRECEDING) AS p, first_value(CASE WHEN close IS NOT NULL THEN row(n, close) END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM j) SELECT symbol, strftime(day, {AT}) AS day, round(CASE WHEN close IS NOT NULL THEN close WHEN q IS NULL THEN p[2] ELSE p[2] + (q[2] - p[2]) * (n - p[1]) / (q[1] - p[1]) END, 6) + 0.0 AS close FROM k")
 def align_interpolate(spark, sf_dir):
     d = tables.daily(spark, sf_dir)
-    j = align.reindex(d.select("symbol", "day", "close"), align.business_calendar(d, ["symbol"]), ["symbol"])
+    j = align.on_business_days(d, ["symbol"], ["close"])
     return shown(align.interpolate(j, ["symbol"], ["day"], "close"))
 
 
@@ -429,8 +429,7 @@ def validation_linear_folds(spark, sf_dir):
     w = ordered(["symbol"], "day")
     d = tables.daily(spark, sf_dir).withColumn("y", returns("close", w))
     d = d.select("symbol", "day", "y", F.lag("y").over(w).alias("x"))
-    rows = validation.fold_rows(d, validation.walk_forward(d, ["symbol"], 252, 63, 63), ["symbol"], ["day"], embargo=5).filter("x IS NOT NULL AND y IS NOT NULL")
-    return shown(validation.linear_fold_errors(rows, ["symbol"], "x", "y"))
+    return shown(validation.walk_forward_lines(d, ["symbol"], ["day"], "x", "y", 252, 63, 63, embargo=5))
 
 
 @query(f"WITH {DAILY}, x AS (SELECT symbol, day, close AS a, lag(close) OVER {W} AS p FROM d), y AS (SELECT symbol, a, p, CASE WHEN sign(a - lag(a) OVER {W}) = sign(p - lag(p) OVER {W}) THEN 1.0 WHEN lag(a) OVER {W} IS NOT NULL AND lag(p) OVER {W} IS NOT NULL THEN 0.0 END AS g FROM x WHERE p IS NOT NULL) SELECT symbol, round(sqrt(avg((a - p) ** 2)), 6) + 0.0 AS rmse, round(avg(abs(a - p)), 6) + 0.0 AS mae, round(1 - sum((a - p) ** 2) / nullif(var_pop(a) * count(*), 0), 6) + 0.0 AS r2, round(avg(g), 6) + 0.0 AS direction, round(corr(a, p), 6) + 0.0 AS information FROM y GROUP BY symbol")

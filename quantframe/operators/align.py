@@ -27,6 +27,22 @@ def reindex(df: DataFrame, calendar: DataFrame, keys: list[str], day: str = "day
     return calendar.join(df, [*keys, day], "left")
 
 
+def on_business_days(df: DataFrame, keys: list[str], columns: list[str], day: str = "day", carry: bool = False) -> DataFrame:
+    """df on each key's weekdays from its first to its last day, in one ordered pass without a join.
+
+    Weekdays without a row get nulls or, with ``carry``, each column's last value before them, weekends included. Rows that
+    share a day all stay; with ``carry`` one of them does. Rows with a null day are left out.
+    """
+    w = ordered(keys, day)
+    following = F.lead(day).over(w)
+    own = F.array() if carry else F.array(day)
+    days = F.when(following > F.col(day), F.sequence(F.col(day), F.date_sub(following, 1))).when(following == F.col(day), own.cast("array<date>")).otherwise(F.array(day))
+    held = [forward_fill(c, w).alias(c) if carry else F.col(c) for c in columns]
+    spread = df.filter(F.col(day).isNotNull()).select(*keys, F.col(day).alias("row_day"), *held, days.alias("days"))
+    spread = spread.select(*keys, F.explode("days").alias(day), "row_day", *columns).filter(F.weekday(day) < 5)
+    return spread.select(*keys, day, *[F.col(c) if carry else F.when(F.col(day) == F.col("row_day"), F.col(c)).alias(c) for c in columns])
+
+
 def as_of(grid: DataFrame, source: DataFrame, keys: list[str], ts: str, columns: list[str], prefix: str = "", limit: int | None = None) -> DataFrame:
     """For each grid row the source's latest values at or before it: one union and one ordered window, no range join."""
     a = grid.select(*keys, ts, *[F.lit(None).cast(source.schema[c].dataType).alias(c) for c in columns], F.lit(1).alias("grid"))

@@ -92,10 +92,10 @@ def volume_bars(df: DataFrame, keys: list[str], threshold: float, ts: str = "ts"
     """Volume bars; the reset at each close makes this a scan per key. Rows stream through each task in key order, so a long series needs no more memory than a batch."""
     cols = [*keys, ts, tie, price, volume]
     sorted_rows = df.select(*cols).filter(F.col(volume).isNotNull()).repartition(*keys).sortWithinPartitions(*keys, ts, tie)
-    schema = T.StructType([*sorted_rows.schema.fields, T.StructField("volume_bar", T.LongType())])
+    schema = T.StructType([*sorted_rows.schema.fields, T.StructField("volume_bar", T.LongType()), T.StructField("place", T.LongType())])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held, bar = None, 0.0, 0
+        now, held, bar, place = None, 0.0, 0, 0
         for batch in batches:
             out = np.zeros(len(batch), np.int64)
             change = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy()
@@ -110,10 +110,11 @@ def volume_bars(df: DataFrame, keys: list[str], threshold: float, ts: str = "ts"
                 out[low:high] = ids + bar
                 last = v[ids == ids[-1]].sum()
                 bar, held = (bar + int(ids[-1]) + 1, 0.0) if last >= threshold * (1 - 1e-12) else (bar + int(ids[-1]), last)
-            yield batch.assign(volume_bar=out)
+            yield batch.assign(volume_bar=out, place=np.arange(place, place + len(batch)))
+            place += len(batch)
 
     barred = sorted_rows.mapInPandas(scan, schema)
-    return barred.groupBy(*keys, "volume_bar").agg(*ohlcv(price, volume, F.struct(ts, tie)), F.count(F.lit(1)).alias("n"))
+    return barred.groupBy(*keys, "volume_bar").agg(*ohlcv(price, volume, F.col("place")), F.count(F.lit(1)).alias("n"))
 
 
 def vwap(df: DataFrame, keys: list[str], ts: str = "ts", tie: str = "id", price: str = "price", volume: str = "volume") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantframe.functions.windows import ordered
-from quantframe.operators.clean import per_key, quantiles
+from quantframe.operators.clean import quantiles
 
 YEAR = 252
 
@@ -16,7 +16,7 @@ YEAR = 252
 def volatility_regimes(df: DataFrame, keys: list[str], vol: str, low: float = 0.33, high: float = 0.67) -> DataFrame:
     """regime 0 up to the low quantile (and without a value), 1 up to the high one, else 2."""
     regime = F.when(F.col(vol) > F.col("q")[1], 2).when(F.col(vol) > F.col("q")[0], 1).otherwise(0)
-    return per_key(df, keys, q=quantiles(vol, low, high)).withColumn("regime", regime).drop("q")
+    return df.withColumn("q", quantiles(vol, low, high).over(Window.partitionBy(*keys))).withColumn("regime", regime).drop("q")
 
 
 def trend_regimes(df: DataFrame, price: str, mean: str, band: float = 0.02) -> DataFrame:
@@ -27,12 +27,11 @@ def trend_regimes(df: DataFrame, price: str, mean: str, band: float = 0.02) -> D
 def regime_statistics(df: DataFrame, keys: list[str], by: list, ret: str = "ret") -> DataFrame:
     """Per key and regime: share of rows, annual return, volatility, Sharpe, and the mean length of its runs."""
     w = ordered(keys, *by)
-    island = F.row_number().over(w) - F.row_number().over(ordered([*keys, "regime"], *by))
-    runs = df.withColumn("island", island).groupBy(*keys, "regime", "island").agg(F.count(F.lit(1)).alias("length"))
-    length = runs.groupBy(*keys, "regime").agg(F.avg("length").alias("mean_run"))
-    stats = df.groupBy(*keys, "regime").agg(F.count(F.lit(1)).alias("n"), (F.avg(ret) * YEAR).alias("annual_return"), (F.stddev_samp(ret) * math.sqrt(YEAR)).alias("volatility"))
+    marked = df.withColumn("starts", ((F.row_number().over(w) == 1) | ~F.col("regime").eqNullSafe(F.lag("regime").over(w))).cast("long"))
+    stats = marked.groupBy(*keys, "regime").agg(F.count(F.lit(1)).alias("n"), (F.avg(ret) * YEAR).alias("annual_return"), (F.stddev_samp(ret) * math.sqrt(YEAR)).alias("volatility"), (F.count(F.lit(1)) / F.sum("starts")).alias("mean_run"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy(*keys))
-    return stats.withColumn("frequency", share).withColumn("sharpe", F.when(F.col("volatility") != 0, F.col("annual_return") / F.col("volatility"))).join(length, [*keys, "regime"])
+    sharpe = F.when(F.col("volatility") != 0, F.col("annual_return") / F.col("volatility"))
+    return stats.select(*keys, "regime", "n", "annual_return", "volatility", share.alias("frequency"), sharpe.alias("sharpe"), "mean_run")
 
 
 def transitions(df: DataFrame, keys: list[str], by: list) -> DataFrame:

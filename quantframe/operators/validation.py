@@ -37,6 +37,25 @@ def linear_fold_errors(rows: DataFrame, keys: list[str], x: str, y: str) -> Data
     return tested.withColumn("guess", guess).groupBy(*keys, "fold").agg(F.sqrt(F.avg((F.col(y) - F.col("guess")) ** 2)).alias("rmse"), F.avg(F.abs(F.col(y) - F.col("guess"))).alias("mae"), F.count("guess").alias("n"))
 
 
+def walk_forward_lines(df: DataFrame, keys: list[str], by: list, x: str, y: str, train: int, test: int, step: int, embargo: int = 0, expanding: bool = True) -> DataFrame:
+    """What ``linear_fold_errors`` gives over the folds of ``walk_forward``, in one ordered pass: the line of a fold is a running aggregate
+    at its last training row, read by the test rows that follow, so no row is copied to the folds that train on it. The embargo is below ``train``."""
+    w = ordered(keys, *by)
+    whole = F.col(x).isNotNull() & F.col(y).isNotNull()
+    seen = w.rowsBetween(Window.unboundedPreceding if expanding else 1 - train, -embargo)
+    cx, cy = F.when(whole, F.col(x)), F.when(whole, F.col(y))
+    spread = F.var_samp(cx).over(seen)
+    slope = F.covar_samp(cx, cy).over(seen) / F.when(spread != 0, spread)
+    rows = df.select(*keys, *by, x, y, (F.row_number().over(w) - 1).alias("row"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("rows"), slope.alias("slope"), F.avg(cx).over(seen).alias("mx"), F.avg(cy).over(seen).alias("my"))
+    past = F.col("row") + 1 - train
+    ends = (past >= 0) & (past % step == 0) & (F.col("row") + 1 + test <= F.col("rows"))
+    cut = F.when(ends, F.struct((past / step).cast("int").alias("fold"), F.col("row").alias("at"), "slope", "mx", "my"))
+    before = F.array(F.last("cut", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))) if test <= step else F.collect_list("cut").over(w.rowsBetween(-test, -1))
+    tested = rows.withColumn("cut", cut).withColumn("folds", before).filter(whole).withColumn("f", F.explode("folds")).filter(F.col("row") - F.col("f.at") <= test)
+    miss = F.col(y) - (F.col("f.my") + F.col("f.slope") * (F.col(x) - F.col("f.mx")))
+    return tested.select(*keys, F.col("f.fold").alias("fold"), miss.alias("miss")).groupBy(*keys, "fold").agg(F.sqrt(F.avg(F.col("miss") ** 2)).alias("rmse"), F.avg(F.abs("miss")).alias("mae"), F.count("miss").alias("n"))
+
+
 def prediction_metrics(df: DataFrame, keys: list[str], by: list, actual: str, predicted: str) -> DataFrame:
     """rmse, mae, r2, share of steps in the right direction, information coefficient."""
     w = ordered(keys, *by)

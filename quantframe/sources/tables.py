@@ -17,12 +17,17 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, day, open, high, low, close, volume: bars of each supplier's shipping days, with calendar gaps."""
+    """symbol, day, open, high, low, close, volume: bars of each supplier's shipping days, with calendar gaps.
+
+    A bar has about one line, so combining before the exchange would save nothing: rows are dealt by symbol once, and the
+    aggregate and every later window over a symbol's days work on that partitioning and order.
+    """
     price = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
     return (
         read(spark, sf_dir, "lineitem")
         .select(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("day"), price.alias("price"), order.alias("o"), "l_quantity")
+        .repartition("symbol")
         .groupBy("symbol", "day")
         .agg(F.min_by("price", "o").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "o").alias("close"), F.sum("l_quantity").alias("volume"))
     )
