@@ -104,21 +104,32 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def outputs(theta: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """In the precision of x: a product of mixed ones would copy x each time."""
+    return x @ theta[:-1].astype(x.dtype, copy=False) + theta[-1]
+
+
+def beyond(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
+    """R_U(-) - pi R_P(-) of the outputs."""
+    return np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+
 def risk(theta: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float]:
     """The two parts of the risk with the logistic loss: pi R_P(+), and R_U(-) - pi R_P(-), which the minimum keeps from going below zero."""
-    zp, zu = xp @ theta[:-1] + theta[-1], xu @ theta[:-1] + theta[-1]
-    return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    zp, zu = outputs(theta, xp), outputs(theta, xu)
+    return prior * np.logaddexp(0, -zp).mean(), beyond(zp, zu, prior)
 
 
 def direction(theta: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> np.ndarray:
     """Gradient of both parts where the second is positive; elsewhere minus that of the second, which takes the step back."""
-    sp, su = sigmoid(xp @ theta[:-1] + theta[-1]), sigmoid(xu @ theta[:-1] + theta[-1])
+    zp, zu = outputs(theta, xp), outputs(theta, xu)
+    sp, su = sigmoid(zp), sigmoid(zu)
     unlabelled, shared = su / len(su), -prior * sp / len(sp)  # gradients of R_U(-) and -pi R_P(-) by the output
-    if risk(theta, xp, xu, prior)[1] >= 0:
+    if beyond(zp, zu, prior) >= 0:
         gp, gu = prior * (sp - 1) / len(sp) + shared, unlabelled
     else:
         gp, gu = -shared, -unlabelled
-    return np.append(xp.T @ gp + xu.T @ gu, gp.sum() + gu.sum())
+    return np.append(gp.astype(xp.dtype, copy=False) @ xp + gu.astype(xu.dtype, copy=False) @ xu, gp.sum() + gu.sum())
 
 
 def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
