@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +55,13 @@ def utf8(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of maximal runs of characters other than ASCII white space; 0 for null."""
     return F.regexp_count(or_empty(text), F.lit(WORD)).cast("long")
+
+
+def sliced(batch: pa.RecordBatch, text: str, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes of text, or one row."""
+    lengths = pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False)
+    part = np.cumsum(lengths) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
