@@ -65,3 +65,19 @@ def sliced(batch: pa.RecordBatch, text: str, most: int = 1 << 23) -> Iterator[pa
     for a, b in zip(edges, edges[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+
+
+def place_ranges(numbered: DataFrame, most: int) -> list[tuple[int, int]]:
+    """Ranges of ``place``, which monotonically_increasing_id() gave the rows of a written table, with at most ``most`` rows each."""
+    counts = sorted(numbered.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row per partition
+    ranges, low, room, last = [], None, most, 0
+    for part, n in counts:
+        at, last = part << 33, (part << 33) + n
+        while at < last:
+            low = at if low is None else low
+            step = min(room, last - at)
+            at, room = at + step, room - step
+            if not room:
+                ranges.append((low, at - 1))
+                low, room = None, most
+    return ranges if low is None else [*ranges, (low, last - 1)]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantframe.llm.common import materialise, shared_path
+from quantframe.llm.common import materialise, place_ranges, shared_path
 
 #: Bits of the integers that a double holds exactly, and fields of a wider integer.
 EXACT_BITS, WIDE_FIELDS = 53, 16
@@ -198,25 +198,6 @@ def foremost(found: DataFrame, keys: list[str], k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def anchor_ranges(anchors: DataFrame, most: int) -> list[tuple[int, int]]:
-    """Ranges of ``place`` with at most ``most`` anchors each, from a table whose partitions numbered their own rows."""
-    counts = sorted(anchors.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row per partition
-    ranges, low, room = [], None, most
-    for part, n in counts:
-        at = part << 33
-        end = at + n
-        while at < end:
-            low = at if low is None else low
-            step = min(room, end - at)
-            at, room = at + step, room - step
-            if not room:
-                ranges.append((low, at - 1))
-                low, room = None, most
-    if low is not None:
-        ranges.append((low, (counts[-1][0] << 33) + counts[-1][1] - 1))
-    return ranges
-
-
 def mine(vectors: DataFrame, anchor: Column, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", positives: int = 5, negatives: int = 3, lowest: int = 50, highest: int = 95, scale: float = 256.0, block_anchors: int = 16384) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score for each row where ``anchor`` holds; see the module."""
     spark = vectors.sparkSession
@@ -229,7 +210,7 @@ def mine(vectors: DataFrame, anchor: Column, id_col: str = "vec_id", vector_col:
     most = max(1, min(block_anchors, (BLOCK_COMPONENTS << 3) // longest))
     path, parts = shared_path(spark, "hard-negatives"), 0
     rows = rows.drop("anchor")
-    for low, high in anchor_ranges(anchors, most):
+    for low, high in place_ranges(anchors, most):
         told = anchors.filter(F.col("place").between(low, high)).select("id", "label", "vector").toArrow()  # ``most`` rows
         block = Anchors(told.column("id").to_numpy(), told.column("label").to_numpy(), matrix(told.column("vector")))
         own = spark.sparkContext.broadcast(block)
