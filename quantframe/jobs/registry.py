@@ -22,4 +22,4 @@ def flagship(spark, sf_dir):
     return QUERIES["indicators_features"](spark, sf_dir)
 
 
-from quantframe.jobs import model_queries, portfolio_queries, queries  # noqa: E402, F401  they register their functions
+from quantframe.jobs import model_queries, portfolio_queries, queries, run_queries  # noqa: E402, F401  they register their functions
