@@ -71,3 +71,61 @@ def test_nulls_repeats_ties_empty(spark):
     assert got.count() == 6 and got.agg(F.max("taken")).first()[0] <= 90000
     assert mixing.repeat_copies(df).columns == df.columns
     assert mixing.mixed(df.limit(0)).collect() == []
+
+
+def test_a_flight_lands_within_a_small_unit_of_its_total():
+    """Log-normal sizes: the words taken are off by no more than a unit of the smallest class, or 0.5 %."""
+    rng, off = np.random.default_rng(12), []
+    for seed in range(200):
+        sizes = np.sort(np.maximum(1, rng.lognormal(5, 1.2, 500).round()))[::-1]
+        p = rng.random(500) if seed % 2 else np.full(500, rng.uniform(0.05, 0.95))
+        flight, done = mixing.Flight([seed], True), []
+        for i in range(500):
+            flight.add([float(sizes[i]), float(p[i]), i, None], done)
+        done += flight.end(done)
+        assert sorted(x[2] for x in done) == list(range(500)) and all(x[1] in (0.0, 1.0) for x in done)
+        off.append(abs(sum(x[0] * x[1] for x in done) - (sizes * p).sum()) / (sizes * p).sum())
+    assert max(off) < 0.005 and np.mean(off) < 0.001
+
+
+def test_probabilities_are_kept_by_landing():
+    """Sizes that halve: each larger unit is drawn, and the smaller ones bear its debt."""
+    sizes = [4000.0, 1500.0, 700.0] + [300.0] * 4 + [100.0] * 10 + [20.0] * 20
+    p = [0.3 + 0.4 * (i % 5) / 4 for i in range(len(sizes))]
+    hits, words = np.zeros(len(sizes)), []
+    for seed in range(3000):
+        flight, done = mixing.Flight([seed, 5], True), []
+        for i, s in enumerate(sizes):
+            flight.add([s, p[i], i, None], done)
+        done += flight.end(done)
+        for x in done:
+            hits[x[2]] += x[1]
+    assert abs(hits / 3000 - p).max() < 0.04
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_query_lands_on_each_target(spark, sf):
+    path = f"/root/testdata/{sf}"
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "source")
+    rows = mixing.query(spark, path).join(docs, "doc_id").groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"), F.percentile("size", F.lit(0.5)).alias("middle")).collect()
+    assert len(rows) > 3
+    for r in rows:
+        # a source has 50 documents at sf0.01, and where all are to be kept with odds of 0.994, say, nothing between all and one less can be taken
+        assert abs(r["taken"] - r["target"]) <= (0.005 if sf == "sf0.1" else 0.02) * r["target"]
+        assert sf == "sf0.01" or abs(r["taken"] - r["target"]) <= r["middle"]
+
+
+def test_blocks_hand_on_what_lands_on_target(spark):
+    sized = spark.range(20_000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'hot', concat('s', id % 4)) AS source", "cast(2 + exp(9 * pow((id * 7919 % 10007) / 10007, 2)) AS int) AS size")
+    got = mixing.mix_to_targets(sized, mixing.source_targets(sized), block_rows=256)
+    for r in got.groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("x")).collect():
+        assert abs(r["x"] - r["t"]) <= 0.0005 * r["t"]  # a tenth of the largest, of 8000 words, or so
+
+
+def test_rows_alike_are_dealt_to_many_blocks(spark):
+    sized = spark.range(9000).selectExpr("if(id % 3 = 0, null, id) AS doc_id", "'a' AS source", "if(id % 3 = 0, 7, id % 50) AS size")
+    sized = sized.unionAll(sized.selectExpr("doc_id", "'b' AS source", "size"))
+    got = mixing.mix_to_targets(sized, mixing.source_targets(sized), block_rows=128)
+    assert got.count() == 18_000
+    for r in got.groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("x")).collect():
+        assert abs(r["x"] - r["t"]) <= 50
