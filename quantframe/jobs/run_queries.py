@@ -46,11 +46,11 @@ def market(spark, sf_dir):
 CURVE = f"c AS (SELECT symbol, row, day, capital, value AS position_value, capital + value AS total, CASE WHEN capital + value > 0 THEN gross / (capital + value) ELSE 0 END AS leverage, traded, commission, slippage FROM s WHERE row > 0)"
 
 
-@query(f"WITH RECURSIVE {DAILY}, {market_sql('isodow(day) = 1')}, {replay_sql(option_runs.CONDOR, 0.1, 30)}, {CURVE} SELECT symbol, strftime(day, {AT}) AS day, {r('capital', 'position_value', 'total', digits=4)}, {r('leverage')}, traded AS legs_traded, {r('commission', 'slippage', digits=4)} FROM c")
+@query(f"WITH RECURSIVE {DAILY}, {market_sql('isodow(day) = 1')}, {replay_sql(option_runs.CONDOR, 0.1, 30)}, {CURVE} SELECT symbol, strftime(day, {AT}) AS day, {r('capital', 'position_value', 'total', digits=2)}, {r('leverage')}, traded AS legs_traded, {r('commission', 'slippage', digits=2)} FROM c")
 def options_backtest_condor(spark, sf_dir):
     """Condors entered on Mondays, sized by the capital then left: the whole curve of each symbol."""
     curve = option_runs.option_backtest(market(spark, sf_dir), ["symbol"], "day", "close", "signal", rebalance="weekly").drop("open_legs")
-    return shown(curve.withColumns({c: F.round(c, 4) for c in ("capital", "position_value", "total", "commission", "slippage")}))
+    return shown(curve.withColumns({c: F.round(c, 2) for c in ("capital", "position_value", "total", "commission", "slippage")}))
 
 
 @query(f"""WITH RECURSIVE {DAILY}, {market_sql('day(day) = 1')}, {replay_sql(option_runs.STRANGLE, 0.05, 45)}, {CURVE},
@@ -77,3 +77,14 @@ def options_covered_call_run(spark, sf_dir):
     quotes = greeks(spark, sf_dir).filter("option_type = 'call'").withColumn("strike", F.floor(F.col("strike") / 100) * 100)
     runs = option_runs.covered_call_run(quotes, ["portfolio"], 0.8, 1.2)
     return shown(runs.withColumns({c: F.round(c, d) for c, d in (("call_sold", 4), ("call_bought", 4), ("stock_pnl", 4), ("call_pnl", 3))}))
+
+
+@query()
+def regimes_hidden(spark, sf_dir):
+    """Regimes of daily returns under one hidden-Markov model of all symbols, with their probabilities: iterative, so without SQL."""
+    from quantframe.functions.windows import ordered, returns
+    from quantframe.operators import hidden
+
+    d = tables.daily(spark, sf_dir).withColumn("ret", returns("close", ordered(["symbol"], "day"), log=True))
+    found = hidden.regimes(d, ["symbol"], ["day"], "ret", rounds=20)
+    return shown(found.select("symbol", "day", "ret", "regime", *[F.col("probabilities")[i].alias(f"chance_{i}") for i in range(3)]))

@@ -6,8 +6,8 @@ no more memory than a batch and its open legs. One key's steps follow from each
 
 from __future__ import annotations
 
-import heapq
 import math
+from collections import deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -55,16 +55,15 @@ def option_value(kind: str, strike: float, spot: float) -> float:
 
 
 class Book:
-    """Cash and open legs of one portfolio; legs leave in the order of their expiry."""
+    """Cash and open legs of one portfolio; all legs last as long, so they leave in the order in which they came."""
 
     def __init__(self, capital: float, legs: list[Leg], days: int, costs: Costs):
         self.capital, self.legs, self.days, self.costs = capital, legs, days, costs
-        self.open: list[tuple] = []  # a heap of (expiry, number, kind, strike, quantity)
-        self.trades = 0
+        self.open: deque[tuple] = deque()  # expiry, kind, strike, quantity
 
     def step(self, day: int, spot: float, enters: bool, share: float) -> tuple:
         """A day: mark, record, trade if it enters, then settle what expires. capital, value, total, leverage, legs traded, commission, slippage, open legs."""
-        values = [q * option_value(kind, strike, spot) for _, _, kind, strike, q in self.open]
+        values = [q * option_value(kind, strike, spot) for _, kind, strike, q in self.open]
         value, gross = sum(values), sum(map(abs, values))
         total = self.capital + value
         row = [self.capital, value, total, gross / total if total > 0 else 0.0, 0, 0.0, 0.0]
@@ -74,11 +73,10 @@ class Book:
             for leg in self.legs:
                 price, commission, slipped = self.costs.fill(leg, n)
                 self.capital -= leg.sign * n * price + commission + slipped
-                heapq.heappush(self.open, (day + self.days, self.trades, leg.kind, leg.strike * spot, leg.sign * n))
-                self.trades += 1
+                self.open.append((day + self.days, leg.kind, leg.strike * spot, leg.sign * n))
                 row[4:7] = row[4] + 1, row[5] + commission, row[6] + slipped
         while self.open and self.open[0][0] <= day:
-            _, _, kind, strike, q = heapq.heappop(self.open)
+            _, kind, strike, q = self.open.popleft()
             self.capital += q * max(0.0, spot - strike if kind == "call" else strike - spot)
         return (*row, len(self.open))
 
