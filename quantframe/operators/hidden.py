@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quantframe.functions.joins import beside
 from quantframe.operators.long_series import BLOCK, in_blocks
 from quantframe.sources.shared import materialise
 
@@ -53,10 +54,7 @@ def as_blocks(df: DataFrame, keys: list[str], by: list[str], column: str, block_
     cut = in_blocks(rows, keys, by, block_rows)
     made = cut.groupBy(*keys, BLOCK).agg(F.sort_array(F.collect_list(F.struct(*by, "x"))).alias("rows"))  # block_rows at most, but for ties
     ends = cut.groupBy(*keys).agg(F.min(BLOCK).alias("_low"), F.max(BLOCK).alias("_high"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & made[k].eqNullSafe(ends[k])
-    made = made.join(ends, same).select(*[made[k] for k in keys], BLOCK, "rows", (F.col(BLOCK) == F.col("_low")).alias("first"), (F.col(BLOCK) == F.col("_high")).alias("last"))
+    made = beside(made, ends, keys).select(*keys, BLOCK, "rows", (F.col(BLOCK) == F.col("_low")).alias("first"), (F.col(BLOCK) == F.col("_high")).alias("last"))
     return materialise(made.withColumn("id", F.monotonically_increasing_id()), "hidden-blocks")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantframe.functions.joins import beside
 from quantframe.sources.shared import materialise
 
 BLOCK = "_block"
@@ -39,11 +40,7 @@ def earlier(keys: list[str]) -> Window:
 
 def joined(blocked: DataFrame, carries: DataFrame, keys: list[str]) -> DataFrame:
     """Each row with its block's carries; the join is by key and block, so a long series is many small groups."""
-    renamed = carries.withColumnsRenamed({k: f"_of_{k}" for k in [*keys, BLOCK]})
-    same = blocked[BLOCK] == renamed[f"_of_{BLOCK}"]
-    for k in keys:
-        same = same & blocked[k].eqNullSafe(renamed[f"_of_{k}"])
-    return blocked.join(renamed, same).drop(*[f"_of_{k}" for k in [*keys, BLOCK]])
+    return beside(blocked, carries, [*keys, BLOCK])
 
 
 def forward_fill(df: DataFrame, keys: list[str], by: list[str], columns: list[str], block_rows: int = 200_000) -> DataFrame:

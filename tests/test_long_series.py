@@ -10,7 +10,7 @@ from quantframe.operators import align, long_series
 @pytest.fixture(scope="module")
 def hot(spark):
     """Nine rows of ten in one series."""
-    return spark.range(20_000).selectExpr("if(id % 10 > 0, 'hot', if(id % 20 = 0, null, concat('k', id % 7))) AS key", "id AS at", "if(id % 4 > 0 or id % 1000 < 300, null, id * 1.0) AS a", "if(id % 9 > 0, null, concat('v', id)) AS b", "(id * 7919 % 211 - 100) / 5000.0 AS ret", "100 + id % 13 AS price", "1.0 * (id % 5) AS volume")
+    return spark.range(20_000).selectExpr("if(id % 10 > 0, 'hot', if(id % 20 = 0, null, concat('k', id % 7))) AS key", "id AS at", "if(id % 4 > 0 or id % 1000 < 300, null, id * 1.0D) AS a", "if(id % 9 > 0, null, concat('v', id)) AS b", "(id * 7919 % 211 - 100) / 5000.0D AS ret", "100 + id % 13 AS price", "1.0D * (id % 5) AS volume")
 
 
 def same(got, want, columns):
