@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantframe.jobs.queries import AT, CHAIN, DAILY, GREEKS, W, greeks, mean, r, shown
+from quantframe.jobs.queries import AT, CHAIN, DAILY, GREEKS, W, greeks, mean, r, shown, tail_sql
 from quantframe.jobs.registry import query
 from quantframe.operators import option_runs
 from quantframe.sources import tables
@@ -88,3 +88,151 @@ def regimes_hidden(spark, sf_dir):
     d = tables.daily(spark, sf_dir).withColumn("ret", returns("close", ordered(["symbol"], "day"), log=True))
     found = hidden.regimes(d, ["symbol"], ["day"], "ret", rounds=20)
     return shown(found.select("symbol", "day", "ret", "regime", *[F.col("probabilities")[i].alias(f"chance_{i}") for i in range(3)]))
+
+
+# --- windows over windows, refits, residuals, corrupt input ---
+FROM_RET = "rr AS (SELECT symbol, day, close, close / lag(close) OVER w - 1 AS ret, row_number() OVER w AS pos FROM d WINDOW w AS (PARTITION BY symbol ORDER BY day))"
+
+
+def returned(spark, sf_dir):
+    from quantframe.functions.windows import ordered, returns
+
+    return tables.daily(spark, sf_dir).select("symbol", "day", "close", returns("close", ordered(["symbol"], "day")).alias("ret"))
+
+
+def last_n(c: str, how: str, n: int) -> str:
+    w = f"(PARTITION BY symbol ORDER BY day ROWS {n - 1} PRECEDING)"
+    return f"CASE WHEN count({c}) OVER {w} = {n} THEN {how}({c}) OVER {w} END"
+
+
+@query(f"WITH {DAILY}, {FROM_RET}, e AS (SELECT symbol, day, {last_n('grown', 'product', 20)} AS rolling_equity FROM (SELECT *, 1 + ret AS grown FROM rr)), pk AS (SELECT *, {last_n('rolling_equity', 'max', 20)} AS rolling_peak FROM e), f AS (SELECT *, rolling_equity / rolling_peak - 1 AS fall FROM pk) SELECT symbol, strftime(day, {AT}) AS day, {r('rolling_equity', 'rolling_peak', digits=5)}, round({last_n('fall', 'min', 20)}, 6) + 0.0 AS rolling_max_drawdown FROM f")
+def performance_rolling_drawdown(spark, sf_dir):
+    """Equity of the last 20 days, its largest in 20 days, and the deepest fall from that in 20 days."""
+    from quantframe.functions.sliding import rolling_drawdown
+
+    found = rolling_drawdown(returned(spark, sf_dir), ["symbol"], ["day"], 20)
+    return shown(found.select("symbol", "day", F.round("rolling_equity", 5).alias("rolling_equity"), F.round("rolling_peak", 5).alias("rolling_peak"), "rolling_max_drawdown"))
+
+
+def lagged(spark, sf_dir):
+    """Rows with a return and the two before it."""
+    from quantframe.functions.windows import ordered
+
+    w = ordered(["symbol"], "day")
+    return returned(spark, sf_dir).withColumn("y", F.ln(1 + F.col("ret"))).withColumn("x1", F.lag("y").over(w)).withColumn("x2", F.lag("y", 2).over(w)).select("symbol", "day", "y", "x1", "x2")
+
+
+LAGGED = f"{FROM_RET}, l AS (SELECT symbol, day, y, lag(y) OVER {W} AS x1, lag(y, 2) OVER {W} AS x2 FROM (SELECT *, ln(1 + ret) AS y FROM rr)), k AS (SELECT * FROM l WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL)"
+SEEN = "OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+GUESSES = f"""{LAGGED}, z AS (SELECT *, count(*) {SEEN} AS n, avg(y) {SEEN} AS my, avg(x1) {SEEN} AS m1, avg(x2) {SEEN} AS m2, covar_pop(x1, x1) {SEEN} AS s11, covar_pop(x2, x2) {SEEN} AS s22, covar_pop(x1, x2) {SEEN} AS s12, covar_pop(x1, y) {SEEN} AS s1y, covar_pop(x2, y) {SEEN} AS s2y FROM k),
+gs AS (SELECT *, CASE WHEN n >= 30 THEN my + (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) * (x1 - m1) + (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) * (x2 - m2) END AS guess, CASE WHEN n >= 30 THEN my END AS base FROM z)"""
+
+
+@query(f"WITH {DAILY}, {GUESSES} SELECT symbol, strftime(day, {AT}) AS day, {r('y', 'guess', digits=5)} FROM gs")
+def validation_recursive_refits(spark, sf_dir):
+    """Each return by a line on the two before it, refitted at every row."""
+    from quantframe.operators import regressions
+
+    found = regressions.recursive_predictions(lagged(spark, sf_dir), ["symbol"], ["day"], ["x1", "x2"], "y")
+    return shown(found.select("symbol", "day", F.round("y", 5).alias("y"), F.round("guess", 5).alias("guess")))
+
+
+def guessed(spark, sf_dir):
+    """Refitted guesses with the mean of all earlier rows as a baseline."""
+    from quantframe.functions.windows import ordered
+    from quantframe.operators import regressions
+    from pyspark.sql import Window
+
+    found = regressions.recursive_predictions(lagged(spark, sf_dir), ["symbol"], ["day"], ["x1", "x2"], "y")
+    seen = ordered(["symbol"], "day").rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("base", F.when(F.col("guess").isNotNull(), F.avg("y").over(seen)))
+
+
+LAGS = ", ".join(f"lag(e, {k}) OVER {W} AS l{k}" for k in range(1, 11))
+ACS = ", ".join(f"CASE WHEN n // 4 > {k} THEN coalesce(corr(e, l{k}), 0) END AS ac_{k}" for k in range(1, 11))
+RESIDUALS = f"""u AS (SELECT symbol, day, y, guess, y - guess AS e FROM gs WHERE guess IS NOT NULL), v AS (SELECT *, {LAGS}, row_number() OVER {W} AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM u),
+q AS (SELECT symbol, n, avg(e) AS mean, stddev_pop(e) AS deviation, skewness(e) * (n - 2) / sqrt(n * (n - 1)) AS skew, kurtosis_pop(e) AS kurtosis, {ACS}, coalesce(corr(abs(e), guess), 0) AS size_correlation, var_pop(e) FILTER (pos <= n // 2) / var_pop(e) FILTER (pos > n // 2) AS variance_ratio, n * coalesce(corr(e * e, guess), 0) ** 2 AS changing_variance FROM v GROUP BY symbol, n)"""
+
+
+@query(f"WITH {DAILY}, {GUESSES}, {RESIDUALS}, j AS (SELECT *, n / 6 * (skew ** 2 + kurtosis ** 2 / 4) AS jarque_bera, sqrt(changing_variance) AS root FROM q) SELECT symbol, n, {r('mean', 'deviation', 'skew', 'kurtosis', *[f'ac_{k}' for k in range(1, 11)], 'size_correlation', 'variance_ratio', digits=4)}, round(jarque_bera, 3) + 0.0 AS jarque_bera, round(exp(-jarque_bera / 2), 4) + 0.0 AS jarque_bera_p, round(changing_variance, 4) + 0.0 AS changing_variance, round(2 * (1 - {tail_sql('root')}), 4) + 0.0 AS changing_variance_p FROM j")
+def validation_residuals(spark, sf_dir):
+    """Residuals of the refitted line: shape, correlations at ten lags, changing variance by two stages."""
+    from quantframe.operators import underfit
+
+    found = underfit.residual_diagnosis(guessed(spark, sf_dir), ["symbol"], ["day"], "y", "guess")
+    return shown(found.withColumn("jarque_bera", F.round("jarque_bera", 3)).withColumns({c: F.round(c, 4) for c in found.columns if c not in ("symbol", "n", "jarque_bera")}))
+
+
+R2 = """f5 AS (SELECT symbol, (row_number() OVER (PARTITION BY symbol ORDER BY day DESC) - 1) // 63 AS fold, y, guess, base FROM gs WHERE guess IS NOT NULL),
+g5 AS (SELECT symbol, fold, 1 - avg((y - guess) ** 2) / var_pop(y) AS a, 1 - avg((y - base) ** 2) / var_pop(y) AS b FROM f5 WHERE fold < 5 GROUP BY ALL HAVING count(*) = 63), h5 AS (SELECT symbol, avg(a) AS r2_guess, avg(b) AS r2_base FROM g5 GROUP BY symbol HAVING count(*) = 5)"""
+LARGEST = "greatest(0, " + ", ".join(f"coalesce(abs(ac_{k}), 0)" for k in range(1, 11)) + ")"
+
+
+@query(f"WITH {DAILY}, {GUESSES}, {RESIDUALS}, {R2}, i5 AS (SELECT h5.*, {LARGEST} AS largest_ac, (r2_base > r2_guess + 0.1)::INT AS better_baselines FROM h5 JOIN q USING (symbol)), k5 AS (SELECT *, CASE WHEN r2_guess < 0.1 THEN 0.4 WHEN r2_guess < 0.3 THEN 0.2 ELSE 0 END + 0.3 * better_baselines + CASE WHEN largest_ac > 0.3 THEN 0.2 ELSE 0 END AS score FROM i5) SELECT symbol, {r('r2_guess', 'r2_base', 'largest_ac', digits=4)}, better_baselines, round(score, 4)::DOUBLE + 0.0 AS score, CASE WHEN round(score, 9) >= 0.6 THEN 'HIGH' WHEN round(score, 9) >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM k5")
+def validation_underfit_risk(spark, sf_dir):
+    from quantframe.operators import underfit
+
+    found = underfit.underfit_risk(guessed(spark, sf_dir), ["symbol"], ["day"], "y", "guess", ["base"])
+    return shown(found.withColumns({c: F.round(c, 4) for c in ("r2_guess", "r2_base", "largest_ac")}))
+
+
+def corrupted(spark, sf_dir):
+    """Ticks as lines of text, some of them corrupt as files from outside are: words and infinities for numbers, gaps, wrong magnitudes, times twice, broken lines."""
+    t = tables.read(spark, sf_dir, "events")
+    i = F.col("event_id")
+    value = F.when(i % 97 == 0, "n/a").when(i % 89 == 0, "inf").when(i % 83 == 0, "").when(i % 79 == 0, (F.col("value") * 1000 + 10_000).cast("string")).otherwise(F.col("value").cast("string"))
+    ts = F.when(i % 73 == 0, F.lit("yesterday")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:00:00"))
+    line = F.when(i % 71 == 0, F.lit("broken")).otherwise(F.concat_ws(",", F.col("user_id").cast("string"), ts, value))
+    return t.select(i.alias("id"), line.alias("value"))
+
+
+@query("""WITH e AS (SELECT *, event_id % 71 = 0 AS broken, event_id AS i FROM events),
+t AS (SELECT i, CASE WHEN NOT broken THEN user_id END AS symbol, CASE WHEN NOT broken AND i % 73 <> 0 THEN date_trunc('hour', ts) END AS ts, broken, i % 73 = 0 AS untimed,
+  CASE WHEN i % 97 = 0 THEN 'word' WHEN i % 89 = 0 THEN 'inf' WHEN i % 83 = 0 THEN 'gap' ELSE '' END AS kind, CASE WHEN i % 97 = 0 OR i % 89 = 0 OR i % 83 = 0 OR broken THEN NULL WHEN i % 79 = 0 THEN value * 1000 + 10000 ELSE value END AS price FROM e),
+s AS (SELECT symbol, quantile_cont(price, [0.25, 0.5, 0.75]) AS q FROM t GROUP BY symbol),
+m AS (SELECT t.*, abs(price - q[2]) > 10 * (q[3] - q[1]) AS far, ts IS NOT NULL AND lead(1) OVER (PARTITION BY t.symbol, ts ORDER BY i) IS NOT NULL AS again FROM t JOIN s ON t.symbol IS NOT DISTINCT FROM s.symbol)
+SELECT i AS id, symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(price, 6) + 0.0 AS price, array_to_string(list_filter([CASE WHEN broken THEN 'unreadable' END, CASE WHEN NOT broken AND untimed THEN 'not_a_time' END, CASE WHEN NOT broken AND kind = 'gap' THEN 'missing price' END, CASE WHEN NOT broken AND kind = 'word' THEN 'not_a_number price' END, CASE WHEN NOT broken AND kind = 'inf' THEN 'infinite price' END, CASE WHEN far THEN 'outlier price' END, CASE WHEN again THEN 'repeated' END], lambda x: x IS NOT NULL), ', ') AS reasons FROM m""")
+def clean_quarantine(spark, sf_dir):
+    """Every line of a corrupt file: its typed fields, and why it is set aside, if it is."""
+    from quantframe.operators import quarantine
+
+    schema = "symbol bigint, ts timestamp_ntz, price double"
+    marked = quarantine.sanitise(quarantine.read_lines(corrupted(spark, sf_dir), schema), schema, ["symbol"], "ts", "id", ["price"])
+    return shown(marked.select("id", "symbol", "ts", "price", F.concat_ws(", ", "reasons").alias("reasons")))
+
+
+# --- fitted and drawn: iterative or random, so without SQL; tests hold them against numpy ---
+@query()
+def validation_complexity_curves(spark, sf_dir):
+    """Errors of ridge, lasso and mixed lines over twenty penalties, from one pass over each symbol's rows."""
+    from quantframe.operators import regressions
+
+    found = regressions.complexity_curves(lagged(spark, sf_dir), ["symbol"], ["day"], ["x1", "x2"], "y", horizon=30)
+    return shown(found.select("symbol", "model", "penalty", "train_score", "test_score", F.col("weights")[0].alias("w1"), F.col("weights")[1].alias("w2"), "best"))
+
+
+@query()
+def validation_overfit_risk(spark, sf_dir):
+    """Signs of over-fitting of a line on the two returns before: walk-forward errors, learning curve, tests, score and level."""
+    from quantframe.operators import regressions
+    from quantframe.sources.shared import materialise
+
+    rows = materialise(lagged(spark, sf_dir), "lagged")
+    walk = materialise(regressions.walk_forward_fits(rows, ["symbol"], ["day"], ["x1", "x2"], "y", least=120), "walk")
+    learning = materialise(regressions.learning_curve(rows, ["symbol"], ["day"], ["x1", "x2"], "y", least=120, horizon=30), "learning")
+    return shown(regressions.overfit_risk(walk, learning, ["symbol"]))
+
+
+@query()
+def risk_monte_carlo(spark, sf_dir):
+    """Compounded returns of each strategy's panel, bootstrapped over 52 weeks."""
+    from quantframe.operators import resampling
+
+    return shown(resampling.monte_carlo(tables.panel(spark, sf_dir), ["strategy"], ["strategy", "day"], periods=52))
+
+
+@query()
+def risk_simulated_value_at_risk(spark, sf_dir):
+    from quantframe.operators import resampling
+
+    return shown(resampling.simulated_value_at_risk(tables.panel(spark, sf_dir), ["strategy"], ["day"], value=100_000.0))

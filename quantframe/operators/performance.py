@@ -18,6 +18,13 @@ def safe(x: Column, y: Column) -> Column:
     return F.when(y != 0, x / y)
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Of the rows with both; null where either doesn't vary (corr() fails there)."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return safe(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def compounded_whole(ret: str) -> Column:
     """Aggregate product of 1 + ret, exact in sign where factors are zero or negative."""
     factor = 1 + F.col(ret)

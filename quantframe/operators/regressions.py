@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from quantframe.functions.windows import ordered
 from quantframe.operators.option_runs import by_key, keyed_stream
-from quantframe.operators.performance import safe
+from quantframe.operators.performance import correlation, safe
 
 #: The penalties of the complexity curves, ten to the powers from -4 to 1, and the share of the first norm in the mixed one.
 PENALTIES = np.logspace(-4, 1, 20)
@@ -231,7 +231,7 @@ def two_sided(t: Column, freedom: Column) -> Column:
 
 def trend(table: DataFrame, keys: list[str], position: str, value: str, prefix: str) -> DataFrame:
     """Per key: slope of value over position, r2, and the chance of a slope as far from 0 without a trend."""
-    t = table.groupBy(*keys).agg(F.count(value).alias("_n"), F.regr_slope(value, position).alias(f"{prefix}_slope"), F.corr(value, position).alias("_r"))
+    t = table.groupBy(*keys).agg(F.count(value).alias("_n"), safe(F.covar_pop(value, position), F.var_pop(position)).alias(f"{prefix}_slope"), correlation(F.col(value), F.col(position)).alias("_r"))
     r2 = F.col("_r") ** 2
     stat = F.abs("_r") * F.sqrt((F.col("_n") - 2) / F.greatest(1 - r2, F.lit(1e-300)))
     return t.withColumn(f"{prefix}_r2", r2).withColumn(f"{prefix}_p", F.when(F.col("_n") > 2, two_sided(stat, (F.col("_n") - 2).cast("double")))).drop("_n", "_r")
