@@ -185,9 +185,11 @@ class Watch(StatefulProcessor):
         pass
 
 
-def use_state_store(spark: SparkSession) -> None:
-    """State with expiry and timers needs the store on disk: to be called before the stream starts."""
+def use_state_store(spark: SparkSession, available_now: bool = False) -> None:
+    """State with expiry and timers needs the store on disk: to be called before the stream starts. Timers ask for another batch for ever, so a run over
+    what is available now ends only without batches that have no data (its timers then fire with the next run's data)."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(not available_now).lower())
 
 
 def monitor(updates: DataFrame, thresholds: list[Threshold], results: int = 10_000, values: int = 1000) -> DataFrame:

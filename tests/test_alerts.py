@@ -74,14 +74,15 @@ def test_replay_equals_plain_histories(spark):
 
 def test_stream_equals_replay_across_a_restart(spark, tmp_path):
     rows = updates()
-    alerts.use_state_store(spark)
+    alerts.use_state_store(spark, available_now=True)
     cuts = [rows_of for rows_of in (lambda i: i < 55, lambda i: 55 <= i < 100, lambda i: i >= 100)]
     for k, cut in enumerate(cuts):  # each run goes on from the checkpoint of the one before
         spark.createDataFrame([r for r in rows if cut(r[2])], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = alerts.monitor(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), LIMITS, values=40)
         q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination(180)
-        assert q.exception() is None
+        assert q.awaitTermination(120) and q.exception() is None
+    for c in ("providerClass", ""):
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass" if c else "spark.sql.streaming.noDataMicroBatches.enabled")
     got, want = spark.read.parquet(str(tmp_path / "out")), alerts.replay(spark.createDataFrame(rows, SCHEMA), LIMITS, values=40)
     assert told(got) == told(want)
     metrics = ["portfolio", "id", "max_drawdown", "max_position_pct", "volatility_spike"]
