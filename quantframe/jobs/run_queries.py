@@ -243,7 +243,7 @@ pr AS (SELECT x.o, y.o AS oo, x.a AS xa, x.b AS xb, x.c AS xc, y.a, y.b, y.c, ((
 di AS (SELECT *, sqrt(s * 3 / n) AS dist FROM pr WHERE n > 0),
 fa AS (SELECT o, avg(a) AS v FROM (SELECT * FROM di WHERE xa IS NULL AND a IS NOT NULL QUALIFY row_number() OVER (PARTITION BY o ORDER BY dist, oo) <= 5) GROUP BY o), fb AS (SELECT o, avg(b) AS v FROM (SELECT * FROM di WHERE xb IS NULL AND b IS NOT NULL QUALIFY row_number() OVER (PARTITION BY o ORDER BY dist, oo) <= 5) GROUP BY o), fc AS (SELECT o, avg(c) AS v FROM (SELECT * FROM di WHERE xc IS NULL AND c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY o ORDER BY dist, oo) <= 5) GROUP BY o),
 me AS (SELECT symbol, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc FROM h GROUP BY symbol)
-SELECT h.symbol, strftime(h.day, {AT}) AS day, round(coalesce(h.a, fa.v, ma), 3) + 0.0 AS a, round(coalesce(h.b, fb.v, mb), 3) + 0.0 AS b, round(coalesce(h.c, fc.v, mc), 3) + 0.0 AS c FROM h JOIN me USING (symbol) LEFT JOIN fa ON h.o = fa.o LEFT JOIN fb ON h.o = fb.o LEFT JOIN fc ON h.o = fc.o""")
+SELECT h.symbol, strftime(h.day, {AT}) AS day, round(coalesce(h.a, fa.v, ma), 6) + 0.0 AS a, round(coalesce(h.b, fb.v, mb), 6) + 0.0 AS b, round(coalesce(h.c, fc.v, mc), 6) + 0.0 AS c FROM h JOIN me USING (symbol) LEFT JOIN fa ON h.o = fa.o LEFT JOIN fb ON h.o = fb.o LEFT JOIN fc ON h.o = fc.o""")
 def clean_knn_imputation(spark, sf_dir):
     """Gaps in three columns of daily bars, filled from the five nearest days of the same symbol."""
     from quantframe.operators import neighbours
@@ -251,4 +251,4 @@ def clean_knn_imputation(spark, sf_dir):
     days = F.datediff("day", F.lit("1970-01-01"))
     t = tables.daily(spark, sf_dir).select("symbol", "day", (F.col("symbol") * 100_000 + days).alias("o"), F.when(days % 11 != 0, F.col("close")).alias("a"), F.when(days % 13 != 0, F.col("volume") * 40).alias("b"), F.when(days % 7 != 3, F.col("high") + F.col("low")).alias("c"))
     found = neighbours.impute(t, ["symbol"], "o", ["a", "b", "c"])
-    return shown(found.select("symbol", "day", *[F.round(c, 3).alias(c) for c in "abc"]))
+    return shown(found.select("symbol", "day", "a", "b", "c"))
