@@ -114,12 +114,13 @@ def clean_quality_gate(spark, sf_dir):
     return shown(clean.quality_gate(tables.ticks(spark, sf_dir), ["symbol"], ["volume"], 60, 0.2))
 
 
-@query("SELECT l_orderkey, l_linenumber::TINYINT AS l_linenumber, l_suppkey % 1000 AS short FROM lineitem")
+@query("WITH k AS (SELECT l_orderkey, l_linenumber, l_suppkey % 1000 AS short, l_orderkey * 3000 AS wide FROM lineitem), t AS (SELECT max(l_linenumber) AS a, max(short) AS b, max(wide) AS c FROM k) SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, short::BIGINT AS short, wide, CASE WHEN a < 128 THEN 'tinyint' WHEN a < 32768 THEN 'smallint' WHEN a < 2147483648 THEN 'int' ELSE 'bigint' END AS linenumber_type, CASE WHEN b < 128 THEN 'tinyint' WHEN b < 32768 THEN 'smallint' WHEN b < 2147483648 THEN 'int' ELSE 'bigint' END AS short_type, CASE WHEN c < 128 THEN 'tinyint' WHEN c < 32768 THEN 'smallint' WHEN c < 2147483648 THEN 'int' ELSE 'bigint' END AS wide_type FROM k, t")
 def clean_narrow_types(spark, sf_dir):
-    """Types are narrowed for storage and shown as whole numbers again."""
-    t = tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 1000).alias("short"))
-    slim = clean.narrow_types(t, ["l_linenumber", "short"])
-    return slim.select("l_orderkey", F.col("l_linenumber").cast("byte").alias("l_linenumber"), F.col("short").cast("long").alias("short"))
+    """Values after narrowing, and the types that they then have."""
+    t = tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 1000).alias("short"), (F.col("l_orderkey") * 3000).alias("wide"))
+    slim = clean.narrow_types(t, ["l_linenumber", "short", "wide"])
+    types = [F.typeof(c).alias(f"{c.removeprefix('l_')}_type") for c in ("l_linenumber", "short", "wide")]
+    return slim.select("l_orderkey", *[F.col(c).cast("long").alias(c) for c in ("l_linenumber", "short", "wide")], *types)
 
 
 @query(f"WITH {DAILY} SELECT symbol, strftime(day, {AT}) AS day, round(CASE WHEN count(close) OVER w >= 100 THEN avg(close) OVER w END, 6) + 0.0 AS mean, round(CASE WHEN count(close) OVER w >= 100 THEN stddev_samp(close) OVER w END, 6) + 0.0 AS sd FROM d WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS 99 PRECEDING)")
@@ -247,10 +248,10 @@ def backtest_equity_on_calendar(spark, sf_dir):
     return shown(performance.equity_on_calendar(t, ["portfolio"], 10_000_000.0), 2)
 
 
-@query(f"WITH {TRADES}, {CURVE}, x AS (SELECT *, equity / nullif(lag(equity) OVER w, 0) - 1 AS ret, equity / max(equity) OVER w - 1 AS fall FROM cu WINDOW w AS (PARTITION BY portfolio ORDER BY day)), y AS (SELECT *, sum(CASE WHEN fall >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY portfolio ORDER BY day) AS run FROM x), l AS (SELECT portfolio, max(n) AS longest FROM (SELECT portfolio, run, count(*) AS n FROM y WHERE fall < 0 GROUP BY ALL) GROUP BY portfolio), a AS (SELECT portfolio, arg_max(equity, day) / arg_min(equity, day) - 1 AS total, count(ret) AS days, stddev_samp(ret) AS sd, avg(ret) AS m, min(fall) AS deepest FROM y GROUP BY portfolio), b AS (SELECT portfolio, count(*) AS trades, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, abs(sum(pnl) FILTER (pnl > 0) / nullif(sum(pnl) FILTER (pnl <= 0), 0)) AS profit_factor, avg(pnl) AS expectancy FROM tr GROUP BY portfolio) SELECT portfolio, {r('total', digits=5)}, round(sd * sqrt(252), 5) + 0.0 AS volatility, {r('deepest', digits=5)}, coalesce(longest, 0) AS longest, trades, {r('win_rate', 'profit_factor', digits=5)}, round(expectancy, 3) + 0.0 AS expectancy FROM a JOIN b USING (portfolio) LEFT JOIN l USING (portfolio)")
+@query(f"WITH {TRADES}, {CURVE}, x AS (SELECT *, equity / nullif(lag(equity) OVER w, 0) - 1 AS ret, equity / max(equity) OVER w - 1 AS fall FROM cu WINDOW w AS (PARTITION BY portfolio ORDER BY day)), y AS (SELECT *, sum(CASE WHEN fall >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY portfolio ORDER BY day) AS run FROM x), l AS (SELECT portfolio, max(n) AS longest FROM (SELECT portfolio, run, count(*) AS n FROM y WHERE fall < 0 GROUP BY ALL) GROUP BY portfolio), a AS (SELECT portfolio, arg_max(equity, day) / arg_min(equity, day) - 1 AS total, count(ret) AS days, stddev_samp(ret) AS sd, avg(ret) AS m, min(fall) AS deepest FROM y GROUP BY portfolio), b AS (SELECT portfolio, count(*) AS trades, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, abs(sum(pnl) FILTER (pnl > 0) / nullif(sum(pnl) FILTER (pnl <= 0), 0)) AS profit_factor, avg(pnl) AS expectancy FROM tr GROUP BY portfolio) SELECT portfolio, {r('total', digits=5)}, round(CASE WHEN total >= -1 THEN (1 + total) ** (252 / days) END - 1, 5) + 0.0 AS annual, round(sd * sqrt(252), 5) + 0.0 AS volatility, round((m - 0.02 / 252) / nullif(sd, 0) * sqrt(252), 5) + 0.0 AS sharpe, round((CASE WHEN total >= -1 THEN (1 + total) ** (252 / days) END - 1) / nullif(abs(deepest), 0), 5) + 0.0 AS calmar, {r('deepest', digits=5)}, coalesce(longest, 0) AS longest, trades, {r('win_rate', 'profit_factor', digits=5)}, round(expectancy, 3) + 0.0 AS expectancy FROM a JOIN b USING (portfolio) LEFT JOIN l USING (portfolio)")
 def backtest_result(spark, sf_dir):
     t = options.trade_pnl(tables.trades(spark, sf_dir))
-    found = performance.backtest_result(t, ["portfolio"], 10_000_000.0).drop("annual", "sharpe", "calmar")
+    found = performance.backtest_result(t, ["portfolio"], 10_000_000.0)
     return shown(found.withColumn("expectancy", F.round("expectancy", 3)), 5)
 
 
@@ -310,11 +311,14 @@ def sizing_scale_down(spark, sf_dir):
     return out.select("strategy", (F.round("position", 3) + 0.0).alias("position"), (F.round("risk", 5) + 0.0).alias("risk"), (F.round("scaled", 3) + 0.0).alias("scaled"))
 
 
-@query(f"WITH {SIZED}, m AS (SELECT strategy, 'volatility' AS method, position, confidence FROM sz UNION ALL SELECT strategy, 'fixed', 2000, 0.5 FROM sz UNION ALL SELECT strategy, 'small', 500, 0.1 FROM sz) SELECT strategy, arg_min(method, row(position, method)) AS smallest, round(min(position), 3) + 0.0 AS least, arg_max(method, row(position, method)) AS largest, round(max(position), 3) + 0.0 AS most, arg_max(method, row(confidence, method)) AS surest FROM m GROUP BY strategy")
+@query(f"WITH {SIZED}, kl AS (SELECT strategy, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS h, avg(ret) FILTER (ret > 0) / avg(-ret) FILTER (ret < 0) AS o FROM s GROUP BY strategy), m AS (SELECT strategy, 'volatility' AS method, position, confidence FROM sz UNION ALL SELECT strategy, 'fixed', coalesce(greatest(0.5, least(2.0, 0.8 / volatility)), 1) * 2000, 0.5 FROM sz UNION ALL SELECT strategy, 'kelly', greatest(0, least(0.25, h - (1 - h) / o)) * 100000, h FROM kl) SELECT strategy, arg_min(method, row(position, method)) AS smallest, round(min(position), 3) + 0.0 AS least, arg_max(method, row(position, method)) AS largest, round(max(position), 3) + 0.0 AS most, arg_max(method, row(confidence, method)) AS surest FROM m GROUP BY strategy")
 def sizing_compare_methods(spark, sf_dir):
+    """By volatility, a fixed share scaled by volatility, and Kelly's share (a quarter at most), each from the panel."""
     s = sized(spark, sf_dir)
-    one = lambda v, c: s.select("strategy", F.lit(v).alias("position"), F.lit(c).alias("confidence"))
-    return shown(risk.compare_methods({"volatility": s, "fixed": one(2000.0, 0.5), "small": one(500.0, 0.1)}, "strategy"), 3)
+    fixed = risk.fixed_fraction(s, 100_000.0, 0.02, 0.8).select("strategy", "position", F.lit(0.5).alias("confidence"))
+    won = risk.validator_metrics(tables.panel(spark, sf_dir), ["strategy"])
+    kelly = won.select("strategy", (F.least(F.lit(0.25), F.col("kelly")) * 100_000).alias("position"), F.col("hit_ratio").alias("confidence"))
+    return shown(risk.compare_methods({"volatility": s.select("strategy", "position", "confidence"), "fixed": fixed, "kelly": kelly}, "strategy"), 3)
 
 
 # --- options ---
@@ -329,6 +333,8 @@ def legs(spark, sf_dir) -> DataFrame:
     return c.drop("spot").join(mean, ["portfolio", "day"]).select(F.concat_ws("-", "portfolio", F.date_format("day", "yyyyMMdd")).alias("position"), "portfolio", strategy.alias("strategy"), "spot", "option_type", "strike", F.when(F.col("quantity") > 25, -1).otherwise(1).alias("quantity"), (F.col("iv") * F.col("strike")).alias("premium"))
 
 
+#: A short pair's maintenance is of its margin before the least; it has no least, so three quarters of the initial one.
+MAINTENANCE = "CASE kind WHEN 'long_pair' THEN 0 WHEN 'cash_secured_put' THEN initial ELSE initial * 0.75 END"
 MARGIN = f"""{LEGS}, nk AS (SELECT *, greatest(0.2 * spot * 100 * abs(quantity) + premium * abs(quantity) - greatest(0, CASE WHEN option_type = 'call' THEN strike - spot ELSE spot - strike END) * 100 * abs(quantity), 100) AS naked FROM lg),
 g AS (SELECT position, strategy, count(*) AS n, count(*) FILTER (option_type = 'call') AS calls, count(*) FILTER (option_type = 'put') AS puts, count(*) FILTER (quantity < 0) AS shorts, count(*) FILTER (quantity < 0 AND option_type = 'call') AS sc, count(*) FILTER (quantity < 0 AND option_type = 'put') AS sp, min(spot) AS spot,
  sum(premium * quantity) AS premium, sum(CASE WHEN quantity < 0 THEN naked ELSE premium * quantity END) AS by_leg, max(strike) FILTER (option_type = 'call') AS hc, min(strike) FILTER (option_type = 'call') AS lc, max(strike) FILTER (option_type = 'put') AS hp, min(strike) FILTER (option_type = 'put') AS lp, max(naked) FILTER (option_type = 'call') AS cm, max(naked) FILTER (option_type = 'put') AS pmg,
@@ -337,14 +343,14 @@ k AS (SELECT *, CASE WHEN strategy = 'condor' AND calls = 2 AND puts = 2 THEN 'c
 i AS (SELECT *, CASE kind WHEN 'condor' THEN greatest(greatest(hc - lc, hp - lp) * 100 + premium, 100) WHEN 'long_pair' THEN premium WHEN 'short_pair' THEN greatest(cm, pmg) + abs(premium) WHEN 'credit' THEN greatest(width * 100 + premium, 100) WHEN 'debit' THEN greatest(premium, 100) WHEN 'covered_call' THEN greatest(spot * 50 - cp, 100) WHEN 'cash_secured_put' THEN put[1] * 100 - put[2] ELSE greatest(by_leg, 100) END AS initial FROM k)"""
 
 
-@query(f"WITH {MARGIN} SELECT position, strategy, kind, round(premium, 6) + 0.0 AS premium, round(initial, 6) + 0.0 AS initial, round(CASE kind WHEN 'long_pair' THEN 0 WHEN 'cash_secured_put' THEN initial ELSE initial * 0.75 END, 6) + 0.0 AS maintenance FROM i")
+@query(f"WITH {MARGIN} SELECT position, strategy, kind, round(premium, 6) + 0.0 AS premium, round(initial, 6) + 0.0 AS initial, round({MAINTENANCE}, 6) + 0.0 AS maintenance, round(CASE kind WHEN 'condor' THEN greatest(hc - lc, hp - lp) * 100 + premium WHEN 'long_pair' THEN premium WHEN 'debit' THEN premium WHEN 'short_pair' THEN 'Infinity'::DOUBLE WHEN 'credit' THEN width * 100 + premium WHEN 'covered_call' THEN spot * 100 + cp WHEN 'cash_secured_put' THEN put[1] * 100 - put[2] END, 6) + 0.0 AS most_loss, round(CASE kind WHEN 'long_pair' THEN 'Infinity'::DOUBLE WHEN 'condor' THEN -premium WHEN 'short_pair' THEN -premium WHEN 'credit' THEN -premium WHEN 'debit' THEN width * 100 - premium WHEN 'covered_call' THEN hc * 100 - spot * 100 + cp WHEN 'cash_secured_put' THEN put[2] END, 6) + 0.0 AS most_profit FROM i")
 def options_margins(spark, sf_dir):
-    return shown(options.margins(legs(spark, sf_dir), "position").drop("most_loss", "most_profit"))
+    return shown(options.margins(legs(spark, sf_dir), "position"))
 
 
-@query(f"WITH {MARGIN} SELECT strategy, round(sum(initial), 4) + 0.0 AS initial, round(sum(premium), 4) + 0.0 AS premium, count(*) AS positions FROM i GROUP BY strategy")
+@query(f"WITH {MARGIN} SELECT strategy, round(sum(initial), 4) + 0.0 AS initial, round(sum({MAINTENANCE}), 4) + 0.0 AS maintenance, round(sum(premium), 4) + 0.0 AS premium, count(*) AS positions FROM i GROUP BY strategy")
 def options_portfolio_margin(spark, sf_dir):
-    return shown(options.portfolio_margin(options.margins(legs(spark, sf_dir), "position"), ["strategy"]).drop("maintenance"), 4)
+    return shown(options.portfolio_margin(options.margins(legs(spark, sf_dir), "position"), ["strategy"]), 4)
 
 
 @query(f"WITH {CHAIN}, m AS (SELECT *, greatest(0, CASE WHEN option_type = 'call' THEN spot - strike ELSE strike - spot END) AS i FROM ch), v AS (SELECT portfolio, (i + greatest(0.05, i * 0.1)) * quantity AS v, quantity, iv FROM m), t AS (SELECT portfolio, sum(v) AS value, sum(v - quantity * iv) AS unrealised, sum(abs(v)) AS gross FROM v GROUP BY portfolio) SELECT portfolio, round(value, 3) + 0.0 AS value, round(unrealised, 3) + 0.0 AS unrealised, round(value + 1000, 3) + 0.0 AS total, round(gross / (value + 1000), 3) + 0.0 AS leverage FROM t")

@@ -148,10 +148,13 @@ def align_temporal_profile(spark, sf_dir):
     return shown(align.profile(tables.ticks(spark, sf_dir), ["symbol"], "ts").select("symbol", "n", "mode_gap", "regularity", "business_hours", "weekends", "frequency"))
 
 
-@query(f"WITH {PANEL} SELECT strftime(day, {AT}) AS day, round(max(ret) FILTER (strategy = '1-URGENT'), 6) + 0.0 AS urgent, round(max(ret) FILTER (strategy = '5-LOW'), 6) + 0.0 AS low FROM s GROUP BY day")
+PRIORITIES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+
+
+@query(f"WITH {PANEL} SELECT strftime(day, {AT}) AS day, {', '.join(f"round(max(ret) FILTER (strategy = '{k}'), 6) + 0.0 AS {v}" for k, v in PRIORITIES.items())} FROM s GROUP BY day")
 def join_pivot_series(spark, sf_dir):
-    p = align.pivot_series(tables.panel(spark, sf_dir), "day", "strategy", "ret", ["1-URGENT", "5-LOW"])
-    return shown(p.select("day", F.col("1-URGENT").alias("urgent"), F.col("5-LOW").alias("low")))
+    p = align.pivot_series(tables.panel(spark, sf_dir), "day", "strategy", "ret", list(PRIORITIES))
+    return shown(p.select("day", *[F.col(k).alias(v) for k, v in PRIORITIES.items()]))
 
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_shipdate ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC) = 1")
@@ -498,16 +501,25 @@ def options_execution_costs(spark, sf_dir):
     return shown(options.execution_costs(q).select("contract", "spread", "slippage", "commission", "fill"))
 
 
-@query(f"WITH {CHAIN} SELECT contract, round(CASE WHEN abs(ln(spot / strike)) < 0.2 AND days > 60 THEN iv END, 3) + 0.0 AS implied FROM ch WHERE abs(ln(spot / strike)) < 0.2 AND days > 60")
+CALL = "spot * n1 - strike * exp(-0.02 * y) * n2"
+#: One Newton step a round for all contracts still moving, from 0.2, at most 100 rounds.
+NEWTON = f"""mk AS (SELECT contract, option_type, spot, strike, y, price AS market FROM g),
+nw AS (SELECT contract, 0 AS step, 0.2::DOUBLE AS v, true AS moves FROM mk
+UNION ALL SELECT contract, step + 1, CASE WHEN abs(price - market) >= 1e-6 AND vega > 0 THEN greatest(v - (price - market) / vega, 0.001) ELSE v END, abs(price - market) >= 1e-6 AND vega > 0 FROM (
+  SELECT *, CASE WHEN option_type = 'call' THEN {CALL} ELSE {CALL} - spot + strike * exp(-0.02 * y) END AS price, spot * exp(-d1 * d1 / 2) / sqrt(2 * pi()) * sqrt(y) AS vega FROM (
+    SELECT *, {tail_sql('d1')} AS n1, {tail_sql('d2')} AS n2 FROM (
+      SELECT *, d1 - v * sqrt(y) AS d2 FROM (SELECT nw.contract, step, v, option_type, spot, strike, y, market, (ln(spot / strike) + (0.02 + v * v / 2) * y) / (v * sqrt(y)) AS d1 FROM nw JOIN mk USING (contract) WHERE moves AND step < 100)))))"""
+
+
+@query(f"WITH RECURSIVE {CHAIN}, {GREEKS}, {NEWTON} SELECT contract, round(arg_max(v, step), 3) + 0.0 AS implied FROM nw GROUP BY contract")
 def options_implied_volatility(spark, sf_dir):
-    """The volatility that Newton steps find from the model's price is the one that made it (near the money, where vega tells)."""
-    near = greeks(spark, sf_dir).filter("abs(ln(spot / strike)) < 0.2 AND days > 60")
-    return shown(options.implied_volatility(near).select("contract", "implied"), 3)
+    """The whole chain by Newton steps from the model's prices, those that stop for want of vega or at the least volatility included."""
+    return shown(options.implied_volatility(greeks(spark, sf_dir)).select("contract", "implied"), 3)
 
 
 @query()
 def options_implied_volatility_chain(spark, sf_dir):
-    """The whole chain, where steps may also stop for want of vega or end at the least volatility: SQL can't express them."""
+    """The same to six digits, which the last steps of flat prices needn't share with another engine."""
     return shown(options.implied_volatility(greeks(spark, sf_dir)).select("contract", "implied"))
 
 
@@ -541,10 +553,14 @@ def options_covered_call_match(spark, sf_dir):
     return shown(options.covered_calls(tables.chain(spark, sf_dir), ["portfolio"], 0.8, 1.2))
 
 
-@query(f"WITH {CHAIN}, {GREEKS}, o AS (SELECT symbol, day, min(row(contract, spot, iv, delta, gamma, theta, vega)) AS x FROM g GROUP BY ALL), p AS (SELECT symbol, day, x[2] AS spot, x[3] AS iv, x[4] AS delta, x[5] AS gamma, x[6] AS theta, x[7] AS vega FROM o), q AS (SELECT symbol, day, lag(delta) OVER {W} * (spot - lag(spot) OVER {W}) * 100 AS delta_pnl, lag(gamma) OVER {W} * (spot - lag(spot) OVER {W}) ** 2 * 50 AS gamma_pnl, lag(theta) OVER {W} * (day - lag(day) OVER {W}) * 100 AS theta_pnl, lag(vega) OVER {W} * (iv - lag(iv) OVER {W}) * 100 AS vega_pnl FROM p) SELECT symbol, strftime(day, {AT}) AS day, {r('delta_pnl', 'gamma_pnl', 'theta_pnl', 'vega_pnl', digits=3)}, round(delta_pnl + gamma_pnl + theta_pnl + vega_pnl, 3) + 0.0 AS total_pnl FROM q")
+HELD = ["spot", "iv", "delta", "gamma", "theta", "vega"]
+
+
+@query(f"WITH {CHAIN}, {GREEKS}, p AS (SELECT symbol, day, {', '.join(f'sum({n} * quantity) / sum(quantity) AS {n}' for n in HELD)} FROM g GROUP BY ALL), q AS (SELECT symbol, day, lag(delta) OVER {W} * (spot - lag(spot) OVER {W}) * 100 AS delta_pnl, lag(gamma) OVER {W} * (spot - lag(spot) OVER {W}) ** 2 * 50 AS gamma_pnl, lag(theta) OVER {W} * (day - lag(day) OVER {W}) * 100 AS theta_pnl, lag(vega) OVER {W} * (iv - lag(iv) OVER {W}) * 100 AS vega_pnl FROM p) SELECT symbol, strftime(day, {AT}) AS day, {r('delta_pnl', 'gamma_pnl', 'theta_pnl', 'vega_pnl', digits=3)}, round(delta_pnl + gamma_pnl + theta_pnl + vega_pnl, 3) + 0.0 AS total_pnl FROM q")
 def options_pnl_attribution(spark, sf_dir):
-    names = ["spot", "iv", "delta", "gamma", "theta", "vega"]
-    one = greeks(spark, sf_dir).groupBy("symbol", "day").agg(F.min(F.struct("contract", *names)).alias("x")).select("symbol", "day", *[f"x.{n}" for n in names])
+    """All contracts of a symbol and day as one position, each with its quantity's weight."""
+    weighted = [(F.sum(F.col(n) * F.col("quantity")) / F.sum("quantity")).alias(n) for n in HELD]
+    one = greeks(spark, sf_dir).groupBy("symbol", "day").agg(*weighted)
     return shown(options.pnl_attribution(one, ["symbol"], ["day"]).select("symbol", "day", "delta_pnl", "gamma_pnl", "theta_pnl", "vega_pnl", "total_pnl"), 3)
 
 

@@ -153,5 +153,5 @@ def backtest_result(trades: DataFrame, keys: list[str], capital: float, ts: str
     longest = curve.filter("fall < 0").groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.max("n").alias("longest"))
     table = curve.groupBy(*keys).agg((F.max_by("equity", "day") / F.min_by("equity", "day") - 1).alias("total"), F.count("ret").alias("days"), F.stddev_samp("ret").alias("sd"), F.avg("ret").alias("m"), F.min("fall").alias("deepest"))
     table = table.join(longest, keys, "left").join(trade_statistics(trades, keys, pnl), keys)
-    annual = F.pow(1 + F.col("total"), YEAR / F.col("days")) - 1
+    annual = F.when(F.col("total") >= -1, F.pow(1 + F.col("total"), YEAR / F.col("days"))) - 1  # none of a loss beyond the capital
     return table.select(*keys, "total", annual.alias("annual"), (F.col("sd") * math.sqrt(YEAR)).alias("volatility"), (safe(F.col("m") - rate / YEAR, F.col("sd")) * math.sqrt(YEAR)).alias("sharpe"), safe(annual, F.abs("deepest")).alias("calmar"), "deepest", F.coalesce("longest", F.lit(0)).alias("longest"), "trades", "win_rate", "profit_factor", "expectancy")
