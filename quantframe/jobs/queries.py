@@ -503,15 +503,15 @@ def options_execution_costs(spark, sf_dir):
 
 CALL = "spot * n1 - strike * exp(-0.02 * y) * n2"
 #: One Newton step a round for all contracts still moving, from 0.2, at most 100 rounds.
-NEWTON = f"""mk AS (SELECT contract, option_type, spot, strike, y, price AS market FROM g),
-nw AS (SELECT contract, 0 AS step, 0.2::DOUBLE AS v, true AS moves FROM mk
-UNION ALL SELECT contract, step + 1, CASE WHEN abs(price - market) >= 1e-6 AND vega > 0 THEN greatest(v - (price - market) / vega, 0.001) ELSE v END, abs(price - market) >= 1e-6 AND vega > 0 FROM (
+NEWTON = f"""mk AS MATERIALIZED (SELECT row_number() OVER () AS id, contract, option_type, spot, strike, y, price AS market FROM g),
+nw AS (SELECT id, 0 AS step, 0.2::DOUBLE AS v, true AS moves FROM mk
+UNION ALL SELECT id, step + 1, CASE WHEN abs(price - market) >= 1e-6 AND vega > 0 THEN greatest(v - (price - market) / vega, 0.001) ELSE v END, abs(price - market) >= 1e-6 AND vega > 0 FROM (
   SELECT *, CASE WHEN option_type = 'call' THEN {CALL} ELSE {CALL} - spot + strike * exp(-0.02 * y) END AS price, spot * exp(-d1 * d1 / 2) / sqrt(2 * pi()) * sqrt(y) AS vega FROM (
     SELECT *, {tail_sql('d1')} AS n1, {tail_sql('d2')} AS n2 FROM (
-      SELECT *, d1 - v * sqrt(y) AS d2 FROM (SELECT nw.contract, step, v, option_type, spot, strike, y, market, (ln(spot / strike) + (0.02 + v * v / 2) * y) / (v * sqrt(y)) AS d1 FROM nw JOIN mk USING (contract) WHERE moves AND step < 100)))))"""
+      SELECT *, d1 - v * sqrt(y) AS d2 FROM (SELECT nw.id, step, v, option_type, spot, strike, y, market, (ln(spot / strike) + (0.02 + v * v / 2) * y) / (v * sqrt(y)) AS d1 FROM nw JOIN mk USING (id) WHERE moves AND step < 100)))))"""
 
 
-@query(f"WITH RECURSIVE {CHAIN}, {GREEKS}, {NEWTON} SELECT contract, round(arg_max(v, step), 3) + 0.0 AS implied FROM nw GROUP BY contract")
+@query(f"WITH RECURSIVE {CHAIN}, {GREEKS}, {NEWTON} SELECT contract, round(v, 3) + 0.0 AS implied FROM (SELECT id, arg_max(v, step) AS v FROM nw GROUP BY id) JOIN mk USING (id)")
 def options_implied_volatility(spark, sf_dir):
     """The whole chain by Newton steps from the model's prices, those that stop for want of vega or at the least volatility included."""
     return shown(options.implied_volatility(greeks(spark, sf_dir)).select("contract", "implied"), 3)
