@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantframe.jobs.queries import AT, CHAIN, DAILY, GREEKS, W, greeks, mean, r, shown, tail_sql
+from quantframe.jobs.queries import AT, CHAIN, DAILY, GREEKS, TICKS, TS, W, greeks, mean, r, shown, tail_sql
 from quantframe.jobs.registry import query
 from quantframe.operators import option_runs
 from quantframe.sources import tables
@@ -252,3 +252,134 @@ def clean_knn_imputation(spark, sf_dir):
     t = tables.daily(spark, sf_dir).select("symbol", "day", (F.col("symbol") * 100_000 + days).alias("o"), F.when(days % 11 != 0, F.col("close")).alias("a"), F.when(days % 13 != 0, F.col("volume") * 40).alias("b"), F.when(days % 7 != 3, F.col("high") + F.col("low")).alias("c"))
     found = neighbours.impute(t, ["symbol"], "o", ["a", "b", "c"])
     return shown(found.select("symbol", "day", "a", "b", "c"))
+
+
+# --- fills, signals, allocations, breaches, payloads ---
+@query(f"WITH {DAILY}, h AS (SELECT symbol, day, CASE WHEN (day - DATE '1970-01-01') % 5 <> 0 THEN close END AS x FROM d) SELECT symbol, strftime(day, {AT}) AS day, round(coalesce(x, 0), 6) + 0.0 AS zero, round(coalesce(x, avg(x) OVER (PARTITION BY symbol)), 6) + 0.0 AS mean FROM h")
+def align_zero_and_mean_fill(spark, sf_dir):
+    from quantframe.operators import align
+
+    t = tables.daily(spark, sf_dir).withColumn("x", F.when(F.datediff("day", F.lit("1970-01-01")) % 5 != 0, F.col("close")))
+    return shown(t.select("symbol", "day", *[align.fill(t, ["symbol"], ["day"], "x", how).alias(how) for how in ("zero", "mean")]))
+
+
+HELD = f"fl AS (SELECT *, CASE WHEN close > ({mean('close', 5)}) * 1.05 THEN 1 WHEN close < ({mean('close', 5)}) THEN 0 END AS flag FROM d), he AS (SELECT *, coalesce(last_value(flag IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY day ROWS UNBOUNDED PRECEDING), 0) AS held FROM fl), tu AS (SELECT *, coalesce(lag(held) OVER {W}, 0) AS was, lag(close) OVER {W} AS pc FROM he), eq AS (SELECT *, held <> was AS turns, 100 * product(CASE WHEN was = 1 AND pc <> 0 THEN close / pc ELSE 1 END * CASE WHEN held <> was THEN 0.999 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY day ROWS UNBOUNDED PRECEDING) AS equity, sum((held = 1 AND was = 0)::INT) OVER (PARTITION BY symbol ORDER BY day) AS trade FROM tu)"
+
+
+@query(f"WITH {DAILY}, {HELD}, fe AS (SELECT *, equity / max(equity) OVER (PARTITION BY symbol ORDER BY day) - 1 AS fall FROM eq) SELECT symbol, round(ln(arg_max(equity, day)), 4) + 0.0 AS log_final, count(DISTINCT CASE WHEN held = 1 THEN trade END) AS trades, round(avg(held), 6) + 0.0 AS held_share, round(min(fall), 5) + 0.0 AS deepest FROM fe GROUP BY symbol")
+def signals_long_flat(spark, sf_dir):
+    """In while the close is well over its five-row mean, out once it is under it, with a fee each way."""
+    from quantframe.functions.windows import full, rolling
+    from quantframe.operators import signals
+
+    w = rolling(["symbol"], ["day"], 5)
+    t = tables.daily(spark, sf_dir).withColumn("m", full(F.avg("close").over(w), w, 5, F.col("close")))
+    table = signals.long_flat(t, ["symbol"], ["day"], "close", F.col("close") > F.col("m") * 1.05, F.col("close") < F.col("m"))
+    told = signals.long_flat_statistics(table, ["symbol"], "day")
+    return shown(told.select("symbol", F.round(F.ln("final"), 4).alias("log_final"), "trades", "held_share", F.round("deepest", 5).alias("deepest")))
+
+
+@query(f"WITH {DAILY}, {FROM_RET}, sg AS (SELECT *, sign(close - ({mean('close', 10)})) AS signal FROM rr) SELECT symbol, strftime(day, {AT}) AS day, round(ret * lag(signal) OVER {W}, 6) + 0.0 AS gain FROM sg")
+def signals_strategy_returns(spark, sf_dir):
+    from quantframe.functions.windows import full, rolling
+    from quantframe.operators import signals
+
+    w = rolling(["symbol"], ["day"], 10)
+    t = returned(spark, sf_dir).withColumn("signal", F.signum(F.col("close") - full(F.avg("close").over(w), w, 10, F.col("close"))))
+    return shown(t.select("symbol", "day", signals.strategy_returns(t, ["symbol"], ["day"], "signal").alias("gain")))
+
+
+@query("WITH a AS (SELECT o_orderpriority AS strategy, sum(o_totalprice) / sum(sum(o_totalprice)) OVER () AS current FROM orders GROUP BY 1), t AS (SELECT *, 0.05 * (ascii(strategy) - 45) / 1.0 AS target FROM a) SELECT strategy, round(current, 6) + 0.0 AS current, round(target, 6) + 0.0 AS target, round(target - current, 6) + 0.0 AS change FROM t WHERE abs(target - current) > 0.02")
+def risk_rebalancing(spark, sf_dir):
+    """Allocations off their targets by over two per cent."""
+    from quantframe.operators import risk
+    from pyspark.sql import Window
+
+    sums = tables.read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("strategy")).agg(F.sum("o_totalprice").alias("x"))
+    t = sums.select("strategy", (F.col("x") / F.sum("x").over(Window.partitionBy(F.lit(1)))).alias("current"), (0.05 * (F.ascii("strategy") - 45)).alias("target"))
+    return shown(risk.rebalancing(t, 0.02))
+
+
+SEVERITY = "CASE sum(l_quantity)::BIGINT % 4 WHEN 1 THEN 'warning' WHEN 2 THEN 'critical' WHEN 3 THEN 'emergency' END"
+BREACHES = f"b0 AS (SELECT l_suppkey AS portfolio, l_returnflag || l_linestatus AS kind, year(l_shipdate) AS y, {SEVERITY} AS severity FROM lineitem WHERE year(l_shipdate) IN (1996, 1997) GROUP BY ALL), bs AS (SELECT portfolio, kind, o.severity AS was, n.severity AS now FROM (SELECT * FROM b0 WHERE y = 1996 AND severity IS NOT NULL) o FULL JOIN (SELECT * FROM b0 WHERE y = 1997 AND severity IS NOT NULL) n USING (portfolio, kind))"
+
+
+def breaches(spark, sf_dir):
+    from quantframe.operators import risk
+
+    line = tables.read(spark, sf_dir, "lineitem")
+    step = F.sum("l_quantity").cast("long") % 4
+    severity = F.when(step == 1, "warning").when(step == 2, "critical").when(step == 3, "emergency")
+    of = lambda y: line.filter(F.year("l_shipdate") == y).groupBy(F.col("l_suppkey").alias("portfolio"), F.concat("l_returnflag", "l_linestatus").alias("kind")).agg(severity.alias("severity")).filter("severity IS NOT NULL")
+    return risk.breach_state(of(1996), of(1997), ["portfolio"])
+
+
+@query(f"WITH {BREACHES} SELECT portfolio, kind, was, now, CASE WHEN now IS NULL THEN 'ended' WHEN was IS NULL THEN 'fresh' ELSE 'going on' END AS state FROM bs")
+def risk_breach_states(spark, sf_dir):
+    return breaches(spark, sf_dir)
+
+
+@query(f"WITH {BREACHES} SELECT portfolio, count(*) FILTER (now = 'warning') AS warning, count(*) FILTER (now = 'critical') AS critical, count(*) FILTER (now = 'emergency') AS emergency, count(*) FILTER (now = 'emergency') > 0 OR count(*) FILTER (now = 'critical') >= 2 AS halt FROM bs WHERE now IS NOT NULL GROUP BY portfolio")
+def risk_halts(spark, sf_dir):
+    from quantframe.operators import risk
+
+    return risk.halts(breaches(spark, sf_dir), ["portfolio"])
+
+
+@query(f"WITH {DAILY} SELECT strftime(day, {TS}) AS ts, {r('low', 'high', 'open', 'close', 'volume')} FROM d")
+def sources_candles(spark, sf_dir):
+    """Daily bars as a provider sends them, arrays of numbers, and read back."""
+    from quantframe.sources import parsers
+
+    bar = F.array(F.unix_timestamp(F.col("day").cast("timestamp")).cast("double"), *[F.col(c).cast("double") for c in ("low", "high", "open", "close", "volume")])
+    sent = tables.daily(spark, sf_dir).groupBy("symbol").agg(F.collect_list(bar).alias("candles"))
+    return shown(parsers.candles(sent, "candles"))
+
+
+@query(f"WITH {DAILY}, x AS (SELECT symbol, day, close % 40 AS vix, (volume % 16) / 10 AS put_call FROM d) SELECT symbol, strftime(day, {AT}) AS day, round((CASE WHEN vix < 20 THEN 1 WHEN vix > 30 THEN -1 ELSE 0 END + CASE WHEN put_call < 0.8 THEN 1 WHEN put_call > 1.2 THEN -1 ELSE 0 END) / 2, 6) + 0.0 AS sentiment FROM x")
+def sentiment_market(spark, sf_dir):
+    from quantframe.operators import sentiment
+
+    t = tables.daily(spark, sf_dir).select("symbol", "day", sentiment.market_sentiment(F.col("close") % 40, F.col("volume") % 16 / 10).cast("double").alias("sentiment"))
+    return shown(t)
+
+
+# --- what streams give, over tables ---
+def live_ticks(spark, sf_dir):
+    return tables.ticks(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(f"WITH {TICKS} SELECT symbol, strftime(time_bucket(INTERVAL 6 HOUR, ts), {TS}) AS bar, {r('open', 'high', 'low', 'close', 'volume')}, n FROM (SELECT symbol, time_bucket(INTERVAL 6 HOUR, ts) AS ts, arg_min(price, row(ts, id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, row(ts, id)) AS close, sum(volume) AS volume, count(*) AS n FROM t GROUP BY symbol, time_bucket(INTERVAL 6 HOUR, ts))")
+def stream_live_bars(spark, sf_dir):
+    from quantframe.streaming import monitor
+
+    return shown(monitor.live_bars(live_ticks(spark, sf_dir), ["symbol"], "6 hours", "1 hour"))
+
+
+@query(f"WITH {TICKS}, w AS (SELECT symbol, price, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY * k AS fin FROM t, (SELECT unnest([1, 2]) AS k)) SELECT symbol, strftime(fin, {TS}) AS \"at\", round(avg(price), 6) + 0.0 AS mean, round(stddev_samp(price), 6) + 0.0 AS sd, round(max(price) - min(price), 6) + 0.0 AS range, count(*) AS n FROM w GROUP BY symbol, fin")
+def stream_look_back(spark, sf_dir):
+    """Sliding windows of two days, a day apart."""
+    from quantframe.streaming import monitor
+
+    return shown(monitor.look_back(live_ticks(spark, sf_dir), ["symbol"], "2 days", "1 day", "1 hour"))
+
+
+@query(f"WITH {TICKS}, g AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts) >= INTERVAL 8 HOUR, true)::INT AS new FROM t), x AS (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY ts) AS session FROM g) SELECT symbol, strftime(min(ts), {TS}) AS start, strftime(max(ts) + INTERVAL 8 HOUR, {TS}) AS end, count(*) AS n, round(sum(volume), 6) + 0.0 AS volume FROM x GROUP BY symbol, session")
+def stream_sessions(spark, sf_dir):
+    from quantframe.streaming import monitor
+
+    return shown(monitor.activity_sessions(live_ticks(spark, sf_dir), ["symbol"], "8 hours", "1 hour"))
+
+
+@query()
+def stream_alerts(spark, sf_dir):
+    """Portfolios of daily results and positions replayed through the alerts' state: drawdown, concentration and volatility spikes by threshold. Cooldowns follow on
+    each other, so without SQL; tests hold the replay against plain histories, and the stream against the replay."""
+    from quantframe.streaming import alerts
+
+    line = tables.read(spark, sf_dir, "lineitem")
+    each = line.groupBy(F.col("l_suppkey").cast("string").alias("portfolio"), F.to_date("l_shipdate").alias("day"), F.col("l_returnflag").alias("strategy")).agg(F.sum("l_extendedprice").alias("value"))
+    days = each.groupBy("portfolio", "day").agg(F.sum("value").alias("pnl"), F.sort_array(F.collect_list(F.struct("strategy", "value"))).alias("positions"))
+    updates = days.select("portfolio", F.col("day").cast("timestamp").alias("ts"), F.datediff("day", F.lit("1970-01-01")).cast("long").alias("id"), "pnl", "positions")
+    limits = [alerts.Threshold("deep", "max_drawdown", 0.8, "warning", 30 * 86400.0), alerts.Threshold("deeper", "max_drawdown", 0.95, "critical", 7 * 86400.0), alerts.Threshold("one place", "max_position_pct", 0.8, "warning", 10 * 86400.0), alerts.Threshold("jumpy", "volatility_spike", 1.5, "emergency", 86400.0)]
+    return shown(alerts.replay(updates, limits))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantframe.functions.windows import full, ordered, returns, rolling
+from quantframe.functions.windows import compounded, full, ordered, returns, rolling
 from quantframe.operators.clean import per_key
 
 
@@ -87,3 +88,36 @@ def compare_runs(metrics: DataFrame, run: str, names: list[str], best: str) -> D
     wide = metrics.groupBy(run).pivot("metric", names).agg(F.max("value"))
     top = wide.agg(F.max_by(run, F.struct(F.col(best), F.col(run))).alias("top"))
     return wide.join(F.broadcast(top), wide[run] == F.col("top"), "left").withColumn("is_best", F.col("top").isNotNull()).drop("top")
+
+
+def long_flat(df: DataFrame, keys: list[str], by: list, price: str, entry: Column, leave: Column, capital: float = 100.0, fee: float = 0.001) -> DataFrame:
+    """df with held, trade (``position_state``), fees (of the row) and equity: all capital is bought in at an entry and sold at an exit, at the row's price, less ``fee`` of the amount each time."""
+    w = ordered(keys, *by)
+    state = position_state(df, keys, by, entry, leave)
+    was = F.coalesce(F.lag("held").over(w), F.lit(0))
+    before = F.lag(price).over(w)
+    grown = state.withColumn("_grown", F.when((was == 1) & (before != 0), F.col(price) / before).otherwise(1.0)).withColumn("_turns", F.col("held") != was)
+    run = grown.withColumn("_r", F.col("_grown") * F.when(F.col("_turns"), 1 - fee).otherwise(1.0) - 1)
+    out = run.withColumn("equity", compounded("_r", w) * capital)
+    return out.withColumn("fees", F.when(F.col("_turns"), F.col("equity") / (1 - fee) * fee).otherwise(0.0)).drop("_grown", "_turns", "_r")
+
+
+def long_flat_statistics(table: DataFrame, keys: list[str], by: str, capital: float = 100.0) -> DataFrame:
+    """Of a table of ``long_flat``, per key: final equity, total return, fees, trades, share of rows held, deepest fall of equity."""
+    w = ordered(keys, by)
+    fallen = table.withColumn("_fall", F.col("equity") / F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    told = fallen.groupBy(*keys).agg(F.max_by("equity", by).alias("final"), F.sum("fees").alias("fees"), F.count_distinct("trade").alias("trades"), F.avg("held").alias("held_share"), F.min("_fall").alias("deepest"))
+    return told.withColumn("total_return", F.col("final") / capital - 1)
+
+
+def transformed(df: DataFrame, steps: list[tuple[str, Callable[[DataFrame], DataFrame]]], check: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """df after a user's named steps, one on the other: each a function from table to table, all one plan. An error in building a step names it."""
+    for name, step in steps:
+        try:
+            df = step(df)
+            if check:
+                check(df)
+        except Exception as e:
+            e.add_note(f"in step {name}")
+            raise
+    return df
