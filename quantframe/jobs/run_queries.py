@@ -191,14 +191,14 @@ t AS (SELECT i, CASE WHEN NOT broken THEN user_id END AS symbol, CASE WHEN NOT b
   CASE WHEN i % 97 = 0 THEN 'word' WHEN i % 89 = 0 THEN 'inf' WHEN i % 83 = 0 THEN 'gap' ELSE '' END AS kind, CASE WHEN i % 97 = 0 OR i % 89 = 0 OR i % 83 = 0 OR broken THEN NULL WHEN i % 79 = 0 THEN value * 1000 + 10000 ELSE value END AS price FROM e),
 s AS (SELECT symbol, quantile_cont(price, [0.25, 0.5, 0.75]) AS q FROM t GROUP BY symbol),
 m AS (SELECT t.*, abs(price - q[2]) > 10 * (q[3] - q[1]) AS far, ts IS NOT NULL AND lead(1) OVER (PARTITION BY t.symbol, ts ORDER BY i) IS NOT NULL AS again FROM t JOIN s ON t.symbol IS NOT DISTINCT FROM s.symbol)
-SELECT i AS id, symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(price, 6) + 0.0 AS price, array_to_string(list_filter([CASE WHEN broken THEN 'unreadable' END, CASE WHEN NOT broken AND untimed THEN 'not_a_time' END, CASE WHEN NOT broken AND kind = 'gap' THEN 'missing price' END, CASE WHEN NOT broken AND kind = 'word' THEN 'not_a_number price' END, CASE WHEN NOT broken AND kind = 'inf' THEN 'infinite price' END, CASE WHEN far THEN 'outlier price' END, CASE WHEN again THEN 'repeated' END], lambda x: x IS NOT NULL), ', ') AS reasons FROM m""")
+SELECT i AS id, coalesce(symbol, -1) AS symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(price, 6) + 0.0 AS price, array_to_string(list_filter([CASE WHEN broken THEN 'unreadable' END, CASE WHEN NOT broken AND untimed THEN 'not_a_time' END, CASE WHEN NOT broken AND kind = 'gap' THEN 'missing price' END, CASE WHEN NOT broken AND kind = 'word' THEN 'not_a_number price' END, CASE WHEN NOT broken AND kind = 'inf' THEN 'infinite price' END, CASE WHEN far THEN 'outlier price' END, CASE WHEN again THEN 'repeated' END], lambda x: x IS NOT NULL), ', ') AS reasons FROM m""")
 def clean_quarantine(spark, sf_dir):
     """Every line of a corrupt file: its typed fields, and why it is set aside, if it is."""
     from quantframe.operators import quarantine
 
     schema = "symbol bigint, ts timestamp_ntz, price double"
     marked = quarantine.sanitise(quarantine.read_lines(corrupted(spark, sf_dir), schema), schema, ["symbol"], "ts", "id", ["price"])
-    return shown(marked.select("id", "symbol", "ts", "price", F.concat_ws(", ", "reasons").alias("reasons")))
+    return shown(marked.select("id", F.coalesce("symbol", F.lit(-1)).alias("symbol"), "ts", "price", F.concat_ws(", ", "reasons").alias("reasons")))
 
 
 # --- fitted and drawn: iterative or random, so without SQL; tests hold them against numpy ---
