@@ -1,48 +1,21 @@
-"""What the text operators share: the shared folder, materialised tables, text expressions."""
+"""What the text operators share: tables between steps, text expressions, bounded parts of batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantframe.sources.shared import materialise, shared_path, shared_root  # noqa: F401  the text operators take them from here
+
 #: ASCII white space of the contracts: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one if it is unset on a local master."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return _own[app]
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A path for one run's table or files; no two calls give the same."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: lineage ends here and lost executors lose nothing."""
-    path = shared_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
