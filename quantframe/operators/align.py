@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from quantframe.functions.windows import back_fill, backward, forward_fill, ordered
 from quantframe.operators import bars, clean
+from quantframe.sources.shared import materialise
 
 
 def business_calendar(df: DataFrame, keys: list[str], day: str = "day") -> DataFrame:
@@ -64,9 +65,9 @@ def nearest(grid: DataFrame, source: DataFrame, keys: list[str], day: str, colum
 
 
 def merge(sources: dict[str, DataFrame], keys: list[str], ts: str, how: str = "full") -> DataFrame:
-    """Columns of all sources side by side, prefixed by the source's name."""
+    """Columns of all sources side by side, prefixed by the source's name. Sources are series, so none is broadcast: filled calendars have many more rows than the planner expects of them."""
     named = [df.select(*keys, ts, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in (*keys, ts)]) for name, df in sources.items()]
-    return reduce(lambda x, y: x.join(y, [*keys, ts], how), named)
+    return reduce(lambda x, y: x.join(y.hint("merge"), [*keys, ts], how), named)
 
 
 def pivot_series(df: DataFrame, ts: str, series: str, value: str, values: list[str]) -> DataFrame:
@@ -176,7 +177,7 @@ def combine(sources: dict[str, DataFrame], keys: list[str], ts: str, limit: int
     calendar = reduce(lambda x, y: x.union(y), [df.select(*keys, ts) for df in ranged.values()])
     grid = business_calendar(calendar, keys, ts)
     filled = {name: as_of(grid, df, keys, ts, [c for c in df.columns if c not in (*keys, ts)], limit=limit) for name, df in ranged.items()}
-    wide = merge(filled, keys, ts, "inner")
+    wide = materialise(merge(filled, keys, ts, "inner"), "combined")  # read again for each column's statistics
     values = [c for c in wide.columns if c not in (*keys, ts)]
     wide = clean.drop_sparse_columns(wide, values, sparse)
     for c in [c for c in wide.columns if c not in (*keys, ts)]:
