@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,44 +38,75 @@ def number_along(df: DataFrame, keys: list[str], by: list[str], block_rows: int)
     return beside(within, before, [*keys, BLOCK]).withColumn("_at", F.col("_before") + F.col("_in")).drop("_in", "_before", BLOCK)
 
 
-def matrix(lists: pd.Series, width: int) -> np.ndarray:
-    return np.array([np.asarray(x, float) for x in lists]).reshape(len(lists), width)
+#: Records that a task writes at once.
+WRITTEN = 20_000
 
 
-def merged(held: list, more: list, k: int) -> list:
-    out = {(d, o): v for d, o, v in [*held, *more]}
-    return [(d, o, out[d, o]) for d, o in sorted(out)[:k]]
+def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each list begins and ends, and all values; nulls among doubles are NaN. No Python object per value."""
+    return column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
 
 
-def compare(columns: int, k: int):
-    """The function for mapInPandas over pairs of blocks (queries, rows): best k (distance, order, value) of each query and missing column in this pair, and how many distances were worked out."""
+def nearest(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k least finite distances of each row, rows in order and each by rising distance, ties by column."""
+    most = np.partition(dist, k - 1, axis=1)[:, k - 1] if dist.shape[1] > k else np.full(len(dist), np.inf)
+    row, at = np.nonzero((dist <= most[:, None]) & np.isfinite(dist))
+    rising = np.lexsort((dist[row, at], row))
+    row, at = row[rising], at[rising]
+    first = np.searchsorted(row, np.arange(len(dist)))
+    kept = np.arange(len(row)) - first[row] < k
+    return row[kept], at[kept]
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def compare(columns: int, k: int):
+    """The function for mapInArrow over pairs of blocks (orders and values of queries, and of rows): best k (distance, order, value) of each query and missing column in this pair, and how many distances were worked out."""
+
+    def pair(q: np.ndarray, of: np.ndarray, x: np.ndarray, order: np.ndarray) -> Iterator[tuple]:
+        by_order = np.argsort(order, kind="stable")
+        x, order = x[by_order], order[by_order]
+        both = (~np.isnan(q)).astype(float) @ (~np.isnan(x)).astype(float).T
+        squares = np.zeros((len(q), len(x)))
+        for c in range(columns):  # a column at a time bounds the memory
+            d = q[:, c][:, None] - x[None, :, c]
+            squares += np.where(np.isnan(d), 0.0, d * d)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dist = np.where(both > 0, np.sqrt(squares * columns / both), np.inf)
+        dist[of[:, None] == order[None, :]] = np.inf
+        for c in range(columns):
+            asks, there = np.flatnonzero(np.isnan(q[:, c])), np.flatnonzero(~np.isnan(x[:, c]))
+            if len(asks):
+                near = dist[np.ix_(asks, there)]
+                row, at = nearest(near, k)
+                yield of[asks], np.full(len(asks), c, np.int32), np.full(len(asks), len(x)), np.bincount(row, minlength=len(asks)), near[row, at], order[there[at]], x[there[at], c]
+
+    def written(parts: list[tuple]) -> pa.RecordBatch:
+        o, c, pairs, n, d, near, v = (np.concatenate(p) for p in zip(*parts))
+        best = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.StructArray.from_arrays([pa.array(d), pa.array(near), pa.array(v)], names=["d", "o", "v"]))
+        return pa.RecordBatch.from_arrays([pa.array(o), pa.array(c), pa.array(pairs), best], names=["o", "c", "pairs", "best"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            out = []
-            for queries, rows in zip(batch["queries"], batch["rows"]):
-                ours, theirs = pd.DataFrame(list(queries)), pd.DataFrame(list(rows))
-                q, x = matrix(ours["x"], columns), matrix(theirs["x"], columns)
-                both = (~np.isnan(q)).astype(float) @ (~np.isnan(x)).astype(float).T
-                squares = np.zeros((len(q), len(x)))
-                for c in range(columns):  # a column at a time bounds the memory
-                    d = q[:, c][:, None] - x[None, :, c]
-                    squares += np.where(np.isnan(d), 0.0, d * d)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    dist = np.where(both > 0, np.sqrt(squares * columns / both), np.inf)
-                order = theirs["o"].to_numpy()
-                dist[ours["o"].to_numpy()[:, None] == order[None, :]] = np.inf
-                by_order = np.argsort(order, kind="stable")
-                for i, row in enumerate(ours["o"]):
-                    for c in np.flatnonzero(np.isnan(q[i])):
-                        there = by_order[np.isfinite(dist[i, by_order]) & ~np.isnan(x[by_order, c])]
-                        near = there[np.argsort(dist[i, there], kind="stable")[:k]]
-                        out.append((int(row), int(c), len(x), [{"d": float(dist[i, j]), "o": int(order[j]), "v": float(x[j, c])} for j in near]))
-            yield pd.DataFrame(out, columns=["o", "c", "pairs", "best"])
+            (qa, of), (_, q), (xa, order), (_, x) = (lists(batch.column(n)) for n in ("asked_o", "asked_x", "row_o", "row_x"))
+            for a, b, e, f in zip(qa[:-1], qa[1:], xa[:-1], xa[1:]):
+                found = list(pair(q[a * columns : b * columns].reshape(-1, columns), of[a:b], x[e * columns : f * columns].reshape(-1, columns), order[e:f]))
+                parts += found
+                held += sum(len(p[0]) for p in found)
+                if held >= WRITTEN:
+                    yield written(parts)
+                    parts, held = [], 0
+            if parts:  # copies of slices: nothing points into a batch that is gone
+                yield written(parts)
+                parts, held = [], 0
 
     return run
 
 
+def flat(rows: Column, name: str) -> list[Column]:
+    """Orders, and values one row after the other, of an array of (o, x): two plain arrays."""
+    return [rows["o"].alias(f"{name}_o"), F.flatten(rows["x"]).alias(f"{name}_x")]
+
+
 def impute(df: DataFrame, keys: list[str], order: str, columns: list[str], k: int = 5, block: int = 256, block_rows: int = 200_000) -> DataFrame:
     """df with the columns imputed; ``order`` is an integer, unique within the table. NaN counts as null."""
     width = len(columns)
@@ -104,7 +135,8 @@ def impute(df: DataFrame, keys: list[str], order: str, columns: list[str], k: in
     numbered = number_along(placed, [*keys, "e", "i"], ["pivot", "o"], block_rows)
     blocks = numbered.withColumn("b", F.floor(F.col("_at") / block))
     at = [*keys, "e", "i", "b"]
-    donors = materialise(blocks.groupBy(*at).agg(F.collect_list(F.struct("o", "x")).alias("rows"), F.min("pivot").alias("low"), F.max("pivot").alias("high")), "knn-blocks")
+    donors = blocks.groupBy(*at).agg(F.collect_list(F.struct("o", "x")).alias("rows"), F.min("pivot").alias("low"), F.max("pivot").alias("high"))
+    donors = materialise(donors.select(*at, *flat(F.col("rows"), "row"), "low", "high"), "knn-blocks")
     ends = materialise(donors.groupBy(*at[:-1]).agg(F.max("b").alias("last")), "knn-ends")
     # where a query stands in each of its indexes: as if it were a row there; its pivot finds the block
     asks = rows.filter(F.col("mask").between(1, full - 1))
@@ -123,9 +155,9 @@ def impute(df: DataFrame, keys: list[str], order: str, columns: list[str], k: in
         shifts = [s for s in range(-outer, outer + 1) if abs(s) > inner or inner == 0]
         spread = queries.select(*at, "o", "x", "last", F.explode(F.array(*[F.lit(s) for s in shifts])).alias("s")).withColumn("t", F.col("b") + F.col("s")).filter("t BETWEEN 0 AND last")
         grouped = spread.groupBy(*at, "t").agg(F.collect_list(F.struct("o", "x")).alias("asked")).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.size("asked") - 1) / block).cast("int"))))
-        grouped = grouped.select(*at[:-1], F.col("t").alias("b"), F.slice("asked", F.col("part") * block + 1, block).alias("queries"))
-        pairs = beside(grouped, donors.select(*at, "rows"), at).select("queries", "rows")
-        more = pairs.mapInPandas(compare(width, k), f"o long, c int, pairs long, best {BEST}")
+        grouped = grouped.select(*at[:-1], F.col("t").alias("b"), *flat(F.slice("asked", F.col("part") * block + 1, block), "asked"))
+        pairs = beside(grouped, donors.select(*at, "row_o", "row_x"), at).select("asked_o", "asked_x", "row_o", "row_x")
+        more = pairs.mapInArrow(compare(width, k), f"o long, c int, pairs long, best {BEST}")
         together = best.select("o", "c", "pairs", "best").unionAll(more.select("o", "c", "pairs", "best"))
         kept = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k)
         best = materialise(together.groupBy("o", "c").agg(kept.alias("best"), F.sum("pairs").alias("pairs")), "knn-best")

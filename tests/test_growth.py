@@ -1,8 +1,9 @@
 """Steps that must not grow with the tables: plans, partitions, bounded parts."""
 
-import pytest
+import numpy as np
+import pyarrow as pa
 
-from quantframe.operators import align
+from quantframe.operators import align, neighbours
 
 
 def plan(df):
@@ -16,3 +17,18 @@ def test_merged_sources_are_not_broadcast(spark):
         both = align.merge({"a": a, "b": b}, ["k"], "t", how)
         assert "Broadcast" not in plan(both)
         assert sorted(map(tuple, both.collect()), key=str) == sorted(want, key=str)
+
+
+def test_compared_blocks_are_plain_arrays_written_in_parts():
+    """No Python object per value: batches in are flat arrays, and batches out are bounded however many pairs come in one."""
+    rng, n = np.random.default_rng(3), 400
+    asked = rng.normal(size=(n, 60, 2))
+    asked[:, :, 1] = np.nan
+    rows = rng.normal(size=(n, 90, 2))
+    whole = lambda v, kind: pa.array([x.ravel().tolist() for x in v], pa.list_(kind))
+    batch = pa.record_batch([whole(np.arange(n * 60).reshape(n, 60), pa.int64()), whole(asked, pa.float64()), whole(np.arange(n * 90).reshape(n, 90) + 10**6, pa.int64()), whole(rows, pa.float64())], names=["asked_o", "asked_x", "row_o", "row_x"])
+    out = list(neighbours.compare(2, 5)(iter([batch])))
+    assert sum(b.num_rows for b in out) == n * 60 and max(b.num_rows for b in out) < neighbours.WRITTEN + 60 * 2
+    first = out[0].slice(0, 1).to_pylist()[0]
+    near = np.argsort(abs(asked[0, 0, 0] - rows[0, :, 0]))[:5]
+    assert [b["v"] for b in first["best"]] == rows[0, near, 1].tolist() and [b["o"] for b in first["best"]] == (near + 10**6).tolist() and first["pairs"] == 90
