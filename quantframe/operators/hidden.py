@@ -1,6 +1,6 @@
 """Hidden-Markov regimes: one Gaussian model for all series, fitted by expected counts that are summed over them.
 
-A series of any length is cut into blocks of ``block_rows`` rows, each an array in one row of a written table. What runs along
+A series of any length is cut into blocks of ``block_rows`` rows at most, each an array in one row of a written table; a short series is one block. What runs along
 a series has two levels. Within a block, the product of its transition and emission matrices is a k x k matrix. Along a
 series, those matrices, a row a block, give what enters and leaves each block. With these at its ends, every block
 works out its own rows by itself: states' probabilities and expected counts for the fit, the likeliest path for the
@@ -18,16 +18,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quantframe.functions.joins import beside
-from quantframe.operators.long_series import BLOCK, in_blocks
+from quantframe.operators.long_series import BLOCK, in_blocks, inside
 from quantframe.sources.shared import materialise
 
-#: Blocks that advance together.
-TOGETHER = 64
+#: Cells (blocks times the longest one's rows) that advance together.
+TOGETHER = 500_000
+#: Rows of a task that cuts series into blocks.
+RANGE = 200_000
 
 
 @dataclass
@@ -49,27 +53,34 @@ class Model:
 
 
 def as_blocks(df: DataFrame, keys: list[str], by: list[str], column: str, block_rows: int) -> DataFrame:
-    """keys, _block, rows (an array of by and x in order), first and last (of its key), written once."""
+    """keys, _block, rows (an array of by and x in order), xs (their x alone, which the fit reads), first and last (of its key), written once."""
     rows = df.filter(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(*keys, *by, F.col(column).cast("double").alias("x"))
-    cut = in_blocks(rows, keys, by, block_rows)
-    made = cut.groupBy(*keys, BLOCK).agg(F.sort_array(F.collect_list(F.struct(*by, "x"))).alias("rows"))  # block_rows at most, but for ties
-    ends = cut.groupBy(*keys).agg(F.min(BLOCK).alias("_low"), F.max(BLOCK).alias("_high"))
-    made = beside(made, ends, keys).select(*keys, BLOCK, "rows", (F.col(BLOCK) == F.col("_low")).alias("first"), (F.col(BLOCK) == F.col("_high")).alias("last"))
+    cut = in_blocks(materialise(rows, "hidden-rows"), keys, by, max(RANGE, block_rows))
+    within = F.floor((F.row_number().over(inside(keys, *by, "x")) - 1) / block_rows)
+    cut = cut.withColumn(BLOCK, F.col(BLOCK) * F.lit(1 << 32) + within)
+    made = cut.groupBy(*keys, BLOCK).agg(F.sort_array(F.collect_list(F.struct(*by, "x"))).alias("rows"))  # block_rows at most
+    made = materialise(made, "hidden-cut")
+    ends = made.groupBy(*keys).agg(F.min(BLOCK).alias("_low"), F.max(BLOCK).alias("_high"))
+    made = beside(made, ends, keys).select(*keys, BLOCK, "rows", F.col("rows.x").alias("xs"), (F.col(BLOCK) == F.col("_low")).alias("first"), (F.col(BLOCK) == F.col("_high")).alias("last"))
     return materialise(made.withColumn("id", F.monotonically_increasing_id()), "hidden-blocks")
 
 
-def padded(rows: pd.Series) -> np.ndarray:
-    values = [np.array([r["x"] for r in x]) for x in rows]
-    out = np.full((len(values), max(map(len, values))), np.nan)
-    for i, v in enumerate(values):
-        out[i, : len(v)] = v
+def padded(rows: pa.ListArray) -> np.ndarray:
+    lengths, values = pc.list_value_length(rows).to_numpy(), rows.flatten().to_numpy()
+    out = np.full((len(lengths), lengths.max()), np.nan)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = values
     return out
 
 
-def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of batches by rising length of xs, so that little is padding."""
     for batch in batches:
-        for a in range(0, len(batch), TOGETHER):
-            yield batch.iloc[a : a + TOGETHER]
+        lengths = pc.list_value_length(batch.column("xs")).to_numpy()
+        order, a = np.argsort(lengths, kind="stable"), 0
+        while a < len(order):
+            fits = (np.arange(1, len(order) - a + 1) * lengths[order[a:]] <= TOGETHER).sum()
+            yield batch.take(pa.array(order[a : a + max(1, fits)]))
+            a += max(1, fits)
 
 
 def products(model: Model, x: np.ndarray, best: bool) -> np.ndarray:
@@ -90,12 +101,12 @@ def products(model: Model, x: np.ndarray, best: bool) -> np.ndarray:
 def entries(model: Model, blocks: DataFrame, keys: list[str], best: bool) -> DataFrame:
     """id, enter, leave: for blocks of series with several. Forward-backward: the state's log weights before the block's first row and after its last. Best path: the states at its two ends."""
     k = len(model.mean)
-    several = blocks.filter("NOT (first AND last)")
+    several = blocks.filter("NOT (first AND last)").select(*keys, BLOCK, "id", "first", "xs")
 
     def block(batches):
         for part in slices(batches):
-            m = products(model, padded(part["rows"]), best)
-            yield part[[*keys, BLOCK, "id", "first"]].assign(matrix=list(m.reshape(len(m), k * k)))
+            m = products(model, padded(part.column("xs")), best)
+            yield part.drop_columns(["xs"]).append_column("matrix", pa.array(list(m.reshape(len(m), k * k)), pa.list_(pa.float64())))
 
     schema = T.StructType([*[blocks.schema[c] for c in [*keys, BLOCK, "id", "first"]], T.StructField("matrix", T.ArrayType(T.DoubleType()))])
     move, start = np.log(np.maximum(model.move, 1e-300)), np.log(np.maximum(model.start, 1e-300))
@@ -130,11 +141,11 @@ def entries(model: Model, blocks: DataFrame, keys: list[str], best: bool) -> Dat
         ends.reverse()
         return pd.DataFrame({"id": t["id"].to_numpy(), "enter": [np.array([float(a)]) for a, _ in ends], "leave": [np.array([float(b)]) for _, b in ends]})
 
-    return materialise(several.mapInPandas(block, schema).groupBy(*keys).applyInPandas(along, "id long, enter array<double>, leave array<double>"), "hidden-entries")
+    return materialise(several.mapInArrow(block, schema).groupBy(*keys).applyInPandas(along, "id long, enter array<double>, leave array<double>"), "hidden-entries")
 
 
-def with_entries(model: Model, blocks: DataFrame, keys: list[str], best: bool) -> DataFrame:
-    return blocks.join(entries(model, blocks, keys, best), "id", "left")
+def with_entries(blocks: DataFrame, ends: DataFrame) -> DataFrame:
+    return blocks.join(ends, "id", "left")
 
 
 def posterior(model: Model, x: np.ndarray, enter: list, leave: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -143,7 +154,7 @@ def posterior(model: Model, x: np.ndarray, enter: list, leave: list) -> tuple[np
     b = model.logs(x)
     top = b.max(axis=2, keepdims=True)
     b = np.exp(b - top)
-    opens = np.array([e is None or np.isnan(e[0]) for e in enter])
+    opens = np.array([e is None or e[0] is None or np.isnan(e[0]) for e in enter])  # Arrow takes NaN in lists for null
     before = np.stack([np.ones(k) if o else np.exp(np.array(e)) for o, e in zip(opens, enter)])
     before /= before.sum(axis=1, keepdims=True)
     there = ~np.isnan(x)
@@ -180,19 +191,19 @@ def expected(model: Model, blocks: DataFrame, keys: list[str]) -> np.ndarray:
     def count(batches):
         total = np.zeros(len(names))
         for part in slices(batches):
-            x = padded(part["rows"])
-            gamma, moves, starts, likelihood = posterior(model, x, list(part["enter"]), list(part["leave"]))
+            x = padded(part.column("xs"))
+            gamma, moves, starts, likelihood = posterior(model, x, part.column("enter").to_pylist(), part.column("leave").to_pylist())
             v = np.nan_to_num(x)[..., None]
             total += np.concatenate([starts, moves.ravel(), *[(gamma * v**p).sum(axis=(0, 1)) for p in (0, 1, 2)], [likelihood]])
-        yield pd.DataFrame([total], columns=names)
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], names=names)
 
-    sums = with_entries(model, blocks, keys, False).select("rows", "enter", "leave").mapInPandas(count, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first()
+    sums = with_entries(blocks.select("id", "xs"), entries(model, blocks, keys, False)).select("xs", "enter", "leave").mapInArrow(count, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first()
     return np.array(list(sums), float)
 
 
 def fit(blocks: DataFrame, keys: list[str], k: int = 3, rounds: int = 50, gain: float = 1e-6, least: float = 1e-3) -> Model:
     """A model of a table of ``as_blocks``. least: no deviation falls below this share of the overall one."""
-    x = blocks.select(F.explode("rows.x").alias("x"))
+    x = blocks.select(F.explode("xs").alias("x"))
     told = x.agg(F.count("x").alias("n"), F.stddev_pop("x").alias("s"), F.percentile_approx("x", [(i + 0.5) / k for i in range(k)], 10_000).alias("q")).first()
     if not told["n"] or not told["s"]:
         raise ValueError("a model needs at least two different values")
@@ -238,16 +249,22 @@ def regimes(df: DataFrame, keys: list[str], by: list[str], column: str, k: int =
     blocks = as_blocks(df, keys, by, column, block_rows)
     model = model or fit(blocks, keys, k, rounds, gain)
     paths = entries(model, blocks, keys, True).withColumnsRenamed({"enter": "first_state", "leave": "last_state"})
-    rows = with_entries(model, blocks, keys, False).join(paths, "id", "left").select(*keys, "rows", "enter", "leave", "first_state", "last_state")
+    rows = with_entries(with_entries(blocks, entries(model, blocks, keys, False)), paths).select(*keys, "rows", "xs", "enter", "leave", "first_state", "last_state")
     made = T.StructType([*[rows.schema[c] for c in keys], T.StructField("rows", rows.schema["rows"].dataType), T.StructField("regimes", T.ArrayType(T.IntegerType())), T.StructField("chances", T.ArrayType(T.ArrayType(T.DoubleType())))])
 
+    k = len(model.mean)
+
     def tell(batches):
         for part in slices(batches):
-            x = padded(part["rows"])
-            path = best_path(model, x, list(part["first_state"]), list(part["last_state"]))
-            gamma = posterior(model, x, list(part["enter"]), list(part["leave"]))[0]
-            lengths = [len(r) for r in part["rows"]]
-            yield part[[*keys, "rows"]].assign(regimes=[p[:n].tolist() for p, n in zip(path, lengths)], chances=[g[:n].tolist() for g, n in zip(gamma, lengths)])
-
-    zipped = rows.mapInPandas(tell, made).select(*keys, F.explode(F.arrays_zip("rows", "regimes", "chances")).alias("r"))
+            x = padded(part.column("xs"))
+            state = {c: part.column(c).to_pylist() for c in ("enter", "leave", "first_state", "last_state")}
+            path = best_path(model, x, state["first_state"], state["last_state"])
+            gamma = posterior(model, x, state["enter"], state["leave"])[0]
+            there = ~np.isnan(x)
+            ends = np.concatenate([[0], np.cumsum(there.sum(axis=1))])
+            each = pa.ListArray.from_arrays(pa.array(np.arange(0, ends[-1] * k + 1, k), pa.int32()), pa.array(gamma[there].ravel()))
+            told = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), v) for v in (pa.array(path[there], pa.int32()), each)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [*keys, "rows"]), *told], names=[*keys, "rows", "regimes", "chances"])
+
+    zipped = rows.mapInArrow(tell, made).select(*keys, F.explode(F.arrays_zip("rows", "regimes", "chances")).alias("r"))
     return zipped.select(*keys, *[F.col(f"r.rows.{c}").alias(c) for c in by], F.col("r.rows.x").alias(column), F.col("r.regimes").alias("regime"), F.col("r.chances").alias("probabilities"))

@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from quantframe.operators import align, neighbours
+from quantframe.operators import align, hidden, neighbours
 
 
 def plan(df):
@@ -32,3 +32,10 @@ def test_compared_blocks_are_plain_arrays_written_in_parts():
     first = out[0].slice(0, 1).to_pylist()[0]
     near = np.argsort(abs(asked[0, 0, 0] - rows[0, :, 0]))[:5]
     assert [b["v"] for b in first["best"]] == rows[0, near, 1].tolist() and [b["o"] for b in first["best"]] == (near + 10**6).tolist() and first["pairs"] == 90
+
+
+def test_short_series_are_one_block_each(spark):
+    df = spark.range(2000).selectExpr("id % 50 AS k", "id AS at", "(id * 37 % 101) / 10.0D AS v")
+    blocks = hidden.as_blocks(df, ["k"], ["at"], "v", 40)
+    assert blocks.count() == 50 and blocks.filter("first AND last AND size(xs) = 40").count() == 50
+    assert hidden.as_blocks(df, ["k"], ["at"], "v", 15).selectExpr("max(size(xs))", "count(*)").first()[:] == (15, 150)
