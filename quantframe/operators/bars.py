@@ -52,8 +52,8 @@ def resample(df: DataFrame, keys: list[str], freq: str, how: dict[str, str], ts:
 def session_bars(df: DataFrame, keys: list[str], start: str, end: str, freq: str, least: int, ts: str = "ts", zone: str = "UTC", **columns) -> DataFrame:
     """Bars inside the session's hours on weekdays (both ends count); sessions with under ``least`` rows are dropped."""
     local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col(ts))
-    clock = F.date_format(local, "HH:mm:ss")
-    inside = df.withColumn("session_date", F.to_date(local)).filter((F.weekday(local) < 5) & clock.between(f"{start}:00", f"{end}:00"))
+    clock = F.date_format(local, "HH:mm:ss.SSSSSS")
+    inside = df.withColumn("session_date", F.to_date(local)).filter((F.weekday(local) < 5) & clock.between(f"{start}:00.000000", f"{end}:00.000000"))
     enough = inside.withColumn("session_rows", F.count(F.lit(1)).over(Window.partitionBy(*keys, "session_date"))).filter(F.col("session_rows") >= least)
     return time_bars(enough, [*keys, "session_date"], freq, ts, **columns)
 

@@ -1,9 +1,12 @@
-"""Steps that must not grow with the tables: plans, partitions, bounded parts."""
+"""Steps that must not grow with the tables: plans, partitions, bounded parts; and values that chance must not decide."""
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from quantframe.operators import align, hidden, neighbours
+from quantframe.jobs import registry
+from quantframe.jobs import queries  # after the registry, which imports it
+from quantframe.operators import align, bars, hidden, neighbours
 
 
 def plan(df):
@@ -39,3 +42,24 @@ def test_short_series_are_one_block_each(spark):
     blocks = hidden.as_blocks(df, ["k"], ["at"], "v", 40)
     assert blocks.count() == 50 and blocks.filter("first AND last AND size(xs) = 40").count() == 50
     assert hidden.as_blocks(df, ["k"], ["at"], "v", 15).selectExpr("max(size(xs))", "count(*)").first()[:] == (15, 150)
+
+
+def test_session_ends_at_its_last_instant(spark):
+    ticks = [(1, "2024-01-04 " + t, i, 1.0, 1.0) for i, t in enumerate(["09:29:59.999999", "09:30:00", "15:59:59.999999", "16:00:00", "16:00:00.000001", "16:00:00.500000"])]
+    df = spark.createDataFrame(ticks, "symbol int, at string, id int, price double, volume double").selectExpr("symbol", "CAST(at AS TIMESTAMP_NTZ) AS ts", "id", "price", "volume")
+    assert bars.session_bars(df, ["symbol"], "09:30", "16:00", "hour", 1).agg(F.sum("n")).first()[0] == 3
+
+
+def test_values_that_last_bits_decide(spark):
+    df = spark.createDataFrame([(33420.158812499995, 1648263419990.815), (33420.1588125, 1648263419990.816), (33420.158812500005, 0.12349)], "a double, v double")
+    assert {r[0] for r in queries.shown(queries.settled(df.select("a"))).collect()} == {33420.158813}
+    assert [r[0] for r in df.select(queries.legible(F.col("v"))).collect()] == [1.648e12, 1.648e12, 0.123]
+
+
+def test_equal_portfolios_share_the_front(spark, tmp_path):
+    """A copy with its rows in another order is as good as the first."""
+    line = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    copy = line.withColumn("l_suppkey", F.col("l_suppkey") + 1000).orderBy(F.desc("l_extendedprice"))
+    line.orderBy("l_quantity", "l_extendedprice").coalesce(1).unionByName(copy.coalesce(1)).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    front = [r["portfolio"] for r in registry.QUERIES["sweep_pareto"](spark, str(tmp_path)).collect()]
+    assert front and {p + 1000 for p in front if p < 1000} == {p for p in front if p >= 1000}
