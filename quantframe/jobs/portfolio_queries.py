@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quantframe.functions import options
 from quantframe.functions.windows import ordered, returns
-from quantframe.jobs.queries import AT, CHAIN, DAILY, EQUITY, PANEL, POSITIONS, RET, TICKS, TRADES, TS, W, WEIGHTS, positions, r, shown, weights
+from quantframe.jobs.queries import AT, CHAIN, DAILY, EQUITY, NUDGE, PANEL, POSITIONS, RET, TICKS, TRADES, TS, W, WEIGHTS, positions, r, settled, shown, weights
 from quantframe.jobs.registry import query
 from quantframe.operators import align, bars, clean, performance, regimes, risk, sentiment, signals, validation
 from quantframe.sources import parsers, tables
@@ -343,9 +343,9 @@ k AS (SELECT *, CASE WHEN strategy = 'condor' AND calls = 2 AND puts = 2 THEN 'c
 i AS (SELECT *, CASE kind WHEN 'condor' THEN greatest(greatest(hc - lc, hp - lp) * 100 + premium, 100) WHEN 'long_pair' THEN premium WHEN 'short_pair' THEN greatest(cm, pmg) + abs(premium) WHEN 'credit' THEN greatest(width * 100 + premium, 100) WHEN 'debit' THEN greatest(premium, 100) WHEN 'covered_call' THEN greatest(spot * 50 - cp, 100) WHEN 'cash_secured_put' THEN put[1] * 100 - put[2] ELSE greatest(by_leg, 100) END AS initial FROM k)"""
 
 
-@query(f"WITH {MARGIN} SELECT position, strategy, kind, round(premium, 6) + 0.0 AS premium, round(initial, 6) + 0.0 AS initial, round({MAINTENANCE}, 6) + 0.0 AS maintenance, round(CASE kind WHEN 'condor' THEN greatest(hc - lc, hp - lp) * 100 + premium WHEN 'long_pair' THEN premium WHEN 'debit' THEN premium WHEN 'short_pair' THEN 'Infinity'::DOUBLE WHEN 'credit' THEN width * 100 + premium WHEN 'covered_call' THEN spot * 100 + cp WHEN 'cash_secured_put' THEN put[1] * 100 - put[2] END, 6) + 0.0 AS most_loss, round(CASE kind WHEN 'long_pair' THEN 'Infinity'::DOUBLE WHEN 'condor' THEN -premium WHEN 'short_pair' THEN -premium WHEN 'credit' THEN -premium WHEN 'debit' THEN width * 100 - premium WHEN 'covered_call' THEN hc * 100 - spot * 100 + cp WHEN 'cash_secured_put' THEN put[2] END, 6) + 0.0 AS most_profit FROM i")
+@query(f"WITH {MARGIN} SELECT position, strategy, kind, round(premium + {NUDGE}, 6) + 0.0 AS premium, round(initial + {NUDGE}, 6) + 0.0 AS initial, round(({MAINTENANCE}) + {NUDGE}, 6) + 0.0 AS maintenance, round((CASE kind WHEN 'condor' THEN greatest(hc - lc, hp - lp) * 100 + premium WHEN 'long_pair' THEN premium WHEN 'debit' THEN premium WHEN 'short_pair' THEN 'Infinity'::DOUBLE WHEN 'credit' THEN width * 100 + premium WHEN 'covered_call' THEN spot * 100 + cp WHEN 'cash_secured_put' THEN put[1] * 100 - put[2] END) + {NUDGE}, 6) + 0.0 AS most_loss, round((CASE kind WHEN 'long_pair' THEN 'Infinity'::DOUBLE WHEN 'condor' THEN -premium WHEN 'short_pair' THEN -premium WHEN 'credit' THEN -premium WHEN 'debit' THEN width * 100 - premium WHEN 'covered_call' THEN hc * 100 - spot * 100 + cp WHEN 'cash_secured_put' THEN put[2] END) + {NUDGE}, 6) + 0.0 AS most_profit FROM i")
 def options_margins(spark, sf_dir):
-    return shown(options.margins(legs(spark, sf_dir), "position"))
+    return shown(settled(options.margins(legs(spark, sf_dir), "position")))
 
 
 @query(f"WITH {MARGIN} SELECT strategy, round(sum(initial), 4) + 0.0 AS initial, round(sum({MAINTENANCE}), 4) + 0.0 AS maintenance, round(sum(premium), 4) + 0.0 AS premium, count(*) AS positions FROM i GROUP BY strategy")
