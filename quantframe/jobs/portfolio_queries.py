@@ -395,7 +395,8 @@ def validation_overfit(spark, sf_dir):
     return shown(validation.overfit(rows, ["symbol"], "x", "y"), 5)
 
 
-@query(f"WITH {TRADES}, a AS (SELECT portfolio, avg(pnl) AS mean, -stddev_samp(pnl) AS calm FROM tr GROUP BY portfolio) SELECT portfolio, round(mean, 3) + 0.0 AS mean, round(calm, 3) + 0.0 AS calm FROM a x WHERE calm IS NOT NULL AND NOT EXISTS (SELECT 1 FROM a y WHERE y.mean >= x.mean AND y.calm >= x.calm AND (y.mean > x.mean OR y.calm > x.calm))")
+@query(f"WITH {TRADES}, a AS (SELECT portfolio, round(avg(pnl), 6) AS mean, round(-stddev_samp(pnl), 6) AS calm FROM tr GROUP BY portfolio) SELECT portfolio, round(mean, 3) + 0.0 AS mean, round(calm, 3) + 0.0 AS calm FROM a x WHERE calm IS NOT NULL AND NOT EXISTS (SELECT 1 FROM a y WHERE y.mean >= x.mean AND y.calm >= x.calm AND (y.mean > x.mean OR y.calm > x.calm))")
 def sweep_pareto(spark, sf_dir):
-    t = options.trade_pnl(tables.trades(spark, sf_dir)).groupBy("portfolio").agg(F.avg("pnl").alias("mean"), (-F.stddev_samp("pnl")).alias("calm"))
+    """Goals count to six digits: portfolios with the same trades are equal, in whatever order their trades were added up."""
+    t = options.trade_pnl(tables.trades(spark, sf_dir)).groupBy("portfolio").agg(F.round(F.avg("pnl"), 6).alias("mean"), F.round(-F.stddev_samp("pnl"), 6).alias("calm"))
     return shown(validation.pareto(t.filter("calm IS NOT NULL"), "portfolio", "mean", "calm"), 3)
