@@ -16,6 +16,16 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("symbol"), "ts", F.col("event_id").alias("id"), F.col("value").alias("price"), volume.alias("volume"))
 
 
+#: Rows of a task that works along series: sorts and windows over them hold little memory.
+TASK_ROWS = 250_000
+
+
+def by_series(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key to tasks of about TASK_ROWS rows, so that no task grows with the table (Parquet counts its rows without reading them)."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df.repartition(parts, key)
+
+
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, day, open, high, low, close, volume: bars of each supplier's shipping days, with calendar gaps.
 
@@ -24,13 +34,9 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     price = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
-    return (
-        read(spark, sf_dir, "lineitem")
-        .select(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("day"), price.alias("price"), order.alias("o"), "l_quantity")
-        .repartition("symbol")
-        .groupBy("symbol", "day")
-        .agg(F.min_by("price", "o").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "o").alias("close"), F.sum("l_quantity").alias("volume"))
-    )
+    line = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("day"), price.alias("price"), order.alias("o"), "l_quantity")
+    bars = [F.min_by("price", "o").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "o").alias("close"), F.sum("l_quantity").alias("volume")]
+    return by_series(line, "symbol").groupBy("symbol", "day").agg(*bars)
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:

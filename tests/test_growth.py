@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quantframe.jobs import registry
 from quantframe.jobs import queries  # after the registry, which imports it
-from quantframe.operators import align, bars, hidden, neighbours
+from quantframe.operators import align, bars, hidden, neighbours, regressions
+from quantframe.sources import tables
 
 
 def plan(df):
@@ -63,3 +64,23 @@ def test_equal_portfolios_share_the_front(spark, tmp_path):
     line.orderBy("l_quantity", "l_extendedprice").coalesce(1).unionByName(copy.coalesce(1)).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
     front = [r["portfolio"] for r in registry.QUERIES["sweep_pareto"](spark, str(tmp_path)).collect()]
     assert front and {p + 1000 for p in front if p < 1000} == {p for p in front if p >= 1000}
+
+
+def test_lines_at_once_are_those_alone():
+    rng, grid, sets = np.random.default_rng(5), np.logspace(-4, 1, 7), []
+    for n in (40, 300, 12):
+        v = rng.normal(size=(n, 4)) @ rng.normal(size=(4, 4))
+        sets.append(regressions.Moments(float(n), v.mean(axis=0), (v - v.mean(axis=0)).T @ (v - v.mean(axis=0))))
+    for kind in ("ridge", "lasso", "mixed"):
+        w, b = regressions.lines(sets, kind, grid)
+        found = regressions.errors(sets, w, b)
+        for i, m in enumerate(sets):
+            for j, p in enumerate(grid):
+                weights, zero = regressions.line(m, kind, p)
+                assert np.allclose(w[i, j], weights, atol=1e-9) and np.isclose(b[i, j], zero) and np.isclose(found[i, j], m.error(weights, zero))
+
+
+def test_tasks_along_series_hold_so_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    assert tables.by_series(spark.range(5000), "id").rdd.getNumPartitions() == 50
+    assert tables.by_series(spark.range(3), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
