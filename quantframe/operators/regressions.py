@@ -76,6 +76,41 @@ def line(m: Moments, kind: str = "plain", penalty: float = 0.0) -> tuple[np.ndar
     return w, float(m.mean[-1] - w @ m.mean[:-1])
 
 
+def lines(sets: list[Moments], kind: str, penalties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``line`` of each set and penalty, all at once: weights (set, penalty, regressor) and intercepts. Each line stops by its own last step, as it would alone."""
+    products, mean, n = np.array([m.products for m in sets]), np.array([m.mean for m in sets]), np.array([m.n for m in sets])
+    xx, xy = products[:, None, :-1, :-1], products[:, None, :-1, -1]
+    width, penalty = xy.shape[-1], penalties[None, :]
+    if kind == "ridge":
+        w = np.linalg.solve(xx + penalty[..., None, None] * np.eye(width), np.repeat(xy, len(penalties), axis=1)[..., None])[..., 0]
+    else:
+        size = (n[:, None] * penalty).ravel()
+        first, second = (size, np.zeros_like(size)) if kind == "lasso" else (size * MIX, size * (1 - MIX))
+        of = np.repeat(np.arange(len(sets)), len(penalties))
+        w, live = np.zeros((len(size), width)), np.arange(len(size))
+        for _ in range(10_000):
+            left, right, now = products[of[live], :-1, :-1], products[of[live], :-1, -1], w[live]
+            before = now.copy()
+            for j in range(width):
+                rest = right[:, j] - (left[:, j] * now).sum(axis=1) + left[:, j, j] * now[:, j]
+                scale = left[:, j, j] + second[live]
+                now[:, j] = np.where(scale > 0, np.sign(rest) * np.maximum(abs(rest) - first[live], 0.0) / np.where(scale > 0, scale, 1.0), 0.0)
+            w[live] = now
+            live = live[abs(now - before).max(axis=1) > 1e-12 * np.maximum(1.0, abs(now).max(axis=1))]
+            if not len(live):
+                break
+        w = w.reshape(len(sets), len(penalties), width)
+    return w, mean[:, None, -1] - (w * mean[:, None, :-1]).sum(axis=-1)
+
+
+def errors(sets: list[Moments], w: np.ndarray, at_zero: np.ndarray) -> np.ndarray:
+    """``Moments.error`` of each set by the lines (set, penalty) of ``lines``."""
+    d = np.concatenate([-w, np.ones((*w.shape[:-1], 1))], axis=-1)
+    squares = np.einsum("spi,sij,spj->sp", d, np.array([m.products for m in sets]), d)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return squares / np.array([m.n for m in sets])[:, None] + (np.einsum("spi,si->sp", d, np.array([m.mean for m in sets])) - at_zero) ** 2
+
+
 def moments(df: DataFrame, keys: list[str], by: list, xs: list[str], y: str, stretch) -> DataFrame:
     """keys, rows (of the key), stretch and its moments; stretch: a function of a row's number and its key's rows."""
     columns = [*xs, y]
@@ -185,11 +220,9 @@ def complexity_curves(df: DataFrame, keys: list[str], by: list, xs: list[str], y
         tested = [total([v for s, v in m.items() if s // 2 == i + 1], width) for i in range(folds)]
         first = total([v for s, v in sorted(m.items()) if s % 2 == 0], width)
         for kind in ("ridge", "lasso", "mixed"):
-            found = []
-            for p in grid:
-                test = [-te.error(*line(tr, kind, p)) for tr, te in zip(upto, tested)]
-                w, b = line(first, kind, p)
-                found.append((kind, p, -first.error(w, b), float(np.mean(test)), w.tolist()))
+            fits, zero = lines([*upto, first], kind, np.array(grid))
+            test, train = -errors(tested, fits[:-1], zero[:-1]).mean(axis=0), -errors([first], fits[-1:], zero[-1:])[0]
+            found = [(kind, p, float(a), float(b), w.tolist()) for p, a, b, w in zip(grid, train, test, fits[-1])]
             best = max(range(len(grid)), key=lambda i: (found[i][3], -grid[i]))
             for i, row in enumerate(found):
                 yield (*row, i == best)
