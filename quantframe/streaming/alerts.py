@@ -8,6 +8,7 @@ per portfolio (``replay``), so a stream that has read all of it gives the same r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -58,6 +59,7 @@ class Monitor:
     def __init__(self, thresholds: list[Threshold], results: int = 10_000, values: int = 1000):
         self.thresholds, self.results, self.values = thresholds, results, values
         self.seen, self.peaks, self.rings, self.fired = 0, [], {}, {}
+        self.spikes, self.moments = {}, {}  # what follows from the rings, kept while they don't change
 
     def drawdown(self, pnl: float | None) -> float | None:
         """Distance from the peak of the last results, by the peak; from the second result on."""
@@ -75,18 +77,34 @@ class Monitor:
 
     def spike(self) -> float | None:
         """Deviation of the last 20 returns over that of all in the ring, the largest over strategies with ten values or more."""
-        found = []
-        for ring in self.rings.values():
-            if len(ring) < 10:
-                continue
+        for strategy in self.rings:
+            if strategy not in self.spikes:  # a new value came
+                self.spikes[strategy] = self.spike_of(strategy)
+        return max((v for v in self.spikes.values() if v is not None), default=None)
+
+    def spike_of(self, strategy: str) -> float | None:
+        ring = self.rings[strategy]
+        if len(ring) >= self.values:  # every value moves the oldest out
             v = np.array(ring)
-            if (v[:-1] == 0).any():
-                continue
+            if len(ring) < 10 or (v[:-1] == 0).any():
+                return None
             r = v[1:] / v[:-1] - 1
-            whole = r.std(ddof=1)
-            if whole > 0:
-                found.append(float(r[-20:].std(ddof=1) / whole))
-        return max(found, default=None)
+            last, whole = float(r[-20:].std(ddof=1)), float(r.std(ddof=1))
+        else:  # until then its returns only grow in number: their mean and squares are carried along
+            n, mean, squares, zero = self.moments.get(strategy, (0, 0.0, 0.0, False))
+            for before, now in zip(ring[n:-1], ring[n + 1 :]):
+                zero = zero or before == 0
+                n += 1
+                away = (now / before - 1 if before else 0.0) - mean
+                mean += away / n
+                squares += away * away * (n - 1) / n
+            self.moments[strategy] = n, mean, squares, zero
+            if len(ring) < 10 or zero:
+                return None
+            r = [b / a - 1 for a, b in zip(ring[-21:-1], ring[-20:] if len(ring) > 20 else ring[1:])]
+            middle = sum(r) / len(r)
+            last, whole = math.sqrt(sum((x - middle) ** 2 for x in r) / (len(r) - 1)), math.sqrt(squares / (n - 1))
+        return last / whole if whole > 0 else None
 
     def step(self, ts: float, pnl: float | None, positions: list[tuple[str, float]], more: dict[str, float | None]) -> tuple[dict, list[tuple]]:
         metrics = {"max_drawdown": self.drawdown(pnl)}
@@ -94,6 +112,7 @@ class Monitor:
             ring = self.rings.setdefault(strategy, [])
             ring.append(value)
             del ring[: -self.values]
+            self.spikes.pop(strategy, None)
         sizes = [abs(v) for _, v in positions]
         metrics["max_position_pct"] = (max(sizes) / sum(sizes) if sum(sizes) > 0 else 0.0) if sizes else None
         metrics["volatility_spike"] = self.spike()

@@ -8,6 +8,7 @@ from quantframe.jobs import registry
 from quantframe.jobs import queries  # after the registry, which imports it
 from quantframe.operators import align, bars, hidden, neighbours, regressions
 from quantframe.sources import tables
+from quantframe.streaming import alerts
 
 
 def plan(df):
@@ -84,3 +85,21 @@ def test_tasks_along_series_hold_so_many_rows(spark, monkeypatch):
     monkeypatch.setattr(tables, "TASK_ROWS", 100)
     assert tables.by_series(spark.range(5000), "id").rdd.getNumPartitions() == 50
     assert tables.by_series(spark.range(3), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_spikes_are_worked_out_for_new_values_alone(monkeypatch):
+    def plain(ring):
+        v = np.array(ring)
+        if len(v) < 10 or (v[:-1] == 0).any():
+            return None
+        r = v[1:] / v[:-1] - 1
+        return r[-20:].std(ddof=1) / r.std(ddof=1)
+
+    rng, own, calls = np.random.default_rng(8), alerts.Monitor([], values=70), []
+    real = alerts.Monitor.spike_of
+    monkeypatch.setattr(alerts.Monitor, "spike_of", lambda self, s: (calls.append(s), real(self, s))[1])
+    for i in range(400):
+        metrics, _ = own.step(float(i), 1.0, [("abc"[i % 3], 0.0 if i == 60 else float(rng.normal(50, 9)))], {})
+        want = max((x for x in map(plain, own.rings.values()) if x is not None), default=None)
+        assert (metrics["volatility_spike"] is None) == (want is None) and (want is None or np.isclose(metrics["volatility_spike"], want, rtol=1e-10))
+    assert len(calls) == 400
