@@ -40,6 +40,24 @@ def sliced(batch: pa.RecordBatch, text: str, most: int = 1 << 23) -> Iterator[pa
             yield batch.slice(a, b - a)
 
 
+class Recent(dict):
+    """A cache of about ``most`` entries at most: those that weren't asked for while half as many others came in go, the others stay."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.half, self.before = most // 2, {}
+
+    def __missing__(self, key):
+        self[key] = value = self.before[key]
+        return value
+
+    def trim(self) -> None:
+        """To be called where entries of before need not be in the newer half, such as between texts."""
+        if len(self) > self.half:
+            self.before = self.copy()
+            self.clear()
+
+
 def place_ranges(numbered: DataFrame, most: int) -> list[tuple[int, int]]:
     """Ranges of ``place``, which monotonically_increasing_id() gave the rows of a written table, with at most ``most`` rows each."""
     counts = sorted(numbered.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row per partition

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantframe.llm.common import materialise
+from quantframe.llm.common import materialise, sliced
 from quantframe.llm.tokens import word_tokens
 
 CAPACITY = 2048
@@ -39,7 +39,7 @@ PIECE = "piece int, start long, length long, ids_crc32 long"
 def cut(path: str | None, capacity: int, with_ids: bool):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole, whole.schema.names[1], 1 << 21)):
             at, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 data = tokens.ids(text or "") + END

@@ -29,12 +29,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantframe.llm.common import materialise
+from quantframe.llm.common import Recent, materialise, sliced
 
 RESULTS = ("held_out", "score", "predicted")
 THRESHOLD = 0.7
 LETTERS = re.compile(r"[^\W\d_]+")
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
+#: Features that a task counts before it hands the counts on.
+COUNTED = 300_000
+#: Bytes of text that a step takes from a batch at once.
+TAKEN = 1 << 21
 
 
 def words(text: str | None) -> Counter:
@@ -56,15 +60,15 @@ class Model:
     bias: float
 
 
-def values(counts: Counter, index: dict[str, int], known: dict[str, list[int]]) -> dict[int, float]:
+def values(counts: Counter, index: dict[str, int], known: Recent) -> dict[int, float]:
     """Value of each feature that the document has. known: cache of the features of a word."""
     total, found = max(1, counts.total()), Counter()
-    if len(known) > CACHED_WORDS:
-        known.clear()
+    known.trim()
     for w, n in counts.items():
-        hit = known.get(w)
-        if hit is None:
-            hit = known[w] = [index[f] for f in features_of(w) if f in index]
+        try:
+            hit = known[w]
+        except KeyError:
+            hit = known[w] = tuple([index[f] for f in features_of(w) if f in index])
         for k in hit:
             found[k] += n
     return {k: min(1.0, (40 * n / total) ** 0.5) for k, n in found.items()}
@@ -73,14 +77,14 @@ def values(counts: Counter, index: dict[str, int], known: dict[str, list[int]])
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, positive) -> feature, p, u: in how many documents of either sample it stands, for each part of the input."""
     p, u = Counter(), Counter()
-    for batch in batches:
+    for batch in (part for whole in batches for part in sliced(whole, whole.schema.names[0], TAKEN)):
         for text, confirmed, plain in zip(*(c.to_pylist() for c in batch.columns)):
             seen = {f for w in words(text) for f in features_of(w)}
             if confirmed:
                 p.update(seen)
             if plain:
                 u.update(seen)
-        if len(u) + len(p) > 500_000:
+        if len(u) + len(p) > COUNTED:
             yield from flushed(p, u)
     yield from flushed(p, u)
 
@@ -178,8 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     index = {r["feature"]: k for k, r in enumerate(best)}
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, list[int]] = {}
-        for batch in batches:
+        cache = Recent(CACHED_WORDS)
+        for batch in (part for whole in batches for part in sliced(whole, "text", TAKEN)):
             found = [values(words(t), index, cache) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.float32()))], names=["p", "u", "at", "value"])
 
@@ -199,8 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def scored(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, list[int]] = {}
-        for batch in batches:
+        cache = Recent(CACHED_WORDS)
+        for batch in (part for whole in batches for part in sliced(whole, "scored_text", TAKEN)):
             at = batch.schema.get_field_index("scored_text")
             out = []
             for text in batch.column(at).to_pylist():

@@ -1,12 +1,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quantframe.llm import packing
+from quantframe.llm import packing, tokens
 from quantframe.llm.tokens import WordTokens
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -96,3 +97,26 @@ def test_nulls_repeats_long_names_empty_and_sequences(spark):
     seqs = packing.build_sequences(one, packing.pack_documents(one)).collect()
     ids = sorted(np.concatenate([np.frombuffer(s["ids"], "<u4") for s in seqs]).tolist())
     assert ids == sorted(plain("word " * 9000) + [0]) and all(len(s["ids"]) == 4 * s["n_tokens"] <= 8192 for s in seqs)
+
+
+def test_worker_keeps_the_last_used_words(monkeypatch):
+    """The cache that a worker keeps is bounded with all that it holds, and words in use aren't encoded again when it turns over."""
+    monkeypatch.setattr(tokens, "CACHED", 200)
+    own, learnt, letters = tokens.WordTokens(), [], "abcdefghij"
+    real = own.learn
+    monkeypatch.setattr(own, "learn", lambda words: (learnt.append("Always," in own.known or "Always," in own.known.before), real(words))[1])
+    for i in range(300):
+        text = "Always, " + " ".join("q" + "".join(letters[int(d)] for d in str(10 * i + k)) for k in range(10))
+        assert own.ids(text) == own.encoded(text)
+        assert sum(len(x) for x in vars(own).values() if isinstance(x, dict)) + len(own.known.before) < 250
+    assert len(learnt) == 300 and all(learnt[1:])
+
+
+def test_large_batches_are_taken_in_slices(monkeypatch):
+    """A batch of much text is tokenised and scored part by part, with the same rows."""
+    texts = [f"plain words number {i} " * 400 for i in range(400)] + [None, "", "word " * 600_000]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    out = list(packing.cut(None, 2048, False)(iter([batch])))
+    assert len(out) > 2 and sorted(set(i for b in out for i in b.column(0).to_pylist())) == list(range(len(texts)))
+    small = [list(packing.cut(None, 2048, False)(iter([batch.slice(i, 1)])))[0].to_pylist() for i in range(len(texts))]
+    assert [r for b in out for r in b.to_pylist()] == [r for rows in small for r in rows]
