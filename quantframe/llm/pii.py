@@ -12,7 +12,9 @@
    holds for every place in any document, also where the entity is not written.
 
 n(t, e) is counted in each task first, for entities in at least ``support`` documents (no other can have that many in
-common). n(t) is counted over all documents, for candidate terms. A Bloom filter of at most 8 MB lets each pass drop
+common). n(t) is counted over all documents, for candidate terms that may still reach ``generalise``: n(t) of a term must
+not be over the largest n(t, e) (N / n(e)) ^ (1 - generalise) of its entities, so one that is over it in an eighth of the
+documents already is out, without any change of the result. A Bloom filter of at most 8 MB lets each pass drop
 other entities, words or pairs early; what it lets through by chance is dropped by the count or the join that follows.
 
 Defined cases: null text counts as empty; terms inside a pattern's span are no candidates; equal spans count once, the
@@ -49,6 +51,8 @@ MIN_LETTERS = 4
 CACHED_WORDS = CACHED_PAIRS = 300_000
 #: A pair with over 1/HOT of all places' rows is hot; fewer than HOT can be.
 HOT = 1000
+#: One in so many documents, by hash, is counted first: most terms are too frequent there already.
+FIRST = 8
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -173,10 +177,13 @@ def hashed(term: str) -> int:
 def counted(bits: np.ndarray):
     """The function for mapInArrow: texts -> term, n: the documents of each part that have a term the filter may hold."""
 
+    def rows(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
+        seen: Counter = Counter()
         for batch in batches:
-            seen: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 terms = {t.lower() for t in TERM.findall(text or "")}
                 fresh = [t for t in terms if t not in known]
@@ -187,7 +194,10 @@ def counted(bits: np.ndarray):
                     h = np.fromiter(map(hashed, fresh), np.uint64, len(fresh))
                     known.update(zip(fresh, in_filter(bits, h).tolist()))
                 seen.update(t for t in terms if known[t])
-            yield pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+                if len(seen) > CACHED_WORDS:
+                    yield rows(seen)
+                    seen.clear()
+        yield rows(seen)
 
     return count
 
@@ -252,6 +262,22 @@ def placed(bits: np.ndarray, everywhere: bool):
     return place
 
 
+def documents_with(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, n_t: the number of texts that have the term, for ``terms`` and a few that the filter lets through."""
+    bits = build_filter(terms.mapInArrow(term_hashes, "h long"))
+    return texts.mapInArrow(counted(bits), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+
+
+def possible_terms(docs: DataFrame, pairs: DataFrame, text_col: str, total: int, generalise: float) -> DataFrame:
+    """The terms whose share may reach ``generalise`` with one of their entities, by their number in a part of the documents: n_t can only be larger."""
+    never = 0.0 if generalise > 0 else math.inf  # the share of an entity in all documents is 0
+    most = F.when(F.col("n_e") < total, F.col("n_te") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1.0 - generalise)) * (1 + 1e-9)).otherwise(F.lit(never))
+    terms = materialise(pairs.groupBy("term").agg(F.max(most).alias("most")), "pii-candidates")
+    some = docs.select(text_col).filter(F.pmod(F.xxhash64(text_col), F.lit(FIRST)) == 0)
+    some = some.coalesce(max(some.sparkSession.sparkContext.defaultParallelism, some.rdd.getNumPartitions() // FIRST))  # tasks of the usual size
+    return terms.join(documents_with(some, terms.select("term")), "term", "left").filter(F.coalesce("n_t", F.lit(0)) <= F.col("most")).select("term")
+
+
 def disclosures(docs: DataFrame, found: DataFrame, text_col: str, support: int, generalise: float, remove: float, group_support: int = 20) -> DataFrame:
     """entity, term, share, action of the pairs that exceed a threshold, with n_te and n_t."""
     total = found.count()
@@ -260,9 +286,8 @@ def disclosures(docs: DataFrame, found: DataFrame, text_col: str, support: int,
     bits = build_filter(n_e.select("entity").mapInArrow(term_hashes, "h long"))
     pairs = found.filter(F.size("entities") > 0).select("uid", "text", "entities", F.concat("base", "secrets").alias("spans")).mapInArrow(paired(bits), "entity string, term string, n long")
     pairs = materialise(pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_te")).filter(F.col("n_te") >= least), "pii-pairs")
-    terms = pairs.select("term").distinct()
-    bits = build_filter(terms.mapInArrow(term_hashes, "h long"))
-    n_t = docs.select(text_col).mapInArrow(counted(bits), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    terms = materialise(possible_terms(docs, pairs.join(n_e, "entity"), text_col, total, generalise), "pii-terms")
+    n_t = documents_with(docs.select(text_col), terms)
     known = pairs.join(n_e, "entity").join(n_t.join(terms, "term", "left_semi"), "term")
     mutual = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
     share = F.when(F.col("n_e") < total, mutual / F.log(F.lit(float(total)) / F.col("n_e"))).otherwise(0.0)

@@ -4,6 +4,8 @@ import re
 import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -139,3 +141,24 @@ def test_shapes(spark):
     assert sorted(((r["n_email"], r["spans"]) for r in got.collect())) == [(0, ""), (0, ""), (0, ""), (1, "email:0:6"), (1, "email:200000:200006")]
     assert pii.report(pii.find_personal_data(df.limit(0))).collect() == []
     assert pii.sanitise(df).columns == df.columns
+
+
+def test_terms_too_frequent_to_reveal_anything_are_not_counted_everywhere(spark):
+    """They are out by a part of the documents, the result is that of brute force, and a task writes a term once however many batches it has."""
+    mail = "jane.doe@mail.example.com"
+    texts = [f"{mail} asks Quillfeather about common matters today, number {i} {'rarely' if i < 8 else ''}" for i in range(12)] + [f"common matters of today {i}" for i in range(600)] + [f"rarely {i}" for i in range(9)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = pii.find_base(df, "text", ["doc_id"])
+    for generalise in (0.8, 0.3, 0.0):
+        want, _, _ = measured(texts, 3, 5)
+        words = [{w.lower() for w in re.findall(r"[^\W\d_]{4,}", t.replace(mail, ""))} for t in texts]
+        share = lambda w: math.log(len(texts) * sum(w in x for x in words[:12]) / (sum(w in x for x in words) * 12)) / math.log(len(texts) / 12)
+        told = {(r["entity"], r["term"]): r["share"] for r in pii.disclosures(df, found, "text", 3, generalise, 0.95, 5).collect()}
+        terms = {w for w in set.union(*words[:12]) if sum(w in x for x in words[:12]) >= 5 and share(w) >= generalise}
+        assert {t for e, t in told if e == "email/"} == terms and all(abs(v - share(t)) < 1e-9 for (_, t), v in told.items())
+        assert generalise != 0.8 or set(told) == set(want)
+    n_te = spark.createDataFrame([("email/", t, 12, 12) for t in ("common", "matters", "quillfeather")], "entity string, term string, n_te long, n_e long")
+    assert {r["term"] for r in pii.possible_terms(df, n_te, "text", len(texts), 0.8).collect()} == {"quillfeather"}
+    batch = pa.record_batch([pa.array(texts[12:])], names=["text"])
+    out = list(pii.counted(np.full(1024, 2**64 - 1, np.uint64))(iter([batch] * 5)))
+    assert sum(b.num_rows for b in out) == 4 and {r["n"] for b in out for r in b.to_pylist()} == {3000, 45}
