@@ -81,7 +81,9 @@ def lines(sets: list[Moments], kind: str, penalties: np.ndarray) -> tuple[np.nda
     products, mean, n = np.array([m.products for m in sets]), np.array([m.mean for m in sets]), np.array([m.n for m in sets])
     xx, xy = products[:, None, :-1, :-1], products[:, None, :-1, -1]
     width, penalty = xy.shape[-1], penalties[None, :]
-    if kind == "ridge":
+    if kind == "plain":
+        w = np.repeat((np.linalg.pinv(xx, rcond=1e-12) @ xy[..., None])[..., 0], len(penalties), axis=1)
+    elif kind == "ridge":
         w = np.linalg.solve(xx + penalty[..., None, None] * np.eye(width), np.repeat(xy, len(penalties), axis=1)[..., None])[..., 0]
     else:
         size = (n[:, None] * penalty).ravel()
@@ -103,6 +105,12 @@ def lines(sets: list[Moments], kind: str, penalties: np.ndarray) -> tuple[np.nda
     return w, mean[:, None, -1] - (w * mean[:, None, :-1]).sum(axis=-1)
 
 
+def plain_errors(trained: list[Moments], tested: list[Moments]) -> tuple[list[float], list[float]]:
+    """Errors of each training set's least squares there and on its test set, all at once."""
+    fits = lines(trained, "plain", np.zeros(1))
+    return errors(trained, *fits)[:, 0].tolist(), errors(tested, *fits)[:, 0].tolist()
+
+
 def errors(sets: list[Moments], w: np.ndarray, at_zero: np.ndarray) -> np.ndarray:
     """``Moments.error`` of each set by the lines (set, penalty) of ``lines``."""
     d = np.concatenate([-w, np.ones((*w.shape[:-1], 1))], axis=-1)
@@ -154,11 +162,15 @@ def walk_forward_fits(df: DataFrame, keys: list[str], by: list, xs: list[str], y
     table = moments(df, keys, by, xs, y, lambda row, _: F.when(row < least, 0).otherwise(F.floor((row - least) / step) + 1).cast("int"))
 
     def work(t, rows):
-        m, trained, fold = held(t, width), total([], width), 0
-        for fold in range(max(0, (rows - least) // step - steps + 1)):
-            trained = trained + m[fold]
-            w, b = line(trained)
-            yield fold, int(trained.n), trained.error(w, b), total([m[fold + 1 + i] for i in range(steps)], width).error(w, b)
+        folds = max(0, (rows - least) // step - steps + 1)
+        if not folds:
+            return
+        m, trained = held(t, width), [total([], width)]
+        for fold in range(folds):
+            trained.append(trained[-1] + m[fold])
+        tested = [total([m[fold + 1 + i] for i in range(steps)], width) for fold in range(folds)]
+        for fold, (n, train, test) in enumerate(zip(trained[1:], *plain_errors(trained[1:], tested))):
+            yield fold, int(n.n), train, test
 
     return per_series(table, keys, lambda t, rows: list(work(t, rows)), "fold int, train_rows int, train_error double, test_error double")
 
@@ -185,16 +197,13 @@ def learning_curve(df: DataFrame, keys: list[str], by: list, xs: list[str], y: s
         for stretch in range(len(edges) + 1):  # moments of all rows before each edge
             upto[stretch + 1] = upto[stretch] + m[stretch] if stretch in m else upto[stretch]
         before = {e: upto[i + 1] for i, e in reversed(list(enumerate(edges)))}
-        for size in cuts:
-            if least > rows * 0.8 or size + horizon > rows or size - (folds - 1) * horizon <= 0:
-                continue
-            scores = []
-            for k in range(1 - folds, 1):
-                trained, tested = before[size + k * horizon], between(m, edges, size + k * horizon, size + (k + 1) * horizon, width)
-                w, b = line(trained)
-                scores.append((-trained.error(w, b), -tested.error(w, b)))
-            a = np.array(scores)
-            yield (size, *[float(x) for x in (a[:, 0].mean(), a[:, 0].std(), a[:, 1].mean(), a[:, 1].std())])
+        kept = [size for size in cuts if least <= rows * 0.8 and size + horizon <= rows and size - (folds - 1) * horizon > 0]
+        if not kept:
+            return
+        starts = [size + k * horizon for size in kept for k in range(1 - folds, 1)]
+        a = -np.array(plain_errors([before[e] for e in starts], [between(m, edges, e, e + horizon, width) for e in starts])).reshape(2, len(kept), folds)
+        for size, *scores in zip(kept, *[x.tolist() for v in a for x in (v.mean(axis=1), v.std(axis=1))]):
+            yield (size, *scores)
 
     return per_series(table, keys, lambda t, rows: list(work(t, rows)), "size int, train_mean double, train_deviation double, test_mean double, test_deviation double")
 

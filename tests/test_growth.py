@@ -103,3 +103,16 @@ def test_spikes_are_worked_out_for_new_values_alone(monkeypatch):
         want = max((x for x in map(plain, own.rings.values()) if x is not None), default=None)
         assert (metrics["volatility_spike"] is None) == (want is None) and (want is None or np.isclose(metrics["volatility_spike"], want, rtol=1e-10))
     assert len(calls) == 400
+
+
+def test_folds_of_a_series_are_fitted_at_once():
+    """Plain least squares too, equal columns included."""
+    rng, sets = np.random.default_rng(6), []
+    for n in (40, 300, 12):
+        v = rng.normal(size=(n, 4))
+        v[:, 1] = v[:, 0] if n == 300 else v[:, 1]
+        sets.append(regressions.Moments(float(n), v.mean(axis=0), (v - v.mean(axis=0)).T @ (v - v.mean(axis=0))))
+    train, test = regressions.plain_errors(sets, sets[::-1])
+    for m, other, a, b in zip(sets, sets[::-1], train, test):
+        fit = regressions.line(m)
+        assert np.isclose(m.error(*fit), a) and np.isclose(other.error(*fit), b)
