@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -120,3 +121,35 @@ def test_large_batches_are_taken_in_slices(monkeypatch):
     assert len(out) > 2 and sorted(set(i for b in out for i in b.column(0).to_pylist())) == list(range(len(texts)))
     small = [list(packing.cut(None, 2048, False)(iter([batch.slice(i, 1)])))[0].to_pylist() for i in range(len(texts))]
     assert [r for b in out for r in b.to_pylist()] == [r for rows in small for r in rows]
+
+
+def test_parts_of_known_words_need_no_encoder(monkeypatch):
+    """Words in capitals, with marks around them or in another order are put together from known parts."""
+    own = WordTokens()
+    own.ids("always never déjà 's ! . *** 7")
+    text = "ALWAYS!*** Never*** (never.7) Déjà's, always.***\tNEVER'S!"
+    own.ids("( ) , .*** !*** .7")
+    want = own.encoded(text)
+    monkeypatch.setattr(own, "tokenizer", None)
+    monkeypatch.setattr(own, "model", None)
+    assert own.ids("Never*** ALWAYS. 'S déjà! 77") and own.ids(text) == want
+
+
+def test_all_pairs_of_latin_characters():
+    own = WordTokens()
+    for a in range(256):
+        text = "".join(f"x{chr(a)}{chr(b)}q, {chr(b)}{chr(a)}'{chr(b)} " for b in range(256))
+        for part in (text, text.replace("<", "'"), text.replace("<", ",")):
+            assert own.ids(part) == own.encoded(part), a
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """Nothing is put together for a tokenizer whose steps aren't known, such as one that keeps capitals."""
+    spec = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    spec["normalizer"] = None
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    own = WordTokens(str(path))
+    for text in ["Always always ALWAYS, one", "It's IT'S"]:
+        assert own.ids(text) == own.encoded(text)
+    assert own.ids("Always") != own.ids("always")
