@@ -91,30 +91,54 @@ def trade_pnl(df: DataFrame) -> DataFrame:
     return df.withColumn("pnl", move * F.col("quantity") - F.col("commission"))
 
 
-def numpy_cdf(x: np.ndarray) -> np.ndarray:
-    """The same approximation as normal_cdf, over arrays."""
+def exps(x: np.ndarray) -> np.ndarray:
+    """e ** x by the C library's exp, as SQL engines have it; numpy's own loops and Java's StrictMath may end in other bits, and lose the smallest values. x is at most 0."""
+    return np.fromiter(map(math.exp, x.tolist()), float, len(x))
+
+
+def logs(x: np.ndarray) -> np.ndarray:
+    """ln x by the C library's log; -inf at 0 and NaN below."""
+    out, live = np.where(x == 0, -np.inf, np.nan), x > 0
+    out[live] = np.fromiter(map(math.log, x[live].tolist()), float, int(live.sum()))
+    return out
+
+
+def numpy_cdf(x: np.ndarray, bell: np.ndarray) -> np.ndarray:
+    """The same approximation as normal_cdf, over arrays; bell is exp(-x * x / 2)."""
     t = 1 / (1 + TAIL_RATE * np.abs(x))
     poly = np.zeros_like(t)
     for c in reversed(TAIL):
         poly = (poly + c) * t
-    tail = np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * poly
+    tail = bell / math.sqrt(2 * math.pi) * poly
     return np.where(x >= 0, 1 - tail, tail)
 
 
+def model_price(v: np.ndarray, s: np.ndarray, k: np.ndarray, t: np.ndarray, call: np.ndarray, rate: float, ratio: np.ndarray, root: np.ndarray, discount: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Price of each row at volatility v, and its vega; ratio is ln(s / k), root the square root of t."""
+    d1 = (ratio + (rate + v * v / 2) * t) / (v * root)
+    d2 = d1 - v * root
+    bell = exps(-d1 * d1 / 2)
+    price = s * numpy_cdf(d1, bell) - k * discount * numpy_cdf(d2, exps(-d2 * d2 / 2))
+    return np.where(call, price, price - s + k * discount), s * bell / math.sqrt(2 * math.pi) * root
+
+
 def newton_volatility(market: np.ndarray, s: np.ndarray, k: np.ndarray, t: np.ndarray, call: np.ndarray, rate: float, steps: int = 100, tolerance: float = 1e-6) -> np.ndarray:
     """Volatility that gives the market price, all rows at once from 0.2; at least 0.001; a row without vega stays where it is; 0 at expiry."""
-    v, live = np.full(len(market), 0.2), t > 0
-    root = np.sqrt(np.where(live, t, 1.0))
-    for _ in range(steps):
-        d1 = (np.log(s / k) + (rate + v * v / 2) * t) / (v * root)
-        price = s * numpy_cdf(d1) - k * np.exp(-rate * t) * numpy_cdf(d1 - v * root)
-        price = np.where(call, price, price - s + k * np.exp(-rate * t))
-        vega = s * np.exp(-d1 * d1 / 2) / math.sqrt(2 * math.pi) * root
-        moves = live & (np.abs(price - market) >= tolerance) & (vega > 0)
-        if not moves.any():
-            break
-        v = np.where(moves, np.maximum(v - (price - market) / np.where(moves, vega, 1.0), 0.001), v)
-    return np.where(live, v, 0.0)
+    out = np.where(t > 0, 0.2, 0.0)
+    at = np.flatnonzero(t > 0)  # rows that still move
+    with np.errstate(all="ignore"):
+        market, s, k, t, call = (x[at] for x in (market, s, k, t, call))
+        ratio, root, discount = logs(s / k), np.sqrt(t), exps(-rate * t)
+        for _ in range(steps):
+            v = out[at]
+            price, vega = model_price(v, s, k, t, call, rate, ratio, root, discount)
+            moves = np.isfinite(price) & (np.abs(price - market) >= tolerance) & (vega > 0)
+            at = at[moves]
+            if not len(at):
+                break
+            out[at] = np.maximum(v[moves] - (price[moves] - market[moves]) / vega[moves], 0.001)
+            market, s, k, t, call, ratio, root, discount = (x[moves] for x in (market, s, k, t, call, ratio, root, discount))
+    return out
 
 
 def implied_volatility(df: DataFrame, price: str = "price", spot: str = "spot", strike: str = "strike", years: str = "years", kind: str = "option_type", rate: float = 0.02) -> DataFrame:
@@ -124,6 +148,23 @@ def implied_volatility(df: DataFrame, price: str = "price", spot: str = "spot",
     return df.withColumn("implied", F.pandas_udf(solve, T.DoubleType())(price, spot, strike, years, kind))
 
 
+def with_price(df: DataFrame, spot: str = "spot", strike: str = "strike", years: str = "years", iv: str = "iv", kind: str = "option_type", rate: float = 0.02) -> DataFrame:
+    """price as with_greeks has it, in the same arithmetic as implied_volatility: where vega is next to none, Newton steps make much of a price's last bits."""
+
+    def priced(s: pd.Series, k: pd.Series, t: pd.Series, v: pd.Series, c: pd.Series) -> pd.Series:
+        s, k, t, v = (x.to_numpy(float) for x in (s, k, t, v))
+        call = (c == "call").to_numpy()
+        out = np.fmax(np.where(call, s - k, k - s), 0.0)  # what is null counts as 0, as in greatest()
+        live = t > 0
+        with np.errstate(all="ignore"):
+            s, k, t, v, call = (x[live] for x in (s, k, t, v, call))
+            price = model_price(v, s, k, t, call, rate, logs(s / k), np.sqrt(t), exps(-rate * t))[0]
+            out[live] = np.fmax(price, 0.0)
+        return pd.Series(out)
+
+    return df.withColumn("price", F.pandas_udf(priced, T.DoubleType())(spot, strike, years, iv, kind))
+
+
 def execution_costs(df: DataFrame, half_commission: float = 0.65) -> DataFrame:
     """spread, slippage, commission and fill of market orders with mid, bid, ask, volume, quantity and side (1 buys, -1 sells).
 

@@ -290,8 +290,12 @@ g AS (SELECT *, greatest(0, CASE WHEN option_type = 'call' THEN spot * n1 - stri
   (-spot * pdf * iv / (2 * sqrt(y)) - CASE WHEN option_type = 'call' THEN 0.02 * strike * df * n2 ELSE -0.02 * strike * df * (1 - n2) END) / 365 AS theta, spot * pdf * sqrt(y) / 100 AS vega, strike * y * df * CASE WHEN option_type = 'call' THEN n2 ELSE n2 - 1 END / 100 AS rho FROM n)"""
 
 
+def dated(spark, sf_dir):
+    return tables.chain(spark, sf_dir).withColumn("years", F.col("days") / 365)
+
+
 def greeks(spark, sf_dir):
-    return options.with_greeks(tables.chain(spark, sf_dir).withColumn("years", F.col("days") / 365))
+    return options.with_greeks(dated(spark, sf_dir))
 
 
 @query(f"WITH {CHAIN}, {GREEKS} SELECT contract, {r('price', 'delta', 'gamma', 'theta', 'vega', 'rho')} FROM g")
@@ -521,20 +525,20 @@ UNION ALL SELECT id, step + 1, CASE WHEN isfinite(price) AND abs(price - market)
 
 
 def legible(v):
-    return F.when(v >= 1000, F.format_string("%.3e", v).cast("double")).otherwise(F.round(v, 3) + 0.0)
+    return F.when(v >= 1000, F.format_string("%.3e", v).cast("double")).otherwise(F.round(v * 1000) / 1000 + 0.0)
 
 
 @query(f"WITH RECURSIVE {CHAIN}, {GREEKS}, {NEWTON} SELECT contract, CASE WHEN v >= 1000 THEN printf('%.3e', v)::DOUBLE ELSE round(v, 3) + 0.0 END AS implied FROM (SELECT id, arg_max(v, step) AS v FROM nw GROUP BY id) JOIN mk USING (id)")
 def options_implied_volatility(spark, sf_dir):
     """The whole chain by Newton steps from the model's prices, those that stop for want of vega or at the least volatility included. To three decimals, and
     from 1000 on, where the last step divided by next to no vega, to four digits in all."""
-    return options.implied_volatility(greeks(spark, sf_dir)).select("contract", legible(F.col("implied")).alias("implied"))
+    return options.implied_volatility(options.with_price(dated(spark, sf_dir))).select("contract", legible(F.col("implied")).alias("implied"))
 
 
 @query()
 def options_implied_volatility_chain(spark, sf_dir):
     """The same to six digits, which the last steps of flat prices needn't share with another engine."""
-    return shown(options.implied_volatility(greeks(spark, sf_dir)).select("contract", "implied"))
+    return shown(options.implied_volatility(options.with_price(dated(spark, sf_dir))).select("contract", "implied"))
 
 
 @query(f"WITH {DAILY}, c AS (SELECT symbol, count(*) AS n FROM d GROUP BY symbol), f AS (SELECT symbol, n, unnest(range(0, 5)) AS fold FROM c), g AS (SELECT *, fold * n // 5 AS a, (fold + 1) * n // 5 - 1 AS b FROM f) SELECT symbol, fold::INT AS fold, a AS test_low, b AS test_high, 0 AS before_low, a - 6 AS before_high, b + 11 AS after_low, n - 1 AS after_high FROM g")
