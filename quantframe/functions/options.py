@@ -237,6 +237,12 @@ def mark_to_market(positions: DataFrame, keys: list[str], cash: float) -> DataFr
     return table.select(*keys, "value", "unrealised", total.alias("total"), F.when(total > 0, F.col("gross") / total).otherwise(0.0).alias("leverage"))
 
 
+def steady_sum(x: Column) -> Column:
+    """An aggregate's sum of doubles, rounded once and so the same to the last bit in any order of the rows: the multiples of 2 ** -20 in them and what is left add up exactly, up to 8e9 in all."""
+    coarse = F.rint(x * 2.0**20) / 2.0**20
+    return F.sum(coarse) + F.sum(F.when(F.abs(x) < 2.0**33, x - coarse).otherwise(0.0))
+
+
 def margins(legs: DataFrame, key: str, least: float = 100.0, share: float = 0.2, equity_share: float = 0.5, risk: float = 1.0) -> DataFrame:
     """Margin of each position by its strategy: condor, strangle, straddle, vertical, covered_call, cash_secured_put; others, and legs that don't fit, by leg.
 
@@ -250,9 +256,9 @@ def margins(legs: DataFrame, key: str, least: float = 100.0, share: float = 0.2,
     low = lambda test, value: F.min(F.when(test, value))
     t = legs.groupBy(key, "strategy").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(call).alias("calls"), F.count_if(~call).alias("puts"), F.count_if(short).alias("shorts"), F.count_if(short & call).alias("short_calls"), F.count_if(short & ~call).alias("short_puts"),
-        F.first("spot").alias("spot"), F.sum(F.col("premium") * F.col("quantity")).alias("premium"), F.sum(F.when(short, naked).otherwise(F.col("premium") * F.col("quantity"))).alias("by_leg"),
+        F.first("spot").alias("spot"), steady_sum(F.col("premium") * F.col("quantity")).alias("premium"), steady_sum(F.when(short, naked).otherwise(F.col("premium") * F.col("quantity"))).alias("by_leg"),
         of(call, F.col("strike")).alias("high_call"), low(call, F.col("strike")).alias("low_call"), of(~call, F.col("strike")).alias("high_put"), low(~call, F.col("strike")).alias("low_put"),
-        of(call, naked).alias("call_margin"), of(~call, naked).alias("put_margin"), F.sum(F.when(short & call, F.col("premium") * q)).alias("call_premium"), F.min(F.when(short & ~call, F.struct("strike", (F.col("premium") * q).alias("taken")))).alias("put"),
+        of(call, naked).alias("call_margin"), of(~call, naked).alias("put_margin"), steady_sum(F.when(short & call, F.col("premium") * q)).alias("call_premium"), F.min(F.when(short & ~call, F.struct("strike", (F.col("premium") * q).alias("taken")))).alias("put"),
         (F.max("strike") - F.min("strike")).alias("width"),
     )
     s, premium = F.col("strategy"), F.col("premium")

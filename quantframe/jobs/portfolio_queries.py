@@ -329,7 +329,7 @@ def legs(spark, sf_dir) -> DataFrame:
     c = tables.chain(spark, sf_dir)
     names = ["condor", "strangle", "vertical", "covered_call", "cash_secured_put", "other"]
     strategy = F.element_at(F.array(*map(F.lit, names)), ((F.col("portfolio") + F.dayofyear("day")) % 6 + 1).cast("int"))
-    mean = c.groupBy("portfolio", "day").agg(F.avg("spot").alias("spot"))
+    mean = c.groupBy("portfolio", "day").agg((options.steady_sum(F.col("spot")) / F.count("spot")).alias("spot"))
     return c.drop("spot").join(mean, ["portfolio", "day"]).select(F.concat_ws("-", "portfolio", F.date_format("day", "yyyyMMdd")).alias("position"), "portfolio", strategy.alias("strategy"), "spot", "option_type", "strike", F.when(F.col("quantity") > 25, -1).otherwise(1).alias("quantity"), (F.col("iv") * F.col("strike")).alias("premium"))
 
 

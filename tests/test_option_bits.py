@@ -42,3 +42,22 @@ def test_rows_stop_for_themselves():
 def test_halves_of_three_decimals_go_up(spark):
     shown = [r[0] for r in spark.createDataFrame([(0.0625,), (1.0005,), (0.2,), (1234.5678,)], "v double").select(queries.legible(F.col("v"))).collect()]
     assert shown == [*[round(math.floor(v * 1000 + 0.5)) / 1000 for v in (0.0625, 1.0005, 0.2)], 1235.0]
+
+
+def test_margins_are_the_same_in_any_order_of_legs(spark):
+    rng = np.random.default_rng(3)
+    legs = [(f"p{p}", ("condor", "covered_call", "other")[p % 3], float(rng.uniform(1, 5000)), ("call", "put")[int(rng.integers(2))], float(rng.uniform(900, 1000)), int(rng.choice([-1, 1])), float(rng.uniform(90, 400))) for p in range(90) for _ in range(5)]
+    names = "position string, strategy string, spot double, option_type string, strike double, quantity int, premium double"
+    sums = []
+    for rows in (legs, legs[::-1], sorted(legs, key=lambda x: x[-1])):
+        df = spark.createDataFrame(rows, names).coalesce(1)
+        spot = df.groupBy("position").agg((options.steady_sum(F.col("spot")) / F.count("spot")).alias("spot"))
+        sums.append(sorted(map(tuple, options.margins(df.drop("spot").join(spot, "position"), "position").collect())))
+    assert sums[0] == sums[1] == sums[2]
+    assert [r[3] for r in sums[0]] == [math.fsum(x[-1] * x[-2] for x in legs if x[0] == r[0]) for r in sums[0]]
+
+
+def test_steady_sums_of_odd_values(spark):
+    df = spark.createDataFrame([("none", None), ("some", None), ("some", 0.1), ("inf", float("inf")), ("inf", 1.0), ("nan", float("nan")), ("large", 1e15), ("large", 0.25)], "k string, x double")
+    got = {r["k"]: r["s"] for r in df.groupBy("k").agg(options.steady_sum(F.col("x")).alias("s")).collect()}
+    assert (got["none"], got["some"], got["inf"], got["large"]) == (None, 0.1, math.inf, 1e15 + 0.25) and math.isnan(got["nan"])
