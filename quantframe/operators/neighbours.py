@@ -5,7 +5,8 @@ A row's missing column becomes the mean of that column over the ``k`` nearest ro
 order); with fewer of them, over all; with none that shares a column, the column's mean in the key; and it stays null where
 no row of the key has it.
 
-No pair of rows is looked at without need. Rows are put into indexes, each a set of columns that are null and the pivot, the first
+A key of few rows is worked out where its rows meet, by one exchange of the table. Keys of more rows go through indexes instead:
+no pair of rows is looked at without need. Rows are put into indexes, each a set of columns that are null and the pivot, the first
 column that isn't; a query looks into those whose pivots are its own first, second.. column, so that every row that shares
 a column with it is in one of them exactly once. Within an index, rows are sorted by pivot and cut into blocks. A query's block is compared
 with its own neighbourhood first, and then, while any of its queries may still find a nearer row, with blocks twice as far out,
@@ -21,10 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantframe.functions.joins import beside
 from quantframe.operators.long_series import BLOCK, in_blocks
 from quantframe.sources.shared import materialise
+from quantframe.sources.tables import TASK_ROWS
 
 BEST = "array<struct<d:double,o:long,v:double>>"
 
@@ -58,19 +61,67 @@ def nearest(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[kept], at[kept]
 
 
+def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Of each row of q to each of x; endless where they share no column."""
+    both = (~np.isnan(q)).astype(float) @ (~np.isnan(x)).astype(float).T
+    squares = np.zeros((len(q), len(x)))
+    for c in range(q.shape[1]):  # a column at a time bounds the memory
+        d = q[:, c][:, None] - x[None, :, c]
+        squares += np.where(np.isnan(d), 0.0, d * d)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(both > 0, np.sqrt(squares * q.shape[1] / both), np.inf)
+
+
+def fill(x: np.ndarray, k: int, block: int) -> np.ndarray:
+    """The rows of one key, by rising order, with their gaps filled; ``block`` rows with gaps are compared with all at a time."""
+    out, gaps = x.copy(), np.isnan(x)
+    for c in range(x.shape[1]):
+        if not gaps[:, c].all():
+            out[gaps[:, c], c] = x[~gaps[:, c], c].mean()
+    asking = np.flatnonzero(gaps.any(axis=1) & ~gaps.all(axis=1))
+    for at in range(0, len(asking), block):
+        of = asking[at : at + block]
+        dist = distances(x[of], x)
+        dist[np.arange(len(of)), of] = np.inf
+        for c in range(x.shape[1]):
+            asks, there = np.flatnonzero(gaps[of, c]), np.flatnonzero(~gaps[:, c])
+            if len(asks) and len(there):
+                row, near = nearest(dist[np.ix_(asks, there)], k)
+                n = np.bincount(row, minlength=len(asks))
+                total = np.bincount(row, x[there[near], c], minlength=len(asks))
+                out[of[asks[n > 0]], c] = total[n > 0] / n[n > 0]
+    return out
+
+
+def fill_keys(columns: list[str], k: int, block: int):
+    """The function for mapInArrow over rows by key and order, with _n, their key's rows, and _at, their number in it from 1: the rows with their gaps filled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if held is not None and held.num_rows:
+                batch = pa.concat_batches([held, batch])
+            n, at = (batch.column(c).to_numpy() for c in ("_n", "_at"))
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], axis=1).astype(float)
+            first = np.flatnonzero(at == 1)
+            first = first[first + n[first] <= len(n)]  # the rest of the last key is in the next batch
+            for a, b in zip(first, first + n[first]):
+                if np.isnan(x[a:b]).any():
+                    x[a:b] = fill(x[a:b], k, block)
+            end = int(first[-1] + n[first[-1]]) if len(first) else 0
+            held, names = batch.slice(end), [c for c in batch.schema.names if c not in ("_n", "_at")]
+            yield pa.RecordBatch.from_arrays([pa.array(x[:end, columns.index(c)], from_pandas=True) if c in columns else batch.column(c).slice(0, end) for c in names], names=names)
+
+    return run
+
+
 def compare(columns: int, k: int):
     """The function for mapInArrow over pairs of blocks (orders and values of queries, and of rows): best k (distance, order, value) of each query and missing column in this pair, and how many distances were worked out."""
 
     def pair(q: np.ndarray, of: np.ndarray, x: np.ndarray, order: np.ndarray) -> Iterator[tuple]:
         by_order = np.argsort(order, kind="stable")
         x, order = x[by_order], order[by_order]
-        both = (~np.isnan(q)).astype(float) @ (~np.isnan(x)).astype(float).T
-        squares = np.zeros((len(q), len(x)))
-        for c in range(columns):  # a column at a time bounds the memory
-            d = q[:, c][:, None] - x[None, :, c]
-            squares += np.where(np.isnan(d), 0.0, d * d)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            dist = np.where(both > 0, np.sqrt(squares * columns / both), np.inf)
+        dist = distances(q, x)
         dist[of[:, None] == order[None, :]] = np.inf
         for c in range(columns):
             asks, there = np.flatnonzero(np.isnan(q[:, c])), np.flatnonzero(~np.isnan(x[:, c]))
@@ -107,11 +158,30 @@ def flat(rows: Column, name: str) -> list[Column]:
     return [rows["o"].alias(f"{name}_o"), F.flatten(rows["x"]).alias(f"{name}_x")]
 
 
+#: Keys of at most this many blocks of rows are worked out where their rows meet.
+FEW = 8
+
+
 def impute(df: DataFrame, keys: list[str], order: str, columns: list[str], k: int = 5, block: int = 256, block_rows: int = 200_000) -> DataFrame:
     """df with the columns imputed; ``order`` is an integer, unique within the table. NaN counts as null."""
+    rows = materialise(df.withColumns({c: known(c) for c in columns}), "knn-table")
+    many = materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > FEW * block).select(*keys), "knn-keys")
+    hot = many.limit(1).count() > 0
+    few = beside(rows, many, keys, "left_anti") if hot else rows
+    w = Window.partitionBy(*keys)
+    met = few.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS)), *keys)
+    filled = met.withColumn("_at", F.row_number().over(w.orderBy(order))).withColumn("_n", F.count(F.lit(1)).over(w)).mapInArrow(fill_keys(columns, k, block), rows.schema)
+    return filled.unionByName(impute_many(beside(rows, many, keys, "left_semi"), keys, order, columns, k, block, block_rows)) if hot else filled
+
+
+def known(c: str) -> Column:
+    return F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+
+
+def impute_many(df: DataFrame, keys: list[str], order: str, columns: list[str], k: int, block: int, block_rows: int) -> DataFrame:
+    """The same by indexes and rounds, for keys of many rows."""
     width = len(columns)
-    value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-    x = F.array(*[value(c) for c in columns])
+    x = F.array(*[known(c) for c in columns])
     rows = materialise(df.select(*keys, F.col(order).cast("long").alias("o"), x.alias("x")), "knn-rows")
     null_at = lambda i: F.col("x")[i].isNull()
     # bit i: column i is there
@@ -181,7 +251,6 @@ def finished(df: DataFrame, keys: list[str], order: str, columns: list[str], row
         wide = found.groupBy("o").agg(*[F.max(F.when(F.col("c") == i, F.col("v"))).alias(f"_v{i}") for i in range(len(columns))]).withColumnRenamed("o", "_o")
         out = out.join(wide, F.col(order) == F.col("_o"), "left")
     def filled(i: int, c: str) -> Column:
-        known = F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-        return F.coalesce(known, *([F.col(f"_v{i}")] if best is not None else []), F.col(f"_m{i}")).alias(c)
+        return F.coalesce(known(c), *([F.col(f"_v{i}")] if best is not None else []), F.col(f"_m{i}")).alias(c)
 
     return out.select(*[filled(columns.index(c), c) if c in columns else F.col(c) for c in df.columns])
